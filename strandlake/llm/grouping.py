@@ -1,7 +1,7 @@
 """Connected groups of items that share buckets, without emitting all pairs of a bucket.
 
-``linked_groups`` works in two rounds. First every bucket's members are compared with its smallest member, and the links
-found are joined into components. Then only buckets whose members still belong to different components are looked at, and
+``linked_groups`` works in two rounds. First every item is compared with the smallest member of all its buckets, one pair
+an item, and the links found are joined into components. Then only buckets whose members still belong to different components are looked at, and
 only pairs from different components: bucket members are dealt into bounded blocks, two blocks meet in one task, and the
 pairs that a cheap test lets through are verified. A link inside a component changes no component, so no component misses
 a link between bucket members; a bucket of many copies costs one comparison a member.
@@ -20,6 +20,8 @@ from strandlake.llm.tables import cut, stored
 
 #: Members of a block; two blocks are compared in one step.
 BLOCK = 256
+#: Pairs that are tested at once.
+MOST_TESTS = 20_000
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Given the payloads of two equally long arrays of items, which pairs may be links.
 Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -45,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _star_pairs(multi: DataFrame, payload: DataFrame, width: int, test: Test) -> DataFrame:
-    pairs = multi.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = multi.groupBy(F.col("id").alias("b")).agg(F.min("center").alias("a")).where("a <> b").select("a", "b")
     left, right = payload.select(F.col("id").alias("a"), F.col("payload").alias("pa")), payload.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,16 +72,23 @@ def _cross_pairs(rows: DataFrame, width: int, test: Test) -> DataFrame:
             same = keys[0, 1] == keys[0, 2]
             left = np.arange(len(ids)) if same else np.flatnonzero(keys[:, 3] == keys[0, 1])
             right = left if same else np.flatnonzero(keys[:, 3] == keys[0, 2])
-            out_a, out_b = [], []
-            for k in left:
-                other = right[right > k] if same else right
-                other = other[comps[other] != comps[k]]
-                if len(other):
-                    hit = other[test(np.broadcast_to(data[k], (len(other), width)), data[other])]
-                    out_a.append(np.minimum(ids[k], ids[hit]))
-                    out_b.append(np.maximum(ids[k], ids[hit]))
-            if out_a:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=PAIRS)
+            if not len(left) or not len(right):
+                return None
+            out = []
+            step = max(1, MOST_TESTS // len(right))
+            for at in range(0, len(left), step):
+                x, y = (m.ravel() for m in np.meshgrid(left[at : at + step], right, indexing="ij"))
+                some = comps[x] != comps[y]
+                if same:
+                    some &= x < y
+                x, y = x[some], y[some]
+                if len(x):
+                    hit = test(data[x], data[y])
+                    out.append((ids[x[hit]], ids[y[hit]]))
+            if out:
+                x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
+                if len(x):
+                    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIRS)
             return None
 
         held: list[tuple] = []

@@ -1,9 +1,9 @@
 """Fuzzy line de-duplication.
 
 Lines are normalised (case, digits, punctuation and spacing), hashed for equality and given a 64-bit SimHash of their word
-features. Lines of equal normal form are one class. Two SimHashes that differ in three bits at most agree in two of five
+features, each weighted by its length. Lines of equal normal form are one class. Two SimHashes that differ in three bits at most agree in two of five
 blocks, so each class is put under the ten pairs of blocks; classes that meet there and differ in three bits at most are
-verified by edit similarity, and of each connected group one occurrence stays: the first line, by doc_id and line number.
+verified by edit similarity (1 - distance / longer length) of their normal forms, and of each connected group one occurrence stays: the first line, by doc_id and line number.
 
 Cases: lines under ``least_words`` words always stay. A null text stays null. Rows with a null doc_id stay as they are.
 Rows that share a doc_id are read as one document's lines, each with its own numbers. An empty table gives none.
@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.grouping import linked_groups
-from strandlake.llm.tables import stored
+from strandlake.llm.tables import split_by_ids, stored
 from strandlake.llm.textblocks import Block, blocks, mix
 
 LEAST_WORDS = 5
+#: Lines of fewer words have too few features for a SimHash; they are matched by their normal form.
+FUZZY_WORDS = 8
 MOST_BITS = 3
 SIMILARITY = 0.9
 _CUTS = (0, 13, 26, 39, 52, 64)
 _MASKS = [sum(((1 << (_CUTS[k + 1] - _CUTS[k])) - 1) << _CUTS[k] for k in two) for two in combinations(range(5), 2)]
-LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("simhash", pa.int64()), ("first_here", pa.bool_())])
+LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("simhash", pa.int64()), ("n_words", pa.int32()), ("first_here", pa.bool_())])
 
 #: A-Z and digits fold, ASCII punctuation and controls become spaces; every other byte stays.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -46,7 +48,7 @@ def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Row, line number, class key, SimHash and word count of the lines of a block that have a word."""
     folded = Block(block.first, _FOLD[block.data], block.offsets)
     starts, _, line_rows, _ = folded.lines()
-    at, _, _, hashes = folded.words()
+    at, ends, _, hashes = folded.words()
     if not len(at):
         return (np.zeros(0, np.int64),) * 5
     line = np.searchsorted(starts, at, side="right") - 1
@@ -54,10 +56,12 @@ def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     size = np.diff(np.append(edge, len(line)))
     place = np.arange(len(line)) - np.repeat(edge, size)
     key = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), edge) + size.astype(np.uint64))
+    # longer words are rarer, so they count for more; the few common ones would give all lines the same bits
+    weight = np.clip(ends - at - 2, 0, 12).astype(np.int32) * 8 + 1
     bits = np.zeros(len(edge), np.uint64)
     for k in range(64):
-        votes = np.add.reduceat(((hashes >> np.uint64(k)) & np.uint64(1)).astype(np.int32), edge)
-        bits |= (2 * votes > size).astype(np.uint64) << np.uint64(k)
+        votes = np.add.reduceat(np.where((hashes >> np.uint64(k)) & np.uint64(1), weight, -weight), edge)
+        bits |= (votes > 0).astype(np.uint64) << np.uint64(k)
     which = line[edge]
     first_line = np.searchsorted(line_rows, np.arange(block.rows))
     return line_rows[which], which - first_line[line_rows[which]], key, bits, size
@@ -69,83 +73,48 @@ def hashed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                rows, number, key, bits, size = (x[...] for x in _line_hashes(block))
-                rows, number, key, bits = (x[size >= least_words] for x in (rows, number, key, bits))
+                rows, number, key, bits, size = _line_hashes(block)
+                rows, number, key, bits, size = (x[size >= least_words] for x in (rows, number, key, bits, size))
                 first = np.zeros(len(key), bool)
                 if len(key):
                     first[np.unique(mix(key ^ mix(rows.astype(np.uint64))), return_index=True)[1]] = True
                 ids = batch.column(0).slice(block.first, block.rows).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(first)], schema=LINES)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(first)], schema=LINES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, simhash long, first_here boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, simhash long, n_words int, first_here boolean")
 
 
 def _same_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unpackbits(a ^ b, axis=1).sum(1) <= MOST_BITS
-
-
-def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - edit distance / longer length reaches ``least``; a band as wide as that allows is computed."""
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    head = int(differ[0]) if len(differ) else n
-    x, y = x[head:], y[head:]
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
-    tail = int(differ[0]) if len(differ) else n
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if not len(x) or not len(y):
-        return max(len(x), len(y)) <= most
-    far = most + 1
-    low, row = 0, np.arange(min(len(y), most) + 1)
-    for i in range(1, len(x) + 1):
-        lo, hi = max(0, i - most), min(len(y), i + most)
-        old = np.full(hi - lo + 2, far)  # places lo - 1 .. hi of the row above
-        s, e = max(lo - 1, low), min(hi, low + len(row) - 1)
-        if e >= s:
-            old[s - lo + 1 : e - lo + 2] = row[s - low : e - low + 1]
-        step = np.full(hi - lo + 1, far)
-        j = np.arange(lo, hi + 1)
-        inner = j >= 1
-        step[inner] = old[:-1][inner] + (y[j[inner] - 1] != x[i - 1])
-        step = np.minimum(step, old[1:] + 1)
-        if lo == 0:
-            step[0] = min(i, far)
-        row = np.minimum(np.minimum.accumulate(step - j) + j, far)
-        low = lo
-        if row.min() > most:
-            return False
-    return bool(row[-1] <= most)
+    x, y = (np.ascontiguousarray(z).view(np.uint64)[:, 0] for z in (a, b))
+    return np.bitwise_count(x ^ y) <= MOST_BITS
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line_no) of the lines that go: every line of a group but its first occurrence."""
     lines = stored(hashed_lines(docs, least_words).where("doc_id is not null"), "lines")
-    classes = stored(lines.groupBy("key").agg(F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "line-classes")
+    classes = stored(lines.groupBy("key").agg(F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("n_words").alias("n_words")), "line-classes")
     payload = classes.select(F.col("key").alias("id"), F.unhex(F.lpad(F.hex("simhash"), 16, "0")).alias("payload"))
     signed = [m - (1 << 64) if m >> 63 else m for m in _MASKS]
     buckets = F.array(*(F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
-    members = classes.select(F.col("key").alias("id"), F.explode(buckets).alias("bucket"))
+    members = classes.where(F.col("n_words") >= FUZZY_WORDS).select(F.col("key").alias("id"), F.explode(buckets).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         at = lines.where("first_here").join(classes.select("key", "doc_id").join(keys, "key"), ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.min("line_no").alias("line_no"))
         wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted"))
-        split = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").select(F.split("text", "\n", -1).alias("parts"), "wanted")
+        texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted.select("doc_id"))
+        split = wanted.hint("merge").join(texts, "doc_id").select(F.split("text", "\n", -1).alias("parts"), "wanted")
         picked = split.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("parts", w["line_no"]).alias("line")))).alias("p")).select("p.key", "p.line").where("line is not null").dropDuplicates(["key"])
-        both = pairs.join(picked.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(picked.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
 
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = [edit_similar(normal_form(x), normal_form(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal_form(x) for x in batch.column(1).to_pylist()], pa.string())], names=["key", "line"])
+
+        picked = picked.mapInArrow(normalised, "key long, line string")
+        both = pairs.join(picked.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(picked.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
 
-        return both.mapInArrow(near, "a long, b long")
+        most = F.floor((1 - SIMILARITY) * F.greatest(F.char_length("line_a"), F.char_length("line_b")) + 1e-9).cast("int")
+        return both.withColumn("most", most).where("levenshtein(line_a, line_b, most) >= 0").select("a", "b")
 
     groups = linked_groups(members, payload, 8, _same_bits, verify, "lines")
     grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
@@ -158,12 +127,15 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines gone; adds ``n_lines`` and ``n_removed``."""
-    gone = repeated_lines(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    lines = stored(repeated_lines(docs, least_words), "repeated-lines")
+    gone = lines.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
+    maybe, others = split_by_ids(docs, lines.select("doc_id"))
+    joined = maybe.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     parts = F.split("text", "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(
+    cut = joined.select(
         *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return cut.union(others.select(*docs.columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.grouping import linked_groups
-from strandlake.llm.tables import stored
+from strandlake.llm.tables import split_by_ids, stored
 from strandlake.llm.textblocks import blocks, mix, shingle_sets
 
 BANDS, BAND_SIZE = 28, 5
@@ -107,7 +107,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int = 5)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTER_ROWS).cast("long").alias("_salts"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("_salts"))).select("a", "b", "salt")
     needed = salted.select("a", "salt", F.col("b").alias("doc_id"), F.lit(1).alias("role")).union(salted.select("a", "salt", F.col("a").alias("doc_id"), F.lit(0).alias("role")).distinct())
-    rows = needed.join(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id").select("a", "salt", "role", "doc_id", "text")
+    texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), needed.select("doc_id"))
+    rows = needed.hint("merge").join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, center = None, np.zeros(0, np.uint64)
@@ -166,5 +167,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
 
 def keep_one(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id."""
-    dropped = near_duplicates(docs, percent, shingle).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = stored(near_duplicates(docs, percent, shingle).where("not kept").select("doc_id").distinct(), "near-dropped")
+    maybe, others = split_by_ids(docs, dropped)
+    return others.union(maybe.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns))

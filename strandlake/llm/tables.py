@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,32 @@ def cut(df: DataFrame) -> DataFrame:
     """A small frame checkpointed into the shared folder; Spark's cleaner drops the files when nothing refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bits of the bitmap of ids, 2 MB whatever the number of ids.
+BITMAP_BITS = 24
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose doc_id may be among ``ids`` (one column), and rows whose doc_id is not.
+
+    A bitmap of hashed ids goes to every task, so that texts which a join would drop are not shuffled for it. It has a
+    fixed size and errs on the side of "may"; the join decides.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(F.col(ids.columns[0]).cast("long")), 64 - BITMAP_BITS)
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    placed = docs.withColumn("_place", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITMAP_BITS))
+
+    def side(inside: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == inside))
+
+        return placed.mapInArrow(keep, docs.schema)
+
+    return side(True), side(False)
