@@ -101,7 +101,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         at = lines.where("first_here").join(classes.select("key", "doc_id").join(keys, "key"), ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.min("line_no").alias("line_no"))
-        wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted"))
+        wanted = stored(at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "wanted-lines")
         texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted.select("doc_id"))
         split = wanted.hint("merge").join(texts, "doc_id").select(F.split("text", "\n", -1).alias("parts"), "wanted")
         picked = split.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("parts", w["line_no"]).alias("line")))).alias("p")).select("p.key", "p.line").where("line is not null").dropDuplicates(["key"])
