@@ -1,7 +1,8 @@
 """Connected groups of items that share buckets, without emitting all pairs of a bucket.
 
-``linked_groups`` works in two rounds. First every item is compared with the smallest member of all its buckets, one pair
-an item, and the links found are joined into components. Then only buckets whose members still belong to different components are looked at, and
+``linked_groups`` works in rounds. First every item is compared with the heaviest member of its buckets (the one that
+stands for most copies), one pair an item, and the links found are joined into components. A second round gives the items
+left one partner each from another component. Then only buckets whose members still belong to different components are looked at, and
 only pairs from different components: bucket members are dealt into bounded blocks, two blocks meet in one task, and the
 pairs that a cheap test lets through are verified. A link inside a component changes no component, so no component misses
 a link between bucket members; a bucket of many copies costs one comparison a member.
@@ -47,7 +48,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _star_pairs(multi: DataFrame, payload: DataFrame, width: int, test: Test) -> DataFrame:
-    pairs = multi.groupBy(F.col("id").alias("b")).agg(F.min("center").alias("a")).where("a <> b").select("a", "b")
+    pairs = multi.groupBy(F.col("id").alias("b")).agg(F.max_by("center", "center_weight").alias("c")).where("c <> b").select(F.col("c").alias("a"), "b")
     left, right = payload.select(F.col("id").alias("a"), F.col("payload").alias("pa")), payload.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +65,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return raw[first : first + len(column) * width].reshape(len(column), width)
 
 
-def _cross_pairs(rows: DataFrame, width: int, test: Test) -> DataFrame:
-    """Likely pairs from different components; rows: (bucket, i, j, blk, id, component, payload), a group for each bucket and pair of blocks."""
+def _cross_pairs(rows: DataFrame, width: int, test: Test, one: bool) -> DataFrame:
+    """Likely pairs from different components, or only one such partner for each item of a block (``one``); rows: (bucket, i, j, blk, id, component, payload), a group for each bucket and pair of blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, data: np.ndarray) -> pa.RecordBatch | None:
@@ -84,7 +85,11 @@ def _cross_pairs(rows: DataFrame, width: int, test: Test) -> DataFrame:
                 x, y = x[some], y[some]
                 if len(x):
                     hit = test(data[x], data[y])
-                    out.append((ids[x[hit]], ids[y[hit]]))
+                    x, y = x[hit], y[hit]
+                    if one:
+                        some = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
+                        x, y = x[some], y[some]
+                    out.append((ids[x], ids[y]))
             if out:
                 x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
                 if len(x):
@@ -114,18 +119,22 @@ def _cross_pairs(rows: DataFrame, width: int, test: Test) -> DataFrame:
 def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """``id, component`` of the items that have a verified link.
 
-    members: (bucket, id); payload: (id, payload), binary of ``width`` bytes; verify: keeps the true links of (a, b).
+    members: (bucket, id, weight); payload: (id, payload), binary of ``width`` bytes; verify: keeps the true links of (a, b).
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("_most")).where("center <> _most").drop("_most")
-    multi = stored(members.join(shared, "bucket").distinct(), f"{name}-buckets")
+    shared = members.groupBy("bucket").agg(F.max_by("id", "weight").alias("center"), F.max("weight").alias("center_weight"), F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least <> _most").drop("_least", "_most")
+    multi = stored(members.select("bucket", "id").join(shared, "bucket").distinct(), f"{name}-buckets")
     first = stored(verify(stored(_star_pairs(multi, payload, width, test), f"{name}-pairs")), f"{name}-links")
     groups = cut(connected_components(first))
-    labelled = multi.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
-    open_ = labelled.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    dealt = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
-    rows = dealt.join(payload, "id").select("bucket", "i", "j", "blk", "id", "component", "payload")
-    second = stored(verify(stored(_cross_pairs(rows, width, test), f"{name}-pairs2")), f"{name}-links2")
-    if second.isEmpty():
-        return groups
-    return cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second.select("a", "b"))))
+    for one in (True, False):
+        labelled = multi.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
+        open_ = labelled.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+        dealt = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
+        rows = dealt.join(payload, "id").select("bucket", "i", "j", "blk", "id", "component", "payload")
+        pairs = stored(_cross_pairs(rows, width, test, one), f"{name}-pairs2")
+        if pairs.isEmpty():
+            break  # no bucket has likely partners left in different components
+        more = stored(verify(pairs), f"{name}-links2")
+        if not more.isEmpty():
+            groups = cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))))
+    return groups

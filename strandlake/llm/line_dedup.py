@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     payload = classes.select(F.col("key").alias("id"), F.unhex(F.lpad(F.hex("simhash"), 16, "0")).alias("payload"))
     signed = [m - (1 << 64) if m >> 63 else m for m in _MASKS]
     buckets = F.array(*(F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
-    members = classes.where(F.col("n_words") >= FUZZY_WORDS).select(F.col("key").alias("id"), F.explode(buckets).alias("bucket"))
+    members = classes.where(F.col("n_words") >= FUZZY_WORDS).select(F.col("key").alias("id"), F.col("n").alias("weight"), F.explode(buckets).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()

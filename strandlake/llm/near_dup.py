@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     sketch = table.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", *same])
     # rows that share a doc_id and differ in text keep a sketch each; they meet in the member table
     payload = sketch.groupBy("doc_id").agg(F.first("payload").alias("_p"), F.first("n_shingles").alias("_n")).select(F.col("doc_id").alias("id"), F.concat(F.unhex(F.lpad(F.hex("_n"), 16, "0")), "_p").alias("payload"))
-    members = sketch.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    copies = member.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("weight"))
+    members = sketch.join(copies, "doc_id").select(F.col("doc_id").alias("id"), "weight", F.explode("bands").alias("bucket"))
     error = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     least = percent / 100 - SLACK * error
 
