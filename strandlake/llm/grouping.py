@@ -1,8 +1,8 @@
 """Connected groups of items that share buckets, without emitting all pairs of a bucket.
 
 ``linked_groups`` works in rounds. First every item is compared with the heaviest member of its buckets (the one that
-stands for most copies), one pair an item, and the links found are joined into components. A second round gives the items
-left one partner each from another component. Then only buckets whose members still belong to different components are looked at, and
+stands for most copies), one pair an item, and the links found are joined into components. Two more rounds give each item
+one likely partner from another component. Then only buckets whose members still belong to different components are looked at, and
 only pairs from different components: bucket members are dealt into bounded blocks, two blocks meet in one task, and the
 pairs that a cheap test lets through are verified. A link inside a component changes no component, so no component misses
 a link between bucket members; a bucket of many copies costs one comparison a member.
@@ -125,13 +125,17 @@ def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test
     multi = stored(members.select("bucket", "id").join(shared, "bucket").distinct(), f"{name}-buckets")
     first = stored(verify(stored(_star_pairs(multi, payload, width, test), f"{name}-pairs")), f"{name}-links")
     groups = cut(connected_components(first))
-    for one in (True, False):
+    for step, one in enumerate((True, True, False)):
         labelled = multi.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
         open_ = labelled.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
         dealt = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
         rows = dealt.join(payload, "id").select("bucket", "i", "j", "blk", "id", "component", "payload")
         pairs = stored(_cross_pairs(rows, width, test, one), f"{name}-pairs2")
+        if one:
+            both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*")
+            partner = both.groupBy("x").agg(F.min_by("y", F.xxhash64("y", F.lit(step))).alias("y"))
+            pairs = stored(partner.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-partners")
         if pairs.isEmpty():
             break  # no bucket has likely partners left in different components
         more = stored(verify(pairs), f"{name}-links2")

@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication.
 
-Lines are normalised (case, digits, punctuation and spacing), hashed for equality and given a 64-bit SimHash of their word
-features, each weighted by its length. Lines of equal normal form are one class. Two SimHashes that differ in three bits at most agree in two of five
+Lines are normalised (case, digits, punctuation and spacing), hashed for equality and given a 64-bit SimHash of their distinct
+words, each weighted by its length. Lines of equal normal form are one class. Two SimHashes that differ in three bits at most agree in two of five
 blocks, so each class is put under the ten pairs of blocks; classes that meet there and differ in three bits at most are
 verified by edit similarity (1 - distance / longer length) of their normal forms, and of each connected group one occurrence stays: the first line, by doc_id and line number.
 
@@ -57,11 +57,16 @@ def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     place = np.arange(len(line)) - np.repeat(edge, size)
     key = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), edge) + size.astype(np.uint64))
     # longer words are rarer, so they count for more; the few common ones would give all lines the same bits
-    weight = np.clip(ends - at - 2, 0, 12).astype(np.int32) * 8 + 1
-    bits = np.zeros(len(edge), np.uint64)
-    for k in range(64):
-        votes = np.add.reduceat(np.where((hashes >> np.uint64(k)) & np.uint64(1), weight, -weight), edge)
-        bits |= (votes > 0).astype(np.uint64) << np.uint64(k)
+    weight = (np.clip(ends - at - 2, 0, 12) * 8 + 1).astype(np.uint8)
+    # a repeated word counts once, or it would decide the bits of the line alone; 32 bits of a hash tell the words of a line apart
+    order = np.argsort((line.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+    line_of, feature, weight = line[order], hashes[order], weight[order]
+    new = np.concatenate([[True], (line_of[1:] != line_of[:-1]) | (feature[1:] >> np.uint64(32) != feature[:-1] >> np.uint64(32))])
+    line_of, feature, weight = line_of[new], feature[new], weight[new]
+    first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
+    ones = np.unpackbits(feature.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * weight[:, None]
+    votes, most = np.add.reduceat(ones, first, axis=0, dtype=np.int32), np.add.reduceat(weight, first, dtype=np.int32)
+    bits = np.packbits(2 * votes > most[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     which = line[edge]
     first_line = np.searchsorted(line_rows, np.arange(block.rows))
     return line_rows[which], which - first_line[line_rows[which]], key, bits, size
