@@ -44,6 +44,37 @@ def normal_form(line: str) -> str:
     return b" ".join(line.encode().translate(_TABLE).split()).decode()
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance; the differences down a column of the table are bits of two integers, so a column is a few operations."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for c in b:
+        equal = places.get(c, 0)
+        level = ((((equal & up) + up) ^ up) | equal | down) & every
+        gain, loss = down | (every ^ (level | up)), up & level
+        distance += (gain >> last) - (loss >> last)
+        gain, loss = (gain << 1 | 1) & every, (loss << 1) & every
+        up, down = loss | (every ^ (level | gain)), gain & level
+    return distance
+
+
+def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length reaches ``similarity``."""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    words_a, words_b = a.split(" "), b.split(" ")
+    # replacing the words that differ place by place is one way to edit, so the distance is no more than that
+    if len(words_a) == len(words_b) and sum(max(len(x), len(y)) for x, y in zip(words_a, words_b, strict=True) if x != y) <= most:
+        return True
+    return edits(a, b) <= most
+
+
 def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, line number, class key, SimHash and word count of the lines of a block that have a word."""
     folded = Block(block.first, _FOLD[block.data], block.offsets)
@@ -118,8 +149,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
         picked = picked.mapInArrow(normalised, "key long, line string")
         both = pairs.join(picked.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(picked.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
 
-        most = F.floor((1 - SIMILARITY) * F.greatest(F.char_length("line_a"), F.char_length("line_b")) + 1e-9).cast("int")
-        return both.withColumn("most", most).where("levenshtein(line_a, line_b, most) >= 0").select("a", "b")
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = [similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+        return both.mapInArrow(alike, "a long, b long")
 
     groups = linked_groups(members, payload, 8, _same_bits, verify, "lines")
     grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))

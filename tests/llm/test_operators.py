@@ -253,3 +253,25 @@ def test_decontamination(spark, docs, rows, literal):
     for r in found:
         n_words, n_hit, n_items, sha, _ = B.contamination_row(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, len(r.items), B.sha(",".join(r["items"]))) == (n_words, n_hit, n_items, sha)
+
+
+def test_edit_similarity():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choices("ab é", k=rng.randint(0, 40)))
+        b = "".join(rng.choices("ab é", k=rng.randint(0, 40))) if rng.random() < 0.3 else "".join(c if rng.random() < 0.9 else rng.choice(["", "b", "é "]) for c in a)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert line_dedup.edits(a, b) == row[-1]
+        assert line_dedup.similar(a, b) == (row[-1] <= int(0.1 * max(len(a), len(b)) + 1e-9))
+
+
+def test_repeated_words_do_not_swamp_a_line(spark):
+    """Lines that differ in all but one word, repeated hundreds of times, get fingerprints of their own."""
+    rng = random.Random(9)
+    text = "\n".join(" ".join(["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(12)] + ["again"] * 300) for _ in range(40))
+    lines = line_dedup.hashed_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len({r.simhash for r in lines}) == 40
