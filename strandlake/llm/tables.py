@@ -5,7 +5,6 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +64,12 @@ def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    placed = docs.withColumn("_place", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITMAP_BITS))
 
-    def side(inside: bool) -> DataFrame:
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == inside))
+    @F.arrow_udf("boolean")
+    def may_hold(at: pa.Array) -> pa.Array:
+        at = at.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-        return placed.mapInArrow(keep, docs.schema)
-
-    return side(True), side(False)
+    # only the places go to Python; the texts stay in the JVM
+    maybe = may_hold(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITMAP_BITS))
+    return docs.where(maybe), docs.where(~maybe)
