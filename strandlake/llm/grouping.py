@@ -1,7 +1,7 @@
 """Connected groups of items that share buckets, without emitting all pairs of a bucket.
 
 ``linked_groups`` works in rounds. First every item is compared with the heaviest member of its buckets (the one that
-stands for most copies), one pair an item, and the links found are joined into components. Two more rounds give each item
+stands for most copies), one pair an item, and the links found are joined into components. ``partner_rounds`` more rounds give each item
 one likely partner from another component. Then only buckets whose members still belong to different components are looked at, and
 only pairs from different components: bucket members are dealt into bounded blocks, two blocks meet in one task, and the
 pairs that a cheap test lets through are verified. A link inside a component changes no component, so no component misses
@@ -116,7 +116,7 @@ def _cross_pairs(rows: DataFrame, width: int, test: Test, one: bool) -> DataFram
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test, verify: Callable[[DataFrame], DataFrame], name: str, partner_rounds: int = 1) -> DataFrame:
     """``id, component`` of the items that have a verified link.
 
     members: (bucket, id, weight); payload: (id, payload), binary of ``width`` bytes; verify: keeps the true links of (a, b).
@@ -125,7 +125,7 @@ def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test
     multi = stored(members.select("bucket", "id").join(shared, "bucket").distinct(), f"{name}-buckets")
     first = stored(verify(stored(_star_pairs(multi, payload, width, test), f"{name}-pairs")), f"{name}-links")
     groups = cut(connected_components(first))
-    for step, one in enumerate((True, True, False)):
+    for step, one in enumerate([True] * partner_rounds + [False]):
         labelled = multi.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
         open_ = labelled.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))

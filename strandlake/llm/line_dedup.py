@@ -156,7 +156,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
         return both.mapInArrow(alike, "a long, b long")
 
-    groups = linked_groups(members, payload, 8, _same_bits, verify, "lines")
+    groups = linked_groups(members, payload, 8, _same_bits, verify, "lines", partner_rounds=2)
     grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
     fuzzy = grouped.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("keeper"))
     owner = grouped.where("n > 1 or component is not null").join(fuzzy, "group", "left").select("key", "group", F.coalesce("keeper", "doc_id").alias("keeper"))
