@@ -1,9 +1,13 @@
 """Fuzzy line de-duplication.
 
-Lines are normalised (case, digits, punctuation and spacing), hashed for equality and given a 64-bit SimHash of their distinct
-words, each weighted by its length. Lines of equal normal form are one class. Two SimHashes that differ in three bits at most agree in two of five
-blocks, so each class is put under the ten pairs of blocks; classes that meet there and differ in three bits at most are
-verified by edit similarity (1 - distance / longer length) of their normal forms, and of each connected group one occurrence stays: the first line, by doc_id and line number.
+Lines are normalised (case, digits, punctuation and spacing) and hashed for equality. Lines of equal normal form are one class.
+A class is put under ``BANDS`` buckets of ``BAND_ROWS`` MinHashes each over the runs of ``GRAM`` bytes of its normal form, of which
+one edit changes few at any length of line, and under one of the SimHash of its words. A run counts with its zone of ``ZONE``
+bytes and its number among equal ones there, so that what is repeated weighs as much as it is long. Classes that share a bucket
+are tested by the length and the count of each letter, which bound the edit distance from below, so the test drops no link;
+the others are verified by edit similarity (1 - distance / longer length) of their normal forms, and of each connected group
+one occurrence stays: the first line, by doc_id and line number. A linked pair misses all buckets with a chance that falls
+with its similarity; the README has it as measured.
 
 Cases: lines under ``least_words`` words always stay. A null text stays null. Rows with a null doc_id stay as they are.
 Rows that share a doc_id are read as one document's lines, each with its own numbers. An empty table gives none.
@@ -12,7 +16,6 @@ Rows that share a doc_id are read as one document's lines, each with its own num
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,20 @@ from strandlake.llm.tables import split_by_ids, stored
 from strandlake.llm.textblocks import Block, blocks, mix
 
 LEAST_WORDS = 5
-#: Lines of fewer words have too few features for a SimHash; they are matched by their normal form.
-FUZZY_WORDS = 8
-MOST_BITS = 3
 SIMILARITY = 0.9
-_CUTS = (0, 13, 26, 39, 52, 64)
-_MASKS = [sum(((1 << (_CUTS[k + 1] - _CUTS[k])) - 1) << _CUTS[k] for k in two) for two in combinations(range(5), 2)]
-LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("simhash", pa.int64()), ("n_words", pa.int32()), ("first_here", pa.bool_())])
+GRAM, ZONE, BANDS, BAND_ROWS = 4, 128, 20, 4
+_FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+_FACTORS |= np.uint32(1)
+#: The counts that a class is tested by: of each letter, of 0, of spaces, and of other characters by the parity of their first byte.
+COUNTS = 30
+_COUNTED = np.full(256, COUNTS, np.int64)
+_COUNTED[:128] = COUNTS - 2 + np.arange(128) % 2
+_COUNTED[192:] = COUNTS - 2 + np.arange(192, 256) % 2
+_COUNTED[97:123] = np.arange(26)
+_COUNTED[ord("0")], _COUNTED[32] = 26, 27
+#: Two bytes of length and the counts.
+SKETCH = 2 + COUNTS
+LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("simhash", pa.int64()), ("bands", pa.list_(pa.int32())), ("sketch", pa.binary()), ("first_here", pa.bool_())])
 
 #: A-Z and digits fold, ASCII punctuation and controls become spaces; every other byte stays.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -75,14 +85,63 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edits(a, b) <= most
 
 
-def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line number, class key, SimHash and word count of the lines of a block that have a word."""
+def _sketches(data: np.ndarray, at: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands and the length and counts of lines, given their words (starts, ends) and the first word of each."""
+    if not len(edge):
+        return np.zeros((0, BANDS), np.int32), np.zeros((0, SKETCH), np.uint8)
+    # each line as its words with a space behind each, and GRAM - 1 spaces before the first, so that any line has a run
+    lead = np.zeros(len(at), np.int64)
+    lead[edge] = GRAM - 1
+    size = ends - at + 1 + lead
+    stop = np.cumsum(size)
+    source = np.arange(stop[-1]) + np.repeat(at - lead - (stop - size), size)
+    text = data[np.clip(source, 0, len(data) - 1)]
+    text[stop - 1] = 32
+    for k in range(GRAM - 1):
+        text[(stop - size)[edge] + k] = 32
+    start = (stop - size)[edge]
+    length = np.diff(np.append(start, len(text)))
+    line = np.repeat(np.arange(len(edge), dtype=np.uint64), length)
+
+    kind = _COUNTED[text]
+    counts = np.bincount(line.astype(np.int64) * (COUNTS + 1) + kind, minlength=len(edge) * (COUNTS + 1)).reshape(len(edge), COUNTS + 1)[:, :COUNTS]
+    counts[:, 27] -= GRAM  # the spaces put before and behind
+    chars = np.minimum(counts.sum(1), 0xFFFF).astype("<u2")
+    sketch = np.hstack([chars.view(np.uint8).reshape(-1, 2), np.minimum(counts, 255).astype(np.uint8)])
+
+    place = np.arange(len(text)) - np.repeat(start, length)
+    whole = place <= np.repeat(length, length) - GRAM
+    gram = np.zeros(len(text), np.uint64)
+    for k in range(GRAM):
+        gram[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
+    feature = mix(gram ^ mix((place // ZONE).astype(np.uint64)))[whole]
+    line = line[whole]
+    # the number of a run among equal ones of its line and zone; 40 bits of a hash tell them apart
+    sorted_ = line << np.uint64(40) | feature >> np.uint64(24)
+    order = np.argsort(sorted_, kind="stable")
+    sorted_ = sorted_[order]
+    new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    again = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+    value = (mix(feature[order] + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    first = np.searchsorted(line, np.arange(len(edge), dtype=np.uint64))
+    bands, work = np.zeros((BANDS, len(edge)), np.uint64), np.empty_like(value)
+    for k in range(BANDS * BAND_ROWS):
+        np.bitwise_xor(value, _FLIPS[k], out=work)
+        np.multiply(work, _FACTORS[k], out=work)
+        bands[k // BAND_ROWS] = mix(bands[k // BAND_ROWS] + np.minimum.reduceat(work, first) + np.uint64(k))
+    return (bands >> np.uint64(32)).astype(np.uint32).view(np.int32).T, sketch
+
+
+def _line_hashes(block: Block, least_words: int) -> tuple[np.ndarray, ...]:
+    """Row, line number, class key, SimHash, bands and sketch of the lines of a block that have ``least_words`` words, and one at least."""
     folded = Block(block.first, _FOLD[block.data], block.offsets)
     starts, _, line_rows, _ = folded.lines()
     at, ends, _, hashes = folded.words()
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 5
     line = np.searchsorted(starts, at, side="right") - 1
+    enough = np.bincount(line, minlength=len(starts))[line] >= least_words
+    at, ends, hashes, line = at[enough], ends[enough], hashes[enough], line[enough]
+    if not len(at):
+        return (*(np.zeros(0, np.int64),) * 4, *_sketches(folded.data, at, ends, at))
     edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     size = np.diff(np.append(edge, len(line)))
     place = np.arange(len(line)) - np.repeat(edge, size)
@@ -100,39 +159,41 @@ def _line_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     bits = np.packbits(2 * votes > most[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     which = line[edge]
     first_line = np.searchsorted(line_rows, np.arange(block.rows))
-    return line_rows[which], which - first_line[line_rows[which]], key, bits, size
+    return line_rows[which], which - first_line[line_rows[which]], key, bits, *_sketches(folded.data, at, ends, edge)
 
 
 def hashed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line_no (from 0), key, simhash and whether the line is the row's first of its key; lines of ``least_words`` words or more."""
+    """doc_id, line_no (from 0), key, simhash, bands, sketch and whether the line is the row's first of its key; lines of ``least_words`` words or more."""
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                rows, number, key, bits, size = _line_hashes(block)
-                rows, number, key, bits, size = (x[size >= least_words] for x in (rows, number, key, bits, size))
+                rows, number, key, bits, bands, sketch = _line_hashes(block, least_words)
                 first = np.zeros(len(key), bool)
                 if len(key):
                     first[np.unique(mix(key ^ mix(rows.astype(np.uint64))), return_index=True)[1]] = True
+                columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands).ravel())), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(key), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())]
                 ids = batch.column(0).slice(block.first, block.rows).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(first)], schema=LINES)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), *columns, pa.array(first)], schema=LINES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, simhash long, n_words int, first_here boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, simhash long, bands array<int>, sketch binary, first_here boolean")
 
 
-def _same_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = (np.ascontiguousarray(z).view(np.uint64)[:, 0] for z in (a, b))
-    return np.bitwise_count(x ^ y) <= MOST_BITS
+def _may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where lengths and counts show more edits than a link has; an edit adds one character at most and takes one away."""
+    size = np.maximum(*(np.ascontiguousarray(z[:, :2]).view("<u2")[:, 0].astype(np.int64) for z in (a, b)))
+    more = a[:, 2:].astype(np.int16) - b[:, 2:]
+    edits_ = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+    return (edits_ <= ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)) | (size == 0xFFFF)
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line_no) of the lines that go: every line of a group but its first occurrence."""
     lines = stored(hashed_lines(docs, least_words).where("doc_id is not null"), "lines")
-    classes = stored(lines.groupBy("key").agg(F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("n_words").alias("n_words")), "line-classes")
-    payload = classes.select(F.col("key").alias("id"), F.unhex(F.lpad(F.hex("simhash"), 16, "0")).alias("payload"))
-    signed = [m - (1 << 64) if m >> 63 else m for m in _MASKS]
-    buckets = F.array(*(F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
-    members = classes.where(F.col("n_words") >= FUZZY_WORDS).select(F.col("key").alias("id"), F.col("n").alias("weight"), F.explode(buckets).alias("bucket"))
+    classes = stored(lines.groupBy("key").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "line-classes")
+    payload = classes.select(F.col("key").alias("id"), F.col("sketch").alias("payload"))
+    buckets = F.concat(F.transform("bands", lambda b, k: F.xxhash64(k, b)), F.array(F.xxhash64(F.lit(BANDS), "simhash")))
+    members = classes.select(F.col("key").alias("id"), F.col("n").alias("weight"), F.explode(buckets).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -156,7 +217,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
         return both.mapInArrow(alike, "a long, b long")
 
-    groups = linked_groups(members, payload, 8, _same_bits, verify, "lines", partner_rounds=2)
+    groups = linked_groups(members, payload, SKETCH, _may_be_similar, verify, "lines", partner_rounds=2)
     grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
     fuzzy = grouped.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("keeper"))
     owner = grouped.where("n > 1 or component is not null").join(fuzzy, "group", "left").select("key", "group", F.coalesce("keeper", "doc_id").alias("keeper"))

@@ -275,3 +275,39 @@ def test_repeated_words_do_not_swamp_a_line(spark):
     text = "\n".join(" ".join(["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(12)] + ["again"] * 300) for _ in range(40))
     lines = line_dedup.hashed_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert len({r.simhash for r in lines}) == 40
+
+
+@pytest.mark.parametrize("size", [5, 10, 20, 50])
+def test_lines_with_one_typo_meet(spark, size):
+    """Lines with one letter changed, put in or left out are dropped wherever brute-force edit similarity links them."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(4, 9)))
+    pairs = []
+    for k in range(150):
+        line = " ".join(word() for _ in range(size))
+        at = rng.choice([i for i, c in enumerate(line) if c != " "])
+        pairs.append((line, line[:at] + ["z", "", "z" + line[at]][k % 3] + line[at + 1 :]))
+    text = "\n".join(x for p in pairs for x in p)
+    want = {2 * k + 1 for k, (a, b) in enumerate(pairs) if line_dedup.edits(a, b) <= 0.1 * max(len(a), len(b))}
+    gone = {r.line_no for r in line_dedup.repeated_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert len(want) == 150 and gone <= want and len(gone) >= 149
+
+
+def test_line_counts_drop_no_link():
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        line = "".join(rng.choices("abé ü0€𝄞xyz", k=rng.randint(9, 400)))
+        other = list(line)
+        for _ in range(rng.randint(0, len(line) // 8)):
+            other[rng.randrange(len(other))] = rng.choice(["", "q", "é", "ab"])
+        texts += [line, "".join(other)]
+    import pyarrow as pa
+
+    (block,) = line_dedup.blocks(pa.array(texts))
+    rows, *_, sketch = line_dedup._line_hashes(block, 1)
+    at = {int(r): s for r, s in zip(rows, sketch, strict=True)}
+    pairs = [(k, k + 1) for k in range(0, len(texts), 2) if k in at and k + 1 in at]
+    may = line_dedup._may_be_similar(np.stack([at[a] for a, _ in pairs]), np.stack([at[b] for _, b in pairs]))
+    links = np.array([line_dedup.similar(line_dedup.normal_form(texts[a]), line_dedup.normal_form(texts[b])) for a, b in pairs])
+    assert links.any() and not links.all() and may[links].all()
