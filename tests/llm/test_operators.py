@@ -311,3 +311,12 @@ def test_line_counts_drop_no_link():
     may = line_dedup._may_be_similar(np.stack([at[a] for a, _ in pairs]), np.stack([at[b] for _, b in pairs]))
     links = np.array([line_dedup.similar(line_dedup.normal_form(texts[a]), line_dedup.normal_form(texts[b])) for a, b in pairs])
     assert links.any() and not links.all() and may[links].all()
+
+
+def test_lines_with_a_long_common_tail_are_one_group(spark):
+    """Twelve words of their own and 300 times one word: edit similarity near 0.95, so one line stays."""
+    rng = random.Random(9)
+    text = "\n".join(" ".join(["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(12)] + ["again"] * 300) for _ in range(40))
+    assert line_dedup.similar(*text.split("\n")[:2])
+    gone = line_dedup.repeated_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r.line_no for r in gone) == list(range(1, 40))
