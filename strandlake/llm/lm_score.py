@@ -6,8 +6,7 @@ bounded number) go to every task; what else a document holds is joined.
 Model: a causal self-attention layer in numpy over classes of subword ids, times the chance of an id in its class. The
 frequent ids are classes of their own; the others share classes of about equal mass. Class counts come from all training
 documents. The layer's weights start from a bounded sample and are then trained where the data lie: every stored part
-trains on one in ``TRAIN_EVERY`` of its training windows and the weights are averaged by Spark, so what is gathered grows
-with the corpus. Texts are scored in overlapping windows, each token once, many windows at a time.
+trains on all of its training windows and the weights are averaged by Spark. Texts are scored in overlapping windows, each token once, many windows at a time.
 
 Cases: a null text is empty and has its end alone. A null doc_id counts as training. Repeated rows come back each. Without
 training documents all counts are 0. An empty table gives none.
@@ -35,8 +34,10 @@ START = CLASSES  # what stands before a text
 WIDTH, WINDOW, OVERLAP = 16, 32, 8
 STEP = WINDOW - OVERLAP
 BATCH = 256
-#: Bounds: words that go to every task, documents and steps of the first fit, and the share of windows of the second.
-HEAD_WORDS, FIRST_DOCS, FIRST_STEPS, TRAIN_EVERY = 300_000, 400, 300, 64
+#: Bounds: words that go to every task, documents and steps of the first fit.
+HEAD_WORDS, FIRST_DOCS, FIRST_STEPS = 300_000, 400, 300
+#: Documents whose windows are shuffled together in the second fit.
+TRAIN_DOCS = 256
 END_WORD = np.uint64(0xE17A_0E17_A0E1_7A0E)
 TEXTS = "doc_id long, held_out boolean, text string, ids binary, word long, times long"
 
@@ -235,6 +236,21 @@ def _id_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def trained_part(layer: Layer, classes: IdClasses, columns: Iterator[pa.Array]) -> int:
+    """Trains on every window of the ids in ``columns``; the number of steps."""
+    rng, state, t = np.random.default_rng(3), {}, 0
+    for column in columns:
+        for first in range(0, len(column), TRAIN_DOCS):
+            flat, bounds = _with_end(column.slice(first, TRAIN_DOCS))
+            inputs, targets, _, _ = class_windows(classes.of[flat], bounds)
+            order = rng.permutation(len(inputs))
+            for k in range(0, len(order), 64):
+                t += 1
+                some = order[k : k + 64]
+                layer.train_step(inputs[some], targets[some], state, t, 0.003)
+    return t
+
+
 def train(texts: DataFrame) -> tuple[Layer, IdClasses]:
     """Class counts over all training texts, a first fit on a bounded sample, and a second one averaged over all parts."""
     classes = IdClasses.counted(_id_counts(texts))
@@ -247,15 +263,8 @@ def train(texts: DataFrame) -> tuple[Layer, IdClasses]:
     start = fitted(Layer.new(), inputs, targets, FIRST_STEPS, 0.02).flat()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layer, state, t = Layer.of(start), {}, 0
-        for batch in batches:
-            flat, bounds = _with_end(batch.column(0))
-            inputs, targets, _, at = class_windows(classes.of[flat], bounds)
-            some = np.arange(len(inputs)) % TRAIN_EVERY == 0
-            inputs, targets = inputs[some], targets[some]
-            for k in range(0, len(inputs), 64):
-                t += 1
-                layer.train_step(inputs[k : k + 64], targets[k : k + 64], state, t, 0.003)
+        layer = Layer.of(start)
+        t = trained_part(layer, classes, (batch.column(0) for batch in batches))
         if t:
             w = layer.flat().astype(np.float64) * t
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), t))], names=["place", "weighted", "steps"])

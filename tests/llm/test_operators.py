@@ -320,3 +320,19 @@ def test_lines_with_a_long_common_tail_are_one_group(spark):
     assert line_dedup.similar(*text.split("\n")[:2])
     gone = line_dedup.repeated_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert sorted(r.line_no for r in gone) == list(range(1, 40))
+
+
+def test_lm_trains_on_every_window(monkeypatch):
+    """Each token of the training texts is a target of the second fit once."""
+    import pyarrow as pa
+
+    rng, seen = np.random.default_rng(2), []
+    texts = [rng.integers(0, 500, n).astype("<u2") for n in (0, 1, 40, 700, 9000, *[30] * 300)]
+    classes = lm_score.IdClasses.counted(np.bincount(np.concatenate(texts), minlength=lm_score.N_IDS))
+    monkeypatch.setattr(lm_score.Layer, "train_step", lambda self, c, targets, *a: seen.append(targets.copy()))
+    column = pa.array([t.tobytes() for t in texts], pa.binary())
+    steps = lm_score.trained_part(lm_score.Layer.new(), classes, iter([column.slice(0, 100), column.slice(100)]))
+    found = np.concatenate([t.ravel() for t in seen])
+    want = np.concatenate([classes.of[[*t, lm_score.END]] for t in texts])
+    assert steps == len(seen)
+    assert np.array_equal(np.bincount(found[found >= 0], minlength=lm_score.CLASSES), np.bincount(want, minlength=lm_score.CLASSES))
