@@ -2,7 +2,7 @@
 
 Phrases are counted where their words stand consecutively. Notices are templates of distinct words. A block of a document
 (a line, or the lines between two blank ones) matches a template if it holds at least ``CONTAINMENT`` of the template's
-words and has at most ``MOST_TIMES`` as many words. Template words are ordered by how many documents hold them, the rarest
+words, however long it is. Template words are ordered by how many documents hold them, the rarest
 first: a matching block must hold one of the first |T| - need + 1, so blocks are joined with the templates on those words,
 then cut by length and by the position of the shared word, and verified on the whole sets. Templates are a parameter of
 bounded size and are broadcast.
@@ -37,7 +37,7 @@ TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
-CONTAINMENT, MOST_TIMES = 0.8, 4
+CONTAINMENT = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -112,7 +112,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, containme
     each = base.withColumn("block", F.explode_outer(blocks)).drop("t").withColumn("rank", F.explode_outer(F.array_intersect("block.held", F.array(*map(F.lit, prefix)))))
     joined = each.join(F.broadcast(index), "rank", "left")
     shared_ahead = F.size(F.filter("block.held", lambda r: r >= F.col("rank")))
-    possible = F.col("template").isNotNull() & (F.col("block.size") >= F.col("need")) & (F.col("block.size") <= MOST_TIMES * F.size("words"))
+    possible = F.col("template").isNotNull() & (F.col("block.size") >= F.col("need"))
     possible = possible & (F.col("place") + F.least(F.size("words") - F.col("place"), shared_ahead) >= F.col("need"))
     both = F.when(possible, F.size(F.array_intersect("block.held", "words")))
     hit = F.when(both >= F.col("need"), F.struct("template", (both / F.size("words")).alias("share")))

@@ -336,3 +336,16 @@ def test_lm_trains_on_every_window(monkeypatch):
     want = np.concatenate([classes.of[[*t, lm_score.END]] for t in texts])
     assert steps == len(seen)
     assert np.array_equal(np.bincount(found[found >= 0], minlength=lm_score.CLASSES), np.bincount(want, minlength=lm_score.CLASSES))
+
+
+def test_license_notice_in_a_long_block(spark):
+    """Blocks of any length, against a brute force without a bound on their words."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    texts = [f"{prose(n)} {t} {prose(n)}" + tail for n in (0, 15, 400) for t in license_scan.TEMPLATES.values() for tail in ("", "\nmore\n\n" + prose(5))]
+    sets = {k: set(license_scan.template_words(t)) for k, t in license_scan.TEMPLATES.items()}
+    for r in license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text = texts[r.doc_id].translate(B.LOWER)
+        blocks = [set(B.PLAIN.findall(b)) for b in (*text.split("\n"), *text.split("\n\n"))]
+        want = {k for k, s in sets.items() if any(len(s & w) >= 0.8 * len(s) - 1e-9 for w in blocks)}
+        assert want and {f.template for f in r.found} == want
