@@ -349,3 +349,14 @@ def test_license_notice_in_a_long_block(spark):
         blocks = [set(B.PLAIN.findall(b)) for b in (*text.split("\n"), *text.split("\n\n"))]
         want = {k for k, s in sets.items() if any(len(s & w) >= 0.8 * len(s) - 1e-9 for w in blocks)}
         assert want and {f.template for f in r.found} == want
+
+
+def test_pipeline_drops_near_copies_from_eight_tenths(spark):
+    """Two texts with 176 of 216 word shingles in common."""
+    import corpus_pipeline
+
+    words = [f"word{k}" for k in range(200)]
+    other = [f"other{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words)]
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words, other))]
+    kept = corpus_pipeline.near_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert [r.doc_id for r in kept.collect()] == [0]
