@@ -1,4 +1,4 @@
-"""Exact and near matching of sequences: k-mer joins, containment, duplicates, greedy clusters."""
+"""Exact and near matching of sequences: k-mer joins, containment, duplicates."""
 
 from __future__ import annotations
 
