@@ -1,31 +1,73 @@
 """Connected groups of items that share buckets, without emitting all pairs of a bucket.
 
-``linked_groups`` works in rounds. First every item is compared with the heaviest member of its buckets (the one that
-stands for most copies), one pair an item, and the links found are joined into components. ``partner_rounds`` more rounds give each item
-one likely partner from another component. Then only buckets whose members still belong to different components are looked at, and
-only pairs from different components: bucket members are dealt into bounded blocks, two blocks meet in one task, and the
-pairs that a cheap test lets through are verified. A link inside a component changes no component, so no component misses
-a link between bucket members; a bucket of many copies costs one comparison a member.
+First every item is compared with the heaviest member of its buckets (the one that stands for most copies), one pair an
+item, and the links found are joined into components. Then only buckets whose members still belong to different components
+are looked at, one of those that have the same members, and in them only pairs from different components: members are dealt into
+blocks of bounded size, two blocks meet in one task with all that is needed to decide there, and a task returns links that
+span what it has joined, fewer than it has members. A link inside a component changes no component, so no component misses
+a link between bucket members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.tables import cut, stored
+from strandlake.llm.tables import cut, may_be_in, stored
 
-#: Members of a block; two blocks are compared in one step.
-BLOCK = 256
-#: Pairs that are tested at once.
-MOST_TESTS = 20_000
+#: Members and bytes of a block; two blocks are compared in one step.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Bits of the bitmap of shared buckets, 8 MB.
+BUCKET_BITS = 26
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Given the payloads of two equally long arrays of items, which pairs may be links.
-Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Given the payloads of two equally long columns, which pairs are links.
+PairTest = Callable[[pa.Array, pa.Array], np.ndarray]
+#: Bits of a bucket that number its band, so that two items are compared in one of the buckets they share.
+BAND_BITS = 5
+
+
+def numbered(keys: np.ndarray, band: int) -> np.ndarray:
+    """Bucket keys with the band's number in the lowest bits."""
+    return keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(band)
+
+
+@dataclass
+class Group:
+    """Members of two blocks of a bucket, or of one: their payloads and components, the places of both blocks, and the open buckets of each member by band."""
+
+    payload: pa.Array
+    component: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    bucket: int
+    open_: np.ndarray
+
+    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of different components, about ``most`` at once."""
+        step = max(1, most // len(self.right))
+        for at in range(0, len(self.left), step):
+            x, y = (m.ravel() for m in np.meshgrid(self.left[at : at + step], self.right, indexing="ij"))
+            some = self.component[x] != self.component[y]
+            if self.left[0] == self.right[0]:
+                some &= x < y
+            yield x[some], y[some]
+
+    def fresh(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether this is the first of the open buckets that a pair shares."""
+        out = np.zeros(len(x), bool)
+        for k in range(0, len(x), 20_000):
+            a, b = self.open_[x[k : k + 20_000]], self.open_[y[k : k + 20_000]]
+            out[k : k + 20_000] = ~((a == b) & (a < self.bucket)).any(1)
+        return out
+
+
+#: Given a group, links of it as two arrays of places.
+BlockTest = Callable[[Group], tuple[np.ndarray, np.ndarray]]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -47,98 +89,115 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _star_pairs(multi: DataFrame, payload: DataFrame, width: int, test: Test) -> DataFrame:
-    pairs = multi.groupBy(F.col("id").alias("b")).agg(F.max_by("center", "center_weight").alias("c")).where("c <> b").select(F.col("c").alias("a"), "b")
+class Joined:
+    """Components under union, by their labels."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while x != top:
+            self.up[x], x = top, self.up.get(x, x)
+        return top
+
+    def union(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def spanning(x: np.ndarray, y: np.ndarray, comps: np.ndarray, joined: Joined) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (x, y) that join what the ones before them left apart."""
+    some = np.array([joined.union(a, b) for a, b in zip(comps[x].tolist(), comps[y].tolist(), strict=True)], bool)
+    return x[some], y[some]
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _star_links(multi: DataFrame, weights: DataFrame, payload: DataFrame, test: PairTest, name: str) -> DataFrame:
+    weighed = multi.join(weights, "id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    centers = stored(weighed.groupBy("bucket").agg(F.max_by("id", "weight").alias("center"), F.max("weight").alias("w")), f"{name}-centers")
+    pairs = multi.join(centers, "bucket").where("center <> id").groupBy(F.col("id").alias("b")).agg(F.max_by("center", "w").alias("a"))
     left, right = payload.select(F.col("id").alias("a"), F.col("payload").alias("pa")), payload.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(test(_matrix(batch.column(2), width), _matrix(batch.column(3), width))))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(likely, "a long, b long")
-
+                yield batch.select([0, 1]).filter(pa.array(test(batch.column(2), batch.column(3))))
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    raw = np.frombuffer(column.buffers()[2], np.uint8)
-    first = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset]
-    return raw[first : first + len(column) * width].reshape(len(column), width)
+    return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(linked, "a long, b long"), f"{name}-links")
 
 
-def _cross_pairs(rows: DataFrame, width: int, test: Test, one: bool) -> DataFrame:
-    """Likely pairs from different components, or only one such partner for each item of a block (``one``); rows: (bucket, i, j, blk, id, component, payload), a group for each bucket and pair of blocks."""
+def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
+    """Spanning links between different components; rows: (bucket, i, j, blk, id, component, open, payload), a group for each bucket and pair of blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, data: np.ndarray) -> pa.RecordBatch | None:
-            same = keys[0, 1] == keys[0, 2]
-            left = np.arange(len(ids)) if same else np.flatnonzero(keys[:, 3] == keys[0, 1])
-            right = left if same else np.flatnonzero(keys[:, 3] == keys[0, 2])
+        def links(part: pa.Table) -> pa.RecordBatch | None:
+            i, j, blk, ids, comps = (part.column(k).to_numpy() for k in range(1, 6))
+            left = np.flatnonzero(blk == i[0])
+            right = np.flatnonzero(blk == j[0])
             if not len(left) or not len(right):
                 return None
-            out = []
-            step = max(1, MOST_TESTS // len(right))
-            for at in range(0, len(left), step):
-                x, y = (m.ravel() for m in np.meshgrid(left[at : at + step], right, indexing="ij"))
-                some = comps[x] != comps[y]
-                if same:
-                    some &= x < y
-                x, y = x[some], y[some]
-                if len(x):
-                    hit = test(data[x], data[y])
-                    x, y = x[hit], y[hit]
-                    if one:
-                        some = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
-                        x, y = x[some], y[some]
-                    out.append((ids[x], ids[y]))
-            if out:
-                x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
-                if len(x):
-                    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIRS)
-            return None
-
-        held: list[tuple] = []
+            listed = part.column(6).combine_chunks()
+            open_ = np.repeat(np.arange(len(ids))[:, None], 1 << BAND_BITS, 1)
+            shared = listed.flatten().to_numpy()
+            open_[np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy())), shared & ((1 << BAND_BITS) - 1)] = shared
+            x, y = test(Group(part.column(7).combine_chunks(), comps, left, right, part.column(0)[0].as_py(), open_))
+            if not len(x):
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], schema=PAIRS)
+
+        held: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
-            part = (keys, batch.column(4).to_numpy(), batch.column(5).to_numpy(), _matrix(batch.column(6), width).copy())
-            if held:
-                part = tuple(np.concatenate([x, y]) for x, y in zip(held[0], part, strict=True))
-            keys = part[0]
-            edge = np.flatnonzero(np.concatenate([[True], (keys[1:, :3] != keys[:-1, :3]).any(1)]))
+            part = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            keys = np.stack([part.column(k).to_numpy() for k in range(3)], 1)
+            edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
             for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if (found := group(*(x[s:e] for x in part))) is not None:
+                if (found := links(part.slice(s, e - s))) is not None:
                     yield found
-            held = [tuple(x[edge[-1] :] for x in part)]
-        if held and (found := group(*held[0])) is not None:
+            held = [part.slice(edge[-1])]
+        if held and (found := links(held[0])) is not None:
             yield found
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition(_tasks(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def linked_groups(members: DataFrame, payload: DataFrame, width: int, test: Test, verify: Callable[[DataFrame], DataFrame], name: str, partner_rounds: int = 1) -> DataFrame:
-    """``id, component`` of the items that have a verified link.
+def linked_groups(members: DataFrame, weights: DataFrame, payload_of: Callable[[DataFrame], DataFrame], pair_test: PairTest, block_test: BlockTest, name: str) -> DataFrame:
+    """``id, component`` of the items that have a link.
 
-    members: (bucket, id, weight); payload: (id, payload), binary of ``width`` bytes; verify: keeps the true links of (a, b).
+    members: (bucket, id), repeated rows allowed; weights: (id, weight), 1 where missing; payload_of: (id, payload) of all
+    ids that it is given (others do no harm).
     """
-    shared = members.groupBy("bucket").agg(F.max_by("id", "weight").alias("center"), F.max("weight").alias("center_weight"), F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least <> _most").drop("_least", "_most")
-    multi = stored(members.select("bucket", "id").join(shared, "bucket").distinct(), f"{name}-buckets")
-    first = stored(verify(stored(_star_pairs(multi, payload, width, test), f"{name}-pairs")), f"{name}-links")
-    groups = cut(connected_components(first))
-    for step, one in enumerate([True] * partner_rounds + [False]):
-        labelled = multi.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("bucket", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
-        open_ = labelled.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-        dealt = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
-        rows = dealt.join(payload, "id").select("bucket", "i", "j", "blk", "id", "component", "payload")
-        pairs = stored(_cross_pairs(rows, width, test, one), f"{name}-pairs2")
-        if one:
-            both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*")
-            partner = both.groupBy("x").agg(F.min_by("y", F.xxhash64("y", F.lit(step))).alias("y"))
-            pairs = stored(partner.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-partners")
-        if pairs.isEmpty():
-            break  # no bucket has likely partners left in different components
-        more = stored(verify(pairs), f"{name}-links2")
-        if not more.isEmpty():
-            groups = cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))))
-    return groups
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    may_be_shared = may_be_in(shared, BUCKET_BITS)
+    some = stored(members.where(may_be_shared("bucket")).distinct(), f"{name}-buckets")
+    # the bitmap lets single ones through once many buckets are shared
+    several = stored(some.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), f"{name}-shared")
+    multi = some.join(several, "bucket", "left_semi")
+    payload = stored(payload_of(multi.select("id").distinct()), f"{name}-payload")
+    groups = cut(connected_components(_star_links(multi, weights, payload, pair_test, name)))
+
+    labelled = stored(multi.join(groups, "id", "left").join(payload.select("id", F.octet_length("payload").alias("size")), "id").select("bucket", "id", F.coalesce("component", "id").alias("component"), "size"), f"{name}-labelled")
+    mixed = labelled.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")
+    )
+    # buckets of the same members need one look
+    once = mixed.where("lo <> hi").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size"))
+    open_ = stored(once.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("long").alias("_blocks")), f"{name}-open")
+    here = stored(labelled.join(open_, "bucket").select("bucket", "id", "component", "_blocks"), f"{name}-dealt")
+    with_open = payload.join(here.groupBy("id").agg(F.collect_set("bucket").alias("open")), "id").select("id", "open", "payload")
+    dealt = here.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
+    rows = dealt.join(with_open, "id").select("bucket", "i", "j", "blk", "id", "component", "open", "payload")
+    more = stored(_block_links(rows, block_test), f"{name}-links2")
+    if more.isEmpty():
+        return groups
+    return cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))

@@ -1,46 +1,66 @@
 """Fuzzy line de-duplication.
 
-Lines are normalised (case, digits, punctuation and spacing) and hashed for equality. Lines of equal normal form are one class.
-A class is put under ``BANDS`` buckets of ``BAND_ROWS`` MinHashes each over the runs of ``GRAM`` bytes of its normal form, of which
-one edit changes few at any length of line, and under one of the SimHash of its words. A run counts with its zone of ``ZONE``
-bytes and its number among equal ones there, so that what is repeated weighs as much as it is long. Classes that share a bucket
-are tested by the length and the count of each letter, which bound the edit distance from below, so the test drops no link;
-the others are verified by edit similarity (1 - distance / longer length) of their normal forms, and of each connected group
-one occurrence stays: the first line, by doc_id and line number. A linked pair misses all buckets with a chance that falls
-with its similarity; the README has it as measured.
+Lines are normalised (case, digits, punctuation and spacing) and hashed for equality; lines of equal normal form are one class.
+Classes meet in buckets, are verified by edit similarity (1 - distance / longer length) of their normal forms, and of each
+connected group one occurrence stays: the first line, by doc_id and line number.
+
+The buckets are bands of MinHashes over the runs of bytes of the normal form, each counted with its number among equal
+ones, so that what is repeated weighs as much as it is long. SimHash blocks, the method named for this operator, were built first and
+reached 0.20 of the true pairs: one changed word of thirty moves four to twelve of 64 bits, and blocks that allow for so many
+have keys too short to tell lines apart (README). Lines of up to ``SHORT`` bytes meet over shorter runs than longer ones,
+those about the border over both. Lengths and counts of letters, which bound the edit distance from below,
+go before the edit distance, so they drop no link. A linked pair misses all buckets with a chance that falls with its
+similarity; the README has it as measured.
 
 Cases: lines under ``least_words`` words always stay. A null text stays null. Rows with a null doc_id stay as they are.
-Rows that share a doc_id are read as one document's lines, each with its own numbers. An empty table gives none.
+Rows that share a doc_id are read as one document's lines, each with its own numbers. An empty table gives none. Columns of
+``docs`` named like those that are added or used here are kept as they are; then the added ones get an underscore behind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import linked_groups
-from strandlake.llm.tables import split_by_ids, stored
-from strandlake.llm.textblocks import Block, blocks, mix
+from strandlake.llm.grouping import Group, Joined, linked_groups, numbered, spanning
+from strandlake.llm.tables import bitmap_of, held, places, split_by_ids, stored
+from strandlake.llm.textblocks import Block, blocks, eights, mix
 
 LEAST_WORDS = 5
 SIMILARITY = 0.9
-GRAM, ZONE, BANDS, BAND_ROWS = 4, 128, 20, 4
-_FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+SHORT = 96
+
+
+@dataclass(frozen=True)
+class Banding:
+    """``bands`` of ``rows`` MinHashes over runs of ``gram`` bytes; ``first`` numbers the first band."""
+
+    gram: int
+    bands: int
+    rows: int
+    first: int
+
+
+BANDINGS = (Banding(gram=5, bands=16, rows=4, first=0), Banding(gram=10, bands=10, rows=3, first=16))
+#: Bits of the bitmap of the lines whose texts are wanted, 8 MB.
+TEXT_BITS = 26
+#: Pairs that are tested by length and counts at once, that are verified at once, and fewer than which are verified one by one; 64-bit words that the vectorised edit distance works on, and characters beyond which it does not.
+MOST_TESTS, MOST_EDITS, FEW_EDITS, EDIT_WORDS, LONG_EDITS = 100_000, 8_192, 48, 1 << 15, 2_000
+_FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, (2, max(b.bands * b.rows for b in BANDINGS)), dtype=np.uint32)
 _FACTORS |= np.uint32(1)
-#: The counts that a class is tested by: of each letter, of 0, of spaces, and of other characters by the parity of their first byte.
+#: The counts that a line is tested by: of each letter, of 0, of spaces, and of other characters by the parity of their first byte.
 COUNTS = 30
 _COUNTED = np.full(256, COUNTS, np.int64)
 _COUNTED[:128] = COUNTS - 2 + np.arange(128) % 2
 _COUNTED[192:] = COUNTS - 2 + np.arange(192, 256) % 2
 _COUNTED[97:123] = np.arange(26)
 _COUNTED[ord("0")], _COUNTED[32] = 26, 27
-#: Two bytes of length and the counts.
-SKETCH = 2 + COUNTS
-LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("simhash", pa.int64()), ("bands", pa.list_(pa.int32())), ("sketch", pa.binary()), ("first_here", pa.bool_())])
+LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("first_here", pa.bool_()), ("bands", pa.list_(pa.int64()))])
 
 #: A-Z and digits fold, ASCII punctuation and controls become spaces; every other byte stays.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -85,158 +105,286 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edits(a, b) <= most
 
 
-def _sketches(data: np.ndarray, at: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bands and the length and counts of lines, given their words (starts, ends) and the first word of each."""
-    if not len(edge):
-        return np.zeros((0, BANDS), np.int32), np.zeros((0, SKETCH), np.uint8)
-    # each line as its words with a space behind each, and GRAM - 1 spaces before the first, so that any line has a run
-    lead = np.zeros(len(at), np.int64)
-    lead[edge] = GRAM - 1
-    size = ends - at + 1 + lead
-    stop = np.cumsum(size)
-    source = np.arange(stop[-1]) + np.repeat(at - lead - (stop - size), size)
-    text = data[np.clip(source, 0, len(data) - 1)]
-    text[stop - 1] = 32
-    for k in range(GRAM - 1):
-        text[(stop - size)[edge] + k] = 32
-    start = (stop - size)[edge]
-    length = np.diff(np.append(start, len(text)))
-    line = np.repeat(np.arange(len(edge), dtype=np.uint64), length)
-
-    kind = _COUNTED[text]
-    counts = np.bincount(line.astype(np.int64) * (COUNTS + 1) + kind, minlength=len(edge) * (COUNTS + 1)).reshape(len(edge), COUNTS + 1)[:, :COUNTS]
-    counts[:, 27] -= GRAM  # the spaces put before and behind
-    chars = np.minimum(counts.sum(1), 0xFFFF).astype("<u2")
-    sketch = np.hstack([chars.view(np.uint8).reshape(-1, 2), np.minimum(counts, 255).astype(np.uint8)])
-
-    place = np.arange(len(text)) - np.repeat(start, length)
-    whole = place <= np.repeat(length, length) - GRAM
-    gram = np.zeros(len(text), np.uint64)
-    for k in range(GRAM):
-        gram[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
-    feature = mix(gram ^ mix((place // ZONE).astype(np.uint64)))[whole]
-    line = line[whole]
-    # the number of a run among equal ones of its line and zone; 40 bits of a hash tell them apart
-    sorted_ = line << np.uint64(40) | feature >> np.uint64(24)
-    order = np.argsort(sorted_, kind="stable")
-    sorted_ = sorted_[order]
-    new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    again = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    value = (mix(feature[order] + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    first = np.searchsorted(line, np.arange(len(edge), dtype=np.uint64))
-    bands, work = np.zeros((BANDS, len(edge)), np.uint64), np.empty_like(value)
-    for k in range(BANDS * BAND_ROWS):
-        np.bitwise_xor(value, _FLIPS[k], out=work)
-        np.multiply(work, _FACTORS[k], out=work)
-        bands[k // BAND_ROWS] = mix(bands[k // BAND_ROWS] + np.minimum.reduceat(work, first) + np.uint64(k))
-    return (bands >> np.uint64(32)).astype(np.uint32).view(np.int32).T, sketch
-
-
-def _line_hashes(block: Block, least_words: int) -> tuple[np.ndarray, ...]:
-    """Row, line number, class key, SimHash, bands and sketch of the lines of a block that have ``least_words`` words, and one at least."""
+@dataclass
+class Lines:
+    """The lines of a block that have words enough: row, number in the row, class key, and where the normal form stands in ``text``."""
+
+    row: np.ndarray
+    number: np.ndarray
+    key: np.ndarray
+    text: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def first_in_row(self) -> np.ndarray:
+        """Whether a line is the first of its key in its row."""
+        first = np.zeros(len(self.key), bool)
+        if len(self.key):
+            first[np.unique(mix(self.key ^ mix(self.row.astype(np.uint64))), return_index=True)[1]] = True
+        return first
+
+
+def normalised_lines(block: Block, least_words: int) -> Lines:
     folded = Block(block.first, _FOLD[block.data], block.offsets)
-    starts, _, line_rows, _ = folded.lines()
-    at, ends, _, hashes = folded.words()
+    starts = np.sort(np.concatenate([block.offsets[:-1], np.flatnonzero(block.data == 10) + 1]), kind="stable")
+    at, ends, row, hashes = folded.words()
     line = np.searchsorted(starts, at, side="right") - 1
     enough = np.bincount(line, minlength=len(starts))[line] >= least_words
-    at, ends, hashes, line = at[enough], ends[enough], hashes[enough], line[enough]
+    at, ends, row, hashes, line = at[enough], ends[enough], row[enough], hashes[enough], line[enough]
     if not len(at):
-        return (*(np.zeros(0, np.int64),) * 4, *_sketches(folded.data, at, ends, at))
-    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        return Lines(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint8, np.int64, np.int64)))
+    new = np.concatenate([[True], line[1:] != line[:-1]])
+    edge = np.flatnonzero(new)
     size = np.diff(np.append(edge, len(line)))
     place = np.arange(len(line)) - np.repeat(edge, size)
     key = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), edge) + size.astype(np.uint64))
-    # longer words are rarer, so they count for more; the few common ones would give all lines the same bits
-    weight = (np.clip(ends - at - 2, 0, 12) * 8 + 1).astype(np.uint8)
-    # a repeated word counts once, or it would decide the bits of the line alone; 32 bits of a hash tell the words of a line apart
-    order = np.argsort((line.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
-    line_of, feature, weight = line[order], hashes[order], weight[order]
-    new = np.concatenate([[True], (line_of[1:] != line_of[:-1]) | (feature[1:] >> np.uint64(32) != feature[:-1] >> np.uint64(32))])
-    line_of, feature, weight = line_of[new], feature[new], weight[new]
-    first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
-    ones = np.unpackbits(feature.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * weight[:, None]
-    votes, most = np.add.reduceat(ones, first, axis=0, dtype=np.int32), np.add.reduceat(weight, first, dtype=np.int32)
-    bits = np.packbits(2 * votes > most[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    # the bytes of words, and the one before each word but a line's first
+    step = np.zeros(len(folded.data) + 1, np.int8)
+    step[at] += 1
+    step[ends] -= 1
+    keep = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    keep[at[~new] - 1] = True
+    until = np.zeros(len(keep) + 1, np.int64)
+    np.cumsum(keep, out=until[1:])
     which = line[edge]
-    first_line = np.searchsorted(line_rows, np.arange(block.rows))
-    return line_rows[which], which - first_line[line_rows[which]], key, bits, *_sketches(folded.data, at, ends, edge)
+    n = block.per_row(block.data == 10) + 1
+    first_line = np.cumsum(n) - n
+    return Lines(row[edge], which - first_line[row[edge]], key, folded.data[keep], until[at[edge]], until[ends[edge + size - 1]])
+
+
+def _bands(lines: Lines, some: np.ndarray, by: Banding) -> np.ndarray:
+    """The bucket keys of the lines ``some``, with the band's number in the lowest bits; a line shorter than a run has one, itself and what stands behind."""
+    if not len(some):
+        return np.zeros((0, by.bands), np.uint64)
+    n = np.maximum(1, lines.ends[some] - lines.starts[some] - by.gram + 1)
+    stop = np.cumsum(n)
+    at = np.arange(stop[-1]) + np.repeat(lines.starts[some] - (stop - n), n)
+    lane = eights(np.concatenate([lines.text, np.zeros(8, np.uint8)]))
+    run = mix(lane[at] & np.uint64((1 << 8 * by.gram) - 1)) if by.gram < 8 else mix(lane[at] ^ mix(lane[at + by.gram - 8]))
+    # the number of a run among equal ones of its line; 40 bits tell them apart
+    ordered = np.sort(np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(40) | run >> np.uint64(24))
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    again = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
+    value = (mix((ordered << np.uint64(24)) + again.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    out, work = np.empty((by.bands, len(some)), np.uint64), np.empty_like(value)
+    for band in range(by.bands):
+        key = np.full(len(some), np.uint64(by.first + band))
+        for k in range(band * by.rows, (band + 1) * by.rows):
+            np.bitwise_xor(value, _FLIPS[k], out=work)
+            np.multiply(work, _FACTORS[k], out=work)
+            key = mix((key << np.uint64(32)) ^ (key >> np.uint64(32)) ^ np.minimum.reduceat(work, stop - n))
+        out[band] = numbered(key, by.first + band)
+    return out.T
+
+
+def line_buckets(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of all lines one after another, and how many each has."""
+    size = lines.ends - lines.starts
+    parts = [np.flatnonzero(size <= SHORT / SIMILARITY), np.flatnonzero(size > SHORT * SIMILARITY)]
+    found = [_bands(lines, some, by) for some, by in zip(parts, BANDINGS, strict=True)]
+    owner = np.concatenate([np.repeat(some, by.bands) for some, by in zip(parts, BANDINGS, strict=True)])
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate([f.ravel() for f in found])[order], np.bincount(owner, minlength=len(size))
 
 
 def hashed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line_no (from 0), key, simhash, bands, sketch and whether the line is the row's first of its key; lines of ``least_words`` words or more."""
+    """doc_id, line_no (from 0), key, whether the line is the row's first of its key, and if so its buckets; lines of ``least_words`` words or more."""
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                rows, number, key, bits, bands, sketch = _line_hashes(block, least_words)
-                first = np.zeros(len(key), bool)
-                if len(key):
-                    first[np.unique(mix(key ^ mix(rows.astype(np.uint64))), return_index=True)[1]] = True
-                columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands).ravel())), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(key), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())]
-                ids = batch.column(0).slice(block.first, block.rows).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), *columns, pa.array(first)], schema=LINES)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, simhash long, bands array<int>, sketch binary, first_here boolean")
-
-
-def _may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """False where lengths and counts show more edits than a link has; an edit adds one character at most and takes one away."""
-    size = np.maximum(*(np.ascontiguousarray(z[:, :2]).view("<u2")[:, 0].astype(np.int64) for z in (a, b)))
-    more = a[:, 2:].astype(np.int16) - b[:, 2:]
-    edits_ = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-    return (edits_ <= ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)) | (size == 0xFFFF)
+                lines = normalised_lines(block, least_words)
+                if not len(lines.key):
+                    continue
+                first = lines.first_in_row()
+                own = Lines(*(x[first] for x in (lines.row, lines.number, lines.key)), lines.text, lines.starts[first], lines.ends[first])
+                keys, times = line_buckets(own)
+                count = np.zeros(len(first), np.int64)
+                count[first] = times
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+                ids = batch.column(0).slice(block.first, block.rows).take(pa.array(lines.row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number.astype(np.int32)), pa.array(lines.key.view(np.int64)), pa.array(first), listed], schema=LINES)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, first_here boolean, bands array<long>")
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+    """(id, payload): the normal forms of the classes ``wanted`` (key, doc_id of a document that holds it), and some more by chance."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select("key", "doc_id"), TEXT_BITS))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(1)):
+                lines = normalised_lines(block, least_words)
+                some = np.flatnonzero(lines.first_in_row() & held(shared.value, places([lines.key.view(np.int64), ids[block.first + lines.row]], TEXT_BITS)))
+                raw = lines.text.tobytes()
+                texts = [raw[s:e] for s, e in zip(lines.starts[some].tolist(), lines.ends[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[some].view(np.int64)), pa.array(texts, pa.binary())], names=["id", "payload"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(pick, "id long, payload binary").dropDuplicates(["id"])
+
+
+def edit_distances(texts: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``edits`` of the pairs (texts[x], texts[y]), all pairs at once column by column."""
+    out = np.zeros(len(x), np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    one_by_one = (size[x] > LONG_EDITS) | (size[y] > LONG_EDITS) | (size[x] == 0) | (size[y] == 0)
+    rest = np.flatnonzero(~one_by_one)
+    if len(rest) < FEW_EDITS:
+        one_by_one[:] = True
+        rest = rest[:0]
+    for k in np.flatnonzero(one_by_one):
+        out[k] = edits(texts[x[k]], texts[y[k]])
+    # pairs of about the same length go together
+    rest = rest[np.argsort(size[x[rest]], kind="stable")]
+    at = 0
+    while at < len(rest):
+        n = max(1, EDIT_WORDS // int(-(-size[x[rest[min(at + EDIT_WORDS, len(rest)) - 1]]] // 64)))
+        part = rest[at : at + n]
+        part = part[np.argsort(size[y[part]], kind="stable")]
+        out[part] = _edit_columns(texts, size, x[part], y[part])
+        at += n
+    return out
+
+
+def _edit_columns(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distances of pairs ordered by the length of y: differences down a column are bits of ``words`` integers, for all pairs."""
+    used, own = np.unique(np.concatenate([x, y]), return_inverse=True)
+    codes = np.frombuffer("".join(texts[k] for k in used.tolist()).encode("utf-32-le"), "<u4")
+    letters, code = np.unique(codes, return_inverse=True)
+    n = size[used]
+    start = np.cumsum(n) - n
+    px, py = own[: len(x)], own[len(x) :]
+    words, kinds = int(-(-n[px].max() // 64)), len(letters)
+    place = np.arange(len(code)) - np.repeat(start, n)
+    inside = place < 64 * words
+    text = np.repeat(np.arange(len(used)), n)
+    held_at = np.zeros((words, len(used) * kinds), np.uint64)
+    np.bitwise_or.at(held_at, (place[inside] >> 6, text[inside] * kinds + code[inside]), np.uint64(1) << (place[inside] & 63).astype(np.uint64))
+    one, top, full = np.uint64(1), np.uint64(63), np.uint64(0xFFFFFFFFFFFFFFFF)
+    up, down = [np.full(len(x), full) for _ in range(words)], [np.zeros(len(x), np.uint64) for _ in range(words)]
+    ends, out, first = n[py], np.zeros(len(x), np.int64), 0
+    for column in range(int(ends.max())):
+        row = px[first:] * kinds + code[start[py[first:]] + column]
+        gain, loss = one, np.uint64(0)
+        for w in range(words):
+            equal, u, d = held_at[w][row], up[w][first:], down[w][first:]
+            vertical = equal | d
+            equal |= loss
+            level = (((equal & u) + u) ^ u) | equal
+            more, less = d | ~(level | u), u & level
+            next_ = more >> top, less >> top
+            more, less = (more << one) | gain, (less << one) | loss
+            up[w][first:], down[w][first:] = less | ~(vertical | more), more & vertical
+            gain, loss = next_
+        done = int(np.searchsorted(ends, column + 1, side="right"))
+        if done > first:
+            own_size, total = n[px[first:done]], np.full(done - first, column + 1)
+            for w in range(words):
+                mask = np.where(own_size >= 64 * (w + 1), full, (one << np.clip(own_size - 64 * w, 0, 63).astype(np.uint64)) - one)
+                total += np.bitwise_count(up[w][first:done] & mask).astype(np.int64) - np.bitwise_count(down[w][first:done] & mask)
+            out[first:done], first = total, done
+    return out
+
+
+def letter_counts(texts: pa.Array) -> np.ndarray:
+    """A row a text (binary, UTF-8)."""
+    raw = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    size = np.array([len(t) for t in texts.to_pylist()], np.int64)
+    at = np.repeat(np.arange(len(size)), size) * (COUNTS + 1) + _COUNTED[raw]
+    return np.bincount(at, minlength=len(size) * (COUNTS + 1)).reshape(-1, COUNTS + 1)[:, :COUNTS].astype(np.int32)
+
+
+def most_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((1 - SIMILARITY) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where counts show more edits than a link has; an edit adds one character at most and takes one away."""
+    more = a - b
+    edits_ = np.maximum(np.maximum(more, 0).sum(-1), np.maximum(-more, 0).sum(-1))
+    return edits_ <= most_edits(a.sum(-1), b.sum(-1))
+
+
+def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
+    out = may_be_similar(letter_counts(a), letter_counts(b))
+    some = np.flatnonzero(out)
+    texts = [t.decode() for t in (*a.take(pa.array(some)).to_pylist(), *b.take(pa.array(some)).to_pylist())]
+    size = np.array([len(t) for t in texts], np.int64)
+    x, y = np.arange(len(some)), np.arange(len(some), 2 * len(some))
+    out[some] = edit_distances(texts, x, y) <= most_edits(size[x], size[y])
+    return out
+
+
+def _block_links(group: Group) -> tuple[np.ndarray, np.ndarray]:
+    texts = [t.decode() for t in group.payload.to_pylist()]
+    counts, size = letter_counts(group.payload), np.array([len(t) for t in texts], np.int64)
+    joined, xs, ys = Joined(), [], []
+    for x, y in group.pairs(MOST_TESTS):
+        some = may_be_similar(counts[x], counts[y])
+        x, y = x[some], y[some]
+        some = group.fresh(x, y)
+        x, y = x[some], y[some]
+        while len(x):
+            # what is linked by now needs no look
+            label = np.array([joined.find(c) for c in group.component.tolist()])
+            some = label[x] != label[y]
+            x, y = x[some], y[some]
+            a, b = x[:MOST_EDITS], y[:MOST_EDITS]
+            near = edit_distances(texts, a, b) <= most_edits(size[a], size[b])
+            a, b = spanning(a[near], b[near], group.component, joined)
+            xs.append(a)
+            ys.append(b)
+            x, y = x[MOST_EDITS:], y[MOST_EDITS:]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line_no) of the lines that go: every line of a group but its first occurrence."""
     lines = stored(hashed_lines(docs, least_words).where("doc_id is not null"), "lines")
-    classes = stored(lines.groupBy("key").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "line-classes")
-    payload = classes.select(F.col("key").alias("id"), F.col("sketch").alias("payload"))
-    buckets = F.concat(F.transform("bands", lambda b, k: F.xxhash64(k, b)), F.array(F.xxhash64(F.lit(BANDS), "simhash")))
-    members = classes.select(F.col("key").alias("id"), F.col("n").alias("weight"), F.explode(buckets).alias("bucket"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        at = lines.where("first_here").join(classes.select("key", "doc_id").join(keys, "key"), ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.min("line_no").alias("line_no"))
-        wanted = stored(at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "wanted-lines")
-        texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted.select("doc_id"))
-        split = wanted.hint("merge").join(texts, "doc_id").select(F.split("text", "\n", -1).alias("parts"), "wanted")
-        picked = split.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("parts", w["line_no"]).alias("line")))).alias("p")).select("p.key", "p.line").where("line is not null").dropDuplicates(["key"])
-
-        def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal_form(x) for x in batch.column(1).to_pylist()], pa.string())], names=["key", "line"])
-
-        picked = picked.mapInArrow(normalised, "key long, line string")
-        both = pairs.join(picked.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(picked.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
-
-        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                near = [similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-        return both.mapInArrow(alike, "a long, b long")
-
-    groups = linked_groups(members, payload, SKETCH, _may_be_similar, verify, "lines", partner_rounds=2)
-    grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
-    fuzzy = grouped.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("keeper"))
-    owner = grouped.where("n > 1 or component is not null").join(fuzzy, "group", "left").select("key", "group", F.coalesce("keeper", "doc_id").alias("keeper"))
-    shared = lines.join(owner, "key")
-    stays = shared.where("doc_id = keeper").groupBy("group").agg(F.min("line_no").alias("kept_no"))
+    classes = stored(lines.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "line-classes")
+    members = lines.where("first_here").select(F.explode("bands").alias("bucket"), F.col("key").alias("id"))
+    weights = classes.where("n > 1").select(F.col("key").alias("id"), F.col("n").alias("weight"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return class_texts(docs, classes.join(ids.withColumnRenamed("id", "key"), "key"), least_words)
+
+    groups = linked_groups(members, weights, texts_of, _pair_links, _block_links, "lines")
+    grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").withColumn("group", F.coalesce("component", "key"))
+    grouped = stored(grouped.select("key", "group", "doc_id"), "line-groups")
+    keepers = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("keeper")), "line-keepers")
+    owner = stored(grouped.join(keepers, "group").select("key", "group", "keeper"), "line-owners")
+    shared = stored(lines.select("doc_id", "line_no", "key").join(owner, "key").select("doc_id", "line_no", "group", "keeper"), "shared-lines")
+    stays = stored(shared.where("doc_id = keeper").groupBy("group").agg(F.min("line_no").alias("kept_no")), "kept-lines")
     return shared.join(stays, "group").where("doc_id <> keeper or line_no <> kept_no").select("doc_id", "line_no")
 
 
+def _added(docs: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that no column of ``docs`` has (case apart, as Spark resolves them)."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines gone; adds ``n_lines`` and ``n_removed``."""
     lines = stored(repeated_lines(docs, least_words), "repeated-lines")
-    gone = lines.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
+    n_lines, n_removed, key, gone = _added(docs, "n_lines", "n_removed", "id_of_gone", "lines_gone")
+    dropped = lines.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias(gone))
     maybe, others = split_by_ids(docs, lines.select("doc_id"))
-    joined = maybe.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    joined = maybe.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    number = F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines)
     cut = joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        number,
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed),
     )
-    return cut.union(others.select(*docs.columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
+    return cut.union(others.select(*(F.col(f"`{c}`") for c in docs.columns), number, F.lit(0).cast("long").alias(n_removed)))

@@ -7,38 +7,41 @@ numbers of larger, equal and smaller registers (set sizes are known) estimates t
 similar enough is verified on the full sets.
 
 With 28 bands of 5 registers a pair at Jaccard 0.85 shares no band with probability (1 - 0.85^5)^28, about 7e-8.
-Documents of equal sets form a class first, so copies are never paired.
+Documents of equal sets form a class first, so copies are never paired. Sets are of 64-bit hashes of shingles.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of one to four words has one shingle. A
 null doc_id has no links, a null component, and is kept. Repeated rows are copies and come back each; rows that share a
-doc_id share links.
+doc_id share links, whatever their texts. Columns of ``docs`` other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import linked_groups
-from strandlake.llm.tables import split_by_ids, stored
+from strandlake.llm.grouping import Group, Joined, connected_components, linked_groups, numbered, spanning
+from strandlake.llm.tables import cut, split_by_ids, stored
 from strandlake.llm.textblocks import blocks, mix, shingle_sets
 
 BANDS, BAND_SIZE = 28, 5
 REGISTERS = BANDS * BAND_SIZE
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 WIDTH = 2 * REGISTERS
-#: Rows that meet one centre in one verification task.
-CENTER_ROWS = 2_000
+#: Columns of the matrix by which a block's sets are intersected, at once.
+COLUMNS = 4_096
+#: Pairs of a block that are tested at once.
+TESTS = 20_000
 #: Standard errors below the threshold at which an estimate rules a pair out.
 SLACK = 5.0
 
 _SEED = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = mix(_SEED ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sum_hash", pa.int64()), ("xor_hash", pa.int64()), ("bands", pa.list_(pa.int64())), ("payload", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def registers(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -72,97 +75,154 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
+def _set_ids(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """An id of each set from two sums over its shingles and its size."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(found)])
+    total2 = np.concatenate([[np.uint64(0)], np.cumsum(mix(found ^ np.uint64(0x94D049BB133111EB)))])
+    one, two = (t[bounds[1:]] - t[bounds[:-1]] for t in (total, total2))
+    return mix(mix(one) + mix(two ^ np.uint64(0xD6E8FEB86659FD93)) + np.diff(bounds).astype(np.uint64))
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Set size, set fingerprint, band keys and registers of each row of (doc_id, text)."""
+    """Set size, set id and band keys of each row of (doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 found, bounds = shingle_sets(block, shingle)
-                sizes = np.diff(bounds)
                 regs = registers(found, bounds)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(found)])
-                mixed = mix(found ^ np.uint64(0x94D049BB133111EB))
-                total2 = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
                 keys = np.zeros((block.rows, BANDS), np.uint64)
                 for j in range(BANDS):
                     key = np.full(block.rows, np.uint64(j + 1))
                     for k in range(BAND_SIZE):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, j * BAND_SIZE + k])
-                    keys[:, j] = key
+                    keys[:, j] = numbered(key, j)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, block.rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                # the payload begins with nothing else than the registers; the size stands in its own column
-                raw = pa.Array.from_buffers(pa.binary(), block.rows, [None, pa.py_buffer(np.arange(0, (block.rows + 1) * WIDTH, WIDTH, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(regs).tobytes())])
-                sums = [(t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in (total, total2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), listed, raw], schema=SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_set_ids(found, bounds).view(np.int64)), listed], schema=SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, n_shingles long, sum_hash long, xor_hash long, bands array<long>, payload binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, n_shingles long, set_id long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int = 5) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def _payloads(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, payload) of each row of (doc_id, text): the registers and then the whole sorted set."""
 
-    A first document that many pairs share is sent once to each of several tasks, and its partners are dealt over them.
-    """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTER_ROWS).cast("long").alias("_salts"))
-    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("_salts"))).select("a", "b", "salt")
-    needed = salted.select("a", "salt", F.col("b").alias("doc_id"), F.lit(1).alias("role")).union(salted.select("a", "salt", F.col("a").alias("doc_id"), F.lit(0).alias("role")).distinct())
-    texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), needed.select("doc_id"))
-    rows = needed.hint("merge").join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, center = None, np.zeros(0, np.uint64)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            heads, salt, role, ids = (batch.column(k).to_numpy() for k in range(4))
-            hit_a, hit_b = [], []
-            for block in blocks(batch.column(4)):
+            for block in blocks(batch.column(1)):
                 found, bounds = shingle_sets(block, shingle)
-                for i in range(block.rows):
-                    at = block.first + i
-                    own = found[bounds[i] : bounds[i + 1]]
-                    if role[at] == 0:
-                        key, center = (heads[at], salt[at]), own
-                    elif key == (heads[at], salt[at]) and len(own) and len(center):
-                        place = np.minimum(np.searchsorted(center, own), len(center) - 1)
-                        both = int((center[place] == own).sum())
-                        if 100 * both >= percent * (len(own) + len(center) - both):
-                            hit_a.append(heads[at])
-                            hit_b.append(ids[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hit_a, np.int64)), pa.array(np.array(hit_b, np.int64))], names=["a", "b"])
-
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(check, "a long, b long")
+                regs = registers(found, bounds)
+                both = [regs[i].tobytes() + found[bounds[i] : bounds[i + 1]].tobytes() for i in range(block.rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(found, bounds).view(np.int64)), pa.array(both, pa.binary())], names=["id", "payload"])
 
+    return docs.mapInArrow(gather, "id long, payload binary")
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, a row for each row of ``docs``."""
-    table = stored(sketches(docs, shingle), "sketches")
-    filled = table.where("n_shingles > 0 and doc_id is not null")
-    same = ["n_shingles", "sum_hash", "xor_hash"]
-    classes = filled.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = stored(filled.select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct(), "classes")
-    sketch = table.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", *same])
-    # rows that share a doc_id and differ in text keep a sketch each; they meet in the member table
-    payload = sketch.groupBy("doc_id").agg(F.first("payload").alias("_p"), F.first("n_shingles").alias("_n")).select(F.col("doc_id").alias("id"), F.concat(F.unhex(F.lpad(F.hex("_n"), 16, "0")), "_p").alias("payload"))
-    copies = member.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("weight"))
-    members = sketch.join(copies, "doc_id").select(F.col("doc_id").alias("id"), "weight", F.explode("bands").alias("bucket"))
-    error = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    least = percent / 100 - SLACK * error
-
-    def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size_a, size_b = (np.ascontiguousarray(x[:, :8]).view(">u8")[:, 0].astype(np.float64) for x in (a, b))
-        hit = np.minimum(size_a, size_b) * 100 >= percent * np.maximum(size_a, size_b)
+
+def _unpacked(payload: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Registers, sets and set sizes."""
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in payload]
+    regs = np.stack([x[:WIDTH] for x in raw]).view(np.uint16) if raw else np.zeros((0, REGISTERS), np.uint16)
+    sets = [x[WIDTH:].copy().view(np.uint64) for x in raw]
+    return regs, sets, np.array([len(x) for x in sets], np.float64)
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """Which sets are linked: those with 100 * intersection >= ``percent`` * union."""
+
+    percent: int
+
+    def likely(self, regs_a: np.ndarray, regs_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """What the likelihood of both sketches does not rule out."""
+        share = self.percent / 100
+        least = share - SLACK * (share * (1 - share) / REGISTERS) ** 0.5
+        hit = np.minimum(size_a, size_b) * 100 >= self.percent * np.maximum(size_a, size_b)
         at = np.flatnonzero(hit)
         for k in range(0, len(at), 2_000):
             rows = at[k : k + 2_000]
-            regs = [np.ascontiguousarray(x[rows, 8:]).view(np.uint16) for x in (a, b)]
-            hit[rows] = jaccard_estimate(*regs, size_a[rows], size_b[rows]) >= least
+            hit[rows] = jaccard_estimate(regs_a[rows], regs_b[rows], size_a[rows], size_b[rows]) >= least
+        return hit
+
+    def enough(self, both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        return 100 * both >= self.percent * (size_a + size_b - both)
+
+    def pairs(self, a: pa.Array, b: pa.Array) -> np.ndarray:
+        (regs_a, sets_a, size_a), (regs_b, sets_b, size_b) = _unpacked(a), _unpacked(b)
+        hit = self.likely(regs_a, regs_b, size_a, size_b)
+        for k in np.flatnonzero(hit):
+            both = len(np.intersect1d(sets_a[k], sets_b[k], assume_unique=True))
+            hit[k] = self.enough(np.float64(both), size_a[k], size_b[k])
         return hit
 
-    groups = linked_groups(members, payload, WIDTH + 8, likely, lambda pairs: verified(pairs, docs, percent, shingle), "near")
-    label = member.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = table.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    def block(self, group: Group) -> tuple[np.ndarray, np.ndarray]:
+        regs, sets, size = _unpacked(group.payload)
+        joined, xs, ys = Joined(), [], []
+        for x, y in group.pairs(TESTS):
+            some = np.minimum(size[x], size[y]) * 100 >= self.percent * np.maximum(size[x], size[y])
+            x, y = x[some], y[some]
+            some = group.fresh(x, y)
+            x, y = x[some], y[some]
+            some = self.likely(regs[x], regs[y], size[x], size[y])
+            x, y = x[some], y[some]
+            if not len(x):
+                continue
+            rows, cols = np.unique(x), np.unique(y)
+            both = intersections([sets[r] for r in rows], [sets[c] for c in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+            some = self.enough(both, size[x], size[y])
+            x, y = spanning(x[some], y[some], group.component, joined)
+            xs.append(x)
+            ys.append(y)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, by products of 0/1 matrices over ``COLUMNS`` common shingles at once."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    of_a, of_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(all_a, all_b)
+    at_a, at_b = (np.minimum(np.searchsorted(common, x), max(0, len(common) - 1)) for x in (all_a, all_b))
+    if not len(common):
+        return out
+    keep_a, keep_b = common[at_a] == all_a, common[at_b] == all_b
+    for first in range(0, len(common), COLUMNS):
+        parts = []
+        for n, of, at, keep in ((len(a), of_a, at_a, keep_a), (len(b), of_b, at_b, keep_b)):
+            here = keep & (at >= first) & (at < first + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(common) - first)), np.float32)
+            m[of[here], at[here] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, a row for each row of ``docs``."""
+    table = stored(sketches(docs, shingle), "sketches")
+    filled = table.where("n_shingles > 0 and doc_id is not null")
+    classes = stored(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    members = filled.select(F.explode("bands").alias("bucket"), F.col("set_id").alias("id"))
+    weights = classes.where("n > 1").select(F.col("set_id").alias("id"), F.col("n").alias("weight"))
+
+    def payload_of(ids: DataFrame) -> DataFrame:
+        wanted = stored(classes.join(ids.withColumnRenamed("id", "set_id"), "set_id").select("rep"), "wanted-sets")
+        texts, _ = split_by_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted)
+        # a document that only seems wanted does no harm
+        return _payloads(texts.select("doc_id", "text"), shingle).dropDuplicates(["id"])
+
+    like = Likeness(percent)
+    groups = linked_groups(members, weights, payload_of, like.pairs, like.block, "near")
+    # rows that share a doc_id link their sets
+    several = filled.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id")
+    shared = stored(filled.select("doc_id", "set_id").join(several, "doc_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("s")).select(F.array_min("s").alias("b"), F.explode("s").alias("a")).where("a <> b"), "shared-ids")
+    if not shared.isEmpty():
+        groups = cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(shared.select("a", "b"))))
+    grouped = stored(classes.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").where("n > 1 or component is not null").select("set_id", "rep", F.coalesce("component", "set_id").alias("component")), "near-groups")
+    least = stored(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
+    label = stored(grouped.join(least, "component").select("set_id", "component_id"), "near-labels")
+    own = F.col("n_shingles") > 0
+    out = table.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
+    out = out.withColumn("component_id", F.when(own & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -114,7 +115,7 @@ def test_license_join_finds_every_block(docs, rows):
         want = set()
         for b in blocks:
             w = set(B.PLAIN.findall(b))
-            want |= {k for k, s in sets.items() if len(s & w) >= 0.8 * len(s) - 1e-9 and len(w) <= 4 * len(s)}
+            want |= {k for k, s in sets.items() if len(s & w) >= 0.8 * len(s) - 1e-9}
         assert {f.template for f in r.found} == want
 
 
@@ -256,7 +257,7 @@ def test_decontamination(spark, docs, rows, literal):
 
 
 def test_edit_similarity():
-    rng = random.Random(3)
+    rng, pairs = random.Random(3), []
     for _ in range(300):
         a = "".join(rng.choices("ab é", k=rng.randint(0, 40)))
         b = "".join(rng.choices("ab é", k=rng.randint(0, 40))) if rng.random() < 0.3 else "".join(c if rng.random() < 0.9 else rng.choice(["", "b", "é "]) for c in a)
@@ -266,15 +267,15 @@ def test_edit_similarity():
             for j, y in enumerate(b, 1):
                 before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         assert line_dedup.edits(a, b) == row[-1]
+        pairs.append((a, b, row[-1]))
         assert line_dedup.similar(a, b) == (row[-1] <= int(0.1 * max(len(a), len(b)) + 1e-9))
-
-
-def test_repeated_words_do_not_swamp_a_line(spark):
-    """Lines that differ in all but one word, repeated hundreds of times, get fingerprints of their own."""
-    rng = random.Random(9)
-    text = "\n".join(" ".join(["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(12)] + ["again"] * 300) for _ in range(40))
-    lines = line_dedup.hashed_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert len({r.simhash for r in lines}) == 40
+    for _ in range(200):  # over one and several words of 64 bits
+        a = "".join(rng.choices("abcd é𝄞", k=rng.choice([63, 64, 65, 127, 128, 129, 200, 2500])))
+        b = "".join(c if rng.random() < 0.9 else rng.choice(["", "b", "é "]) for c in a)
+        pairs.append((a, b, line_dedup.edits(a, b)))
+    texts = [t for p in pairs for t in p[:2]]
+    found = line_dedup.edit_distances(texts, np.arange(0, len(texts), 2), np.arange(1, len(texts), 2))
+    assert found.tolist() == [d for _, _, d in pairs]
 
 
 @pytest.mark.parametrize("size", [5, 10, 20, 50])
@@ -302,14 +303,10 @@ def test_line_counts_drop_no_link():
         for _ in range(rng.randint(0, len(line) // 8)):
             other[rng.randrange(len(other))] = rng.choice(["", "q", "é", "ab"])
         texts += [line, "".join(other)]
-    import pyarrow as pa
-
-    (block,) = line_dedup.blocks(pa.array(texts))
-    rows, *_, sketch = line_dedup._line_hashes(block, 1)
-    at = {int(r): s for r, s in zip(rows, sketch, strict=True)}
-    pairs = [(k, k + 1) for k in range(0, len(texts), 2) if k in at and k + 1 in at]
-    may = line_dedup._may_be_similar(np.stack([at[a] for a, _ in pairs]), np.stack([at[b] for _, b in pairs]))
-    links = np.array([line_dedup.similar(line_dedup.normal_form(texts[a]), line_dedup.normal_form(texts[b])) for a, b in pairs])
+    forms = [line_dedup.normal_form(t) for t in texts]
+    counts = line_dedup.letter_counts(pa.array([f.encode() for f in forms], pa.binary()))
+    may = line_dedup.may_be_similar(counts[::2], counts[1::2])
+    links = np.array([line_dedup.similar(a, b) for a, b in zip(forms[::2], forms[1::2], strict=True)])
     assert links.any() and not links.all() and may[links].all()
 
 
