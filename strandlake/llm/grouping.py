@@ -22,6 +22,8 @@ from strandlake.llm.tables import cut, may_be_in, stored
 
 #: Members and bytes of a block; two blocks are compared in one step.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Columns of the matrix by which a block's sets are intersected, at once.
+COLUMNS = 4_096
 #: Bits of the bitmap of shared buckets, 8 MB.
 BUCKET_BITS = 26
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -116,6 +118,27 @@ def spanning(x: np.ndarray, y: np.ndarray, comps: np.ndarray, joined: Joined) ->
     return x[some], y[some]
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, by products of 0/1 matrices over ``COLUMNS`` common shingles at once."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    of_a, of_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(all_a, all_b)
+    at_a, at_b = (np.minimum(np.searchsorted(common, x), max(0, len(common) - 1)) for x in (all_a, all_b))
+    if not len(common):
+        return out
+    keep_a, keep_b = common[at_a] == all_a, common[at_b] == all_b
+    for first in range(0, len(common), COLUMNS):
+        parts = []
+        for n, of, at, keep in ((len(a), of_a, at_a, keep_a), (len(b), of_b, at_b, keep_b)):
+            here = keep & (at >= first) & (at < first + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(common) - first)), np.float32)
+            m[of[here], at[here] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,8 +8,8 @@ The buckets are bands of MinHashes over the runs of bytes of the normal form, ea
 ones, so that what is repeated weighs as much as it is long. SimHash blocks, the method named for this operator, were built first and
 reached 0.20 of the true pairs: one changed word of thirty moves four to twelve of 64 bits, and blocks that allow for so many
 have keys too short to tell lines apart (README). Lines of up to ``SHORT`` bytes meet over shorter runs than longer ones,
-those about the border over both. Lengths and counts of letters, which bound the edit distance from below,
-go before the edit distance, so they drop no link. A linked pair misses all buckets with a chance that falls with its
+those about the border over both. Lengths, counts of letters and counts of common runs, which bound the edit distance from
+below, go before the edit distance, so they drop no link. A linked pair misses all buckets with a chance that falls with its
 similarity; the README has it as measured.
 
 Cases: lines under ``least_words`` words always stay. A null text stays null. Rows with a null doc_id stay as they are.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import Group, Joined, linked_groups, numbered, spanning
+from strandlake.llm.grouping import Group, Joined, intersections, linked_groups, numbered, spanning
 from strandlake.llm.tables import bitmap_of, held, places, split_by_ids, stored
 from strandlake.llm.textblocks import Block, blocks, eights, mix
 
@@ -50,7 +50,9 @@ BANDINGS = (Banding(gram=5, bands=16, rows=4, first=0), Banding(gram=10, bands=1
 #: Bits of the bitmap of the lines whose texts are wanted, 8 MB.
 TEXT_BITS = 26
 #: Pairs that are tested by length and counts at once, that are verified at once, and fewer than which are verified one by one; 64-bit words that the vectorised edit distance works on, and characters beyond which it does not.
-MOST_TESTS, MOST_EDITS, FEW_EDITS, EDIT_WORDS, LONG_EDITS = 100_000, 8_192, 48, 1 << 15, 2_000
+MOST_TESTS, MOST_EDITS, FEW_EDITS, EDIT_WORDS, LONG_EDITS = 100_000, 8_192, 48, 1 << 16, 20_000
+#: Characters of the runs that linked lines have in common, and of a single pair of lines from which on these are counted.
+RUN, LONG_PAIR = 5, 400
 _FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, (2, max(b.bands * b.rows for b in BANDINGS)), dtype=np.uint32)
 _FACTORS |= np.uint32(1)
 #: The counts that a line is tested by: of each letter, of 0, of spaces, and of other characters by the parity of their first byte.
@@ -227,37 +229,44 @@ def class_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFra
 
 
 def edit_distances(texts: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``edits`` of the pairs (texts[x], texts[y]), all pairs at once column by column."""
+    """``edits`` of the pairs (texts[x], texts[y]) where it links them, else some number above ``most_edits``; all pairs at once."""
     out = np.zeros(len(x), np.int64)
     size = np.array([len(t) for t in texts], np.int64)
-    one_by_one = (size[x] > LONG_EDITS) | (size[y] > LONG_EDITS) | (size[x] == 0) | (size[y] == 0)
-    rest = np.flatnonzero(~one_by_one)
-    if len(rest) < FEW_EDITS:
-        one_by_one[:] = True
-        rest = rest[:0]
-    for k in np.flatnonzero(one_by_one):
-        out[k] = edits(texts[x[k]], texts[y[k]])
+    far = np.abs(size[x] - size[y]) > most_edits(size[x], size[y])
+    out[far] = np.maximum(size[x], size[y])[far]
+    one_by_one = ~far & ((size[x] > LONG_EDITS) | (size[y] > LONG_EDITS) | (size[x] == 0) | (size[y] == 0))
+    rest = np.flatnonzero(~far & ~one_by_one)
     # pairs of about the same length go together
     rest = rest[np.argsort(size[x[rest]], kind="stable")]
     at = 0
     while at < len(rest):
-        n = max(1, EDIT_WORDS // int(-(-size[x[rest[min(at + EDIT_WORDS, len(rest)) - 1]]] // 64)))
-        part = rest[at : at + n]
+        words = most_edits(size[x[rest[at]]], size[y[rest[at]]]) // 32 + 2
+        part = rest[at : at + max(1, EDIT_WORDS // int(words))]
+        part = part[: np.searchsorted(size[x[part]], 1.2 * size[x[part[0]]] + 16, side="right")]
+        at += len(part)
+        if len(part) < FEW_EDITS:
+            one_by_one[part] = True
+            continue
         part = part[np.argsort(size[y[part]], kind="stable")]
         out[part] = _edit_columns(texts, size, x[part], y[part])
-        at += n
+    for k in np.flatnonzero(one_by_one):
+        out[k] = edits(texts[x[k]], texts[y[k]])
     return out
 
 
 def _edit_columns(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The distances of pairs ordered by the length of y: differences down a column are bits of ``words`` integers, for all pairs."""
+    """The distances of pairs ordered by the length of y: differences down a column are bits of integers, for all pairs.
+
+    Only words about the diagonal are followed, as far from it as a link may be; what is beyond counts as one edit a step,
+    which is never too few, so distances that link are exact and others stay too large.
+    """
     used, own = np.unique(np.concatenate([x, y]), return_inverse=True)
     codes = np.frombuffer("".join(texts[k] for k in used.tolist()).encode("utf-32-le"), "<u4")
     letters, code = np.unique(codes, return_inverse=True)
     n = size[used]
     start = np.cumsum(n) - n
     px, py = own[: len(x)], own[len(x) :]
-    words, kinds = int(-(-n[px].max() // 64)), len(letters)
+    words, kinds, most = int(-(-n[px].max() // 64)), len(letters), int(most_edits(n[px], n[py]).max())
     place = np.arange(len(code)) - np.repeat(start, n)
     inside = place < 64 * words
     text = np.repeat(np.arange(len(used)), n)
@@ -266,10 +275,15 @@ def _edit_columns(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarr
     one, top, full = np.uint64(1), np.uint64(63), np.uint64(0xFFFFFFFFFFFFFFFF)
     up, down = [np.full(len(x), full) for _ in range(words)], [np.zeros(len(x), np.uint64) for _ in range(words)]
     ends, out, first = n[py], np.zeros(len(x), np.int64), 0
+    low, above = 0, np.zeros(len(x), np.int64)  # the first word followed, and the distance where it begins
     for column in range(int(ends.max())):
+        while low < min(words - 1, (column - most) // 64):
+            above += np.bitwise_count(up[low]).astype(np.int64) - np.bitwise_count(down[low])
+            low += 1
+        above += 1
         row = px[first:] * kinds + code[start[py[first:]] + column]
         gain, loss = one, np.uint64(0)
-        for w in range(words):
+        for w in range(low, min(words, (column + most) // 64 + 1)):
             equal, u, d = held_at[w][row], up[w][first:], down[w][first:]
             vertical = equal | d
             equal |= loss
@@ -281,8 +295,8 @@ def _edit_columns(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarr
             gain, loss = next_
         done = int(np.searchsorted(ends, column + 1, side="right"))
         if done > first:
-            own_size, total = n[px[first:done]], np.full(done - first, column + 1)
-            for w in range(words):
+            own_size, total = n[px[first:done]], above[first:done].copy()
+            for w in range(low, words):
                 mask = np.where(own_size >= 64 * (w + 1), full, (one << np.clip(own_size - 64 * w, 0, 63).astype(np.uint64)) - one)
                 total += np.bitwise_count(up[w][first:done] & mask).astype(np.int64) - np.bitwise_count(down[w][first:done] & mask)
             out[first:done], first = total, done
@@ -308,12 +322,42 @@ def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return edits_ <= most_edits(a.sum(-1), b.sum(-1))
 
 
+def run_sets(texts: list[str]) -> list[np.ndarray]:
+    """The runs of ``RUN`` characters of each text, each with its number among equal ones, as hashes."""
+    size = np.array([max(0, len(t) - RUN + 1) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    start = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    run = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        run = mix(run + code[at + k])
+    # runs that 40 bits do not tell apart count as equal, so more seem common, not fewer
+    ordered = np.sort(np.repeat(np.arange(len(texts), dtype=np.uint64), size) << np.uint64(40) | run >> np.uint64(24))
+    if not len(ordered):
+        return [ordered] * len(texts)
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    again = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
+    return np.split(mix((ordered << np.uint64(24)) + again.astype(np.uint64)), np.cumsum(size)[:-1])
+
+
+def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The runs that texts of these lengths have in common at least if they are linked; an edit changes ``RUN`` of them."""
+    return np.maximum(a, b) - RUN + 1 - RUN * most_edits(a, b)
+
+
 def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
     out = may_be_similar(letter_counts(a), letter_counts(b))
     some = np.flatnonzero(out)
     texts = [t.decode() for t in (*a.take(pa.array(some)).to_pylist(), *b.take(pa.array(some)).to_pylist())]
     size = np.array([len(t) for t in texts], np.int64)
     x, y = np.arange(len(some)), np.arange(len(some), 2 * len(some))
+    far = np.zeros(len(some), bool)
+    long = np.flatnonzero(np.maximum(size[x], size[y]) > LONG_PAIR)
+    for k in long:
+        common = len(np.intersect1d(*run_sets([texts[x[k]], texts[y[k]]]), assume_unique=True))
+        far[k] = common < least_common(size[x[k]], size[y[k]])
+    out[some[far]] = False
+    some, x, y = some[~far], x[~far], y[~far]
     out[some] = edit_distances(texts, x, y) <= most_edits(size[x], size[y])
     return out
 
@@ -321,12 +365,18 @@ def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
 def _block_links(group: Group) -> tuple[np.ndarray, np.ndarray]:
     texts = [t.decode() for t in group.payload.to_pylist()]
     counts, size = letter_counts(group.payload), np.array([len(t) for t in texts], np.int64)
+    runs = run_sets(texts)
     joined, xs, ys = Joined(), [], []
     for x, y in group.pairs(MOST_TESTS):
         some = may_be_similar(counts[x], counts[y])
         x, y = x[some], y[some]
         some = group.fresh(x, y)
         x, y = x[some], y[some]
+        if len(x):
+            rows, cols = np.unique(x), np.unique(y)
+            common = intersections([runs[r] for r in rows], [runs[c] for c in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+            some = common >= least_common(size[x], size[y])
+            x, y = x[some], y[some]
         while len(x):
             # what is linked by now needs no look
             label = np.array([joined.find(c) for c in group.component.tolist()])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import Group, Joined, connected_components, linked_groups, numbered, spanning
+from strandlake.llm.grouping import Group, Joined, connected_components, intersections, linked_groups, numbered, spanning
 from strandlake.llm.tables import cut, split_by_ids, stored
 from strandlake.llm.textblocks import blocks, mix, shingle_sets
 
@@ -32,8 +32,6 @@ BANDS, BAND_SIZE = 28, 5
 REGISTERS = BANDS * BAND_SIZE
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 WIDTH = 2 * REGISTERS
-#: Columns of the matrix by which a block's sets are intersected, at once.
-COLUMNS = 4_096
 #: Pairs of a block that are tested at once.
 TESTS = 20_000
 #: Standard errors below the threshold at which an estimate rules a pair out.
@@ -175,27 +173,6 @@ class Likeness:
         return np.concatenate([none, *xs]), np.concatenate([none, *ys])
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections, by products of 0/1 matrices over ``COLUMNS`` common shingles at once."""
-    out = np.zeros((len(a), len(b)), np.float32)
-    of_a, of_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
-    all_a, all_b = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(all_a, all_b)
-    at_a, at_b = (np.minimum(np.searchsorted(common, x), max(0, len(common) - 1)) for x in (all_a, all_b))
-    if not len(common):
-        return out
-    keep_a, keep_b = common[at_a] == all_a, common[at_b] == all_b
-    for first in range(0, len(common), COLUMNS):
-        parts = []
-        for n, of, at, keep in ((len(a), of_a, at_a, keep_a), (len(b), of_b, at_b, keep_b)):
-            here = keep & (at >= first) & (at < first + COLUMNS)
-            m = np.zeros((n, min(COLUMNS, len(common) - first)), np.float32)
-            m[of[here], at[here] - first] = 1
-            parts.append(m)
-        out += parts[0] @ parts[1].T
-    return out
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, a row for each row of ``docs``."""
     table = stored(sketches(docs, shingle), "sketches")
