@@ -22,6 +22,8 @@ from strandlake.llm.tables import cut, may_be_in, stored
 
 #: Members and bytes of a block; two blocks are compared in one step.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Members of a bucket up to which many buckets are looked at together.
+SMALL = 32
 #: Columns of the matrix by which a block's sets are intersected, at once.
 COLUMNS = 4_096
 #: Bits of the bitmap of shared buckets, 8 MB.
@@ -40,31 +42,41 @@ def numbered(keys: np.ndarray, band: int) -> np.ndarray:
 
 @dataclass
 class Group:
-    """Members of two blocks of a bucket, or of one: their payloads and components, the places of both blocks, and the open buckets of each member by band."""
+    """Members of two blocks of a bucket, or of many small buckets: their payloads, components, and open buckets by band.
+
+    ``blocks`` are the places of both blocks and the bucket, ``listed`` the pairs of small buckets and the bucket of each.
+    """
 
     payload: pa.Array
     component: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    bucket: int
     open_: np.ndarray
+    blocks: tuple[np.ndarray, np.ndarray, int] | None = None
+    listed: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs of different components, about ``most`` at once."""
-        step = max(1, most // len(self.right))
-        for at in range(0, len(self.left), step):
-            x, y = (m.ravel() for m in np.meshgrid(self.left[at : at + step], self.right, indexing="ij"))
+    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of different components and their buckets, about ``most`` at once."""
+        if self.listed:
+            x, y, bucket = self.listed
+            some = self.component[x] != self.component[y]
+            x, y, bucket = x[some], y[some], bucket[some]
+            for at in range(0, len(x), most):
+                yield x[at : at + most], y[at : at + most], bucket[at : at + most]
+            return
+        left, right, bucket = self.blocks
+        step = max(1, most // len(right))
+        for at in range(0, len(left), step):
+            x, y = (m.ravel() for m in np.meshgrid(left[at : at + step], right, indexing="ij"))
             some = self.component[x] != self.component[y]
-            if self.left[0] == self.right[0]:
+            if left[0] == right[0]:
                 some &= x < y
-            yield x[some], y[some]
+            yield x[some], y[some], np.full(int(some.sum()), bucket)
 
-    def fresh(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def fresh(self, x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Whether this is the first of the open buckets that a pair shares."""
         out = np.zeros(len(x), bool)
         for k in range(0, len(x), 20_000):
             a, b = self.open_[x[k : k + 20_000]], self.open_[y[k : k + 20_000]]
-            out[k : k + 20_000] = ~((a == b) & (a < self.bucket)).any(1)
+            out[k : k + 20_000] = ~((a == b) & (a < bucket[k : k + 20_000, None])).any(1)
         return out
 
 
@@ -160,22 +172,37 @@ def _star_links(multi: DataFrame, weights: DataFrame, payload: DataFrame, test:
 def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
     """Spanning links between different components; rows: (bucket, i, j, blk, id, component, open, payload), a group for each bucket and pair of blocks."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(part: pa.Table) -> pa.RecordBatch | None:
-            i, j, blk, ids, comps = (part.column(k).to_numpy() for k in range(1, 6))
-            left = np.flatnonzero(blk == i[0])
-            right = np.flatnonzero(blk == j[0])
-            if not len(left) or not len(right):
-                return None
-            listed = part.column(6).combine_chunks()
-            open_ = np.repeat(np.arange(len(ids))[:, None], 1 << BAND_BITS, 1)
-            shared = listed.flatten().to_numpy()
-            open_[np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy())), shared & ((1 << BAND_BITS) - 1)] = shared
-            x, y = test(Group(part.column(7).combine_chunks(), comps, left, right, part.column(0)[0].as_py(), open_))
-            if not len(x):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], schema=PAIRS)
+    def group_of(part: pa.Table, **pairs) -> Group:
+        listed = part.column(6).combine_chunks()
+        open_ = np.repeat(np.arange(part.num_rows)[:, None], 1 << BAND_BITS, 1)
+        shared = listed.flatten().to_numpy()
+        open_[np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy())), shared & ((1 << BAND_BITS) - 1)] = shared
+        return Group(part.column(7).combine_chunks(), part.column(5).to_numpy(), open_, **pairs)
+
+    def links(part: pa.Table, group: Group) -> Iterator[pa.RecordBatch]:
+        x, y = test(group)
+        if len(x):
+            ids = part.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], schema=PAIRS)
+
+    def large(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, blk = (part.column(k).to_numpy() for k in (1, 2, 3))
+        left, right = np.flatnonzero(blk == i[0]), np.flatnonzero(blk == j[0])
+        if len(left) and len(right):
+            yield from links(part, group_of(part, blocks=(left, right, part.column(0)[0].as_py())))
+
+    def small(part: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of groups that have one block and few members, together."""
+        xs, ys = [], []
+        for n in np.unique(sizes):
+            x, y = np.triu_indices(n, 1)
+            first = starts[sizes == n][:, None]
+            xs.append((first + x).ravel())
+            ys.append((first + y).ravel())
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        yield from links(part, group_of(part, listed=(x, y, part.column(0).to_numpy()[x])))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
@@ -183,12 +210,16 @@ def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
             part = pa.concat_tables([*held, pa.Table.from_batches([batch])])
             keys = np.stack([part.column(k).to_numpy() for k in range(3)], 1)
             edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if (found := links(part.slice(s, e - s))) is not None:
-                    yield found
+            sizes = np.diff(edge)
+            # the last group may go on in the next batch
+            few = (sizes <= SMALL) & (keys[edge[:-1], 1] == keys[edge[:-1], 2])
+            if few.any():
+                yield from small(part.slice(0, edge[-1]), edge[:-1][few], sizes[few])
+            for s, n in zip(edge[:-1][~few], sizes[~few], strict=True):
+                yield from large(part.slice(s, n))
             held = [part.slice(edge[-1])]
-        if held and (found := links(held[0])) is not None:
-            yield found
+        if held:
+            yield from large(held[0])
 
     return rows.repartition(_tasks(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long")
 

@@ -52,7 +52,7 @@ TEXT_BITS = 26
 #: Pairs that are tested by length and counts at once, that are verified at once, and fewer than which are verified one by one; 64-bit words that the vectorised edit distance works on, and characters beyond which it does not.
 MOST_TESTS, MOST_EDITS, FEW_EDITS, EDIT_WORDS, LONG_EDITS = 100_000, 8_192, 48, 1 << 16, 20_000
 #: Characters of the runs that linked lines have in common, and of a single pair of lines from which on these are counted.
-RUN, LONG_PAIR = 5, 400
+RUN, LONG_PAIR = 5, 1_000
 _FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, (2, max(b.bands * b.rows for b in BANDINGS)), dtype=np.uint32)
 _FACTORS |= np.uint32(1)
 #: The counts that a line is tested by: of each letter, of 0, of spaces, and of other characters by the parity of their first byte.
@@ -160,11 +160,19 @@ def _bands(lines: Lines, some: np.ndarray, by: Banding) -> np.ndarray:
         return np.zeros((0, by.bands), np.uint64)
     n = np.maximum(1, lines.ends[some] - lines.starts[some] - by.gram + 1)
     stop = np.cumsum(n)
-    at = np.arange(stop[-1]) + np.repeat(lines.starts[some] - (stop - n), n)
     lane = eights(np.concatenate([lines.text, np.zeros(8, np.uint8)]))
-    run = mix(lane[at] & np.uint64((1 << 8 * by.gram) - 1)) if by.gram < 8 else mix(lane[at] ^ mix(lane[at + by.gram - 8]))
+    if by.gram < 8:
+        run = lane << np.uint64(8 * (8 - by.gram))
+    else:
+        run = lane.copy()
+        run[: len(run) - by.gram + 8] ^= lane[by.gram - 8 :] * np.uint64(0x9E3779B97F4A7C15)
+    # the places where runs begin: whole lines take up the text one behind another, so a mask is enough
+    step = np.zeros(len(run) + 1, np.int8)
+    step[lines.starts[some]] += 1
+    step[lines.starts[some] + n] -= 1
+    run = mix(run[np.cumsum(step[:-1], dtype=np.int8).view(bool)])
     # the number of a run among equal ones of its line; 40 bits tell them apart
-    ordered = np.sort(np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(40) | run >> np.uint64(24))
+    ordered = np.sort(np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(40), n) | run >> np.uint64(24))
     new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     again = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
     value = (mix((ordered << np.uint64(24)) + again.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -345,17 +353,22 @@ def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b) - RUN + 1 - RUN * most_edits(a, b)
 
 
+def _far(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs have too few runs in common; looked at for long lines only, for which the distance takes longer."""
+    out = np.zeros(len(x), bool)
+    for k in np.flatnonzero(np.maximum(size[x], size[y]) > LONG_PAIR):
+        common = len(np.intersect1d(*run_sets([texts[x[k]], texts[y[k]]]), assume_unique=True))
+        out[k] = common < least_common(size[x[k]], size[y[k]])
+    return out
+
+
 def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
     out = may_be_similar(letter_counts(a), letter_counts(b))
     some = np.flatnonzero(out)
     texts = [t.decode() for t in (*a.take(pa.array(some)).to_pylist(), *b.take(pa.array(some)).to_pylist())]
     size = np.array([len(t) for t in texts], np.int64)
     x, y = np.arange(len(some)), np.arange(len(some), 2 * len(some))
-    far = np.zeros(len(some), bool)
-    long = np.flatnonzero(np.maximum(size[x], size[y]) > LONG_PAIR)
-    for k in long:
-        common = len(np.intersect1d(*run_sets([texts[x[k]], texts[y[k]]]), assume_unique=True))
-        far[k] = common < least_common(size[x[k]], size[y[k]])
+    far = _far(texts, size, x, y)
     out[some[far]] = False
     some, x, y = some[~far], x[~far], y[~far]
     out[some] = edit_distances(texts, x, y) <= most_edits(size[x], size[y])
@@ -365,14 +378,17 @@ def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
 def _block_links(group: Group) -> tuple[np.ndarray, np.ndarray]:
     texts = [t.decode() for t in group.payload.to_pylist()]
     counts, size = letter_counts(group.payload), np.array([len(t) for t in texts], np.int64)
-    runs = run_sets(texts)
+    runs = None if group.listed else run_sets(texts)
     joined, xs, ys = Joined(), [], []
-    for x, y in group.pairs(MOST_TESTS):
+    for x, y, bucket in group.pairs(MOST_TESTS):
         some = may_be_similar(counts[x], counts[y])
+        x, y, bucket = x[some], y[some], bucket[some]
+        some = group.fresh(x, y, bucket)
         x, y = x[some], y[some]
-        some = group.fresh(x, y)
-        x, y = x[some], y[some]
-        if len(x):
+        if runs is None:
+            some = ~_far(texts, size, x, y)
+            x, y = x[some], y[some]
+        elif len(x):
             rows, cols = np.unique(x), np.unique(y)
             common = intersections([runs[r] for r in rows], [runs[c] for c in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
             some = common >= least_common(size[x], size[y])
@@ -429,9 +445,9 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Data
     dropped = lines.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias(gone))
     maybe, others = split_by_ids(docs, lines.select("doc_id"))
     joined = maybe.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
-    parts = F.split("text", "\n", -1)
+    parts, breaks = F.split("text", "\n", -1), F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    number = F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines)
+    number = F.coalesce(breaks + 1, F.lit(0)).cast("long").alias(n_lines)
     cut = joined.select(
         *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         number,

@@ -154,17 +154,20 @@ class Likeness:
     def block(self, group: Group) -> tuple[np.ndarray, np.ndarray]:
         regs, sets, size = _unpacked(group.payload)
         joined, xs, ys = Joined(), [], []
-        for x, y in group.pairs(TESTS):
+        for x, y, bucket in group.pairs(TESTS):
             some = np.minimum(size[x], size[y]) * 100 >= self.percent * np.maximum(size[x], size[y])
-            x, y = x[some], y[some]
-            some = group.fresh(x, y)
+            x, y, bucket = x[some], y[some], bucket[some]
+            some = group.fresh(x, y, bucket)
             x, y = x[some], y[some]
             some = self.likely(regs[x], regs[y], size[x], size[y])
             x, y = x[some], y[some]
             if not len(x):
                 continue
-            rows, cols = np.unique(x), np.unique(y)
-            both = intersections([sets[r] for r in rows], [sets[c] for c in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+            if group.listed:
+                both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x, y, strict=True)], np.float64)
+            else:
+                rows, cols = np.unique(x), np.unique(y)
+                both = intersections([sets[r] for r in rows], [sets[c] for c in cols])[np.searchsorted(rows, x), np.searchsorted(cols, y)]
             some = self.enough(both, size[x], size[y])
             x, y = spanning(x[some], y[some], group.component, joined)
             xs.append(x)

@@ -14,7 +14,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute as B
 
-from strandlake.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, near_dup, packing, pii, quality, secret_scan
+from strandlake.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, near_dup, packing, pii, pipeline, quality, secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -358,10 +358,8 @@ def test_license_notice_in_a_long_block(spark):
 
 def test_pipeline_drops_near_copies_from_eight_tenths(spark):
     """Two texts with 176 of 216 word shingles in common."""
-    import corpus_pipeline
-
     words = [f"word{k}" for k in range(200)]
     other = [f"other{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words)]
     rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words, other))]
-    kept = corpus_pipeline.near_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    kept = pipeline.near_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert [r.doc_id for r in kept.collect()] == [0]
