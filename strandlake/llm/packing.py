@@ -29,6 +29,8 @@ from strandlake.llm.tables import stored
 from strandlake.llm.textblocks import blocks
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+#: The vocabulary's added tokens; they are found inside texts.
+ADDED = (("<|endoftext|>", 50_256),)
 #: Items that one window task numbers at most, about.
 SALT_ITEMS = 200_000
 
@@ -123,7 +125,7 @@ def tokenized(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe
     """The pieces of every document: its ids and ``end_id``, cut from the end into pieces of ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = block_encoder(vocabulary)
+        encoder = block_encoder(vocabulary, ADDED)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -144,11 +146,12 @@ def tokenized(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe
 
 
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to a stored table of items with a ``length`` of 1 to ``capacity``."""
+    """The columns of ``PIECES``, ``sequence_id`` and ``offset`` for a stored table of items with a ``length`` of 1 to ``capacity``."""
     # at most ``capacity`` rows reach the driver
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_bins(counts, capacity)
     salts = max(16, -(-max(counts.values(), default=1) // SALT_ITEMS))
+    items = items.select("doc_id", "piece", "start", "length", "ids_crc32")
     salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     per_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = per_salt.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))

@@ -19,8 +19,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.keep_good(docs.select(*COLUMNS))
+    """Documents that the rules reject go; the bands are fitted on labelled rows."""
+    docs = docs.select(*COLUMNS)
+    return quality.keep_good(docs, quality.fitted_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fitted_rules(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": _on_documents(packing.pack_documents),
     "op2_license_scan": _on_documents(license_scan.op2_license_scan),
@@ -26,7 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": _on_documents(near_dup.near_duplicates),
     "op6_lm_scoring": _on_documents(lm_score.scores),
     "op7_line_dedup": op7_line_dedup,
-    "op8_quality_rules": _on_documents(quality.quality),
+    "op8_quality_rules": op8_quality_rules,
     "op9_pii": _on_documents(pii.op9_pii),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }

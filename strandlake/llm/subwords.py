@@ -92,14 +92,22 @@ class Subwords:
 class BlockEncoder:
     """Encodes the texts of a block at once: each distinct word is looked up once and the ids are gathered by numpy.
 
+    Added tokens (text, id) are found wherever they stand, and what is between them is encoded by itself.
+
     Known words live in a pool, by the hash of the word and of what stands before it (nothing, a space, a line break).
     Texts with other white space go through ``Subwords.ids``.
     """
 
-    def __init__(self, words: Subwords):
-        self.words = words
+    def __init__(self, words: Subwords, added: tuple[tuple[str, int], ...] = ()):
+        self.words, self.added = words, dict(added)
+        self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
         self._empty()
 
+    def _ids(self, text: str) -> bytes:
+        if not self.split:
+            return self.words.ids(text)
+        return b"".join(self.added[x].to_bytes(4, "little") if x in self.added else self.words.ids(x) for x in self.split.split(text))
+
     def _empty(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -124,6 +132,10 @@ class BlockEncoder:
         data, offsets = block.data, block.offsets
         raw = data.tobytes()
         odd = uneven_rows(block)
+        for token in self.added:
+            if (mark := token.encode()) in raw:
+                found = np.array([m.start() for m in re.finditer(re.escape(mark), raw)])
+                odd = np.union1d(odd, block.row_of(found))
         starts, ends, rows, hashes = block.words()
         if len(self.known) > CACHE_WORDS or self.used > 8 * CACHE_WORDS:
             self._empty()
@@ -153,7 +165,7 @@ class BlockEncoder:
             return ids, bounds
         parts = np.split(ids, bounds[1:-1])
         for i in odd:
-            parts[i] = np.frombuffer(self.words.ids(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")), "<u4")
+            parts[i] = np.frombuffer(self._ids(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")), "<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
@@ -180,5 +192,5 @@ def subwords(name: str) -> Subwords:
 
 
 @functools.cache
-def block_encoder(name: str) -> BlockEncoder:
-    return BlockEncoder(subwords(name))
+def block_encoder(name: str, added: tuple[tuple[str, int], ...] = ()) -> BlockEncoder:
+    return BlockEncoder(subwords(name), added)

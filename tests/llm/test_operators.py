@@ -75,6 +75,29 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_finds_added_tokens_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z ", "plain text", "<|endoftext", "  <|endoftext|>  é"]
+    for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_words_that_weak_hashes_confuse_stay_apart():
+    """Thue-Morse strings collide under every polynomial hash modulo a power of two."""
+    from strandlake.llm.textblocks import blocks
+
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate({97: 98, 98: 97})
+        (block,) = blocks(pa.array([f"{word} {word.translate({97: 98, 98: 97})} {word}"]))
+        hashes = block.words()[3]
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
 def test_packing_plan():
     rng = random.Random(1)
     counts = {rng.randint(1, 2048): rng.randint(1, 500) for _ in range(300)}
@@ -243,6 +266,21 @@ def test_quality(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_fertility_bands_reject_what_base_rules_keep(spark):
+    """Labelled good prose fits the bands; held-out prose stays and prose with other characters between letters goes."""
+    rng = random.Random(4)
+    words = "the of and river stone house under light after morning between country little never letter water number people".split()
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    odd = lambda n: " ".join("".join(c + rng.choice(["", "#", "ʘ"]) for c in w) for w in rng.choices(words, k=n))
+    texts = [prose(rng.randint(60, 400)) for _ in range(300)] + [odd(rng.randint(60, 400)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rules = quality.fitted_rules(docs, spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int"))
+    out = {r.doc_id: r for r in quality.quality(docs, rules).collect()}
+    assert "en" in rules.bands and not any(r.base_failed for r in out.values())
+    assert np.mean([out[i].kept for i in range(200, 300)]) >= 0.98
+    assert not any(out[i].kept for i in range(300, 360))
+
+
 @pytest.mark.parametrize("literal", [decontaminate.LITERAL_TOKENS, 3])
 def test_decontamination(spark, docs, rows, literal):
     words = rows[10][1].split()
