@@ -1,28 +1,43 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is any function from a list of turns to a string. Turns come in order; each is located by rendering the turns
-before it and then those with it, and comparing the two outputs: what was there must stay, and what is new is the turn's
-span. A template that changes what stood before is reported in ``rewrites``. The turns that are rendered together are the
-last ``window`` ones, so a conversation of any length streams through its task with bounded memory; conversations of up to
-``window`` turns are rendered from their first turn on.
+A template renders a list of turns as a string. Turns come in order; each is located by rendering the conversation up to it
+and with it, and comparing the two outputs: what was there must stay, and what is new is the turn's span. A template that
+changes what stood before is reported in ``rewrites``, and its turn's span is what follows the part that stayed.
+
+The prefixes rendered are whole ones, so a template that numbers turns or treats the first one apart is followed, at the cost
+of holding the conversation. A template may declare itself ``append_only``: rendering a conversation is then joining the
+renderings of its turns. Such a one is rendered from the turn before on, and a conversation of any length streams through.
 
 Cases: null roles and texts are empty. Turns of a conversation are ordered by turn (null first), role and text, repeated
-rows included. A null conv_id is a conversation of its own. An empty table gives the rows added by the caller alone.
+rows included. A null conv_id is a conversation of its own. An empty table gives the rows added by the caller alone. Columns
+other than conv_id, turn, role and text are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-Template = Callable[[list[Turn]], str]
+
+
+@dataclass(frozen=True)
+class Template:
+    """``render`` gives a conversation's text, ``read`` a turn's role and where its escaped text begins and ends in its span."""
+
+    render: Callable[[list[Turn]], str]
+    read: Callable[[str], tuple[str, int, int]]
+    unescape: Callable[[str], str] = str
+    append_only: bool = False
+
+
 OPEN, CLOSE, BREAK = "<turn>", "</turn>\n", "\n"
-WINDOW = 16
 OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites", pa.int64())])
 SPANS = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("rewrites", pa.bool_())])
 
@@ -56,20 +71,29 @@ def read_turn(span: str) -> tuple[str, int, int]:
     return "".join([*out, role[at:]]), head + 1, len(span) - len(CLOSE)
 
 
+#: The template of the query.
+TURNS = Template(turn_template, read_turn, unescape, append_only=True)
+
+
 class Renderer:
     """Locates one turn after another of a conversation in the output of ``template``."""
 
-    def __init__(self, template: Template, window: int):
-        self.template, self.window = template, window
+    def __init__(self, template: Template):
+        self.template = template
         self.turns: list[Turn] = []
+        self.before = ""
 
     def add(self, turn: Turn) -> tuple[str, bool]:
         """The span of the next turn, and whether rendering it changed what stood before."""
-        before = self.template(self.turns) if self.turns else ""
-        after = self.template([*self.turns, turn])
-        rewrites = not after.startswith(before)
-        self.turns = [*self.turns, turn][-self.window :]
-        return after[len(before) :], rewrites
+        self.turns.append(turn)
+        after = self.template.render(self.turns)
+        rewrites = not after.startswith(self.before)
+        stayed = len(os.path.commonprefix([after, self.before])) if rewrites else len(self.before)
+        span, self.before = after[stayed:], after
+        if self.template.append_only:
+            self.turns = [turn]
+            self.before = self.template.render(self.turns)
+        return span, rewrites
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -77,26 +101,29 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], template: Template, window: int) -> Iterator[tuple[int | None, bool, str, bool]]:
-    """conv_id, whether the turn is its first, the turn's span, and whether it rewrites."""
+def _streamed(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[int | None, bool, str, str, bool]]:
+    """conv_id, whether the turn is its first, its role, the turn's span, and whether it rewrites."""
     none = object()
-    now, renderer = none, Renderer(template, window)
+    now, renderer = none, Renderer(template)
     for batch in batches:
         for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             new = conv != now if now is not none else True
             if new:
-                now, renderer = conv, Renderer(template, window)
-            yield conv, new, *renderer.add((role, text))
+                now, renderer = conv, Renderer(template)
+            yield conv, new, role, *renderer.add((role, text))
+
 
+def formatted_turns(turns: DataFrame, template: Template = TURNS) -> DataFrame:
+    """A row a turn: its formatted text and, for the assistant's, the characters of it that count for the loss.
 
-def formatted_turns(turns: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row a turn: its formatted text and, for the assistant's, the characters of it that count for the loss. Joined in order the rows are the formatted conversation."""
+    Joined in order the rows are the formatted conversation, unless a turn rewrites; the loss is then not located.
+    """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, number = [], 0
-        for conv, new, span, rewrites in _streamed(batches, turn_template, window):
+        for conv, new, role, span, rewrites in _streamed(batches, template):
             number = 0 if new else number + 1
-            role, start, end = read_turn(span)
+            role, start, end = (role, None, None) if rewrites else template.read(span)
             rows.append((conv, number, span, *((start, end) if role == "assistant" else (None, None)), rewrites))
             if len(rows) == 1_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SPANS, strict=True)], schema=SPANS)
@@ -107,14 +134,14 @@ def formatted_turns(turns: DataFrame, window: int = WINDOW) -> DataFrame:
     return _ordered(turns).mapInArrow(render, "conv_id long, turn_no long, formatted string, loss_start long, loss_end long, rewrites boolean")
 
 
-def digests(turns: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row a conversation, read back from the formatted text: hashes run along, so no conversation is held in memory."""
+def digests(turns: DataFrame, template: Template = TURNS) -> DataFrame:
+    """A row a conversation, read back from the formatted text, but for turns that rewrite; hashes run along."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         conv_now, n, chars, loss_chars, rewritten, all_, loss = None, 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
         batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
-        for conv, new, span, rewrites in _streamed(batches, turn_template, window):
+        for conv, new, role, span, rewrites in _streamed(batches, template):
             if new and n:
                 rows.append((conv_now, n, all_.hexdigest(), loss_chars, loss.hexdigest(), chars, rewritten))
                 n = chars = loss_chars = rewritten = 0
@@ -122,8 +149,10 @@ def digests(turns: DataFrame, window: int = WINDOW) -> DataFrame:
                 if len(rows) == 1_000:
                     yield batch_of()
                     rows.clear()
-            role, start, end = read_turn(span)
-            text = unescape(span[start:end])
+            text = ""
+            if not rewrites:
+                role, start, end = template.read(span)
+                text = template.unescape(span[start:end])
             all_.update(f"{role}\n{text}\n".encode())
             if role == "assistant":
                 loss.update(text.encode())

@@ -152,8 +152,30 @@ def test_chat(spark):
         assert out[conv].turns_sha256 == B.sha("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own))
         assert (out[conv].n_turns, out[conv].loss_chars, out[conv].loss_sha256, out[conv].rewrites) == (len(own), len(loss), B.sha(loss), 0)
         assert out[conv].formatted_chars == len(chat_format.turn_template([(t[2] or "", t[3] or "") for t in own]))
-    renderer = chat_format.Renderer(lambda ts: f"{len(ts)}" + "".join(x for _, x in ts), 4)
-    assert [renderer.add(("user", "a"))[1], renderer.add(("user", "b"))[1]] == [False, True]
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, span string")
+    assert [r.conv_id for r in chat_format.op3_chat_format(empty).collect()] == [-7]
+
+
+def test_chat_templates_see_whole_prefixes(spark):
+    """Forty turns: a template that numbers turns and opens with a preamble, and one that from turn 30 on rewrites the first turn."""
+    turns = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def numbered(ts):
+        return "".join(("<start>" if k == 0 else "") + f"[{k}]{role}:{text};" for k, (role, text) in enumerate(ts))
+
+    def rewriting(ts):
+        return numbered(ts) if len(ts) <= 30 else "<cut>" + numbered(ts)
+
+    def read(span):
+        return span.split("]")[1].split(":")[0], span.index(":") + 1, len(span) - 1
+
+    out = chat_format.formatted_turns(rows, chat_format.Template(numbered, read)).orderBy("turn_no").collect()
+    assert "".join(r.formatted for r in out) == numbered([t[2:] for t in turns])
+    assert [r.formatted[r.loss_start : r.loss_end] for r in out if r.loss_start] == [f"t{k}" for k in range(1, 40, 2)]
+    out = chat_format.formatted_turns(rows, chat_format.Template(rewriting, read)).orderBy("turn_no").collect()
+    assert [r.turn_no for r in out if r.rewrites] == [30]
+    assert chat_format.digests(rows, chat_format.Template(rewriting, read)).first().rewrites == 1
 
 
 def test_secrets(docs, rows, empty):
