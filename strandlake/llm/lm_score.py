@@ -3,10 +3,12 @@
 Base: word counts of the training documents with add-one smoothing, exact for every document. The most frequent words (a
 bounded number) go to every task; what else a document holds is joined.
 
-Model: a causal self-attention layer in numpy over classes of subword ids, times the chance of an id in its class. The
-frequent ids are classes of their own; the others share classes of about equal mass. Class counts come from all training
-documents. The layer's weights start from a bounded sample and are then trained where the data lie: every stored part
-trains on all of its training windows and the weights are averaged by Spark. Texts are scored in overlapping windows, each token once, many windows at a time.
+Model: a causal self-attention layer in numpy over subword ids. The ``OWN_IDS`` most frequent ids have embeddings and outputs
+of their own, the last of them standing for all rarer ids, which share its chance by their counts; on byte-level ids of prose
+the own ones are nearly all tokens. The chance of an id is that of its group of ``GROUP`` ids times that within the group, both
+from the layer. Id counts come from all training documents and are where the outputs begin. The layer's weights start from a
+bounded sample of documents and are then trained where the data lie: every stored part trains on all of its training windows and
+the weights are averaged by Spark. Texts are scored in overlapping windows, each token once, many windows at a time.
 
 Cases: a null text is empty and has its end alone. A null doc_id counts as training. Repeated rows come back each. Without
 training documents all counts are 0. An empty table gives none.
@@ -23,21 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.subwords import block_encoder
-from strandlake.llm.tables import stored
+from strandlake.llm.tables import bitmap_of, held, places, stored
 from strandlake.llm.textblocks import blocks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 N_IDS, END = 50_257, 50_256
-OWN_CLASSES, SHARED_CLASSES = 64, 32
-CLASSES = OWN_CLASSES + SHARED_CLASSES
-START = CLASSES  # what stands before a text
+GROUPS = GROUP = 64
+OWN_IDS = GROUPS * GROUP
+REST, START = OWN_IDS - 1, OWN_IDS  # all rarer ids; what stands before a text
 WIDTH, WINDOW, OVERLAP = 16, 32, 8
 STEP = WINDOW - OVERLAP
 BATCH = 256
-#: Bounds: words that go to every task, documents and steps of the first fit.
-HEAD_WORDS, FIRST_DOCS, FIRST_STEPS = 300_000, 400, 300
-#: Documents whose windows are shuffled together in the second fit.
-TRAIN_DOCS = 256
+#: Bounds: words that go to every task (a power of two of occurrences is the border), documents and steps of the first fit.
+HEAD_WORDS, FIRST_DOCS, FIRST_STEPS = 300_000, 400, 400
+#: Documents whose windows are shuffled together in the second fit, and bits of the bitmap of the words that are joined, 8 MB.
+TRAIN_DOCS, TAIL_BITS = 256, 26
 END_WORD = np.uint64(0xE17A_0E17_A0E1_7A0E)
 TEXTS = "doc_id long, held_out boolean, text string, ids binary, word long, times long"
 
@@ -49,18 +51,31 @@ def held_out(doc_id: str = "doc_id"):
 # ---------------------------------------------------------------- the attention layer
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
 @dataclass
 class Layer:
-    """Embeddings of classes and places, one attention head with a residual, and the output over classes."""
+    """Embeddings of ids and places, one attention head with a residual, and the outputs over groups and within each group."""
 
     p: dict[str, np.ndarray]
 
-    SHAPES = {"e": (CLASSES + 1, WIDTH), "pos": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}  # noqa: RUF012
+    SHAPES = {"e": (OWN_IDS + 1, WIDTH), "pos": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (WIDTH, GROUPS), "b": (GROUPS,), "w": (GROUPS, WIDTH, GROUP), "c": (GROUPS, GROUP)}  # noqa: RUF012
 
     @classmethod
-    def new(cls, seed: int = 7) -> Layer:
+    def new(cls, counts: np.ndarray, seed: int = 7) -> Layer:
+        """Random but for the outputs, which begin at the own ids' counts."""
         rng = np.random.default_rng(seed)
-        return cls({n: (rng.normal(size=s) * (0.0 if n == "b" else 0.25)).astype(np.float32) for n, s in cls.SHAPES.items()})
+        p = {n: (rng.normal(size=s) * 0.25).astype(np.float32) for n, s in cls.SHAPES.items()}
+        table = np.log(counts.reshape(GROUPS, GROUP) + 0.5)
+        p["b"] = np.log(np.exp(table).sum(1)).astype(np.float32)
+        p["b"] -= p["b"].max()
+        p["c"] = (table - table.max(1, keepdims=True)).astype(np.float32)
+        p["w"] *= 0.2
+        return cls(p)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
@@ -74,7 +89,7 @@ class Layer:
         return cls(out)
 
     def forward(self, c: np.ndarray) -> dict[str, np.ndarray]:
-        """c: classes before each target, windows by places."""
+        """c: ids before each target, windows by places."""
         p = self.p
         x = np.take(p["e"], c, axis=0)
         x += p["pos"]
@@ -84,59 +99,85 @@ class Layer:
         np.minimum(s, 60, out=s)
         a = np.exp(s, out=s)
         a *= _MASK
+        a /= (a @ _ONES)[:, :, None]
         h = np.matmul(a, v)
-        h /= (a @ _ONES)[:, :, None]
         h += x
-        z = h.reshape(-1, WIDTH) @ p["u"]
-        z += p["b"]
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h, "z": z}
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h.reshape(-1, WIDTH)}
+
+    def _by_group(self, h: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each group that has targets, their places, and the log chances within it."""
+        order = np.argsort(targets // GROUP, kind="stable")
+        groups = targets[order] // GROUP
+        edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else []
+        for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
+            g = int(groups[s])
+            yield g, order[s:e], log_softmax(h[order[s:e]] @ self.p["w"][g] + self.p["c"][g])
 
     def log_chance(self, c: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log of the chance of each target class (negative ones: none, 0)."""
-        z = self.forward(c)["z"]
+        """Natural log of the chance of each target id (negative ones: none, 0)."""
         flat = targets.ravel()
-        np.clip(z, -80, 80, out=z)
-        own = np.take_along_axis(z, np.maximum(flat, 0)[:, None], 1)[:, 0]
-        return np.where(flat >= 0, own - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32)), 0).reshape(targets.shape)
+        real = np.flatnonzero(flat >= 0)
+        h, t = self.forward(c)["h"][real], flat[real]
+        own = log_softmax(h @ self.p["u"] + self.p["b"])[np.arange(len(t)), t // GROUP]
+        for _, at, within in self._by_group(h, t):
+            own[at] += within[np.arange(len(at)), t[at] % GROUP]
+        out = np.zeros(len(flat))
+        out[real] = own
+        return out.reshape(targets.shape)
 
     def train_step(self, c: np.ndarray, targets: np.ndarray, state: dict[str, tuple[np.ndarray, np.ndarray]], t: int, rate: float) -> float:
         f, p = self.forward(c), self.p
         flat = targets.ravel()
-        real = flat >= 0
-        z = f["z"] - f["z"].max(1, keepdims=True)
-        f["a"] /= f["a"].sum(2, keepdims=True)
-        y = np.exp(z)
-        y /= y.sum(1, keepdims=True)
-        loss = -np.log(y[np.arange(len(flat)), np.maximum(flat, 0)][real] + 1e-30).mean() if real.any() else 0.0
-        y[np.arange(len(flat)), np.maximum(flat, 0)] -= 1
-        y *= real[:, None] / max(1, real.sum())
-        h = f["h"].reshape(-1, WIDTH)
-        g = {"u": h.T @ y, "b": y.sum(0)}
-        dh = (y @ p["u"].T).reshape(f["h"].shape)
+        real = np.flatnonzero(flat >= 0)
+        if not len(real):
+            return 0.0
+        h, want = f["h"][real], flat[real]
+        share, rows = np.float32(1 / len(real)), np.arange(len(real))
+        logs = log_softmax(h @ p["u"] + p["b"])
+        loss = -float(logs[rows, want // GROUP].sum())
+        y = np.exp(logs)
+        y[rows, want // GROUP] -= 1
+        y *= share
+        g = {"u": h.T @ y, "b": y.sum(0), "w": np.zeros_like(p["w"]), "c": np.zeros_like(p["c"])}
+        d_real = y @ p["u"].T
+        for group, at, within in self._by_group(h, want):
+            loss -= float(within[np.arange(len(at)), want[at] % GROUP].sum())
+            y = np.exp(within)
+            y[np.arange(len(at)), want[at] % GROUP] -= 1
+            y *= share
+            g["w"][group], g["c"][group] = h[at].T @ y, y.sum(0)
+            d_real[at] += y @ p["w"][group].T
+        dh = np.zeros_like(f["h"])
+        dh[real] = d_real
+        dh = dh.reshape(f["x"].shape)
         dv = np.matmul(f["a"].transpose(0, 2, 1), dh)
         da = np.matmul(dh, f["v"].transpose(0, 2, 1))
         ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, f["k"]) / np.float32(WIDTH**0.5), np.matmul(ds.transpose(0, 2, 1), f["q"])
+        dq, dk = np.matmul(ds, f["k"]) / np.float32(WIDTH**0.5), np.matmul(ds.transpose(0, 2, 1), f["q"] * np.float32(1))
         x = f["x"].reshape(-1, WIDTH)
         g |= {n: x.T @ d.reshape(-1, WIDTH) for n, d in (("q", dq), ("k", dk), ("v", dv))}
         dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
         g["pos"] = dx.sum(0)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], c.ravel(), dx.reshape(-1, WIDTH))
+        ids, dx = c.ravel(), dx.reshape(-1, WIDTH)
+        g["e"] = np.stack([np.bincount(ids, dx[:, i], OWN_IDS + 1) for i in range(WIDTH)], 1).astype(np.float32)
         for n, d in g.items():
-            m, v = state.get(n, (np.zeros_like(d), np.zeros_like(d)))
-            m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
-            state[n] = m, v
-            p[n] = (p[n] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        return float(loss)
+            if n not in state:
+                state[n] = np.zeros_like(p[n]), np.zeros_like(p[n])
+            m, v = state[n]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * d * d
+            p[n] -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        return loss / len(real)
 
 
 _MASK = np.tri(WINDOW, dtype=np.float32)
 _ONES = np.ones(WINDOW, np.float32)
 
 
-def class_windows(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets of all windows of consecutive texts, the row of each window, and places of targets in ``classes``.
+def id_windows(own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets of all windows of consecutive texts, the row of each window, and places of targets in ``own``.
 
     A target that an earlier window scores is -1, and so is what stands behind the text's end.
     """
@@ -148,34 +189,34 @@ def class_windows(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     inside = place < sizes[row][:, None]
     at = np.where(inside, bounds[row][:, None] + place, 0)
     fresh = inside & ((number[:, None] == 0) | (np.arange(WINDOW) >= OVERLAP))
-    before = np.where(place == 0, START, classes[np.maximum(at - 1, 0)])
-    return np.where(inside, before, START), np.where(fresh, classes[at], -1), row, at
+    before = np.where(place == 0, START, own[np.maximum(at - 1, 0)])
+    return np.where(inside, before, START), np.where(fresh, own[at], -1), row, at
 
 
 @dataclass
-class IdClasses:
-    """The class of every id, and the natural log of the id's chance within its class."""
+class OwnIds:
+    """The own id of every id, the counts of the own ids, and the natural log of a rarer id's share of ``REST``."""
 
     of: np.ndarray
+    counts: np.ndarray
     log_share: np.ndarray
 
     @classmethod
-    def counted(cls, counts: np.ndarray) -> IdClasses:
+    def counted(cls, counts: np.ndarray) -> OwnIds:
         order = np.lexsort((np.arange(N_IDS), -counts))
-        of = np.zeros(N_IDS, np.int64)
-        of[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
-        rest = order[OWN_CLASSES:]
-        mass = np.cumsum(counts[rest] + 1.0)
-        of[rest] = OWN_CLASSES + np.minimum(SHARED_CLASSES - 1, (mass - counts[rest] - 1) * SHARED_CLASSES // mass[-1]).astype(np.int64)
-        total = np.bincount(of, counts + 1.0, CLASSES)
-        return cls(of, (np.log(counts + 1.0) - np.log(total[of])).astype(np.float32))
+        of = np.full(N_IDS, REST, np.int64)
+        of[order[:REST]] = np.arange(REST)
+        rare = of == REST
+        log_share = np.zeros(N_IDS, np.float32)
+        log_share[rare] = np.log(counts[rare] + 1.0) - np.log((counts[rare] + 1.0).sum())
+        return cls(of, np.bincount(of, counts, OWN_IDS), log_share)
 
 
 def fitted(layer: Layer, inputs: np.ndarray, targets: np.ndarray, steps: int, rate: float, seed: int = 3) -> Layer:
     rng, state = np.random.default_rng(seed), {}
     for t in range(1, steps + 1):
-        some = rng.integers(0, len(inputs), 64)
-        layer.train_step(inputs[some], targets[some], state, t, rate * (1 - 0.8 * t / steps))
+        some = rng.integers(0, len(inputs), BATCH)
+        layer.train_step(inputs[some], targets[some], state, t, rate * (1 - 0.9 * t / steps))
     return layer
 
 
@@ -226,7 +267,8 @@ def _id_counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_IDS, np.int64)
         for batch in batches:
-            total += np.bincount(_with_end(batch.column(0))[0], minlength=N_IDS)
+            for first in range(0, batch.num_rows, TRAIN_DOCS):
+                total += np.bincount(_with_end(batch.column(0).slice(first, TRAIN_DOCS))[0], minlength=N_IDS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -236,41 +278,43 @@ def _id_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def trained_part(layer: Layer, classes: IdClasses, columns: Iterator[pa.Array]) -> int:
+def trained_part(layer: Layer, own: OwnIds, columns: Iterator[pa.Array]) -> int:
     """Trains on every window of the ids in ``columns``; the number of steps."""
     rng, state, t = np.random.default_rng(3), {}, 0
     for column in columns:
         for first in range(0, len(column), TRAIN_DOCS):
             flat, bounds = _with_end(column.slice(first, TRAIN_DOCS))
-            inputs, targets, _, _ = class_windows(classes.of[flat], bounds)
+            inputs, targets, _, _ = id_windows(own.of[flat], bounds)
             order = rng.permutation(len(inputs))
-            for k in range(0, len(order), 64):
+            for k in range(0, len(order), BATCH):
                 t += 1
-                some = order[k : k + 64]
+                some = order[k : k + BATCH]
                 layer.train_step(inputs[some], targets[some], state, t, 0.003)
     return t
 
 
-def train(texts: DataFrame) -> tuple[Layer, IdClasses]:
-    """Class counts over all training texts, a first fit on a bounded sample, and a second one averaged over all parts."""
-    classes = IdClasses.counted(_id_counts(texts))
+def train(texts: DataFrame) -> tuple[Layer, OwnIds]:
+    """Id counts over all training texts, a first fit on a bounded sample, and a second one averaged over all parts."""
+    own = OwnIds.counted(_id_counts(texts))
+    layer = Layer.new(own.counts)
     learn = texts.where("not held_out").select("doc_id", "ids")
-    first = learn.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("ids", 1, 8_192).alias("ids")).limit(FIRST_DOCS).toArrow().combine_chunks()
-    flat, bounds = _with_end(first.column("ids"))
-    inputs, targets, _, _ = class_windows(classes.of[flat], bounds)
-    if not len(inputs):
-        return Layer.new(), classes
-    start = fitted(Layer.new(), inputs, targets, FIRST_STEPS, 0.02).flat()
+    ids = learn.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(FIRST_DOCS).select("doc_id").distinct()
+    first = learn.join(F.broadcast(ids), "doc_id", "left_semi").select("ids").limit(FIRST_DOCS).toArrow().combine_chunks()
+    parts = [id_windows(own.of[flat], bounds)[:2] for flat, bounds in (_with_end(first.column("ids").slice(k, 32)) for k in range(0, first.num_rows, 32))]
+    if not parts:
+        return layer, own
+    inputs, targets = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    start = fitted(layer, inputs, targets, FIRST_STEPS, 0.02).flat()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer = Layer.of(start)
-        t = trained_part(layer, classes, (batch.column(0) for batch in batches))
+        t = trained_part(layer, own, (batch.column(0) for batch in batches))
         if t:
             w = layer.flat().astype(np.float64) * t
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), t))], names=["place", "weighted", "steps"])
 
     rows = learn.select("ids").mapInArrow(local, "place long, weighted double, steps long").groupBy("place").agg((F.sum("weighted") / F.sum("steps")).alias("w")).orderBy("place").toArrow()
-    return (Layer.of(rows.column("w").to_numpy()) if rows.num_rows else Layer.of(start)), classes
+    return (Layer.of(rows.column("w").to_numpy()) if rows.num_rows else Layer.of(start)), own
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -279,26 +323,27 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = stored(table.where("word is not null").groupBy("word").agg(F.sum("times").alias("times")), "lm-words")
     total = counts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, base_log = total["n"], float(np.log10(total["n"] + total["v"] + 1))
-    # the least count with which a word belongs to the head, so that the head has at most HEAD_WORDS words
-    steps = counts.groupBy(F.least("times", F.lit(10_000)).alias("times")).count().orderBy(F.desc("times")).collect()
-    least, sum_ = 10_001, 0
+    # words of 2^k occurrences or more belong to the head, k the least with which it has at most HEAD_WORDS words
+    steps = counts.groupBy(F.floor(F.log2("times")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
+    power, sum_ = 62, 0
     for r in steps:
         sum_ += r["count"]
         if sum_ > HEAD_WORDS:
             break
-        least = r["times"]
-    head = counts.where(F.col("times") >= least).toArrow()
+        power = r["k"]
+    is_head = F.floor(F.log2("times")).cast("int") >= power
+    head, tail = counts.where(is_head).toArrow(), counts.where(~is_head)
     words = head.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     texts = table.where("ids is not null")
-    layer, classes = train(texts)
-    shared = docs.sparkSession.sparkContext.broadcast((words[order], head.column("times").to_numpy()[order], layer.flat(), classes))
-    return _scored(texts, counts.where(F.col("times") < least), shared, n_train, base_log)
+    layer, own = train(texts)
+    shared = docs.sparkSession.sparkContext.broadcast((words[order], head.column("times").to_numpy()[order], bitmap_of(tail.select("word"), TAIL_BITS), layer.flat(), own))
+    return _scored(texts, tail, shared, n_train, base_log)
 
 
 def _scored(texts: DataFrame, tail: DataFrame, shared, n_train: int, base_log: float) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, times, flat_layer, classes = shared.value
+        words, times, tail_bits, flat_layer, own_ids = shared.value
         layer, logs = Layer.of(flat_layer), np.log10(times + 1.0)
         for batch in batches:
             for block in blocks(batch.column(2)):
@@ -313,14 +358,16 @@ def _scored(texts: DataFrame, tail: DataFrame, shared, n_train: int, base_log: f
                 sums = np.bincount(rows, own, block.rows)
                 n_known = np.bincount(rows, known, block.rows).astype(np.int64)
                 n_tokens = np.bincount(rows, minlength=block.rows)
-                rest = np.flatnonzero(~known)
+                # what no training text has needs no join: its count is 0
+                maybe = held(tail_bits, places([keys.view(np.int64)], TAIL_BITS))[which]
+                rest = np.flatnonzero(~known & maybe)
                 rest = rest[np.lexsort((which[rest], rows[rest]))]
                 edge = np.flatnonzero(np.concatenate([[True], (rows[rest][1:] != rows[rest][:-1]) | (which[rest][1:] != which[rest][:-1])])) if len(rest) else np.zeros(0, np.int64)
                 repeat = np.diff(np.append(edge, len(rest)))
                 heads = rest[edge] if len(rest) else rest
                 cuts = np.searchsorted(rows[heads], np.arange(block.rows + 1)).astype(np.int32)
                 listed = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (hashes[heads].view(np.int64), repeat.astype(np.int64))]
-                found = _text_scores(layer, classes, part.column(3))
+                found = _text_scores(layer, own_ids, part.column(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(found), *listed], names=["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "words", "times"])
 
     scored = texts.select("doc_id", "held_out", "text", "ids").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, words array<long>, times array<long>")
@@ -336,11 +383,10 @@ def _scored(texts: DataFrame, tail: DataFrame, shared, n_train: int, base_log: f
     )
 
 
-def _text_scores(layer: Layer, classes: IdClasses, ids: pa.Array) -> np.ndarray:
+def _text_scores(layer: Layer, own: OwnIds, ids: pa.Array) -> np.ndarray:
     flat, bounds = _with_end(ids)
-    own = classes.of[flat]
-    within = np.add.reduceat(classes.log_share[flat].astype(np.float64), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
-    inputs, targets, row, _ = class_windows(own, bounds)
+    within = np.add.reduceat(own.log_share[flat].astype(np.float64), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+    inputs, targets, row, _ = id_windows(own.of[flat], bounds)
     total = np.zeros(len(bounds) - 1)
     for k in range(0, len(inputs), BATCH):
         chance = layer.log_chance(inputs[k : k + BATCH], targets[k : k + BATCH])

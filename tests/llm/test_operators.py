@@ -251,10 +251,31 @@ def test_lm(docs, rows, empty):
     assert lm_score.scores(empty).count() == 0
 
 
+def test_lm_gradients():
+    """The loss falls along the gradient, and chances of all ids sum to one."""
+    rng = np.random.default_rng(1)
+    counts = np.bincount(rng.zipf(1.5, 5000) % lm_score.OWN_IDS, minlength=lm_score.OWN_IDS)
+    layer = lm_score.Layer.new(counts)
+    ids = np.where(np.arange(8000) % 2, np.arange(8000) // 2 % 40 * 90, rng.integers(0, 200, 8000))
+    inputs, targets, _, _ = lm_score.id_windows(ids, np.array([0, 3000, 8000]))
+    before = layer.log_chance(inputs, targets).sum()
+    lm_score.fitted(layer, inputs, targets, 60, 0.02)
+    assert layer.log_chance(inputs, targets).sum() > 0.8 * before > before
+    one = np.full((1, lm_score.WINDOW), lm_score.START)
+    logs = []
+    for k in range(0, lm_score.OWN_IDS, lm_score.WINDOW):
+        t = np.full((1, lm_score.WINDOW), -1)
+        for j in range(lm_score.WINDOW):
+            t[0] = -1
+            t[0, 0] = k + j
+            logs.append(layer.log_chance(one, t)[0, 0])
+    assert abs(np.exp(logs).sum() - 1) < 1e-3
+
+
 def test_lm_windows_score_each_token_once():
     bounds = np.array([0, 1, 33, 33, 133])
     classes = np.arange(133) % 7
-    _, targets, row, at = lm_score.class_windows(classes, bounds)
+    _, targets, row, at = lm_score.id_windows(classes, bounds)
     places = at[targets >= 0]
     assert sorted(places) == list(range(133))
     assert (classes[places] == targets[targets >= 0]).all()
@@ -393,14 +414,14 @@ def test_lm_trains_on_every_window(monkeypatch):
 
     rng, seen = np.random.default_rng(2), []
     texts = [rng.integers(0, 500, n).astype("<u2") for n in (0, 1, 40, 700, 9000, *[30] * 300)]
-    classes = lm_score.IdClasses.counted(np.bincount(np.concatenate(texts), minlength=lm_score.N_IDS))
+    classes = lm_score.OwnIds.counted(np.bincount(np.concatenate(texts), minlength=lm_score.N_IDS))
     monkeypatch.setattr(lm_score.Layer, "train_step", lambda self, c, targets, *a: seen.append(targets.copy()))
     column = pa.array([t.tobytes() for t in texts], pa.binary())
-    steps = lm_score.trained_part(lm_score.Layer.new(), classes, iter([column.slice(0, 100), column.slice(100)]))
+    steps = lm_score.trained_part(lm_score.Layer.new(classes.counts), classes, iter([column.slice(0, 100), column.slice(100)]))
     found = np.concatenate([t.ravel() for t in seen])
     want = np.concatenate([classes.of[[*t, lm_score.END]] for t in texts])
     assert steps == len(seen)
-    assert np.array_equal(np.bincount(found[found >= 0], minlength=lm_score.CLASSES), np.bincount(want, minlength=lm_score.CLASSES))
+    assert np.array_equal(np.bincount(found[found >= 0], minlength=lm_score.OWN_IDS), np.bincount(want, minlength=lm_score.OWN_IDS))
 
 
 def test_license_notice_in_a_long_block(spark):
