@@ -33,11 +33,11 @@ N_IDS, END = 50_257, 50_256
 GROUPS = GROUP = 64
 OWN_IDS = GROUPS * GROUP
 REST, START = OWN_IDS - 1, OWN_IDS  # all rarer ids; what stands before a text
-WIDTH, WINDOW, OVERLAP = 16, 32, 8
+WIDTH, WINDOW, OVERLAP = 24, 32, 8
 STEP = WINDOW - OVERLAP
 BATCH = 256
 #: Bounds: words that go to every task (a power of two of occurrences is the border), documents and steps of the first fit.
-HEAD_WORDS, FIRST_DOCS, FIRST_STEPS = 300_000, 400, 400
+HEAD_WORDS, FIRST_DOCS, FIRST_STEPS = 300_000, 400, 800
 #: Documents whose windows are shuffled together in the second fit, and bits of the bitmap of the words that are joined, 8 MB.
 TRAIN_DOCS, TAIL_BITS = 256, 26
 END_WORD = np.uint64(0xE17A_0E17_A0E1_7A0E)
@@ -304,7 +304,7 @@ def train(texts: DataFrame) -> tuple[Layer, OwnIds]:
     if not parts:
         return layer, own
     inputs, targets = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    start = fitted(layer, inputs, targets, FIRST_STEPS, 0.02).flat()
+    start = fitted(layer, inputs, targets, FIRST_STEPS, 0.015).flat()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer = Layer.of(start)

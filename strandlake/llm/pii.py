@@ -1,10 +1,12 @@
 """Personal data: base patterns, and candidates judged by gradient-boosted trees.
 
 Generators propose overlapping spans with high recall. Each span gets format and context features, boosted trees of depth
-two score it, and spans over a calibrated threshold are redacted beside the base ones. The trees are fitted on the driver
-to a bounded sample of candidates (``SAMPLE_ROWS``, the first by hash), labelled by whether a valid base span covers them;
-the threshold is the lowest that reaches ``PRECISION`` on the quarter of the sample held out. The fitted trees become CASE
-expressions, so the scan itself is one pass of built-in functions without a shuffle.
+two score it, and spans over a calibrated threshold are redacted beside the base ones. The trees are fitted on the driver to a
+bounded sample: candidates of about ``SAMPLE_DOCS`` documents, by hash, ``SAMPLE_ROWS`` at most, labelled by whether a valid base span covers
+them, and forms of personal data that the base patterns cannot see, made from the base spans of the sample and what stands before them: mail
+addresses with (at) and (dot), telephone numbers without the plus, account numbers. The threshold is the lowest that reaches
+``PRECISION`` on the quarter of the sample held out. The fitted trees become CASE expressions, so the scan itself is one pass of
+built-in functions without a shuffle.
 
 Cases: a null text is empty; repeated rows give repeated rows; an empty table gives none. Spans of the trees never overlap
 base spans. Very long runs of digits are matched without recursion.
@@ -13,11 +15,14 @@ base spans. Very long runs of digits are matched without recursion.
 from __future__ import annotations
 
 import math
+import random
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.secret_scan import sample_of
 from strandlake.llm.spans import joined, matches, overlapping, tagged
 
 # fixed values: the base patterns, with possessive quantifiers where that changes nothing but the time
@@ -33,8 +38,8 @@ GENERATORS = (
     r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b",
 )
 CONTEXT = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|visa|account|iban|address|\bip\b|reach)"
-SAMPLE_ROWS, ROUNDS, RATE, PRECISION = 4_000, 16, 0.3, 0.95
-FEATURES = ("digits", "length", "separators", "letters", "plus", "at", "parens", "groups", "context", "colon", "luhn")
+SAMPLE_DOCS, SAMPLE_ROWS, MADE_ROWS, ROUNDS, RATE, PRECISION = 20_000, 4_000, 600, 24, 0.3, 0.95
+FEATURES = ("digits", "length", "separators", "letters", "plus", "at", "parens", "groups", "context", "colon", "luhn", "marked", "account", "zero")
 
 
 def digits_of(value: Column) -> Column:
@@ -73,7 +78,7 @@ def candidates(text: Column, base: Column) -> Column:
         values = {
             "digits": count("[0-9]"), "length": F.char_length(v).cast("double"), "separators": count(r"[\x20./-]"), "letters": count("[A-Za-z]"),
             "plus": v.startswith("+").cast("double"), "at": v.rlike(r"@|\(at\)|\[at\]").cast("double"), "parens": count("[()]"), "groups": F.size(F.split(v, "[^0-9]+")).cast("double"),
-            "context": before.rlike(CONTEXT).cast("double"), "colon": before.rlike(r"[:=]\x20?$").cast("double"), "luhn": (luhn(v) & (F.char_length(digits_of(v)) >= 12)).cast("double"),
+            "context": before.rlike(CONTEXT).cast("double"), "colon": before.rlike(r"[:=]\x20?$").cast("double"), "marked": v.rlike(r"[(\[](?:at|dot)[)\]]").cast("double"), "account": v.rlike("^[A-Z]{2}[0-9]{2}").cast("double"), "zero": v.rlike(r"^\(?0").cast("double"), "luhn": (luhn(v) & (F.char_length(digits_of(v)) >= 12)).cast("double"),
         }
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), overlapping(s, base).alias("covered"), *(values[k].alias(k) for k in FEATURES))
 
@@ -162,10 +167,58 @@ def _found(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "_t", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base"))
 
 
+def account_number(country: str, digits: str) -> str:
+    """With the check digits of the international standard."""
+    rest = digits + "".join(str(ord(c) - 55) for c in country) + "00"
+    return f"{country}{98 - int(rest) % 97:02d}{digits}"
+
+
+def made_texts(found: list[tuple[str, str, str]], seed: int = 5) -> list[tuple[str, str, str]]:
+    """(before, value, after) in forms that the base patterns do not see, from (kind, before, value) of base spans."""
+    rng = random.Random(seed)
+    leads = {"email": ["mail ", "contact: ", "reach me at "], "phone": ["call ", "tel. ", "phone: ", "fax "], "account": ["account ", "IBAN: ", "pay to "]}
+    out = []
+    for kind, before, value in found:
+        if kind == "email":
+            at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", ".")])
+            name, host = value.split("@", 1)
+            form = name + at + host.replace(".", dot)
+        elif kind == "phone":
+            digits = re.sub("[^0-9]", "", value)
+            gap = rng.choice([" ", "-", "/"])
+            form = rng.choice(["0", "00"]) + digits[:3] + gap + digits[3:6] + gap + digits[6:]
+        else:
+            digits = "".join(rng.choices("0123456789", k=rng.choice([16, 18, 20])))
+            form = account_number(rng.choice(["DE", "FR", "ES", "GB"]), digits)
+            if rng.random() < 0.5:
+                form = " ".join(form[k : k + 4] for k in range(0, len(form), 4))
+            kind = "account"
+        lead = before if rng.random() < 0.5 else before[:8] + " " + rng.choice(leads[kind])
+        out.append((lead, form, rng.choice([".", " ", ", and", "\n"])))
+    return out
+
+
+def _sample(docs: DataFrame) -> DataFrame:
+    return _found(sample_of(docs.select("doc_id", F.col("text").cast("string").alias("text")), SAMPLE_DOCS))
+
+
 def train(docs: DataFrame) -> Model:
-    rows = _found(docs).select("doc_id", F.explode(candidates(F.col("_t"), F.col("base"))).alias("c"))
-    sample = rows.orderBy(F.xxhash64("doc_id", "c.start", "c.end"), "doc_id", "c.start").limit(SAMPLE_ROWS).select(*(F.col(f"c.{k}") for k in FEATURES), "c.covered").collect()
-    return fit([[float(r[k]) for k in FEATURES] for r in sample], [int(r["covered"]) for r in sample])
+    features = lambda c: [*(F.col(f"{c}.{k}") for k in FEATURES)]
+    sample = _sample(docs)
+    rows = sample.select("doc_id", F.explode(candidates(F.col("_t"), F.col("base"))).alias("c"))
+    rows = rows.orderBy(F.xxhash64("doc_id", "c.start", "c.end"), "doc_id", "c.start").limit(SAMPLE_ROWS).select(*features("c"), "c.covered").collect()
+    xs, ys = [[float(r[k]) for k in FEATURES] for r in rows], [int(r["covered"]) for r in rows]
+    spans = sample.select("doc_id", "_t", F.explode("base").alias("s")).select("doc_id", "s.kind", F.substring("_t", F.greatest(F.lit(1), F.col("s.start") - 23), F.least(F.col("s.start"), F.lit(24))).alias("before"), F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    found = spans.orderBy(F.xxhash64("doc_id", "value"), "doc_id", "value").limit(MADE_ROWS).collect()
+    made = made_texts([(r["kind"], r["before"], r["value"]) for r in found])
+    if made:
+        texts = docs.sparkSession.createDataFrame([(i, a + v + z, len(a), len(a) + len(v)) for i, (a, v, z) in enumerate(made)], "i int, _t string, s int, e int")
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        some = texts.select("i", "s", "e", F.explode(candidates(F.col("_t"), none)).alias("c")).where("c.start >= s - 2 and c.end <= e + 1 and c.end - c.start >= 0.8 * (e - s)")
+        for r in some.orderBy("i", "c.start").select(*features("c")).collect():
+            xs.append([float(r[k]) for k in FEATURES])
+            ys.append(1)
+    return fit(xs, ys)
 
 
 def personal_data(docs: DataFrame, model: Model) -> DataFrame:

@@ -195,9 +195,9 @@ def test_markov_tells_random_strings(spark):
     key = lambda n: "".join(rng.choices(alphabet, k=n))
     words = "configuration parameter interpolation_method transformation representative administration documentation".split()
     rows = [(i, f"token={key(40)} " + " ".join(rng.choices(words, k=40))) for i in range(300)]
-    ratios = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
     test = [(0, f"see {key(32)} here"), (1, "see transformation_configuration here"), (2, f"({key(28)})")]
-    out = {r.doc_id: len(r.spans) for r in secret_scan.secrets(spark.createDataFrame(test, "doc_id long, text string"), ratios).collect()}
+    out = {r.doc_id: len(r.spans) for r in secret_scan.secrets(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
     assert out == {0: 1, 1: 0, 2: 1}
 
 
@@ -211,6 +211,37 @@ def test_pii(docs, rows, empty):
     assert pii.op9_pii(empty).count() == 0
 
 
+def test_markov_threshold_on_held_out_strings():
+    """Precision and recall on keys and identifiers of words that the models have not seen."""
+    rng = random.Random(11)
+    syllables = "con fig ura tion par am eter in ter pol ate re pre sent doc u ment ad min is trans form val id com put er net work".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(3, 5)))
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    model = secret_scan.fit([word() for _ in range(2000)], [key(32) for _ in range(400)])
+    keys = [model.mean(key(rng.randint(20, 40))) >= model.threshold for _ in range(500)]
+    names = [model.mean("_".join(word() for _ in range(3))) >= model.threshold for _ in range(500)]
+    assert np.mean(keys) >= 0.95 and np.mean(names) <= 0.01
+
+
+def test_boosted_trees_add_spans_that_base_patterns_miss(spark):
+    """Disguised addresses, national telephone numbers and account numbers are added; numbers of other kinds are not."""
+    rng = random.Random(12)
+    words = "the of and river stone house under light after morning between country little never letter".split()
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    mail = lambda: f"{rng.choice(words)}.{rng.choice(words)}@{rng.choice(words)}.com"
+    phone = lambda: f"+{rng.randint(10, 99)} {rng.randint(100, 999)} {rng.randint(100000, 999999)}"
+    plain = lambda: rng.choice([f"{rng.randint(10**7, 10**9)}", f"{rng.randint(1990, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}"])
+    rows = [(i, f"{prose(9)} {rng.choice([mail, phone, plain, plain])()} {prose(6)}") for i in range(900)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    hidden = [f"{prose(7)} mail jane{i}(at)example(dot)org {prose(3)}" for i in range(20)] + [f"{prose(7)} tel. 0{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(10**5, 10**6 - 1)} {prose(3)}" for _ in range(20)]
+    hidden += [f"{prose(7)} IBAN: {pii.account_number('DE', str(rng.randint(10**17, 10**18 - 1)))} {prose(3)}" for _ in range(20)]
+    other = [f"{prose(7)} {plain()} {prose(3)}" for _ in range(60)]
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(hidden + other)), "doc_id long, text string"), model).collect()
+    added = {r.doc_id: len(r.spans) - len(r.base) for r in found}
+    recall, false = np.mean([added[i] > 0 for i in range(60)]), np.mean([added[i] > 0 for i in range(60, 120)])
+    assert recall >= 0.8 and false <= 0.1, (recall, false)
+
+
 def test_boosted_trees_learn():
     rng = random.Random(2)
     xs = [[rng.random() for _ in pii.FEATURES] for _ in range(800)]
