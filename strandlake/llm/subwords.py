@@ -11,7 +11,7 @@ import numpy as np
 
 from strandlake.llm.textblocks import Block
 
-#: Words remembered in each Python worker; the cache starts anew when full.
+#: Words remembered by a task; the cache starts anew when full.
 CACHE_WORDS = 200_000
 _LONGEST = 48
 _SPACE, _RARE = np.zeros(256, bool), np.zeros(256, bool)
@@ -191,6 +191,9 @@ def subwords(name: str) -> Subwords:
     return Subwords(name)
 
 
-@functools.cache
 def block_encoder(name: str, added: tuple[tuple[str, int], ...] = ()) -> BlockEncoder:
-    return BlockEncoder(subwords(name), added)
+    """A new encoder for a task; the words remembered go with it, so that they do not stay in a worker's memory."""
+    words = subwords(name)
+    words.inner.clear()
+    words.leading.clear()
+    return BlockEncoder(words, added)

@@ -91,9 +91,12 @@ class Block:
 
 
 def blocks(column: pa.Array) -> Iterator[Block]:
-    """Blocks of a string column; a null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    raw = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    """Blocks of a string column; a null counts as empty. The bytes are not copied unless there are nulls."""
+    column = column.fill_null("") if column.null_count else column
+    size = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    raw = np.zeros(1, np.int64)
+    if len(column):
+        raw = np.frombuffer(column.buffers()[1], size)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
