@@ -12,7 +12,7 @@ import numpy as np
 from strandlake.llm.textblocks import Block
 
 #: Words remembered by a task; the cache starts anew when full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 _LONGEST = 48
 _SPACE, _RARE = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
