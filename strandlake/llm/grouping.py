@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.tables import cut, may_be_in, stored
+from strandlake.llm.textblocks import trimmed
 
 #: Members and bytes of a block; two blocks are compared in one step.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
@@ -166,7 +167,7 @@ def _star_links(multi: DataFrame, weights: DataFrame, payload: DataFrame, test:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(test(batch.column(2), batch.column(3))))
 
-    return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(linked, "a long, b long"), f"{name}-links")
+    return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(trimmed(linked), "a long, b long"), f"{name}-links")
 
 
 def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
@@ -221,7 +222,7 @@ def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
         if held:
             yield from large(held[0])
 
-    return rows.repartition(_tasks(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long")
+    return rows.repartition(_tasks(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def linked_groups(members: DataFrame, weights: DataFrame, payload_of: Callable[[DataFrame], DataFrame], pair_test: PairTest, block_test: BlockTest, name: str) -> DataFrame:

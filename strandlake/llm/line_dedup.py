@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.grouping import Group, Joined, intersections, linked_groups, numbered, spanning
 from strandlake.llm.tables import bitmap_of, held, places, split_by_ids, stored
-from strandlake.llm.textblocks import Block, blocks, eights, mix
+from strandlake.llm.textblocks import Block, blocks, eights, mix, trimmed
 
 LEAST_WORDS = 5
 SIMILARITY = 0.9
@@ -215,7 +215,7 @@ def hashed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 ids = batch.column(0).slice(block.first, block.rows).take(pa.array(lines.row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number.astype(np.int32)), pa.array(lines.key.view(np.int64)), pa.array(first), listed], schema=LINES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hash_lines, "doc_id long, line_no int, key long, first_here boolean, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(hash_lines), "doc_id long, line_no int, key long, first_here boolean, bands array<long>")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
@@ -233,7 +233,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[some].view(np.int64)), pa.array(texts, pa.binary())], names=["id", "payload"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(pick, "id long, payload binary").dropDuplicates(["id"])
+    return rows.mapInArrow(trimmed(pick), "id long, payload binary").dropDuplicates(["id"])
 
 
 def edit_distances(texts: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:

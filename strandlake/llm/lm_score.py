@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.subwords import block_encoder
 from strandlake.llm.tables import bitmap_of, held, places, stored
-from strandlake.llm.textblocks import blocks
+from strandlake.llm.textblocks import blocks, trimmed
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 N_IDS, END = 50_257, 50_256
@@ -96,9 +96,9 @@ class Layer:
         all_ = x.reshape(-1, WIDTH) @ np.hstack([p["q"] / np.float32(WIDTH**0.5), p["k"], p["v"]])
         q, k, v = (np.ascontiguousarray(all_[:, i * WIDTH : (i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
         s = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(s, 60, out=s)
+        s += _LATER
+        s -= s.max(2, keepdims=True)
         a = np.exp(s, out=s)
-        a *= _MASK
         a /= (a @ _ONES)[:, :, None]
         h = np.matmul(a, v)
         h += x
@@ -172,7 +172,8 @@ class Layer:
         return loss / len(real)
 
 
-_MASK = np.tri(WINDOW, dtype=np.float32)
+#: What keeps a place from the later ones.
+_LATER = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
 _ONES = np.ones(WINDOW, np.float32)
 
 
@@ -248,7 +249,7 @@ def _encoded(docs: DataFrame) -> DataFrame:
                 n = np.bincount(at, np.concatenate([*times, [learned]])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.bool_()), pa.nulls(len(w), pa.string()), pa.nulls(len(w), pa.binary()), pa.array(w.view(np.int64)), pa.array(n)], names=["doc_id", "held_out", "text", "ids", "word", "times"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(encode, TEXTS)
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(trimmed(encode), TEXTS)
 
 
 def _with_end(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +273,7 @@ def _id_counts(texts: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    found = texts.where("not held_out").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.where("not held_out").select("ids").mapInArrow(trimmed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(N_IDS, np.int64)
     out[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -313,7 +314,7 @@ def train(texts: DataFrame) -> tuple[Layer, OwnIds]:
             w = layer.flat().astype(np.float64) * t
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), t))], names=["place", "weighted", "steps"])
 
-    rows = learn.select("ids").mapInArrow(local, "place long, weighted double, steps long").groupBy("place").agg((F.sum("weighted") / F.sum("steps")).alias("w")).orderBy("place").toArrow()
+    rows = learn.select("ids").mapInArrow(trimmed(local), "place long, weighted double, steps long").groupBy("place").agg((F.sum("weighted") / F.sum("steps")).alias("w")).orderBy("place").toArrow()
     return (Layer.of(rows.column("w").to_numpy()) if rows.num_rows else Layer.of(start)), own
 
 
@@ -370,7 +371,7 @@ def _scored(texts: DataFrame, tail: DataFrame, shared, n_train: int, base_log: f
                 found = _text_scores(layer, own_ids, part.column(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(found), *listed], names=["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "words", "times"])
 
-    scored = texts.select("doc_id", "held_out", "text", "ids").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, words array<long>, times array<long>")
+    scored = texts.select("doc_id", "held_out", "text", "ids").mapInArrow(trimmed(score), "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, words array<long>, times array<long>")
     # rows without rare words take a key of their own, so that no task gets them all
     rows = scored.withColumn("rid", F.monotonically_increasing_id()).withColumn("w", F.explode_outer(F.arrays_zip("words", "times")))
     rows = rows.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "sums", "score", F.coalesce("w.words", F.col("rid")).alias("word"), F.coalesce("w.times", F.lit(0)).alias("k"))

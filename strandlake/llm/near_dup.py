@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.grouping import Group, Joined, connected_components, intersections, linked_groups, numbered, spanning
 from strandlake.llm.tables import cut, split_by_ids, stored
-from strandlake.llm.textblocks import blocks, mix, shingle_sets
+from strandlake.llm.textblocks import blocks, mix, shingle_sets, trimmed
 
 BANDS, BAND_SIZE = 28, 5
 REGISTERS = BANDS * BAND_SIZE
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, block.rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_set_ids(found, bounds).view(np.int64)), listed], schema=SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, n_shingles long, set_id long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(sketch), "doc_id long, n_shingles long, set_id long, bands array<long>")
 
 
 def _payloads(docs: DataFrame, shingle: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _payloads(docs: DataFrame, shingle: int) -> DataFrame:
                 both = [regs[i].tobytes() + found[bounds[i] : bounds[i + 1]].tobytes() for i in range(block.rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(found, bounds).view(np.int64)), pa.array(both, pa.binary())], names=["id", "payload"])
 
-    return docs.mapInArrow(gather, "id long, payload binary")
+    return docs.mapInArrow(trimmed(gather), "id long, payload binary")
 
 
 def _unpacked(payload: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:

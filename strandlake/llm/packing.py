@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.subwords import block_encoder
 from strandlake.llm.tables import stored
-from strandlake.llm.textblocks import blocks
+from strandlake.llm.textblocks import blocks, trimmed
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: The vocabulary's added tokens; they are found inside texts.
@@ -142,7 +142,7 @@ def tokenized(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe
                         start, stop, piece = stop, stop + capacity, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:

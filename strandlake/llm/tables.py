@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from strandlake.llm.textblocks import mix
 
 
+#: Bytes of an Arrow batch; texts would else fill batches of 10,000 rows, whose copies count against the executor's memory.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; the session's Arrow batches are bounded by bytes from then on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,10 @@ with its number, and the sum of its lanes is mixed with its length, so no Python
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +93,19 @@ class Block:
         return starts, ends, rows, self._hashes(starts, ends, False)
 
 
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task that gives memory back to the system at its end, since workers live on for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def blocks(column: pa.Array) -> Iterator[Block]:
     """Blocks of a string column; a null counts as empty. The bytes are not copied unless there are nulls."""
     column = column.fill_null("") if column.null_count else column
