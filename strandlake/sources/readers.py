@@ -44,7 +44,7 @@ def read_sam(spark: SparkSession, path: str, mapped_only: bool = True) -> DataFr
     lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(f.alias("f")).where(F.size("f") >= 11)
     names = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
     ints = {"flag", "pos", "mapq", "pnext", "tlen"}
-    rows = lines.select(*((_int(F.col("f")[k]) if n in ints else F.col("f")[k]).alias(n) for k, n in enumerate(names)), parse_tags(F.slice("f", 12, 1_000)).alias("tags"))
+    rows = lines.select(*((_int(F.col("f")[k]) if n in ints else F.col("f")[k]).alias(n) for k, n in enumerate(names)), parse_tags(F.slice("f", F.lit(12), F.size("f"))).alias("tags"))
     return rows.where(F.col("flag").bitwiseAND(4) == 0) if mapped_only else rows
 
 
