@@ -475,3 +475,27 @@ def test_pipeline_drops_near_copies_from_eight_tenths(spark):
     rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words, other))]
     kept = pipeline.near_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_line_groups_against_all_pairs(spark):
+    """Of all pairs of lines of the smallest table at the similarity or above, at least nine of ten are in one group, and no others are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    forms = {}
+    for r in docs.collect():
+        for k, line in enumerate((r.text or "").split("\n")):
+            form = line_dedup.normal_form(line)
+            if form.count(" ") >= line_dedup.LEAST_WORDS - 1:
+                forms.setdefault(form, []).append((r.doc_id, k))
+    texts = sorted(forms, key=len)
+    counts, size = line_dedup.letter_counts(pa.array([t.encode() for t in texts], pa.binary())), np.array([len(t) for t in texts])
+    links = []
+    for i in range(len(texts)):
+        other = np.arange(i + 1, np.searchsorted(size, size[i] / 0.9 + 1, side="right"))
+        other = other[line_dedup.may_be_similar(counts[other], counts[i])] if len(other) else other
+        links += [(i, j) for j in other if line_dedup.similar(texts[i], texts[j])]
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(docs).collect()}
+    stays = [sum(p not in gone for p in forms[t]) for t in texts]
+    linked = {k for pair in links for k in pair}
+    assert len(links) >= 30
+    assert all(n == 1 for k, n in enumerate(stays) if k not in linked)
+    assert np.mean([stays[i] + stays[j] <= 1 for i, j in links]) >= 0.9
