@@ -1,10 +1,12 @@
-"""Native column functions on nucleotide sequences, alignment tags, names and numbers; no Python runs on executors."""
+"""Column functions on nucleotide sequences, alignment tags, names and numbers; native but for the run and k-mer profile."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.profiles import sequence_profile
+
 
 def normalize_rna(s: Column) -> Column:
     """Upper case without white space, T as U; null where another letter than AUCGN remains."""
@@ -38,15 +40,8 @@ def entropy(s: Column, over_all: bool = False) -> Column:
 
 def longest_homopolymer(s: Column) -> Column:
     """(base, len) of the first run that reaches the greatest length."""
-    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("cur"), F.lit("").alias("base"), F.lit(0).alias("best"))
-
-    def step(acc: Column, c: Column) -> Column:
-        cur = F.when(c == acc["prev"], acc["cur"] + 1).otherwise(F.lit(1))
-        more = cur > acc["best"]
-        return F.struct(c.alias("prev"), cur.alias("cur"), F.when(more, c).otherwise(acc["base"]).alias("base"), F.when(more, cur).otherwise(acc["best"]).alias("best"))
-
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    return F.aggregate(chars, start, step, lambda a: F.struct(a["base"].alias("base"), a["best"].alias("len")))
+    p = sequence_profile(s)
+    return F.struct(p["base"].alias("base"), p["run"].alias("len"))
 
 
 def kmers(s: Column, k: int) -> Column:
@@ -55,11 +50,10 @@ def kmers(s: Column, k: int) -> Column:
 
 
 def dominant_kmer(s: Column, k: int, acgt_only: bool = False) -> Column:
-    """(motif, fraction) of the commonest k-mer, the first seen wins ties; empty and 0 without any."""
-    all_ = F.filter(kmers(s, k), lambda x: x.rlike(f"^[ACGT]{{{k}}}$")) if acgt_only else kmers(s, k)
-    counted = F.transform(F.array_distinct(all_), lambda m: F.struct(F.size(F.filter(all_, lambda x: x == m)).alias("n"), m.alias("m")))
-    best = F.aggregate(counted, F.struct(F.lit(0).alias("n"), F.lit("").alias("m")), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
-    return F.struct(best["m"].alias("motif"), F.when(F.size(all_) > 0, best["n"] / F.size(all_)).otherwise(0.0).alias("fraction"))
+    """(motif, fraction) of the commonest k-mer, k 2 or 3, the first seen wins ties; empty and 0 without any."""
+    p, name = sequence_profile(s), "acgt_" if acgt_only else ""
+    top, all_ = p[f"{name}top{k}"], p[f"{name}all{k}"]
+    return F.struct(p[f"{name}motif{k}"].alias("motif"), F.when(all_ > 0, top / all_).otherwise(0.0).alias("fraction"))
 
 
 def repeated_unit(s: Column, longest: int = 6) -> Column:
@@ -150,6 +144,73 @@ def clamp_pvalue(p: Column) -> Column:
     return F.when(F.isnan(p) | p.isNull() | (F.abs(p) == float("inf")), 1.0).otherwise(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0)))
 
 
+def complexity(s: Column) -> dict[str, Column]:
+    """The complexity record: 17 figures of a sequence, all flags that hold joined by ``;``, and whether any does."""
+    s = F.translate(F.upper(s), "U", "T")
+    n, p = F.char_length(s), sequence_profile(s)
+    counts = {b: count_of(s, b) for b in "ACGT"}
+    acgt = F.greatest(sum((counts[b] for b in "CGT"), counts["A"]), F.lit(1))
+    gc, at = (counts["G"] + counts["C"]) / acgt, (counts["A"] + counts["T"]) / acgt
+    kinds = sum((F.when(counts[b] > 0, 1).otherwise(0) for b in "CGT"), F.when(counts["A"] > 0, 1).otherwise(0))
+    top = F.greatest(*counts.values())
+    base = F.when(counts["A"] == top, "A").when(counts["C"] == top, "C").when(counts["G"] == top, "G").otherwise("T")
+    run_fraction = F.when(n > 0, p["run"] / n).otherwise(0.0)
+    di, tri = (F.when(p[f"all{k}"] > 0, p[f"top{k}"] / p[f"all{k}"]).otherwise(0.0) for k in (2, 3))
+    unit, bits = repeated_unit(s), entropy(s, over_all=True)
+    # fixed values: names and limits of the flags, in the order in which they are listed
+    flags = [
+        F.when(kinds <= 2, "one_or_two_base_alphabet"), F.when(top / acgt >= 0.80, "dominant_single_base"), F.when((p["run"] >= 8) | (run_fraction >= 0.60), "long_homopolymer"),
+        F.when(di >= 0.70, "dominant_dinucleotide"), F.when(tri >= 0.70, "dominant_trinucleotide"), F.when(unit != "", F.concat(F.lit("tandem_repeat_"), unit)),
+        F.when(bits < 1.25, "low_entropy"), F.when((gc >= 0.85) | (gc <= 0.15), "strong_gc_at_bias"), F.when(F.when(n > 0, count_of(s, "N") / n).otherwise(0.0) > 0.10, "many_N"),
+    ]
+    joined = F.array_join(F.array_compact(F.array(*flags)), ";")
+    r4 = lambda c: F.round(c, 4)
+    return {
+        "length": n, "gc_fraction": r4(gc), "at_fraction": r4(at), "unique_bases": kinds, "entropy_bits": r4(bits), "dominant_base": base, "dominant_base_fraction": r4(top / acgt),
+        "longest_homopolymer_base": p["base"], "longest_homopolymer_length": p["run"], "longest_homopolymer_fraction": r4(run_fraction), "dominant_dinucleotide": p["motif2"], "dominant_dinucleotide_fraction": r4(di),
+        "dominant_trinucleotide": p["motif3"], "dominant_trinucleotide_fraction": r4(tri), "tandem_repeat_unit": unit, "low_complexity": joined != "", "complexity_flags": joined,
+    }
+
+
+def restored_read(flag: Column, seq: Column, quality: Column) -> tuple[Column, Column]:
+    """Sequence and quality as the sequencer gave them: reads that SAM holds reversed are turned back."""
+    turned, dna = flag.bitwiseAND(16) != 0, to_dna(seq)
+    return F.when(turned, reverse_complement(dna)).otherwise(dna), F.when(turned, F.reverse(quality)).otherwise(quality)
+
+
+def cpm_token(value: Column) -> Column:
+    """0 without any; whole numbers from 1 on (halves to even); below, the nearest fraction with a denominator of 100 at most, the smallest of equals."""
+    near = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda d: F.struct(F.abs(value - F.round(value * d) / d).alias("off"), d.alias("d"), F.round(value * d).cast("int").alias("n")))
+    best = F.array_min(near)
+    return F.when(value <= 0, "0").when(value >= 1, F.greatest(F.lit(1), F.bround(value).cast("long")).cast("string")).otherwise(F.concat(best["n"].cast("string"), F.lit("/"), best["d"].cast("string")))
+
+
+def export_name(contig: Column, start: Column, length: Column, strand: Column, mismatches: Column, mean_cpm: Column) -> Column:
+    return F.concat(contig, F.lit("_"), start.cast("string"), F.lit("pos_"), length.cast("string"), F.lit("len_"), strand, F.lit("_"), mismatches.cast("string"), F.lit("m_"), cpm_token(mean_cpm), F.lit("CPM"))
+
+
+def aligned_blocks(cigar: Column, start0: Column) -> Column:
+    """The reference intervals (start0, end0) that M, = and X cover; D and N part them, I, S, H and P take no reference."""
+    sizes, kinds = (F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(k)) for k in (1, 2))
+    ops = F.arrays_zip(sizes.alias("n"), kinds.alias("op"))
+    none = F.array().cast("array<struct<start0:int,end0:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        n = x["n"].cast("int")
+        block = F.struct(acc["at"].alias("start0"), (acc["at"] + n).alias("end0"))
+        return F.struct(
+            F.when(x["op"].isin("M", "D", "N", "=", "X"), acc["at"] + n).otherwise(acc["at"]).alias("at"),
+            F.when(x["op"].isin("M", "=", "X"), F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(ops, F.struct(start0.cast("int").alias("at"), none.alias("blocks")), step, lambda a: a["blocks"])
+
+
+def pvalue_method(name: Column) -> Column:
+    """The named method of the p-value: by category and rank, or the empirical one, which stands for unknown names too."""
+    return F.when(name.isin("cleaveland_category_rank", "cleaveland"), "cleaveland_category_rank").otherwise("transcript_peak_empirical")
+
+
 def safe_name(s: Column, longest: int = 140) -> Column:
     out = F.substring(F.regexp_replace(s, r"[^A-Za-z0-9_.-]+", "_"), 1, longest)
     return F.coalesce(F.nullif(F.regexp_replace(out, r"^_+|_+$", ""), F.lit("")), F.lit("item"))

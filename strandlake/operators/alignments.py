@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequences import aligned_blocks
+
 UNIT = 27_720
 LANE = ("sample_id", "contig", "strand")
 
@@ -122,22 +124,63 @@ def compared_windows(scored: DataFrame, reference: str, comparison: str, least:
 def non_overlapping(ranked: DataFrame, most: float = 0.5) -> DataFrame:
     """Greedy choice of windows by rank_score within each contig; the overlap with what was kept is ``most`` at most.
 
-    Overlaps do not cross contigs, and the candidates of one contig are a bounded list, so each contig is one small task.
+    Windows that overlap no other do not touch each other's fate: the choice is made in runs of overlapping windows. Bound the
+    candidates first, as ``best_windows`` does; a run that spans a contig is one task.
     """
+    import bisect
+
     import pandas as pd
 
+    along = Window.partitionBy("contig").orderBy("start0", "width")
+    reach = F.max(F.col("start0") + F.col("width")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranked.withColumn("_new", F.when(F.col("start0") < reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank_score", "start0"], ascending=[False, True])
-        kept: list[tuple[int, int]] = []
+        widest = int(rows["width"].max())
+        kept: list[tuple[int, int]] = []  # by start
         flags = []
-        for s, n in zip(rows["start0"], rows["width"], strict=True):
-            fits = all(max(0, min(s + n, e) - max(s, b)) <= most * min(n, e - b) for b, e in kept)
-            flags.append(fits)
-            if fits:
-                kept.append((s, s + n))
-        return rows[flags]
-
-    return ranked.groupBy("contig").applyInPandas(choose, ranked.schema)
+        for s, n in zip(rows["start0"].tolist(), rows["width"].tolist(), strict=True):
+            near = kept[bisect.bisect_left(kept, (s - widest, 0)) : bisect.bisect_left(kept, (s + n, 0))]
+            flags.append(all(max(0, min(s + n, e) - max(s, b)) <= most * min(n, e - b) for b, e in near))
+            if flags[-1]:
+                bisect.insort(kept, (s, s + n))
+        return rows[flags].drop(columns="_run")
+
+    return marked.groupBy("contig", "_run").applyInPandas(choose, ranked.schema)
+
+
+def best_windows(ranked: DataFrame, top: int = 100, buffer: int = 5_000, most: float = 0.5) -> DataFrame:
+    """The report of the ``top`` windows, ranked: a greedy choice among the best ``buffer`` (limits that are the feature)."""
+    some = ranked.orderBy(F.desc("rank_score"), "contig", "start0").limit(max(top, buffer))
+    best = non_overlapping(some, most).orderBy(F.desc("rank_score"), "contig", "start0").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rank_score"), "contig", "start0")))  # ``top`` rows
+
+
+def fragments(reads: DataFrame, min_mapq: int = 10, direction_source: str = "read1") -> DataFrame:
+    """Merged blocks of read pairs: sample_id, qname, contig, strand, start0, end0.
+
+    ``reads`` has flag, mapq, cigar, contig and start0. Secondary, supplementary and unmapped rows and those of a lower mapq go;
+    a pair needs both mates, all on one contig. The strand is that of the named mate, of its row with the highest mapq.
+    """
+    source = 64 if direction_source == "read1" else 128
+    usable = reads.where((F.col("flag").bitwiseAND(0x90C) == 0) & (F.col("mapq") >= min_mapq))
+    has = lambda bit: F.col("flag").bitwiseAND(bit) != 0
+    first = F.min(F.when(has(source), F.struct((-F.col("mapq")).alias("m"), "start0", "flag"))).alias("first")
+    pair = usable.groupBy("sample_id", "qname").agg(F.bool_or(has(64)).alias("r1"), F.bool_or(has(128)).alias("r2"), F.min("contig").alias("lo"), F.max("contig").alias("hi"), first)
+    pair = pair.where("r1 and r2 and lo = hi").select("sample_id", "qname", F.when(F.col("first.flag").bitwiseAND(16) != 0, "antisense").otherwise("sense").alias("strand"))
+    each = usable.join(pair, ["sample_id", "qname"]).select("sample_id", "qname", "contig", "strand", F.explode(aligned_blocks(F.col("cigar"), F.col("start0"))).alias("b"))
+    return merge_intervals(each.select("sample_id", "qname", "contig", "strand", "b.start0", "b.end0"), ("sample_id", "qname", "contig", "strand"))
+
+
+def pair_stats(reads: DataFrame, merged: DataFrame) -> DataFrame:
+    """Per sample: pairs used, by strand, and pairs with both mates that are not used."""
+    key = ["sample_id", "qname"]
+    has = lambda bit: F.bool_or(F.col("flag").bitwiseAND(bit) != 0)
+    pairs = reads.where(F.col("flag").bitwiseAND(0x904) == 0).groupBy(*key).agg(has(64).alias("r1"), has(128).alias("r2")).where("r1 and r2")
+    used = merged.select(*key, "strand").distinct()
+    n = lambda s: F.count_if(F.col("strand") == s).alias(f"{s}_pairs")
+    return pairs.join(used, key, "left").groupBy("sample_id").agg(F.count("strand").alias("collapsed_pairs"), n("sense"), n("antisense"), F.count_if(F.col("strand").isNull()).alias("discarded_pairs"))
 
 
 def moving_average(dense: DataFrame, span: int, keys: tuple[str, ...], value: str = "depth") -> DataFrame:

@@ -1,52 +1,128 @@
-"""Exact and near matching of sequences: k-mer joins, containment, duplicates."""
+"""Exact and near matching of sequences: seeds looked up in reference sequences, containment, duplicates.
+
+References may be far larger than what is looked up in them. A bitmap of the seeds, of fixed size, goes to every task and
+refutes most places where they are; only what is left is shuffled to the join that decides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import reverse_complement
 
+#: Bits of the address in the bitmap of seeds (8 MB), letters of a sequence walked at once, and rows of a batch that leaves a task.
+SEED_BITS, CHUNK, ROWS = 26, 1 << 18, 8192
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _places(letters: np.ndarray, size: int) -> np.ndarray:
+    """Where in the bitmap each run of ``size`` letters along the last axis lies."""
+    n = letters.shape[-1] - size + 1
+    h = np.zeros((*letters.shape[:-1], n), np.uint64)
+    for j in range(size):
+        h *= _ODD
+        h += letters[..., j : j + n]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return (h >> np.uint64(64 - SEED_BITS)).astype(np.int64)
 
-def kmer_places(refs: DataFrame, sizes: list[int]) -> DataFrame:
-    """contig, pos (from 0), kmer of every k-mer of (contig, seq). Long sequences are walked in the task, not copied a row."""
+
+def seed_bitmap(seeds: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of one column of strings of ``size`` letters; other rows are left out."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [x for x in batch.column(0).to_pylist() if x is not None and len(x) == size]
+            if some:
+                at = np.unique(_places(np.frombuffer("".join(some).encode("ascii", "replace"), np.uint8).reshape(-1, size), size))
+                word, first = np.unique(at >> 6, return_index=True)
+                value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    found = seeds.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (SEED_BITS - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def seed_places(refs: DataFrame, seeds: dict[tuple[int, int], DataFrame], least: int, longest: int) -> DataFrame:
+    """contig, pos (from 0), offset, seed, piece: places of (contig, seq) that ``least`` letters follow and whose letters at a seed's offset may be a seed.
+
+    ``seeds`` has a frame of one column for each (offset, size). ``piece`` holds up to ``longest`` letters from pos on. Null
+    sequences have no places.
+    """
+    shared = refs.sparkSession.sparkContext.broadcast([(offset, size, seed_bitmap(frame, size)) for (offset, size), frame in seeds.items()])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["contig", "pos", "offset", "seed", "piece"]
         for batch in batches:
+            rows: list[tuple] = []
             for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in sizes:
-                    for at in range(0, len(seq or "") - k + 1, 50_000):
-                        stop = min(at + 50_000, len(seq) - k + 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([contig] * (stop - at)), pa.array(range(at, stop), pa.int32()), pa.array([seq[i : i + k] for i in range(at, stop)])], names=["contig", "pos", "kmer"])
+                for start in range(0, len(seq or "") - least + 1, CHUNK):
+                    n = min(CHUNK, len(seq) - least + 1 - start)
+                    part = seq[start : start + n + longest - 1]
+                    letters = np.frombuffer(part[: n + least - 1].encode("ascii", "replace"), np.uint8)
+                    for offset, size, bits in shared.value:
+                        at = _places(letters[offset : offset + n + size - 1], size)
+                        for i in np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).tolist():
+                            rows.append((contig, start + i, offset, part[i + offset : i + offset + size], part[i : i + longest]))
+                            if len(rows) == ROWS:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
+                                rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
 
-    return refs.select("contig", "seq").mapInArrow(walk, "contig string, pos int, kmer string")
+    return refs.select(F.col("contig").cast("string"), "seq").mapInArrow(walk, "contig string, pos int, offset int, seed string, piece string")
 
 
-def exact_annotations(short: DataFrame, refs: DataFrame, size: int) -> DataFrame:
-    """All places of (id, sequence) of one length on either strand of the references; palindromes once, forward."""
-    both = short.select("id", "sequence", F.col("sequence").alias("kmer"), F.lit("+").alias("direction")).union(short.select("id", "sequence", reverse_complement(F.col("sequence")), F.lit("-")).where(reverse_complement(F.col("sequence")) != F.col("sequence")))
-    places = kmer_places(refs, [size])
-    return both.join(places, "kmer").select("id", "sequence", "contig", (F.col("pos") + 1).alias("start_1based"), (F.col("pos") + size).alias("end_1based"), "direction")
+_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
+
+def _both_strands(short: DataFrame, palindromes_once: bool) -> DataFrame:
+    back = short.withColumn("kmer", reverse_complement(F.col("sequence"))).withColumn("direction", F.lit("-"))
+    if palindromes_once:
+        back = back.where("kmer <> sequence")
+    return short.withColumn("kmer", F.col("sequence")).withColumn("direction", F.lit("+")).unionByName(back)
+
+
+def exact_annotations(short: DataFrame, refs: DataFrame, size: int, longest: int | None = None) -> DataFrame:
+    """All places of (id, sequence) of ``size`` to ``longest`` letters on either strand of the references; palindromes once, forward.
+
+    Shorter and longer sequences have no places. Rows that repeat an id and sequence repeat its places.
+    """
+    longest = longest or size
+    both = _both_strands(short.select("id", "sequence").where(F.char_length("sequence").between(size, longest)), True).withColumn("seed", F.substring("kmer", 1, size))
+    places = seed_places(refs, {(0, size): both.select("seed")}, size, longest)
+    found = both.join(places.drop("offset"), "seed").where(F.startswith("piece", "kmer"))
+    return found.select("id", "sequence", "contig", (F.col("pos") + 1).alias("start_1based"), (F.col("pos") + F.char_length("kmer")).alias("end_1based"), "direction")
+
+
+def not_found(short: DataFrame, refs: DataFrame, size: int) -> DataFrame:
+    """Rows of (id, sequence) of ``size`` letters that no reference holds on its forward strand."""
+    places = seed_places(refs, {(0, size): short.select("sequence")}, size, size).select(F.col("seed").alias("sequence"))
+    return short.join(places, "sequence", "left_anti").select("id", "sequence")
 
 
 def ungapped_mapping(reads: DataFrame, refs: DataFrame, size: int, mismatches: int) -> DataFrame:
     """All places of reads (sequence) of one length with ``mismatches`` at most, on both strands.
 
-    A read is cut into mismatches + 1 parts, of which one must match exactly: parts are joined with the k-mers of the
-    references, and the whole is compared.
+    A read is cut into mismatches + 1 parts, of which one must match exactly: parts are looked up in the references, and the
+    whole is compared.
     """
-    cuts = [size * k // (mismatches + 1) for k in range(mismatches + 2)]
-    seqs = reads.select("sequence").distinct()
-    both = seqs.select("sequence", F.col("sequence").alias("t"), F.lit("sense").alias("strand")).union(seqs.select("sequence", reverse_complement(F.col("sequence")), F.lit("antisense")))
-    parts = F.explode(F.array(*(F.struct(F.lit(a).alias("offset"), F.substring("t", a + 1, b - a).alias("seed")) for a, b in zip(cuts, cuts[1:], strict=False))))
-    seeds = both.select("sequence", "t", "strand", parts.alias("p")).select("sequence", "t", "strand", "p.offset", "p.seed")
-    places = kmer_places(refs, [size]).select("contig", "pos", "kmer", F.explode(F.array(*(F.struct(F.lit(a).alias("offset"), F.substring("kmer", a + 1, b - a).alias("seed")) for a, b in zip(cuts, cuts[1:], strict=False)))).alias("p"))
-    found = seeds.join(places.select("contig", "pos", "kmer", "p.offset", "p.seed"), ["offset", "seed"])
-    differ = F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.lit(0), lambda n, i: n + F.when(F.substring("t", i, F.lit(1)) != F.substring("kmer", i, F.lit(1)), 1).otherwise(0))
-    return found.withColumn("nm", differ).where(F.col("nm") <= mismatches).select("sequence", "contig", F.col("pos").alias("start0"), "strand", "nm").distinct()
+    edges = [size * k // (mismatches + 1) for k in range(mismatches + 2)]
+    cuts = list(zip(edges, edges[1:], strict=False))
+    both = _both_strands(reads.select("sequence").where(F.char_length("sequence") == size).distinct(), False)
+    each = both.select("sequence", "kmer", "direction", F.explode(F.array(*(F.struct(F.lit(a).alias("offset"), F.substring("kmer", a + 1, b - a).alias("seed")) for a, b in cuts))).alias("p")).select("sequence", "kmer", "direction", "p.offset", "p.seed")
+    places = seed_places(refs, {(a, b - a): each.where(F.col("offset") == a).select("seed") for a, b in cuts}, size, size)
+    differ = F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.lit(0), lambda n, i: n + F.when(F.substring("kmer", i, F.lit(1)) != F.substring("piece", i, F.lit(1)), 1).otherwise(0))
+    found = each.join(places, ["offset", "seed"]).withColumn("nm", differ).where(F.col("nm") <= mismatches)
+    strand = F.when(F.col("direction") == "+", "sense").otherwise("antisense")
+    return found.select("sequence", "contig", F.col("pos").alias("start0"), strand.alias("strand"), "nm").distinct()
 
 
 def first_of_duplicates(records: DataFrame) -> DataFrame:
@@ -54,11 +130,44 @@ def first_of_duplicates(records: DataFrame) -> DataFrame:
     return records.groupBy("sequence").agg(F.min_by("id", "idx").alias("id"), F.min("idx").alias("idx"), F.count("*").alias("n"))
 
 
-def contained(records: DataFrame, sizes: list[int]) -> DataFrame:
-    """Distinct sequences that a longer one contains: the parent is of the shortest such length, the first by idx."""
-    longer = records.select(F.col("id").alias("parent_id"), F.col("idx").alias("parent_idx"), F.col("sequence").alias("parent"))
-    inner = kmer_places(longer.select(F.concat_ws("|", F.col("parent_idx").cast("string"), "parent_id").alias("contig"), F.col("parent").alias("seq")), sizes)
-    split = inner.select(F.split("contig", r"\|", 2).alias("c"), "kmer", "pos").select(F.col("c")[0].cast("long").alias("parent_idx"), F.col("c")[1].alias("parent_id"), F.col("kmer").alias("sequence"), "pos")
-    hit = records.join(split, "sequence").join(longer.select("parent_idx", F.char_length("parent").alias("parent_length")), "parent_idx").where(F.col("parent_length") > F.char_length("sequence"))
-    best = hit.groupBy("id", "sequence").agg(F.min(F.struct("parent_length", "parent_idx", "parent_id", "pos")).alias("b"))
-    return best.select("id", "sequence", F.col("b.parent_id").alias("parent_id"), F.col("b.parent_length").alias("parent_length"), (F.col("b.pos") + 1).alias("start_1based"))
+def contained(records: DataFrame, least: int, longest: int) -> DataFrame:
+    """Distinct sequences (id, idx, sequence) that a longer one contains: the parent is of the shortest such length, the first by idx.
+
+    Sequences have ``least`` letters or more, parents ``longest`` at most; ``idx`` is of any type that has an order.
+    ``more_parents`` counts the other parents of that length.
+    """
+    seeds = records.withColumn("seed", F.substring("sequence", 1, least))
+    parents = records.where(F.char_length("sequence") > least).select(F.col("id").alias("contig"), F.col("sequence").alias("seq"), F.col("idx").alias("parent_idx"))
+    places = seed_places(parents, {(0, least): seeds.select("seed")}, least, longest).drop("offset")
+    hit = seeds.select("id", "sequence", "seed").join(places, "seed").where(F.startswith("piece", "sequence")).join(parents.select("contig", "parent_idx", F.char_length("seq").alias("parent_length")), "contig")
+    hit = hit.where(F.col("parent_length") > F.char_length("sequence"))
+    parent = hit.groupBy("id", "sequence", "parent_length", "parent_idx", F.col("contig").alias("parent_id")).agg(F.min("pos").alias("pos"))
+    length = parent.groupBy("id", "sequence", "parent_length").agg(F.min(F.struct("parent_idx", "parent_id", "pos")).alias("p"), F.count("*").alias("n"))
+    best = length.groupBy("id", "sequence").agg(F.min(F.struct("parent_length", "p", "n")).alias("b"))
+    return best.select("id", "sequence", F.col("b.p.parent_id").alias("parent_id"), F.col("b.parent_length").alias("parent_length"), (F.col("b.p.pos") + 1).alias("start_1based"), (F.col("b.n") - 1).alias("more_parents"))
+
+
+def collapsed(records: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """What is kept of (id, idx, sequence), and what goes with its reason and parent: repeats of a sequence, then sequences in longer ones."""
+    first = records.groupBy("sequence").agg(F.min(F.struct("idx", "id")).alias("f"), F.count("*").alias("n"))
+    again = records.join(first.where("n > 1").select("sequence", F.col("f.idx").alias("first_idx"), F.col("f.id").alias("parent_id")), "sequence").where(F.col("idx") != F.col("first_idx"))
+    size = F.char_length("sequence")
+    copies = again.select(F.col("id").alias("removed_id"), "sequence", F.lit("exact_duplicate").alias("removal_reason"), "parent_id", size.alias("parent_length"), F.lit(1).alias("start_1based"), F.lit(None).cast("long").alias("more_parents"))
+    unique = first.select(F.col("f.id").alias("id"), F.col("f.idx").alias("idx"), "sequence")
+    inner = contained(unique, least, longest)
+    within = inner.select(F.col("id").alias("removed_id"), "sequence", F.lit("shorter_exact_substring").alias("removal_reason"), "parent_id", "parent_length", "start_1based", "more_parents")
+    kept = unique.join(inner.select("id"), "id", "left_anti").select("id", "sequence")
+    gone = copies.unionByName(within)
+    return kept, gone.select("removed_id", "sequence", size.alias("removed_length"), "removal_reason", "parent_id", "parent_length", "start_1based", (F.col("start_1based") + size - 1).alias("end_1based"), "more_parents")
+
+
+def collapse_summary(records: DataFrame, kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """(metric, value, detail): totals, and what came, stayed and went of each length."""
+    size = F.char_length("sequence")
+    each = records.select(size.alias("length"), F.lit("input").alias("kind")).unionByName(kept.select(size.alias("length"), F.lit("kept").alias("kind"))).unionByName(gone.select(F.col("removed_length").alias("length"), F.col("removal_reason").alias("kind")))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    per = each.groupBy("length").agg(*(count(k).alias(k) for k in ("input", "kept", "exact_duplicate", "shorter_exact_substring")))
+    detail = F.format_string("input=%d; kept=%d; duplicate_removed=%d; shorter_contained_removed=%d", "input", "kept", "exact_duplicate", "shorter_exact_substring")
+    total = per.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(n) for k, n in (("input", "input_records_after_other_filters"), ("kept", "kept_records_after_collapse"), ("exact_duplicate", "removed_exact_duplicate_records"), ("shorter_exact_substring", "removed_shorter_contained_records"))))
+    lengths = per.select(F.lit("length_breakdown").alias("metric"), F.col("length").cast("long").alias("value"), detail.alias("detail"))
+    return total.unpivot([], total.columns, "metric", "value").withColumn("detail", F.lit("")).unionByName(lengths)

@@ -29,6 +29,10 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -231,9 +235,25 @@ def _(spark, d):
     return _ranked(spark, d).select("contig", F.col("start0").cast("int").alias("start0"), r6(F.col("max_reduction")).alias("max_reduction"), r6(F.col("rank_score")).alias("rank_score"))
 
 
-@query("t02_nonredundant", None)
+_CAND = "SELECT *, row_number() OVER (PARTITION BY contig ORDER BY rank_score DESC, start0) AS i FROM (SELECT contig, CAST(start0 AS INT) AS start0, round(score * (1 + greatest(0, max_red)), 6) AS rank_score FROM rk WHERE max_red >= 0.2 AND score * (1 + greatest(0, max_red)) > 0) WHERE rank_score > 0"
+_CHOSEN = """SELECT contig, 0 AS i, CAST([] AS INT[]) AS kept FROM (SELECT DISTINCT contig FROM cand) UNION ALL SELECT c.contig, CAST(c.i AS INT), CASE WHEN len(list_filter(kept, lambda x: abs(x - c.start0) < 100)) = 0 THEN list_append(kept, c.start0) ELSE kept END
+FROM chosen JOIN cand c ON c.contig = chosen.contig AND c.i = chosen.i + 1"""
+_KEPT = "SELECT contig, unnest(kept) AS start0 FROM (SELECT contig, arg_max(kept, i) AS kept FROM chosen GROUP BY contig)"
+
+
+def _candidates(spark, d):
+    r = _ranked(spark, d).select("contig", F.col("start0").cast("int").alias("start0"), "width", r6(F.col("rank_score")).alias("rank_score"))
+    return r.where("rank_score > 0")
+
+
+@query("t02_nonredundant", recursive(oracle("SELECT contig, start0, 200 AS width, rank_score FROM cand JOIN kept_ USING (contig, start0)", "lib", dense=_DENSE, win=_WIN, sc=_SCORES, full_=_FULL, rk=_RANKED, cand=_CAND, chosen=_CHOSEN, kept_=_KEPT)))
 def _(spark, d):
-    return A.non_overlapping(_ranked(spark, d).select("contig", "start0", "width", "rank_score"))
+    return A.non_overlapping(_candidates(spark, d))
+
+
+@query("m01_window_scan", recursive(oracle("SELECT contig, start0, CAST(row_number() OVER (ORDER BY rank_score DESC, contig, start0) AS INT) AS rank, rank_score, 200 AS width FROM cand JOIN kept_ USING (contig, start0) ORDER BY rank LIMIT 100", "lib", dense=_DENSE, win=_WIN, sc=_SCORES, full_=_FULL, rk=_RANKED, cand=_CAND, chosen=_CHOSEN, kept_=_KEPT)))
+def _(spark, d):
+    return A.best_windows(_candidates(spark, d))
 
 
 _DENSE_ALL = "SELECT l.contig, l.strand, p AS pos, coalesce(n, 0) AS depth FROM (SELECT DISTINCT contig, strand FROM aln) l CROSS JOIN (SELECT unnest(range(0, 2000)) AS p) LEFT JOIN (SELECT contig, strand, pos, count(*) AS n FROM (SELECT contig, strand, unnest(range(start0, end0)) AS pos FROM aln) GROUP BY ALL) x ON x.contig = l.contig AND x.strand = l.strand AND x.pos = p"
@@ -374,30 +394,34 @@ def _(spark, d):
     return M.ungapped_mapping(X.bench_kmers(spark, d), X.refseq(spark, d), 21, 0)
 
 
-@query("j01_map_v1", None)
+_V1 = """SELECT DISTINCT b.sequence, km.contig, CAST(km.pos AS INT) AS start0, CASE b.direction WHEN '+' THEN 'sense' ELSE 'antisense' END AS strand, CAST(hamming(b.kmer, km.kmer) AS INT) AS nm
+FROM (SELECT *, 0 AS h, substring(kmer, 1, 10) AS seed FROM both_ UNION ALL SELECT *, 1, substring(kmer, 11, 11) FROM both_) b JOIN (SELECT *, 0 AS h, substring(kmer, 1, 10) AS seed FROM km UNION ALL SELECT *, 1, substring(kmer, 11, 11) FROM km) km USING (h, seed) WHERE hamming(b.kmer, km.kmer) <= 1"""
+
+
+@query("j01_map_v1", oracle("SELECT * FROM v1", "bkm", "refseq", both_=_BOTH.replace(" WHERE reverse(translate(sequence, 'ACGTN', 'TGCAN')) <> sequence", ""), km=_KM, v1=_V1))
 def _(spark, d):
     return M.ungapped_mapping(X.bench_kmers(spark, d), X.refseq(spark, d), 21, 1)
 
 
 @query("j09_control_anti", oracle("SELECT id, sequence FROM bkm WHERE sequence NOT IN (SELECT kmer FROM km)", "bkm", "refseq", km=_KM))
 def _(spark, d):
-    return X.bench_kmers(spark, d).join(M.kmer_places(X.refseq(spark, d), [21]).select(F.col("kmer").alias("sequence")), "sequence", "left_anti").select("id", "sequence")
+    return M.not_found(X.bench_kmers(spark, d), X.refseq(spark, d), 21)
 
 
-_REC = "SELECT row_number() OVER (ORDER BY length(sequence), sequence) AS idx, sequence, concat('r', CAST(row_number() OVER (ORDER BY length(sequence), sequence) AS STRING)) AS id FROM (SELECT DISTINCT substring(seq, 1 + s, n) AS sequence FROM bench, (SELECT unnest(range(18, 25)) AS n), (SELECT unnest([0, 1, 3]) AS s) WHERE length(seq) >= 30)"
+_REC = "SELECT DISTINCT substring(seq, s, n) AS sequence FROM (SELECT seq, n, unnest(range(1, length(seq) - n + 2)) AS s FROM bench, (SELECT unnest(range(18, 25)) AS n) WHERE length(seq) >= n)"
+_INNER = "SELECT parent, substring(parent, i, k) AS sequence, min(i) AS i FROM (SELECT parent, k, unnest(range(1, length(parent) - k + 2)) AS i FROM (SELECT sequence AS parent, unnest(range(18, length(sequence))) AS k FROM rec)) GROUP BY ALL"
 
 
 def _records(spark, d):
-    """Distinct pieces of the encoded benchmark, numbered; a handful an item."""
-    s = X.refseq(spark, d, "benchmark", "item_id", "b").where("length(seq) >= 30")
-    parts = F.expr("flatten(transform(sequence(18, 24), n -> transform(array(0, 1, 3), s -> substring(seq, 1 + s, n))))")
-    r = s.select(F.explode(parts).alias("sequence")).distinct().withColumn("idx", F.row_number().over(Window.orderBy(F.char_length("sequence"), "sequence")))
-    return r.select(F.col("idx").cast("long").alias("idx"), "sequence", F.concat(F.lit("r"), F.col("idx").cast("string")).alias("id"))
+    """Distinct pieces of 18 to 24 letters at every place of the encoded benchmark; their order is that of their letters."""
+    s = X.refseq(spark, d, "benchmark", "item_id", "b").where("length(seq) >= 18")
+    parts = F.expr("flatten(transform(sequence(18, least(24, length(seq))), n -> transform(sequence(1, length(seq) - n + 1), s -> substring(seq, s, n))))")
+    return s.select(F.explode(parts).alias("sequence")).distinct().select("sequence", F.col("sequence").alias("idx"), F.concat(F.lit("r_"), "sequence").alias("id"))
 
 
-@query("j11_contained", oracle("SELECT id, sequence, parent_id, CAST(parent_length AS INT) AS parent_length, CAST(instr(parent, sequence) AS INT) AS start_1based FROM (SELECT r.id, r.sequence, p.id AS parent_id, p.sequence AS parent, length(p.sequence) AS parent_length, row_number() OVER (PARTITION BY r.id ORDER BY length(p.sequence), p.idx) AS k FROM rec r JOIN rec p ON length(p.sequence) > length(r.sequence) AND contains(p.sequence, r.sequence)) WHERE k = 1", "bench", rec=_REC))
+@query("j11_contained", oracle("SELECT concat('r_', sequence) AS id, sequence, concat('r_', parent) AS parent_id, CAST(length(parent) AS INT) AS parent_length, CAST(i AS INT) AS start_1based, more_parents FROM (SELECT *, count(*) OVER (PARTITION BY sequence, length(parent)) - 1 AS more_parents, row_number() OVER (PARTITION BY sequence ORDER BY length(parent), parent) AS k FROM inner_ JOIN rec USING (sequence)) WHERE k = 1", "bench", rec=_REC, inner_=_INNER))
 def _(spark, d):
-    return M.contained(_records(spark, d), list(range(18, 24)))
+    return M.contained(_records(spark, d), 18, 24)
 
 
 @query("a31_first_of_duplicates", oracle("SELECT sequence, min_by(id, id) AS id, CAST(count(*) AS BIGINT) AS n FROM bkm GROUP BY sequence", "bkm"))
@@ -477,7 +501,12 @@ def _(spark, d):
     return E.target_summary(X.hits(spark, d), "transcript", "query")
 
 
-@query("t15_marker_suppression", None)
+_SITES = "SELECT *, row_number() OVER (PARTITION BY transcript ORDER BY total DESC, pos) AS i FROM (SELECT *, row_number() OVER (PARTITION BY transcript, pos ORDER BY total DESC, hit_id) AS r FROM cl) WHERE r = 1"
+_MARKS = """SELECT transcript, 0 AS i, CAST([] AS INT[]) AS kept FROM (SELECT DISTINCT transcript FROM sites) UNION ALL SELECT c.transcript, CAST(c.i AS INT), CASE WHEN len(list_filter(kept, lambda x: abs(x - c.pos) <= 3)) = 0 THEN list_append(kept, CAST(c.pos AS INT)) ELSE kept END
+FROM marks JOIN sites c ON c.transcript = marks.transcript AND c.i = marks.i + 1"""
+
+
+@query("t15_marker_suppression", recursive(oracle("SELECT hit_id, query, transcript, q, pos, total, best_category FROM sites JOIN (SELECT transcript, unnest(kept) AS pos FROM (SELECT transcript, arg_max(kept, i) AS kept FROM marks GROUP BY transcript)) USING (transcript, pos)", "hits", "dens", cat=_CAT, cl=_CLEAVE, sites=_SITES, marks=_MARKS)))
 def _(spark, d):
     return E.marker_suppression(_cleaved(spark, d))
 
