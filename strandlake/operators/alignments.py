@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import aligned_blocks
+from strandlake.operators.ranking import numbered
 
 UNIT = 27_720
 LANE = ("sample_id", "contig", "strand")
@@ -169,7 +170,7 @@ def fragments(reads: DataFrame, min_mapq: int = 10, direction_source: str = "rea
     first = F.min(F.when(has(source), F.struct((-F.col("mapq")).alias("m"), "start0", "flag"))).alias("first")
     pair = usable.groupBy("sample_id", "qname").agg(F.bool_or(has(64)).alias("r1"), F.bool_or(has(128)).alias("r2"), F.min("contig").alias("lo"), F.max("contig").alias("hi"), first)
     pair = pair.where("r1 and r2 and lo = hi").select("sample_id", "qname", F.when(F.col("first.flag").bitwiseAND(16) != 0, "antisense").otherwise("sense").alias("strand"))
-    each = usable.join(pair, ["sample_id", "qname"]).select("sample_id", "qname", "contig", "strand", F.explode(aligned_blocks(F.col("cigar"), F.col("start0"))).alias("b"))
+    each = usable.drop("strand").join(pair, ["sample_id", "qname"]).select("sample_id", "qname", "contig", "strand", F.explode(aligned_blocks(F.col("cigar"), F.col("start0"))).alias("b"))
     return merge_intervals(each.select("sample_id", "qname", "contig", "strand", "b.start0", "b.end0"), ("sample_id", "qname", "contig", "strand"))
 
 
@@ -221,3 +222,31 @@ def best_stratum(aln: DataFrame, most: int = 50) -> DataFrame:
     per = best.groupBy("sample_id", "qname").agg(F.min("nm").alias("nm"), F.slice(F.array_sort(F.collect_list(place)), 1, most).alias("p"), F.array_join(F.array_sort(F.collect_set("contig")), ";").alias("contigs"))
     text = F.transform("p", lambda x: F.concat(x["contig"], F.lit(":"), (x["start0"] + 1).cast("string"), F.lit("-"), x["end0"].cast("string"), F.lit(":"), x["strand"], F.lit(":"), x["nm"].cast("string")))
     return per.select("sample_id", "qname", "nm", "contigs", F.array_join(text, ";").alias("places"))
+
+
+def ranked_bins(aln: DataFrame, libraries: DataFrame, size: int, length: int, around: int) -> DataFrame:
+    """All bins of a scoring group (the samples of ``libraries``) with a depth, ranked by product, duplex and total depth, with their context."""
+    bins = strand_bins(aln.join(F.broadcast(libraries.select("sample_id")), "sample_id"), libraries, size, ("contig",))
+    bins = bins.withColumn("bin_length", F.least(F.lit(size), length - F.col("bin") * size)).where("bin_length > 0 and sense_area + antisense_area > 0")
+    s, a = F.round("sense_area", 4), F.round("antisense_area", 4)
+    bins = bins.withColumn("sense_area", s).withColumn("antisense_area", a)
+    n, first = F.col("bin_length"), F.col("bin") * size
+    duplex, total = F.least("sense_area", "antisense_area"), F.col("sense_area") + F.col("antisense_area")
+    out = bins.withColumn("product_score", F.round(F.col("sense_area") * F.col("antisense_area"), 3)).withColumn("duplex_depth", F.round(duplex / n, 6)).withColumn("total_depth", F.round(total / n, 6))
+    out = out.withColumn("balance", F.round(200.0 * duplex / total, 6)).withColumn("replicates", F.lit(libraries.count()))  # a row a sample
+    out = out.withColumn("target_bin", F.concat_ws("_", "contig", (first + 1).cast("string"), (first + n).cast("string")))
+    out = out.withColumn("context_start_1based", F.greatest(F.lit(0), first - around) + 1).withColumn("context_end_1based", F.least(F.lit(length), first + n + around))
+    return numbered(out, F.desc("product_score"), F.desc("duplex_depth"), F.desc("total_depth"), "contig", "bin")
+
+
+def vector_mean(rows: DataFrame, samples: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """Mean and standard error of ``value`` over all ``samples`` at each place; a sample without a row has 0. One sample has no error."""
+    n = samples.count()  # a row a sample
+    mean = F.sum(value) / n
+    spread = F.greatest(F.lit(0.0), (F.sum(F.col(value) * F.col(value)).cast("double") - n * mean * mean) / (n - 1)) if n > 1 else F.lit(None)
+    return rows.groupBy(*keys).agg(F.round(mean, 4).alias(f"mean_{value}"), F.round(F.sqrt(spread / n), 3).alias(f"sem_{value}"))
+
+
+def replicate_numbers(samples: DataFrame, group: str, order: str) -> DataFrame:
+    """Running numbers within each group of a sample sheet."""
+    return samples.withColumn("replicate", F.row_number().over(Window.partitionBy(group).orderBy(order)))
