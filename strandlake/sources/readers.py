@@ -2,29 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import parse_tags
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, description, sequence (upper case). Records are cut at line breaks before ``>``, so files split over tasks."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace(F.regexp_replace("value", "^﻿?>", ""), "\r", "").alias("r"))
+def _fasta_records(raw: DataFrame, *more: str) -> DataFrame:
     head = F.split("r", "\n", 2)
-    header, body = F.trim(head[0]), F.coalesce(F.get(head, F.lit(1)), F.lit(""))
-    named = raw.select(header.alias("h"), F.upper(F.regexp_replace(body, r"\s+", "")).alias("sequence")).where("h <> ''")
-    return named.select(F.regexp_extract("h", r"^(\S+)", 1).alias("name"), F.col("h").alias("description"), "sequence")
+    cut = raw.select(F.regexp_replace(F.regexp_replace("value", "^﻿?>", ""), "\r", "").alias("r"), *more)
+    named = cut.select(F.trim(head[0]).alias("h"), F.upper(F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s+", "")).alias("sequence"), *more).where("h <> ''")
+    return named.select(F.regexp_extract("h", r"^(\S+)", 1).alias("name"), F.col("h").alias("description"), "sequence", *more)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, plus, quality; four lines a record. A record that is not well formed raises an error."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", ""), "\n").alias("l"))
-    at = whole.select("l", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("l") - 1), F.lit(4))).alias("i"))
-    part = at.select(*(F.get("l", F.col("i") + k).alias(n) for k, n in enumerate(("name", "sequence", "plus", "quality"))))
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """name, description, sequence (upper case). Records are cut at line breaks before ``>``, so files split over tasks."""
+    return _fasta_records(spark.read.option("lineSep", "\n>").text(path))
+
+
+def read_fasta_last(spark: SparkSession, path: str) -> DataFrame:
+    """Records of ``read_fasta``, the last of each name where a name repeats, and their length."""
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = _fasta_records(spark.read.option("lineSep", "\n>").text(path).select("value", order.alias("at")), "at")
+    last = rows.groupBy("name").agg(F.max_by(F.struct("description", "sequence"), "at").alias("r"))
+    return last.select("name", "r.description", "r.sequence", F.char_length("r.sequence").alias("length"))
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 0 in each file) and value of all lines, in their order within each task.
+
+    Lines count within their split of a file, and the splits' sizes, a row for each split, give where each begins. That table
+    goes to every task: it has a row for 128 MB of input.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id")]
+    lines = spark.read.text(path).select("value", *at)
+    splits = lines.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    begins = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(F.broadcast(begins), ["file", "block"]).select("file", (F.col("_id") + F.col("_shift")).alias("number"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+_FIELDS = ("name", "sequence", "plus", "quality")
+
+
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records whose four lines are in one task, and single lines (file, number, value) of those that two tasks share."""
+    names = [*_FIELDS, "file", "number", "value"]
+    left = None
+
+    def single(lines: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(lines.num_rows, pa.string()) for _ in _FIELDS), *lines.columns], names=names)
+
+    for batch in batches:
+        rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        number = rows.column(1).to_numpy()
+        file = rows.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        n = len(number)
+        starts = np.flatnonzero(number[: max(0, n - 3)] % 4 == 0)
+        starts = starts[(number[starts + 3] == number[starts] + 3) & (file[starts + 3] == file[starts])]
+        used = np.zeros(n, bool)
+        for k in range(4):
+            used[starts + k] = True
+        # the last lines may go on in the next batch
+        tail = n
+        for k in range(1, min(3, n) + 1):
+            if not used[n - k] and number[n - k] % 4 == 0:
+                tail = n - k
+                break
+        if len(starts):
+            text = rows.column(2)
+            none = [pa.nulls(len(starts), t) for t in (pa.string(), pa.int64(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(text.take(pa.array(starts + k)) for k in range(4)), *none], names=names)
+        lone = np.flatnonzero(~used[:tail])
+        if len(lone):
+            yield single(rows.take(pa.array(lone)))
+        left = rows.slice(tail) if tail < n else None
+    if left is not None:
+        yield single(left)
+
+
+def read_fastq(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """name, sequence, plus, quality; four lines a record. A record that is not well formed raises an error.
+
+    Files split over tasks: only lines of records that two tasks share are shuffled. Blank lines at the end are left out.
+    ``first`` keeps that many records from the start of each file.
+    """
+    lines = _numbered_lines(spark, path)
+    if first is not None:
+        lines = lines.where(F.col("number") < 4 * first)
+    found = lines.mapInArrow(_whole_records, "name string, sequence string, plus string, quality string, file string, number long, value string")
+    line = lambda k: F.max(F.when(F.col("number") % 4 == k, F.col("value")))
+    shared = found.where("number is not null").groupBy("file", F.expr("number div 4").alias("record")).agg(*(line(k).alias(n) for k, n in enumerate(_FIELDS)))
+    rows = found.where("number is null").select(*_FIELDS).unionByName(shared.select(*_FIELDS)).where(F.concat_ws("", *_FIELDS) != "")
     good = F.col("name").startswith("@") & F.col("plus").startswith("+") & (F.char_length("sequence") == F.char_length("quality"))
-    checked = part.select(F.when(F.coalesce(good, F.lit(False)), F.substring("name", 2, 1 << 30)).otherwise(F.raise_error(F.lit("malformed FASTQ record"))).alias("name"), "sequence", "plus", "quality")
-    return checked
+    return rows.select(F.when(F.coalesce(good, F.lit(False)), F.substring("name", 2, 1 << 30)).otherwise(F.raise_error(F.lit("malformed FASTQ record"))).alias("name"), "sequence", "plus", "quality")
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """name and sequence of FASTA or FASTQ, told apart by the first letter."""
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    first = head[0]["value"].lstrip("\ufeff")[:1] if head else ">"
+    if first not in (">", "@"):
+        raise ValueError("neither FASTA nor FASTQ")
+    return (read_fasta if first == ">" else read_fastq)(spark, path).select("name", F.upper("sequence").alias("sequence"))
+
+
+def read_features(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """contig, start, end (places from 0), label and kind of a table of features; rows without whole places are left out."""
+    raw = spark.read.csv(path, header=True, sep=sep)
+    have = {c.strip().lower(): c for c in raw.columns}
+    text = lambda n, other: F.coalesce(F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")), F.lit(other)) if n in have else F.lit(other)
+    rows = raw.select(text("contig", None).alias("contig"), _int(text("start", None)).alias("start"), _int(text("end", None)).alias("end"), text("label", "").alias("label"), text("kind", "feature").alias("kind"))
+    return rows.where("contig is not null and start is not null and end > start")
 
 
 def count_fastq(spark: SparkSession, path: str) -> int:
@@ -67,8 +160,6 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 def read_rnaplex(spark: SparkSession, path: str) -> DataFrame:
     """structure, t_start, t_end, q_start, q_end, mfe of duplex lines, with the last names before each; a file is one task's."""
     text = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "x"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file").orderBy("i")
     named = text.withColumn("h", F.last(F.when(F.col("x").startswith(">"), F.regexp_extract("x", r">\s*(\S+)", 1)), ignorenulls=True).over(order))
     p = r"^\s*([().&]+)\s+(\d+),(\d+)\s*:\s*(\d+),(\d+)\s+\(\s*(-?[0-9.]+)"
@@ -105,3 +196,8 @@ def write_fastq(df: DataFrame, path: str) -> None:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
+
+
+def write_stats(df: DataFrame, path: str) -> None:
+    """(metric, value) rows sorted by metric, one file: such a table has a row a counter."""
+    df.orderBy("metric").coalesce(1).write.csv(path, header=True)

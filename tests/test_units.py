@@ -58,7 +58,7 @@ def test_matching(spark):
     near = M.ungapped_mapping(spark.createDataFrame([("AACGTT",)], "sequence string"), refs, 6, 1).collect()
     assert ("c", 1, "sense", 1) in {(r.contig, r.start0, r.strand, r.nm) for r in near}
     records = spark.createDataFrame([("a", "ACGTACGT", 0), ("b", "ACGT", 1), ("d", "CGTA", 3)], "id string, sequence string, idx long")
-    assert {(r.id, r.parent_id, r.start_1based) for r in M.contained(records, [4]).collect()} == {("b", "a", 1), ("d", "a", 2)}
+    assert {(r.id, r.parent_id, r.start_1based) for r in M.contained(records, 4, 8).collect()} == {("b", "a", 1), ("d", "a", 2)}
 
 
 def test_readers(spark, tmp_path):
@@ -72,3 +72,72 @@ def test_readers(spark, tmp_path):
     assert [(x.qname, x.pos, x.tags["NM"]) for x in r] == [("q", 5, "1")]
     (tmp_path / "x.clstr").write_text(">Cluster 0\n0\t9nt, >a... *\n1\t8nt, >b... at +/99%\n>Cluster 1\n0\t7nt, >c... *\n")
     assert sorted((x.cluster_no, x.member, x.length, x.is_representative) for x in R.read_clusters(spark, str(tmp_path / "x.clstr")).collect()) == [(0, "a", 9, True), (0, "b", 8, False), (1, "c", 7, True)]
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    wanted = [(f"r{i}", "ACGTN"[: 1 + i % 5] * (1 + i % 7), "@" * ((1 + i % 5) * (1 + i % 7))) for i in range(500)]
+    for part in range(2):
+        (tmp_path / f"{part}.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in wanted[part::2]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        found = R.read_fastq(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 8
+        assert sorted(map(tuple, found.select("name", "sequence", "quality").collect())) == sorted(wanted)
+        assert {r.name for r in R.read_fastq(spark, str(tmp_path), first=3).collect()} == {f"r{i}" for i in range(6)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+
+
+def test_malformed_fastq(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "x.fq").write_text("@r1\nACGT\n+\nIII\n")
+    with pytest.raises(Exception, match="malformed"):
+        R.read_fastq(spark, str(tmp_path / "x.fq")).collect()
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "x.fa").write_text("\ufeff>a one\nac\n>b\nGG\n>a two\nt\n")
+    assert {(r.name, r.description, r.sequence, r.length) for r in R.read_fasta_last(spark, str(tmp_path / "x.fa")).collect()} == {("a", "a two", "T", 1), ("b", "b", "GG", 2)}
+    assert R.read_sequences(spark, str(tmp_path / "x.fa")).count() == 3
+    (tmp_path / "f.csv").write_text("Contig,start,end,label\nc,1,5,x\nc,7,7,y\n*,0,3,\n")
+    assert sorted(map(tuple, R.read_features(spark, str(tmp_path / "f.csv")).collect())) == [("*", 0, 3, "", "feature"), ("c", 1, 5, "x", "feature")]
+    (tmp_path / "p.paf").write_text("q\t10\t0\t9\t+\tt\t100\t5\t14\t9\t9\t60\nshort\n")
+    assert [(r.target, r.tstart, r.mapq) for r in R.read_paf(spark, str(tmp_path / "p.paf")).collect()] == [("t", 5, 60)]
+    (tmp_path / "m.csv").write_text("Sample,condition,R1,R2,library_pairs\ns,g,a,b,\"1,000\"\nt,g,a,,\n")
+    assert [tuple(r) for r in R.read_manifest(spark, str(tmp_path / "m.csv")).collect()] == [("s", "g", None, "a", "b", 1000)]
+
+
+def test_names_blocks_and_tags(spark):
+    assert [one(spark, S.cpm_token(F.lit(v))) for v in (0.0, 2.5, 0.5, 0.004, 1 / 3)] == ["0", "2", "1/2", "0/1", "1/3"]
+    assert [tuple(b) for b in one(spark, S.aligned_blocks(F.lit("3S4M2D5M1I2=3N1X"), F.lit(10)))] == [(10, 14), (16, 21), (21, 23), (26, 27)]
+    tags = lambda *f: S.mismatch_count(S.parse_tags(F.array(*map(F.lit, f))))
+    assert [one(spark, tags(*f)) for f in (("XM:i:2", "NM:i:1"), ("XA:i:3", "MD:Z:4"), ("MD:Z:1A2",), ("NM:i:x", "MD:Z:1A2"), ("ZZ:i:1",))] == [1, 3, 1, None, None]
+    assert [one(spark, S.pvalue_method(F.lit(m))) for m in ("cleaveland", "x")] == ["cleaveland_category_rank", "transcript_peak_empirical"]
+    r = spark.createDataFrame([("",), (None,), ("ACGTTTTTTTTT",)], "s string").select(*(c.alias(n) for n, c in S.complexity(F.col("s")).items())).collect()
+    assert (r[0].length, r[0].low_complexity, r[0].dominant_dinucleotide) == (0, True, "")
+    assert r[1].length is None and (r[2].longest_homopolymer_base, r[2].longest_homopolymer_length, r[2].dominant_trinucleotide) == ("T", 9, "TTT")
+
+
+def test_collapse(spark):
+    records = spark.createDataFrame([(0, "a", "ACGTACGT"), (1, "b", "ACGT"), (2, "c", "ACGTACGT"), (3, "d", "CGTA")], "idx long, id string, sequence string")
+    kept, gone = M.collapsed(records, 4, 8)
+    assert [r.id for r in kept.collect()] == ["a"]
+    assert {(r.removed_id, r.removal_reason, r.parent_id, r.start_1based, r.end_1based) for r in gone.collect()} == {("c", "exact_duplicate", "a", 1, 8), ("b", "shorter_exact_substring", "a", 1, 4), ("d", "shorter_exact_substring", "a", 2, 5)}
+    assert {r.metric: r.value for r in M.collapse_summary(records, kept, gone).where("metric <> 'length_breakdown'").collect()}["kept_records_after_collapse"] == 1
+
+
+def test_numbered_over_many_parts(spark):
+    from strandlake.operators.ranking import numbered
+
+    rows = numbered(spark.range(0, 5000, 1, 16).select((F.col("id") * 7919 % 5000).alias("x")), "x").collect()
+    assert len(rows) == 5000 and all(r["rank"] == r["x"] + 1 for r in rows)
+
+
+def test_choices_within_runs(spark):
+    rows = spark.createDataFrame([("c", s, 200, v) for s, v in ((0, 4.0), (100, 3.0), (150, 2.0), (400, 1.0))], "contig string, start0 int, width int, rank_score double")
+    assert sorted(r.start0 for r in A.non_overlapping(rows).collect()) == [0, 100, 400]
+    assert [(r.start0, r["rank"]) for r in A.best_windows(rows, top=2).orderBy("rank").collect()] == [(0, 1), (100, 2)]
