@@ -250,3 +250,12 @@ def vector_mean(rows: DataFrame, samples: DataFrame, keys: tuple[str, ...], valu
 def replicate_numbers(samples: DataFrame, group: str, order: str) -> DataFrame:
     """Running numbers within each group of a sample sheet."""
     return samples.withColumn("replicate", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def contexts(top: DataFrame, refs: DataFrame, size: int, around: int) -> DataFrame:
+    """The letters of a report's bins (contig, bin) with ``around`` letters on both sides; a contig that is not there raises an error."""
+    found = refs.join(F.broadcast(top.select("contig").distinct()), "contig", "left_semi")
+    rows = top.join(found, "contig", "left")
+    seq = F.coalesce("seq", F.raise_error(F.concat(F.lit("no sequence of "), "contig")))
+    first, last = F.greatest(F.lit(0), F.col("bin") * size - around) + 1, F.least(F.char_length(seq), (F.col("bin") + 1) * size + around)
+    return rows.select("contig", "bin", first.alias("context_start"), last.alias("context_end"), F.substring(seq, first, last - first + 1).alias("sequence"))

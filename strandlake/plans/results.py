@@ -8,6 +8,7 @@ from strandlake.functions import sequences as S
 from strandlake.operators import alignments as A
 from strandlake.operators import control as C
 from strandlake.operators import evidence as E
+from strandlake.operators import mapping as P
 from strandlake.operators import matching as M
 from strandlake.operators.ranking import numbered, use_checkpoints
 from strandlake.plans import fixtures as X
@@ -290,3 +291,64 @@ def _(spark, d):
 def _(spark, d):
     n = X._table(spark, d, "nation").join(X._table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return A.replicate_numbers(n.select(F.col("n_nationkey").alias("sample_key"), F.col("n_name").alias("sample_id"), F.lower("r_name").alias("grp")), "grp", "sample_key")
+
+
+# ---------------------------------------------------------------- small-RNA mapping
+
+_SIMPLE = f"""SELECT sequence, CASE WHEN {_ACGT} = 0 THEN 'no_acgt' WHEN {_N['N']} > 0.10 * length(w) THEN 'too_many_n' WHEN {_KINDS} <= 2 THEN 'one_or_two_base_alphabet' WHEN CAST({_TOP} AS DOUBLE) / {_ACGT} >= 0.80 THEN 'dominant_single_base' WHEN run >= 8 OR run_ >= 0.60 THEN 'long_homopolymer' WHEN f2 >= 0.70 THEN 'dominant_2mer' WHEN f3 >= 0.70 THEN 'dominant_3mer' END AS reason FROM (SELECT DISTINCT w AS sequence, w, run, run_, f2, f3 FROM figures)"""
+_MAPPED = {
+    **{k: v for k, v in _CTX.items() if k not in ("summary", "clean", "record")},
+    "reads_": "SELECT concat('s', CAST(1 + idx % 4 AS STRING)) AS sample_id, CASE WHEN idx % 4 < 2 THEN 'g1' ELSE 'g2' END AS grp, sequence, CAST(count(*) AS BIGINT) AS copies FROM srna GROUP BY ALL",
+    "libs": "SELECT sample_id, grp, CAST(sum(copies) AS BIGINT) AS n_reads FROM reads_ GROUP BY ALL",
+    "simple_": _SIMPLE,
+    "spots": "SELECT DISTINCT sequence, contig, start_1based, end_1based, direction FROM places",
+    "mapped": "SELECT sample_id, grp, contig, CAST(start_1based AS INT) AS start, CAST(end_1based AS INT) AS end_, CAST(length(r.sequence) AS INT) AS length, CASE direction WHEN '+' THEN 'sense' ELSE 'antisense' END AS strand, 0 AS mismatches, r.sequence, copies, reason FROM reads_ r JOIN spots USING (sequence) JOIN simple_ USING (sequence)",
+    "kept_": "SELECT m.*, copies * 1e6 / n_reads AS cpm FROM mapped m JOIN (SELECT sample_id, n_reads FROM libs) USING (sample_id) WHERE reason IS NULL",
+    "sizes_": "SELECT grp, count(*) AS replicates FROM libs GROUP BY ALL",
+}
+
+
+def _sample_reads(spark, d):
+    sample = F.concat(F.lit("s"), (1 + F.col("idx") % 4).cast("string")).alias("sample_id")
+    reads = srnas(spark, d).select(sample, F.when(F.col("idx") % 4 < 2, "g1").otherwise("g2").alias("grp"), "sequence").groupBy("sample_id", "grp", "sequence").agg(F.count("*").alias("copies"))
+    return reads, reads.groupBy("sample_id", "grp").agg(F.sum("copies").alias("n_reads"))
+
+
+def _mapped(spark, d):
+    reads, libraries = _sample_reads(spark, d)
+    return P.mapped_reads(reads, references(spark, d).drop("kind"), 18, 24), libraries
+
+
+@query("m08_alignments", oracle("SELECT sample_id, grp, contig, start, end_ AS \"end\", length, strand, mismatches, sequence, copies, round(cpm, 6) AS cpm FROM kept_", **_MAPPED))
+def _(spark, d):
+    return P.retained(*_mapped(spark, d)).drop("n_reads").withColumn("cpm", r6(F.col("cpm")))
+
+
+@query("m08_sample_summary", oracle("SELECT l.sample_id, l.grp, l.n_reads, CAST(coalesce(sum(copies), 0) AS BIGINT) AS raw_mapped_alignments, CAST(coalesce(sum(copies) FILTER (WHERE reason IS NOT NULL), 0) AS BIGINT) AS simple_filtered_alignments, CAST(coalesce(sum(copies) FILTER (WHERE reason IS NULL AND length <> 21), 0) AS BIGINT) AS focus_length_filtered_alignments, CAST(coalesce(sum(copies) FILTER (WHERE reason IS NULL AND length = 21), 0) AS BIGINT) AS retained_alignments, round(coalesce(100.0 * sum(copies) FILTER (WHERE reason IS NOT NULL) / sum(copies), 0), 6) AS simple_filtered_percent FROM libs l LEFT JOIN mapped m ON m.sample_id = l.sample_id GROUP BY l.sample_id, l.grp, l.n_reads", **_MAPPED))
+def _(spark, d):
+    return P.sample_summary(*_mapped(spark, d), focus=21).withColumn("simple_filtered_percent", r6(F.col("simple_filtered_percent")))
+
+
+@query("m08_unique", oracle(f"SELECT grp, contig, start, \"end\", strand, sequence, mismatches, samples_present, replicates, v AS mean_cpm, concat(contig, '_', CAST(start AS VARCHAR), 'pos_', CAST(length(sequence) AS VARCHAR), 'len_', strand, '_', CAST(mismatches AS VARCHAR), 'm_', {_TOKEN}, 'CPM') AS name FROM (SELECT grp, contig, start, end_ AS \"end\", strand, sequence, mismatches, count(DISTINCT sample_id) AS samples_present, min(replicates) AS replicates, round(sum(cpm) / min(replicates), 6) AS v FROM kept_ JOIN sizes_ USING (grp) GROUP BY ALL)", **_MAPPED))
+def _(spark, d):
+    mapped, libraries = _mapped(spark, d)
+    return P.group_means(P.retained(mapped, libraries), libraries)
+
+
+@query("m08_contig_summary", oracle("SELECT grp, contig, min(k) AS replicates, round(sum(s) / min(k), 4) AS sense_mean, round(sqrt(greatest(0, (sum(s * s) - sum(s) * sum(s) / min(k)) / (min(k) - 1)) / min(k)), 3) AS sense_sem, round(sum(a) / min(k), 4) AS antisense_mean, round(sqrt(greatest(0, (sum(a * a) - sum(a) * sum(a) / min(k)) / (min(k) - 1)) / min(k)), 3) AS antisense_sem, round((sum(s) + sum(a)) / min(k), 4) AS total_mean FROM (SELECT grp, contig, sample_id, min(replicates) AS k, sum(CASE WHEN strand = 'sense' THEN cpm ELSE 0 END) AS s, sum(CASE WHEN strand = 'antisense' THEN cpm ELSE 0 END) AS a FROM kept_ JOIN sizes_ USING (grp) GROUP BY grp, contig, sample_id) GROUP BY grp, contig", **_MAPPED))
+def _(spark, d):
+    mapped, libraries = _mapped(spark, d)
+    c = P.contig_summary(P.retained(mapped, libraries), libraries)
+    return c.select("grp", "contig", "replicates", *(F.round(x, 3 if x.endswith("sem") else 4).alias(x) for x in ("sense_mean", "sense_sem", "antisense_mean", "antisense_sem", "total_mean")))
+
+
+@query("m08_length_distribution", oracle("SELECT sample_id, length, strand, contig, CASE WHEN contig IS NULL THEN 'all' ELSE 'contig' END AS scope, round(sum(cpm), 4) AS cpm FROM kept_ GROUP BY GROUPING SETS ((sample_id, length, strand), (sample_id, length, strand, contig))", **_MAPPED))
+def _(spark, d):
+    return P.length_distribution(P.retained(*_mapped(spark, d))).withColumn("cpm", F.round("cpm", 4))
+
+
+@query("j16_contexts", oracle("SELECT contig, bin, context_start, context_end, substring(seq, context_start, context_end - context_start + 1) AS sequence FROM (SELECT contig, bin, seq, CAST(greatest(0, bin * 250 - 500) + 1 AS INT) AS context_start, CAST(least(length(seq), bin * 250 + 750) AS INT) AS context_end FROM (SELECT contig, CAST((start_1based - 1) // 250 AS INT) AS bin, row_number() OVER (ORDER BY count(*) DESC, contig, (start_1based - 1) // 250) AS r FROM places WHERE kind = 'dsrna' GROUP BY contig, (start_1based - 1) // 250) JOIN refs USING (contig) WHERE r <= 20)", **{k: v for k, v in _CTX.items() if k in ("srna", "refs", "strands", "seeds", "places")}))
+def _(spark, d):
+    bins = _places(spark, d).where("kind = 'dsrna'").groupBy("contig", F.expr("CAST((start_1based - 1) div 250 AS INT)").alias("bin")).agg(F.count("*").alias("n"))
+    top = bins.orderBy(F.desc("n"), "contig", "bin").limit(20)  # the report's length
+    return A.contexts(top, references(spark, d).select("contig", "seq"), 250, 500)
