@@ -4,7 +4,8 @@ First every item is compared with the heaviest member of its buckets (the one th
 item, and the links found are joined into components. Then only buckets whose members still belong to different components
 are looked at, one of those that have the same members, and in them only pairs from different components: members are dealt into
 blocks of bounded size, two blocks meet in one task with all that is needed to decide there, and a task returns links that
-span what it has joined, fewer than it has members. A link inside a component changes no component, so no component misses
+span what it has joined, fewer than it has members. Blocks of a bucket's largest component never meet each other, so a bucket
+in which one component has nearly all members costs about one row a member. A link inside a component changes no component, so no component misses
 a link between bucket members.
 """
 
@@ -22,7 +23,7 @@ from strandlake.llm.tables import cut, may_be_in, stored
 from strandlake.llm.textblocks import trimmed
 
 #: Members and bytes of a block; two blocks are compared in one step.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+BLOCK, BLOCK_BYTES = 1_024, 8 << 20
 #: Members of a bucket up to which many buckets are looked at together.
 SMALL = 32
 #: Columns of the matrix by which a block's sets are intersected, at once.
@@ -225,6 +226,54 @@ def _block_links(rows: DataFrame, test: BlockTest) -> DataFrame:
     return rows.repartition(_tasks(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(trimmed(compare), "a long, b long")
 
 
+def dealt_out(here: DataFrame) -> DataFrame:
+    """A row (bucket, i, j, blk, id, component) for each pair (i, j) of blocks that the block of a member of ``here`` is looked at in.
+
+    here: (bucket, id, component, _top, _tops, _rest): the largest component or null, its blocks, and those of all other members, which come first.
+    """
+    top = F.coalesce(F.col("component") == F.col("_top"), F.lit(False))
+    own = F.when(top, F.col("_rest") + F.pmod(F.xxhash64("id"), "_tops")).otherwise(F.pmod(F.xxhash64("id"), "_rest"))
+    met = F.sequence(F.lit(0).cast("long"), F.col("_rest") - 1 + F.when(top, 0).otherwise(F.col("_tops")))
+    pairs = here.select("bucket", "id", "component", own.alias("blk"), met.alias("met")).withColumn("_other", F.explode("met"))
+    return pairs.select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
+
+
+#: A key with over a ``HEAVY``-th of all rows is looked up in memory; there are fewer than ``HEAVY`` of them.
+HEAVY = 1_000
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``labels``: unique keys, ``n`` (the number of rows that have the key), and columns to add.
+
+    Labels of heavy keys are broadcast and their rows are spread over all tasks, so no task gets what one key holds.
+    """
+    more = [c for c in labels.columns if c not in (key, "n")]
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    packed = labels.select(F.col(key).alias("_key"), "n", F.struct(*more).alias("_label"))
+    heavy = F.broadcast(packed.where(F.col("n") * HEAVY > total).select("_key", F.col("_label").alias("_heavy")))
+    light = packed.where(F.col("n") * HEAVY <= total).select("_key", F.col("_label").alias("_light"), F.lit(-1).cast("long").alias("_slot"))
+    some = rows.join(heavy, rows[key] == heavy["_key"], "left").drop("_key")
+    some = some.withColumn("_at", F.when(F.col("_heavy").isNull(), -1).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))))
+    both = some.join(light, (some[key] == light["_key"]) & (some["_at"] == light["_slot"]), "left")
+    return both.select(*rows.columns, *(F.coalesce(f"_heavy.{c}", f"_light.{c}").alias(c) for c in more))
+
+
+def document_components(table: DataFrame, classes: DataFrame, groups: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, component_id, n) of the items that stand for several rows or have links: the smallest doc_id of their component.
+
+    table: (doc_id, key), a row a document; classes: (key, rep, n), the smallest doc_id and the number of rows of each key; groups: (id, component) of linked keys.
+    Rows that share a doc_id link their keys.
+    """
+    several = table.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
+    shared = stored(table.select("doc_id", key).join(several, "doc_id").groupBy("doc_id").agg(F.collect_set(key).alias("s")).select(F.array_min("s").alias("b"), F.explode("s").alias("a")).where("a <> b"), f"{name}-shared-ids")
+    if not shared.isEmpty():
+        groups = cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(shared.select("a", "b"))))
+    grouped = classes.join(groups.withColumnRenamed("id", key), key, "left").where("n > 1 or component is not null")
+    grouped = stored(grouped.select(key, "rep", F.col("n").alias("times"), F.coalesce("component", key).alias("component")), f"{name}-groups")
+    least = stored(grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), f"{name}-least")
+    return stored(labelled(grouped, least, "component").select(key, "component_id", F.col("times").alias("n")), f"{name}-labels")
+
+
 def linked_groups(members: DataFrame, weights: DataFrame, payload_of: Callable[[DataFrame], DataFrame], pair_test: PairTest, block_test: BlockTest, name: str) -> DataFrame:
     """``id, component`` of the items that have a link.
 
@@ -240,18 +289,24 @@ def linked_groups(members: DataFrame, weights: DataFrame, payload_of: Callable[[
     payload = stored(payload_of(multi.select("id").distinct()), f"{name}-payload")
     groups = cut(connected_components(_star_links(multi, weights, payload, pair_test, name)))
 
-    labelled = stored(multi.join(groups, "id", "left").join(payload.select("id", F.octet_length("payload").alias("size")), "id").select("bucket", "id", F.coalesce("component", "id").alias("component"), "size"), f"{name}-labelled")
-    mixed = labelled.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")
+    labels = stored(multi.join(groups, "id", "left").join(payload.select("id", F.octet_length("payload").alias("size")), "id").select("bucket", "id", F.coalesce("component", "id").alias("component"), "size"), f"{name}-labelled")
+    parts = labels.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.max(F.struct("n", "size", "component")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")
     )
     # buckets of the same members need one look
-    once = mixed.where("lo <> hi").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size"))
-    open_ = stored(once.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("long").alias("_blocks")), f"{name}-open")
-    here = stored(labelled.join(open_, "bucket").select("bucket", "id", "component", "_blocks"), f"{name}-dealt")
+    once = mixed.where("components > 1").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("top").alias("top"), F.first("size").alias("size"))
+    one = (F.col("n") <= BLOCK) & (F.col("size") <= BLOCK_BYTES)
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("long")
+    # the largest component has blocks of its own, behind those of the rest
+    open_ = stored(
+        once.select(
+            "bucket", F.when(~one, F.col("top.component")).alias("_top"), F.when(one, 0).otherwise(blocks_of(F.col("top.n"), F.col("top.size"))).cast("long").alias("_tops"),
+            F.when(one, 1).otherwise(blocks_of(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))).cast("long").alias("_rest"),
+        ), f"{name}-open")
+    here = stored(labels.join(open_, "bucket").select("bucket", "id", "component", "_top", "_tops", "_rest"), f"{name}-dealt")
     with_open = payload.join(here.groupBy("id").agg(F.collect_set("bucket").alias("open")), "id").select("id", "open", "payload")
-    dealt = here.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"), "blk", "id", "component")
-    rows = dealt.join(with_open, "id").select("bucket", "i", "j", "blk", "id", "component", "open", "payload")
+    rows = dealt_out(here).join(with_open, "id").select("bucket", "i", "j", "blk", "id", "component", "open", "payload")
     more = stored(_block_links(rows, block_test), f"{name}-links2")
     if more.isEmpty():
         return groups

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import Group, Joined, intersections, linked_groups, numbered, spanning
+from strandlake.llm.grouping import Group, Joined, intersections, labelled, linked_groups, numbered, spanning
 from strandlake.llm.tables import bitmap_of, held, places, split_by_ids, stored
 from strandlake.llm.textblocks import Block, blocks, eights, mix, trimmed
 
@@ -420,12 +420,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     groups = linked_groups(members, weights, texts_of, _pair_links, _block_links, "lines")
     grouped = classes.join(groups.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").withColumn("group", F.coalesce("component", "key"))
-    grouped = stored(grouped.select("key", "group", "doc_id"), "line-groups")
-    keepers = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("keeper")), "line-keepers")
-    owner = stored(grouped.join(keepers, "group").select("key", "group", "keeper"), "line-owners")
-    shared = stored(lines.select("doc_id", "line_no", "key").join(owner, "key").select("doc_id", "line_no", "group", "keeper"), "shared-lines")
-    stays = stored(shared.where("doc_id = keeper").groupBy("group").agg(F.min("line_no").alias("kept_no")), "kept-lines")
-    return shared.join(stays, "group").where("doc_id <> keeper or line_no <> kept_no").select("doc_id", "line_no")
+    grouped = stored(grouped.select("key", "group", "doc_id", F.col("n").alias("times")), "line-groups")
+    keepers = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")), "line-keepers")
+    owner = stored(labelled(grouped, keepers, "group").select("key", "group", "keeper", F.col("times").alias("n")), "line-owners")
+    shared = stored(labelled(lines.select("doc_id", "line_no", "key"), owner, "key").where("keeper is not null").select("doc_id", "line_no", "group", "keeper"), "shared-lines")
+    sizes = shared.groupBy("group").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id") == F.col("keeper"), F.col("line_no"))).alias("kept_no"))
+    return labelled(shared, stored(sizes, "kept-lines"), "group").where("doc_id <> keeper or line_no <> kept_no").select("doc_id", "line_no")
 
 
 def _added(docs: DataFrame, *names: str) -> list[str]:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.grouping import Group, Joined, connected_components, intersections, linked_groups, numbered, spanning
-from strandlake.llm.tables import cut, split_by_ids, stored
+from strandlake.llm.grouping import Group, Joined, document_components, intersections, labelled, linked_groups, numbered, spanning
+from strandlake.llm.tables import split_by_ids, stored
 from strandlake.llm.textblocks import blocks, mix, shingle_sets, trimmed
 
 BANDS, BAND_SIZE = 28, 5
@@ -192,16 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
 
     like = Likeness(percent)
     groups = linked_groups(members, weights, payload_of, like.pairs, like.block, "near")
-    # rows that share a doc_id link their sets
-    several = filled.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id")
-    shared = stored(filled.select("doc_id", "set_id").join(several, "doc_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("s")).select(F.array_min("s").alias("b"), F.explode("s").alias("a")).where("a <> b"), "shared-ids")
-    if not shared.isEmpty():
-        groups = cut(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(shared.select("a", "b"))))
-    grouped = stored(classes.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").where("n > 1 or component is not null").select("set_id", "rep", F.coalesce("component", "set_id").alias("component")), "near-groups")
-    least = stored(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
-    label = stored(grouped.join(least, "component").select("set_id", "component_id"), "near-labels")
+    label = document_components(filled, classes, groups, "set_id", "near")
     own = F.col("n_shingles") > 0
-    out = table.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
+    rows = table.select("doc_id", "n_shingles", "set_id")
+    out = labelled(rows.where(own), label, "set_id").unionByName(rows.where(~own), allowMissingColumns=True)
     out = out.withColumn("component_id", F.when(own & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 BLOCK_BYTES = 1 << 20
 #: By the number of bytes of a lane that belong to the word.
 _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
@@ -58,10 +58,10 @@ class Block:
     def row_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
-    def _hashes(self, starts: np.ndarray, ends: np.ndarray, fold_case: bool) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, fold_case: bool) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, U)
-        padded = np.concatenate([_LOWER[self.data] if fold_case else self.data, np.zeros(8, np.uint8)])
+        padded = np.concatenate([LOWER[self.data] if fold_case else self.data, np.zeros(8, np.uint8)])
         at_any = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
         size = ends - starts
         lanes = np.maximum(1, (size + 7) >> 3)
@@ -72,16 +72,21 @@ class Block:
         found = np.add.reduceat(mix(lane ^ mix(number.astype(U) + U(0x9E3779B97F4A7C15))), first)
         return mix(found + size.astype(U) * U(0xD6E8FEB86659FD93))
 
-    def words(self, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends, rows and hashes of the runs of bytes other than white space; none spans two rows."""
-        space = _SPACE[self.data]
+    def spans(self, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of the runs of bytes other than those ``breaks`` marks (white space); none spans two rows."""
+        space = breaks[self.data]
         edge = np.zeros(len(space) + 1, bool)
         edge[self.offsets] = True
         before, after = np.ones(len(space), bool), np.ones(len(space), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
         starts = np.flatnonzero(~space & (before | edge[:-1]))
         ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-        return starts, ends, self.row_of(starts), self._hashes(starts, ends, fold_case)
+        return starts, ends, self.row_of(starts)
+
+    def words(self, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, rows and hashes of the runs of bytes other than white space."""
+        starts, ends, row = self.spans()
+        return starts, ends, row, self.hashes(starts, ends, fold_case)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         r"""Starts, ends, rows and raw hashes of the \n-split lines of every row, the empty ones too."""
@@ -90,7 +95,7 @@ class Block:
         ends = np.sort(np.concatenate([self.offsets[1:], breaks]), kind="stable")
         counts = self.per_row(self.data == 10) + 1
         rows = np.repeat(np.arange(self.rows), counts)
-        return starts, ends, rows, self._hashes(starts, ends, False)
+        return starts, ends, rows, self.hashes(starts, ends, False)
 
 
 def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
