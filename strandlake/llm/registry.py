@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat_format, collocations, decontaminate, license_scan, line_dedup, lm_score, near_dup, packing, pii, quality, secret_scan, simhash
+from strandlake.llm import chat_format, collocations, decontaminate, license_scan, line_dedup, lm_score, near_dup, packing, pii, quality, secret_scan, simhash, spelling
 from strandlake.llm.tables import table
 
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": _on_documents(pii.op9_pii),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op11_spelling_variants": _on_documents(spelling.spelling_variants),
     "op12_simhash_near_dedup": _on_documents(simhash.near_duplicates),
     "op13_collocations": _on_documents(collocations.collocations),
 }
@@ -43,6 +44,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op13_collocations": collocations.ORACLE,
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
