@@ -1,7 +1,8 @@
 """Operators on alignment rows: (sample_id, grp, qname, contig, start0, end0, strand, nm, mapq), half-open places from 0.
 
-Coverage is never enumerated per read: each alignment adds its weight at its start and takes it away at its end, and one
-running sum a contig gives the depth. Weights are whole numbers over ``UNIT`` (divisible by 1 to 12), so sums are exact.
+Coverage is never enumerated per read: each alignment adds its weight at its start and takes it away at its end, and
+running sums, cut into ranges of a contig (``axis``), give the depth. Weights are whole numbers of 1 / ``UNIT``, so sums do not depend
+on their order; the shares of a read at any number of places add up to it within that number of units.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import aligned_blocks
+from strandlake.operators import axis
 from strandlake.operators.ranking import numbered
 
-UNIT = 27_720
+UNIT = 10**18
 LANE = ("sample_id", "contig", "strand")
 
 
@@ -20,40 +22,45 @@ def library_sizes(aln: DataFrame) -> DataFrame:
     return aln.groupBy("sample_id", "grp").agg(F.count("*").alias("n_reads"))
 
 
-def weighted(aln: DataFrame, mode: str = "fractional") -> DataFrame:
-    """Perfect alignments with ``w``: a read's unit shared by its places, one for each, or one if it has a single place."""
-    perfect = aln.where("nm = 0")
+def weighted(aln: DataFrame, mode: str = "fractional", perfect: bool = True) -> DataFrame:
+    """Perfect alignments (or all) with ``w``: a read's unit shared by its places, one for each, or one if it has a single place."""
+    some = aln.where("nm = 0") if perfect else aln
     n = F.count("*").over(Window.partitionBy("sample_id", "qname"))
-    w = {"fractional": F.expr(f"{UNIT} div n_places"), "all": F.lit(UNIT), "unique": F.when(F.col("n_places") == 1, UNIT).otherwise(0)}[mode]
-    return perfect.withColumn("n_places", n).withColumn("w", w.cast("long"))
+    # the nearest whole number of units
+    share = F.expr(f"({UNIT} + n_places div 2) div n_places")
+    w = {"fractional": share, "all": F.lit(UNIT), "unique": F.when(F.col("n_places") == 1, UNIT).otherwise(0)}[mode]
+    return some.withColumn("n_places", n).withColumn("w", w.cast("decimal(19,0)"))
+
+
+def in_reads(units: Column) -> Column:
+    """A sum of weights as a number of reads."""
+    return units.cast("double") / UNIT
 
 
 def depth(rows: DataFrame, weight: Column | None = None, keys: tuple[str, ...] = LANE) -> DataFrame:
     """keys, pos, depth where the depth changes: the depth holds from pos to the next pos of the same keys."""
     w = F.lit(1).cast("long") if weight is None else weight
-    ends = F.explode(F.array(F.struct(F.col("start0").alias("pos"), w.alias("d")), F.struct(F.col("end0").alias("pos"), (-w).alias("d"))))
-    delta = rows.select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    return delta.withColumn("depth", F.sum("d").over(Window.partitionBy(*keys).orderBy("pos"))).drop("d")
+    return axis.levels(axis.steps(rows, keys, {"depth": w}), keys, ("depth",)).drop("stop")
 
 
 def depth_runs(steps: DataFrame, keys: tuple[str, ...] = LANE) -> DataFrame:
     """The steps of ``depth`` as runs start0, end0, depth with depth > 0."""
-    return steps.withColumn("end0", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))).where("depth > 0").select(*keys, F.col("pos").alias("start0"), "end0", "depth")
+    return axis.running(steps, keys, "pos", following="end0").where("depth > 0").select(*keys, F.col("pos").alias("start0"), "end0", "depth")
 
 
 def hit_summary(aln: DataFrame, mode: str = "fractional") -> DataFrame:
-    """Per sample and contig: weighted reads, peak depth and covered bases of each strand, in units of 1 / UNIT."""
-    rows = weighted(aln, mode)
-    runs = depth_runs(depth(rows, F.col("w")))
-    strand = lambda value, name: F.when(F.col("strand") == name, value)
-    reads = rows.groupBy("sample_id", "contig").agg(*(F.coalesce(F.sum(strand(F.col("w"), s)), F.lit(0)).alias(f"{s}_units") for s in ("sense", "antisense")), F.sum("w").alias("total_units"))
-    peaks = runs.groupBy("sample_id", "contig").agg(*(F.coalesce(F.max(strand(F.col("depth"), s)), F.lit(0)).alias(f"peak_{s}_units") for s in ("sense", "antisense")))
-    covered = merge_intervals(runs, ("sample_id", "contig")).groupBy("sample_id", "contig").agg(F.sum(F.col("end0") - F.col("start0")).cast("long").alias("covered_bases"))
-    return reads.where("total_units > 0").join(peaks, ["sample_id", "contig"], "left").join(covered, ["sample_id", "contig"], "left").na.fill(0)
+    """Per sample and contig: weighted reads, peak depth and covered bases of each strand; contigs without reads are left out."""
+    key = ("sample_id", "contig")
+    rows = weighted(aln, mode).where("w > 0")
+    side = lambda s: F.when(F.col("strand") == s, F.col("w")).otherwise(F.lit(0).cast("decimal(19,0)"))
+    both = axis.runs(rows, key, {"sense": side("sense"), "antisense": side("antisense")})
+    reads = rows.groupBy(*key).agg(in_reads(F.sum(side("sense"))).alias("sense_reads"), in_reads(F.sum(side("antisense"))).alias("antisense_reads"), in_reads(F.sum("w")).alias("total_reads"))
+    peaks = both.groupBy(*key).agg(in_reads(F.max("sense")).alias("peak_sense"), in_reads(F.max("antisense")).alias("peak_antisense"), F.sum(F.col("end0") - F.col("start0")).cast("long").alias("covered_bases"))
+    return reads.join(peaks, list(key))
 
 
 def merge_intervals(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Unions of intervals that overlap or touch."""
+    """Unions of intervals that overlap or touch, of keys with few intervals each, such as the blocks of a read pair; ``axis.union_of`` is for long axes."""
     order = Window.partitionBy(*keys).orderBy("start0", "end0")
     before = F.max("end0").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.when(F.col("start0") <= before, 0).otherwise(1)).withColumn("_block", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -87,12 +94,9 @@ def genome_bin_scores(bins: DataFrame, size: int) -> DataFrame:
 
 def prefix_windows(aln: DataFrame, length: int, width: int, step: int, keys: tuple[str, ...] = ("sample_id", "contig")) -> DataFrame:
     """Sums over sliding windows from prefix sums: s, a, duplex (least of both strands) and two_sided (bases with both strands)."""
-    lane = depth_runs(depth(aln, keys=(*keys, "strand")), (*keys, "strand"))
-    side = lambda name: F.when(F.col("strand") == name, F.col("depth")).otherwise(0)
-    edges = lane.select(*keys, F.explode(F.array(F.struct(F.col("start0").alias("pos"), side("sense").alias("ds"), side("antisense").alias("da")), F.struct(F.col("end0").alias("pos"), (-side("sense")).alias("ds"), (-side("antisense")).alias("da")))).alias("e"))
-    steps = edges.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.ds").alias("ds"), F.sum("e.da").alias("da"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    levels = steps.select(*keys, "pos", F.sum("ds").over(order).alias("s"), F.sum("da").over(order).alias("a"), F.coalesce(F.lead("pos").over(order), F.lit(length)).alias("stop"))
+    side = lambda name: F.when(F.col("strand") == name, 1).otherwise(0).cast("long")
+    changes = axis.steps(aln, keys, {"s": side("sense"), "a": side("antisense")})
+    levels = axis.levels(changes, keys, ("s", "a")).select(*keys, "pos", "s", "a", F.coalesce("stop", F.lit(length)).alias("stop"))
     starts = [w for w in range(0, max(length - width, 0) + 1, step)]
     width = min(width, length)
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - width) / step).cast("int") + 1)
@@ -184,10 +188,30 @@ def pair_stats(reads: DataFrame, merged: DataFrame) -> DataFrame:
     return pairs.join(used, key, "left").groupBy("sample_id").agg(F.count("strand").alias("collapsed_pairs"), n("sense"), n("antisense"), F.count_if(F.col("strand").isNull()).alias("discarded_pairs"))
 
 
-def moving_average(dense: DataFrame, span: int, keys: tuple[str, ...], value: str = "depth") -> DataFrame:
-    """Sum over ``span`` places around each, zero outside; divide by span for the mean. Places must be dense."""
-    frame = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-(span // 2), span - span // 2 - 1)
-    return dense.withColumn("window_sum", F.sum(value).over(frame))
+def moving_average(aln: DataFrame, window: int, keys: tuple[str, ...], length: int) -> DataFrame:
+    """The depth's sums over ``window`` places around each, zero outside, as pieces (``axis.moving_sums``); divide by ``window`` for the mean."""
+    return axis.moving_sums(axis.steps(aln, keys, {"window_sum": F.lit(1).cast("long")}), keys, ("window_sum",), window, F.lit(length))
+
+
+def smoothed_contigs(aln: DataFrame, samples: DataFrame, lengths: DataFrame, window: int = 25) -> DataFrame:
+    """Per group and contig: the means over all places of the smoothed mean CPM of both strands and of the lesser of the two, and their balance.
+
+    samples: (sample_id, grp, n_reads), a row a sample; means are over all samples of a group. lengths: (contig, length).
+    Sums over places come from evenly changing pieces, so no place is enumerated. A contig without depth has no row.
+    """
+    key = ("grp", "contig")
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("_n"))  # a row a group
+    share = F.broadcast(samples.join(sizes, "grp").select("sample_id", (F.lit(1e6) / F.col("n_reads") / F.col("_n") / window).alias("_cpm")))
+    side = lambda s: F.when(F.col("strand") == s, F.col("_cpm")).otherwise(F.lit(0.0))
+    changes = axis.steps(aln.join(share, "sample_id"), key, {"sense": side("sense"), "antisense": side("antisense")})
+    everywhere = axis.moving_sums(changes, key, ("sense", "antisense"), window, F.lit(1 << 40))
+    pieces = everywhere.join(lengths, "contig").withColumn("end0", F.least("end0", "length")).where("end0 > start0")
+    n = F.col("end0") - F.col("start0")
+    total = lambda c: F.sum(axis.even_sum(F.col(c), F.col(f"{c}_slope"), n))
+    least = F.sum(axis.least_sum(F.col("sense"), F.col("sense_slope"), F.col("antisense"), F.col("antisense_slope"), n))
+    sums = pieces.groupBy(*key, "length").agg(total("sense").alias("_s"), total("antisense").alias("_a"), least.alias("_d"))
+    out = sums.withColumn("balance", F.when(F.col("_s") + F.col("_a") > 0, 200 * F.col("_d") / (F.col("_s") + F.col("_a"))).otherwise(0.0))
+    return out.select(*key, "length", *((F.col(c) / F.col("length")).alias(name) for c, name in (("_s", "mean_sense"), ("_a", "mean_antisense"), ("_d", "mean_duplex"))), "balance")
 
 
 def proper_pairs(aln: DataFrame) -> DataFrame:
@@ -210,7 +234,7 @@ def contig_group_summary(aln: DataFrame, libraries: DataFrame) -> DataFrame:
     sample = per.groupBy("sample_id", *key).agg(side("sense").alias("sense"), side("antisense").alias("antisense"))
     sem = lambda c: F.coalesce(F.stddev_samp(c) / F.sqrt(F.count(c)), F.lit(0.0))
     means = sample.groupBy(*key).agg(F.count("*").alias("replicates"), *(f.alias(n) for c in ("sense", "antisense") for f, n in ((F.avg(c), f"{c}_mean"), (sem(c), f"{c}_sem"))))
-    merged = merge_intervals(aln.select(*key, "strand", "start0", "end0"), (*key, "strand"))
+    merged = axis.union_of(aln.select(*key, "strand", "start0", "end0"), (*key, "strand"))
     covered = merged.groupBy(*key).agg(*(F.coalesce(F.sum(F.when(F.col("strand") == s, F.col("end0") - F.col("start0"))), F.lit(0)).cast("long").alias(f"{s}_covered") for s in ("sense", "antisense")))
     return means.join(covered, key)
 

@@ -1,86 +1,184 @@
 """Exact and near matching of sequences: seeds looked up in reference sequences, containment, duplicates.
 
-References may be far larger than what is looked up in them. A bitmap of the seeds, of fixed size, goes to every task and
-refutes most places where they are; only what is left is shuffled to the join that decides.
+References may be far larger than what is looked up in them. They are cut into overlapping pieces, so a long contig is walked by many
+tasks. A bitmap of the seeds, sized by their number, goes to every task and refutes most places where they are; only what is
+left is shuffled to the join that decides, and seeds that repeat too often there are dealt over slots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from strandlake.functions.sequences import reverse_complement
+from strandlake.operators.ranking import use_checkpoints
+from strandlake.operators.skew import salted_join
 
-#: Bits of the address in the bitmap of seeds (8 MB), letters of a sequence walked at once, and rows of a batch that leaves a task.
-SEED_BITS, CHUNK, ROWS = 26, 1 << 18, 8192
+#: Letters of a piece of a reference, and places of a batch that leaves a task.
+CHUNK, ROWS = 1 << 18, 1 << 14
+#: Bits of the address in the bitmap of seeds: 16 for each seed, from 128 KB to 64 MB. Beyond 2^25 seeds it lets more places through.
+LEAST_BITS, MOST_BITS = 20, 29
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Parts of a seed: offset and size of each, looked up together.
+Kind = tuple[tuple[int, int], ...]
 
 
-def _places(letters: np.ndarray, size: int) -> np.ndarray:
-    """Where in the bitmap each run of ``size`` letters along the last axis lies."""
+def _run_hashes(letters: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` letters along the last axis."""
     n = letters.shape[-1] - size + 1
-    h = np.zeros((*letters.shape[:-1], n), np.uint64)
+    h = np.zeros((*letters.shape[:-1], max(0, n)), np.uint64)
     for j in range(size):
         h *= _ODD
         h += letters[..., j : j + n]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    return (h >> np.uint64(64 - SEED_BITS)).astype(np.int64)
+    return (h ^ (h >> np.uint64(29))) * _MIX
 
 
-def seed_bitmap(seeds: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of one column of strings of ``size`` letters; other rows are left out."""
+def seed_hashes(letters: np.ndarray, kinds: list[Kind], places: int) -> Iterator[np.ndarray]:
+    """For each kind the hashes of its parts at the first ``places`` places along the last axis."""
+    runs = {size: _run_hashes(letters, size) for size in {size for kind in kinds for _, size in kind}}
+    for number, kind in enumerate(kinds):
+        h = np.full((*letters.shape[:-1], places), np.uint64(number + 1))
+        for offset, size in kind:
+            h = (h ^ runs[size][..., offset : offset + places]) * _ODD
+            h ^= h >> np.uint64(32)
+        yield h * _MIX
+
+
+def mismatch_kinds(size: int, mismatches: int) -> list[Kind]:
+    """Seeds one of which is without a mismatch in any ``size`` letters with ``mismatches`` at most.
+
+    The letters are cut into 1, 3, 5 or 6 parts (2k for more), of which 1, 2, 3 or 3 (k) stay whole: every choice of so many is a seed, of about
+    half the letters, so that few places of a large reference have it by chance.
+    """
+    parts, whole = {0: (1, 1), 1: (3, 2), 2: (5, 3), 3: (6, 3)}.get(mismatches, (2 * mismatches, mismatches))
+    if size < parts:
+        raise ValueError("too short for so many mismatches")
+    edges = [size * k // parts for k in range(parts + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], whole))
+
+
+def with_seeds(rows: DataFrame, letters: str, kinds: list[Kind], least: int) -> DataFrame:
+    """``rows`` once for each kind, with its number ``kind`` and ``seed``, the hash in the first ``least`` letters; shorter rows have none."""
+
+    @F.arrow_udf("array<long>")
+    def seeds(text: pa.Array) -> pa.Array:
+        rows_ = text.to_pylist()
+        some = [k for k, x in enumerate(rows_) if x is not None and len(x) >= least]
+        found = np.zeros((len(some), len(kinds)), np.uint64)
+        if some:
+            raw = np.frombuffer("".join(rows_[k][:least] for k in some).encode("ascii", "replace"), np.uint8).reshape(-1, least)
+            for j, h in enumerate(seed_hashes(raw, kinds, 1)):
+                found[:, j] = h[:, 0]
+        count = np.zeros(len(rows_), np.int32)
+        count[some] = len(kinds)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(found.view(np.int64).ravel()))
+
+    return rows.select("*", F.posexplode(seeds(letters)).alias("kind", "seed"))
+
+
+def _bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * max(n, 1) - 1).bit_length()))
+
+
+def seed_bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """The bitmap of the column ``seed`` and the bits of its addresses."""
+    size = _bits_for(seeds.agg(F.approx_count_distinct("seed")).first()[0])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [x for x in batch.column(0).to_pylist() if x is not None and len(x) == size]
-            if some:
-                at = np.unique(_places(np.frombuffer("".join(some).encode("ascii", "replace"), np.uint8).reshape(-1, size), size))
+            if batch.num_rows:
+                at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
                 word, first = np.unique(at >> 6, return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
 
-    found = seeds.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (SEED_BITS - 6), np.uint64)
+    found = seeds.select("seed").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
+    return out, size
 
 
-def seed_places(refs: DataFrame, seeds: dict[tuple[int, int], DataFrame], least: int, longest: int) -> DataFrame:
-    """contig, pos (from 0), offset, seed, piece: places of (contig, seq) that ``least`` letters follow and whose letters at a seed's offset may be a seed.
+def reference_pieces(refs: DataFrame, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """contig, start (from 0) and seq: pieces of (contig, seq) that overlap by ``longest`` - 1 letters; those of long contigs are dealt over all tasks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = seq.as_py()
+                for start in range(0, max(1, len(text)), chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([contig], pa.string()), pa.array([start], pa.int64()), pa.array([text[start : start + chunk + longest - 1]])], names=["contig", "start", "seq"])
+
+    some = refs.select(F.col("contig").cast("string").alias("contig"), "seq").where("seq is not null")
+    short = F.octet_length("seq") <= chunk
+    long = some.where(~short).mapInArrow(cut, "contig string, start long, seq string")
+    return some.where(short).select("contig", F.lit(0).cast("long").alias("start"), "seq").union(long.repartition(F.col("contig"), F.col("start")))
 
-    ``seeds`` has a frame of one column for each (offset, size). ``piece`` holds up to ``longest`` letters from pos on. Null
-    sequences have no places.
+
+PLACES = pa.schema([("contig", pa.string()), ("pos", pa.int32()), ("kind", pa.int32()), ("seed", pa.int64()), ("piece", pa.string())])
+
+
+def seed_places(refs: DataFrame, kinds: list[Kind], seeds: DataFrame, least: int, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """contig, pos (from 0), kind, seed, piece: places of (contig, seq) that ``least`` letters follow and whose hash of a kind may be among ``seeds``.
+
+    ``seeds`` are hashes as ``with_seeds`` gives them. ``piece`` holds up to ``longest`` letters from pos on. Null sequences have no places.
     """
-    shared = refs.sparkSession.sparkContext.broadcast([(offset, size, seed_bitmap(frame, size)) for (offset, size), frame in seeds.items()])
+    shared = refs.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))
+
+    def rows(letters: np.ndarray, contig: str, start: int, at: np.ndarray, kind: np.ndarray, seed: np.ndarray) -> pa.RecordBatch:
+        size = np.minimum(longest, len(letters) - at)
+        end = np.cumsum(size)
+        text = letters[np.repeat(at - (end - size), size) + np.arange(end[-1])]
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.concatenate([[0], end]).astype(np.int32)), pa.py_buffer(text))
+        return pa.RecordBatch.from_arrays([pa.array([contig] * len(at), pa.string()), pa.array((start + at).astype(np.int32)), pa.array(kind), pa.array(seed.view(np.int64)), pieces], schema=PLACES)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["contig", "pos", "offset", "seed", "piece"]
+        bits, size = shared.value
         for batch in batches:
-            rows: list[tuple] = []
-            for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for start in range(0, len(seq or "") - least + 1, CHUNK):
-                    n = min(CHUNK, len(seq) - least + 1 - start)
-                    part = seq[start : start + n + longest - 1]
-                    letters = np.frombuffer(part[: n + least - 1].encode("ascii", "replace"), np.uint8)
-                    for offset, size, bits in shared.value:
-                        at = _places(letters[offset : offset + n + size - 1], size)
-                        for i in np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).tolist():
-                            rows.append((contig, start + i, offset, part[i + offset : i + offset + size], part[i : i + longest]))
-                            if len(rows) == ROWS:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
-                                rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
+            for contig, start, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = min(chunk, len(seq) - least + 1)
+                if n <= 0:
+                    continue
+                letters = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+                for number, h in enumerate(seed_hashes(letters, kinds, n)):
+                    at = (h >> np.uint64(64 - size)).astype(np.int64)
+                    found = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+                    for k in range(0, len(found), ROWS):
+                        part = found[k : k + ROWS]
+                        yield rows(letters, contig, start, part, np.full(len(part), number, np.int32), h[part])
+
+    return reference_pieces(refs, longest, chunk).mapInArrow(walk, "contig string, pos int, kind int, seed long, piece string")
+
 
-    return refs.select(F.col("contig").cast("string"), "seq").mapInArrow(walk, "contig string, pos int, offset int, seed string, piece string")
+def _kept(rows: DataFrame) -> DataFrame:
+    use_checkpoints(rows.sparkSession)
+    return rows.checkpoint(eager=True)
 
 
-_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+def _met(short: DataFrame, refs: DataFrame, kinds: list[Kind], least: int, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``short`` (with kind and seed) at the places whose seeds they have."""
+    places = _kept(seed_places(refs, kinds, short, least, longest, chunk))
+    return salted_join(places, short, ["kind", "seed"]).drop("kind", "seed")
+
+
+@F.arrow_udf(IntegerType())
+def mismatches_of(read: pa.Array, piece: pa.Array) -> pa.Array:
+    """Letters of ``read`` that differ from those ``piece`` begins with; null where that is shorter."""
+    out = np.full(len(read), -1, np.int32)
+    size = pa.compute.binary_length(read).to_numpy(zero_copy_only=False)
+    fits = pa.compute.binary_length(piece).to_numpy(zero_copy_only=False) >= size
+    for n in np.unique(size[fits]):
+        some = np.flatnonzero(fits & (size == n))
+        a, b = ("".join(x[:n] for x in c.take(pa.array(some)).to_pylist()).encode("ascii", "replace") for c in (read, piece))
+        out[some] = (np.frombuffer(a, np.uint8).reshape(-1, n) != np.frombuffer(b, np.uint8).reshape(-1, n)).sum(1)
+    return pa.array(out, mask=out < 0)
 
 
 def _both_strands(short: DataFrame, palindromes_once: bool) -> DataFrame:
@@ -96,35 +194,54 @@ def exact_annotations(short: DataFrame, refs: DataFrame, size: int, longest: int
     Shorter and longer sequences have no places. Rows that repeat an id and sequence repeat its places.
     """
     longest = longest or size
-    both = _both_strands(short.select("id", "sequence").where(F.char_length("sequence").between(size, longest)), True).withColumn("seed", F.substring("kmer", 1, size))
-    places = seed_places(refs, {(0, size): both.select("seed")}, size, longest)
-    found = both.join(places.drop("offset"), "seed").where(F.startswith("piece", "kmer"))
+    kinds = mismatch_kinds(size, 0)
+    both = with_seeds(_both_strands(short.select("id", "sequence").where(F.char_length("sequence").between(size, longest)), True), "kmer", kinds, size)
+    found = _met(both, refs, kinds, size, longest).where(F.startswith("piece", "kmer"))
     return found.select("id", "sequence", "contig", (F.col("pos") + 1).alias("start_1based"), (F.col("pos") + F.char_length("kmer")).alias("end_1based"), "direction")
 
 
 def not_found(short: DataFrame, refs: DataFrame, size: int) -> DataFrame:
     """Rows of (id, sequence) of ``size`` letters that no reference holds on its forward strand."""
-    places = seed_places(refs, {(0, size): short.select("sequence")}, size, size).select(F.col("seed").alias("sequence"))
-    return short.join(places, "sequence", "left_anti").select("id", "sequence")
+    kinds = mismatch_kinds(size, 0)
+    seeds = with_seeds(short.select("sequence").distinct(), "sequence", kinds, size)
+    found = _met(seeds, refs, kinds, size, size).where(F.col("piece") == F.col("sequence")).select("sequence").distinct()
+    return short.join(found, "sequence", "left_anti").select("id", "sequence")
 
 
-def ungapped_mapping(reads: DataFrame, refs: DataFrame, size: int, mismatches: int) -> DataFrame:
-    """All places of reads (sequence) of one length with ``mismatches`` at most, on both strands.
+def ungapped_mapping(reads: DataFrame, refs: DataFrame, size: int, mismatches: int, longest: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """All places of reads (sequence) of ``size`` to ``longest`` letters with ``mismatches`` at most, on both strands.
 
-    A read is cut into mismatches + 1 parts, of which one must match exactly: parts are looked up in the references, and the
-    whole is compared.
+    The first ``size`` letters of a read are cut into parts, some of which match exactly together (``mismatch_kinds``): these are looked
+    up in the references, and the whole read is compared. Other reads have no places.
     """
-    edges = [size * k // (mismatches + 1) for k in range(mismatches + 2)]
-    cuts = list(zip(edges, edges[1:], strict=False))
-    both = _both_strands(reads.select("sequence").where(F.char_length("sequence") == size).distinct(), False)
-    each = both.select("sequence", "kmer", "direction", F.explode(F.array(*(F.struct(F.lit(a).alias("offset"), F.substring("kmer", a + 1, b - a).alias("seed")) for a, b in cuts))).alias("p")).select("sequence", "kmer", "direction", "p.offset", "p.seed")
-    places = seed_places(refs, {(a, b - a): each.where(F.col("offset") == a).select("seed") for a, b in cuts}, size, size)
-    differ = F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.lit(0), lambda n, i: n + F.when(F.substring("kmer", i, F.lit(1)) != F.substring("piece", i, F.lit(1)), 1).otherwise(0))
-    found = each.join(places, ["offset", "seed"]).withColumn("nm", differ).where(F.col("nm") <= mismatches)
+    longest = longest or size
+    kinds = mismatch_kinds(size, mismatches)
+    both = with_seeds(_both_strands(reads.select("sequence").where(F.char_length("sequence").between(size, longest)).distinct(), False), "kmer", kinds, size)
+    met = _met(both, refs, kinds, size, longest, chunk)
+    found = met.withColumn("nm", mismatches_of("kmer", "piece")).where(F.col("nm") <= mismatches)
     strand = F.when(F.col("direction") == "+", "sense").otherwise("antisense")
     return found.select("sequence", "contig", F.col("pos").alias("start0"), strand.alias("strand"), "nm").distinct()
 
 
+def best_mapping(reads: DataFrame, refs: DataFrame, size: int, mismatches: int, longest: int | None = None, one: bool = False) -> DataFrame:
+    """The places of each read with the fewest mismatches it has anywhere; with ``one`` only the first of them by contig, start0 and strand.
+
+    Reads are mapped with no mismatch first, and only those without a place with one more, so a read's worse places are not even made.
+    """
+    left, parts = _kept(reads.select("sequence").distinct()), []
+    for k in range(mismatches + 1):
+        # those with fewer mismatches have been found before
+        found = _kept(ungapped_mapping(left, refs, size, k, longest))
+        parts.append(found)
+        if k < mismatches:
+            left = _kept(left.join(found.select("sequence").distinct(), "sequence", "left_anti"))
+    places = reduce(DataFrame.union, parts)
+    if not one:
+        return places
+    first = places.groupBy("sequence").agg(F.min(F.struct("nm", "contig", "start0", "strand")).alias("p"))
+    return first.select("sequence", "p.contig", "p.start0", "p.strand", "p.nm")
+
+
 def first_of_duplicates(records: DataFrame) -> DataFrame:
     """(sequence, id, n) of distinct sequences: the first record by idx."""
     return records.groupBy("sequence").agg(F.min_by("id", "idx").alias("id"), F.min("idx").alias("idx"), F.count("*").alias("n"))
@@ -136,10 +253,10 @@ def contained(records: DataFrame, least: int, longest: int) -> DataFrame:
     Sequences have ``least`` letters or more, parents ``longest`` at most; ``idx`` is of any type that has an order.
     ``more_parents`` counts the other parents of that length.
     """
-    seeds = records.withColumn("seed", F.substring("sequence", 1, least))
+    kinds = mismatch_kinds(least, 0)
+    seeds = with_seeds(records.select("id", "sequence"), "sequence", kinds, least)
     parents = records.where(F.char_length("sequence") > least).select(F.col("id").alias("contig"), F.col("sequence").alias("seq"), F.col("idx").alias("parent_idx"))
-    places = seed_places(parents, {(0, least): seeds.select("seed")}, least, longest).drop("offset")
-    hit = seeds.select("id", "sequence", "seed").join(places, "seed").where(F.startswith("piece", "sequence")).join(parents.select("contig", "parent_idx", F.char_length("seq").alias("parent_length")), "contig")
+    hit = _met(seeds, parents, kinds, least, longest).where(F.startswith("piece", "sequence")).join(parents.select("contig", "parent_idx", F.char_length("seq").alias("parent_length")), "contig")
     hit = hit.where(F.col("parent_length") > F.char_length("sequence"))
     parent = hit.groupBy("id", "sequence", "parent_length", "parent_idx", F.col("contig").alias("parent_id")).agg(F.min("pos").alias("pos"))
     length = parent.groupBy("id", "sequence", "parent_length").agg(F.min(F.struct("parent_idx", "parent_id", "pos")).alias("p"), F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,12 +176,23 @@ def _(spark, d):
     return long.select("sample_id", "x.category", F.col("x.n").alias("reads"), r6(100 * F.col("x.n").cast("double") / F.col("sum_")).alias("percent"))
 
 
-_UNIT_W = {"fractional": "27720 // count(*) OVER (PARTITION BY sample_id, qname)", "all": "27720", "unique": "CASE WHEN count(*) OVER (PARTITION BY sample_id, qname) = 1 THEN 27720 ELSE 0 END"}
-for _mode, _w in _UNIT_W.items():
+_W = {"fractional": "1.0::DOUBLE / count(*) OVER (PARTITION BY sample_id, qname)", "all": "1.0::DOUBLE", "unique": "CASE WHEN count(*) OVER (PARTITION BY sample_id, qname) = 1 THEN 1.0::DOUBLE ELSE 0 END"}
+for _mode, _w in _W.items():
 
-    @query(f"a04_multihit_{_mode}", oracle("SELECT sample_id, contig, strand, CAST(sum(w) AS BIGINT) AS units FROM x GROUP BY ALL", "aln", x=f"SELECT *, {_w} AS w FROM aln WHERE nm = 0"))
+    @query(f"a04_multihit_{_mode}", oracle("SELECT sample_id, contig, strand, round(sum(w), 6) AS reads FROM x GROUP BY ALL", "aln", x=f"SELECT *, {_w} AS w FROM aln WHERE nm = 0"))
     def _(spark, d, mode=_mode):
-        return A.weighted(X.aln(spark, d), mode).groupBy("sample_id", "contig", "strand").agg(F.sum("w").alias("units"))
+        return A.weighted(X.aln(spark, d), mode).groupBy("sample_id", "contig", "strand").agg(r6(A.in_reads(F.sum("w"))).alias("reads"))
+
+
+# every third read has 13 places and more: (qname div 48) joins the reads of 48 orders
+_MANY = "SELECT * REPLACE (CASE WHEN qname % 3 = 0 THEN qname // 48 ELSE qname END AS qname) FROM aln WHERE nm = 0"
+
+
+@query("a04_many_places", oracle("SELECT sample_id, strand, CAST(max(n) AS BIGINT) AS most_places, round(sum(1.0::DOUBLE / n), 6) AS reads, CAST(count(DISTINCT qname) FILTER (WHERE n > 12) AS BIGINT) AS names_of_many FROM x GROUP BY ALL", "aln", x=f"SELECT *, count(*) OVER (PARTITION BY sample_id, qname) AS n FROM ({_MANY})"))
+def _(spark, d):
+    a = X.aln(spark, d).withColumn("qname", F.expr("CASE WHEN qname % 3 = 0 THEN qname div 48 ELSE qname END"))
+    g = A.weighted(a).groupBy("sample_id", "strand")
+    return g.agg(F.max("n_places").alias("most_places"), r6(A.in_reads(F.sum("w"))).alias("reads"), F.count_distinct(F.when(F.col("n_places") > 12, F.col("qname"))).alias("names_of_many"))
 
 
 _STEPS = "SELECT {k}, pos, CAST(sum(d) AS BIGINT) AS d FROM (SELECT {k}, start0 AS pos, {w} AS d FROM {t} UNION ALL SELECT {k}, end0, -({w}) FROM {t}) GROUP BY ALL HAVING sum(d) <> 0"
@@ -192,14 +204,23 @@ def _(spark, d):
     return A.depth(X.aln(spark, d))
 
 
-_BASES = f"SELECT sample_id, contig, strand, w, unnest(range(start0, end0)) AS pos FROM (SELECT *, {_UNIT_W['fractional']} AS w FROM aln WHERE nm = 0)"
+_BASES = f"SELECT sample_id, contig, strand, w, unnest(range(start0, end0)) AS pos FROM (SELECT *, {_W['fractional']} AS w FROM aln WHERE nm = 0)"
+
 
+@query("a06_hit_summary", oracle("""SELECT sample_id, contig, round(sense, 6) AS sense_reads, round(antisense, 6) AS antisense_reads, round(total, 6) AS total_reads, round(coalesce(ps, 0), 6) AS peak_sense, round(coalesce(pa, 0), 6) AS peak_antisense, CAST(covered AS BIGINT) AS covered_bases FROM (SELECT sample_id, contig, coalesce(sum(w) FILTER (WHERE strand = 'sense'), 0) AS sense,
+coalesce(sum(w) FILTER (WHERE strand = 'antisense'), 0) AS antisense, sum(w) AS total FROM x GROUP BY ALL) r JOIN (SELECT sample_id, contig, max(u) FILTER (WHERE strand = 'sense') AS ps, max(u) FILTER (WHERE strand = 'antisense') AS pa, count(DISTINCT pos) AS covered
+FROM (SELECT sample_id, contig, strand, pos, sum(w) AS u FROM bases GROUP BY ALL) GROUP BY ALL) p USING (sample_id, contig)""", "aln", x=f"SELECT *, {_W['fractional']} AS w FROM aln WHERE nm = 0", bases=_BASES))
+def _(spark, d):
+    return A.hit_summary(X.aln(spark, d)).select("sample_id", "contig", *(r6(F.col(c)).alias(c) for c in ("sense_reads", "antisense_reads", "total_reads", "peak_sense", "peak_antisense")), "covered_bases")
+
+
+_UNION = "SELECT grp, contig, strand, min(start0) AS start0, max(end0) AS end0 FROM (SELECT *, sum(n) OVER (PARTITION BY grp, contig, strand ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start0 <= max(end0) OVER (PARTITION BY grp, contig, strand ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM part_)) GROUP BY grp, contig, strand, g"
 
-@query("a06_hit_summary", oracle("""SELECT r.*, CAST(coalesce(ps, 0) AS BIGINT) AS peak_sense_units, CAST(coalesce(pa, 0) AS BIGINT) AS peak_antisense_units, CAST(covered AS BIGINT) AS covered_bases FROM (SELECT sample_id, contig, CAST(coalesce(sum(w) FILTER (WHERE strand = 'sense'), 0) AS BIGINT) AS sense_units,
-CAST(coalesce(sum(w) FILTER (WHERE strand = 'antisense'), 0) AS BIGINT) AS antisense_units, CAST(sum(w) AS BIGINT) AS total_units FROM x GROUP BY ALL) r JOIN (SELECT sample_id, contig, max(u) FILTER (WHERE strand = 'sense') AS ps, max(u) FILTER (WHERE strand = 'antisense') AS pa, count(DISTINCT pos) AS covered
-FROM (SELECT sample_id, contig, strand, pos, sum(w) AS u FROM bases GROUP BY ALL) GROUP BY ALL) p USING (sample_id, contig)""", "aln", x=f"SELECT *, {_UNIT_W['fractional']} AS w FROM aln WHERE nm = 0", bases=_BASES))
+
+@query("a08_covered_blocks", oracle(_UNION, "aln", part_="SELECT * FROM aln WHERE qname % 40 = 1"))
 def _(spark, d):
-    return A.hit_summary(X.aln(spark, d))
+    # the intervals of every fortieth order leave gaps; all intervals of a lane are one block
+    return A.axis.union_of(X.aln(spark, d).where("qname % 40 = 1"), ("grp", "contig", "strand"), span=256)
 
 
 @query("a08_merge_blocks", oracle("SELECT sample_id, qname, contig, min(start0) AS start0, max(end0) AS end0 FROM (SELECT *, sum(n) OVER (PARTITION BY sample_id, qname, contig ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start0 <= max(end0) OVER (PARTITION BY sample_id, qname, contig ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM aln)) GROUP BY sample_id, qname, contig, g", "aln"))
@@ -259,12 +280,24 @@ def _(spark, d):
 _DENSE_ALL = "SELECT l.contig, l.strand, p AS pos, coalesce(n, 0) AS depth FROM (SELECT DISTINCT contig, strand FROM aln) l CROSS JOIN (SELECT unnest(range(0, 2000)) AS p) LEFT JOIN (SELECT contig, strand, pos, count(*) AS n FROM (SELECT contig, strand, unnest(range(start0, end0)) AS pos FROM aln) GROUP BY ALL) x ON x.contig = l.contig AND x.strand = l.strand AND x.pos = p"
 
 
-@query("w02_moving_average", oracle("SELECT contig, strand, CAST(pos AS INT) AS pos, CAST(sum(depth) OVER (PARTITION BY contig, strand ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS BIGINT) AS window_sum FROM dn", "aln", dn=_DENSE_ALL))
+@query("w02_moving_average", oracle("SELECT * FROM (SELECT contig, strand, CAST(pos AS INT) AS pos, CAST(sum(depth) OVER (PARTITION BY contig, strand ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS BIGINT) AS window_sum FROM dn) WHERE window_sum > 0", "aln", dn=_DENSE_ALL))
+def _(spark, d):
+    """The report has a row a place; the sums come from pieces."""
+    p = A.moving_average(X.aln(spark, d), 25, ("contig", "strand"), CONTIG_LENGTH)
+    each = p.withColumn("pos", F.explode(F.sequence("start0", F.col("end0") - 1)))
+    return each.select("contig", "strand", F.col("pos").cast("int").alias("pos"), (F.col("window_sum") + F.col("window_sum_slope") * (F.col("pos") - F.col("start0"))).alias("window_sum")).where("window_sum > 0")
+
+
+_SMOOTH = """SELECT grp, contig, pos, avg(s) AS s, avg(a) AS a FROM (SELECT grp, sample_id, contig, pos, sum(x.s) OVER w / 25 AS s, sum(x.a) OVER w / 25 AS a FROM (SELECT l.grp, l.sample_id, c.contig, p AS pos, coalesce(s, 0) * 1e6 / n_reads AS s, coalesce(a, 0) * 1e6 / n_reads AS a
+FROM lib l CROSS JOIN (SELECT DISTINCT contig FROM aln) c CROSS JOIN (SELECT unnest(range(0, 2000)) AS p) LEFT JOIN dense d ON d.sample_id = l.sample_id AND d.contig = c.contig AND d.pos = p) x WINDOW w AS (PARTITION BY sample_id, contig ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) GROUP BY ALL"""
+
+
+@query("a34_smoothed_contigs", oracle("SELECT grp, contig, 2000 AS length, round(avg(s), 6) AS mean_sense, round(avg(a), 6) AS mean_antisense, round(avg(least(s, a)), 6) AS mean_duplex, round(200 * sum(least(s, a)) / sum(s + a), 6) AS balance FROM sm GROUP BY grp, contig HAVING sum(s + a) > 0", "lib", dense=_DENSE, sm=_SMOOTH))
 def _(spark, d):
-    a, keys = X.aln(spark, d), ("contig", "strand")
-    runs = A.depth_runs(A.depth(a, keys=keys), keys).select(*keys, F.explode(F.sequence("start0", F.col("end0") - 1)).alias("pos"), "depth")
-    axis = a.select(*keys).distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(CONTIG_LENGTH - 1))))
-    return A.moving_average(axis.join(runs, [*keys, "pos"], "left").na.fill(0, ["depth"]), 25, keys).select(*keys, "pos", "window_sum")
+    a = X.aln(spark, d)
+    lengths = a.select("contig").distinct().withColumn("length", F.lit(CONTIG_LENGTH))
+    out = A.smoothed_contigs(a, A.library_sizes(a), lengths)
+    return out.select("grp", "contig", "length", *(r6(F.col(c)).alias(c) for c in ("mean_sense", "mean_antisense", "mean_duplex", "balance")))
 
 
 _AREA = "SELECT sample_id, contig, strand, bin, CAST(sum(least(end0, bin * 250 + 250) - greatest(start0, bin * 250)) AS BIGINT) AS area FROM (SELECT *, unnest(range(start0 // 250, (end0 - 1) // 250 + 1)) AS bin FROM aln) GROUP BY ALL"
@@ -403,6 +436,28 @@ def _(spark, d):
     return M.ungapped_mapping(X.bench_kmers(spark, d), X.refseq(spark, d), 21, 1)
 
 
+def _mapped_sql(mismatches: int, parts: int, whole: int) -> str:
+    """Places of the 21-mers with some mismatches: choices of ``whole`` of ``parts`` pieces are looked up, then all letters are compared."""
+    edges = [21 * k // parts for k in range(parts + 1)]
+    pieces = [f"substring(kmer, {a + 1}, {b - a})" for a, b in zip(edges, edges[1:], strict=False)]
+    seeds = "unnest([" + ", ".join(f"concat('{k}|', {', '.join(c)})" for k, c in enumerate(combinations(pieces, whole))) + "]) AS seed"
+    return f"""SELECT DISTINCT b.sequence, km.contig, CAST(km.pos AS INT) AS start0, CASE b.direction WHEN '+' THEN 'sense' ELSE 'antisense' END AS strand, CAST(hamming(b.kmer, km.kmer) AS INT) AS nm
+FROM (SELECT *, {seeds} FROM both_) b JOIN (SELECT *, {seeds} FROM km) km USING (seed) WHERE hamming(b.kmer, km.kmer) <= {mismatches}"""
+
+
+_STRANDS = _BOTH.replace(" WHERE reverse(translate(sequence, 'ACGTN', 'TGCAN')) <> sequence", "")
+for _k, (_parts, _whole) in {2: (4, 2), 3: (5, 2)}.items():
+
+    @query(f"j01_map_v{_k}", oracle("SELECT * FROM v", "bkm", "refseq", both_=_STRANDS, km=_KM, v=_mapped_sql(_k, _parts, _whole)))
+    def _(spark, d, k=_k):
+        return M.ungapped_mapping(X.bench_kmers(spark, d), X.refseq(spark, d), 21, k, chunk=1 << 12)
+
+
+@query("j01_best_stratum", oracle("SELECT sequence, contig, start0, strand, nm FROM (SELECT *, min(nm) OVER (PARTITION BY sequence) AS least FROM v) WHERE nm = least", "bkm", "refseq", both_=_STRANDS, km=_KM, v=_mapped_sql(2, 4, 2)))
+def _(spark, d):
+    return M.best_mapping(X.bench_kmers(spark, d), X.refseq(spark, d), 21, 2)
+
+
 @query("j09_control_anti", oracle("SELECT id, sequence FROM bkm WHERE sequence NOT IN (SELECT kmer FROM km)", "bkm", "refseq", km=_KM))
 def _(spark, d):
     return M.not_found(X.bench_kmers(spark, d), X.refseq(spark, d), 21)
