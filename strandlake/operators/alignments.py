@@ -67,13 +67,14 @@ def merge_intervals(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return marked.groupBy(*keys, "_block").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_block")
 
 
-def bin_area(rows: DataFrame, size: int, weight: Column | None = None, keys: tuple[str, ...] = LANE) -> DataFrame:
-    """keys, bin, area: the bases that rows put into bins of ``size``; an empty interval has none."""
+def bin_area(rows: DataFrame, size: int, weight: Column | None = None, keys: tuple[str, ...] = LANE, exact: bool = False) -> DataFrame:
+    """keys, bin, area: the bases that rows put into bins of ``size``; an empty interval has none. ``exact`` leaves decimal weights decimal."""
     w = F.lit(1).cast("long") if weight is None else weight
     bins = F.sequence(F.expr(f"start0 div {size}").cast("int"), F.expr(f"(end0 - 1) div {size}").cast("int"))
     each = rows.where("end0 > start0").withColumn("bin", F.explode(bins))
     part = F.least("end0", (F.col("bin") + 1) * size) - F.greatest("start0", F.col("bin") * size)
-    return each.groupBy(*keys, "bin").agg(F.sum(part * w).cast("long").alias("area"))
+    area = F.sum(part.cast("decimal(10,0)") * w) if exact else F.sum(part * w).cast("long")
+    return each.groupBy(*keys, "bin").agg(area.alias("area"))
 
 
 def strand_bins(aln: DataFrame, libraries: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
@@ -214,6 +215,22 @@ def smoothed_contigs(aln: DataFrame, samples: DataFrame, lengths: DataFrame, win
     return out.select(*key, "length", *((F.col(c) / F.col("length")).alias(name) for c, name in (("_s", "mean_sense"), ("_a", "mean_antisense"), ("_d", "mean_duplex"))), "balance")
 
 
+def group_tracks(assays: dict[str, DataFrame], samples: DataFrame) -> DataFrame:
+    """The mean CPM of each group (over all its samples, 0 where one has none) of several assays on common breakpoints.
+
+    assays: intervals (sample_id, contig, strand, start0, end0) by name; samples: (sample_id, grp, n_reads), a row a sample. The result has contig, grp,
+    start0, end0 and for each assay its sense and antisense value (``axis.overlay``); places where all are zero are left out.
+    """
+    key = ("contig", "grp")
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("_k"))
+    share = F.broadcast(samples.join(sizes, "grp").select("sample_id", "grp", F.round(F.lit(1e6) / F.col("n_reads") / F.col("_k"), 9).cast("decimal(24,9)").alias("value")))
+    side = {}
+    for name, rows in assays.items():
+        valued = rows.select("sample_id", "contig", "strand", "start0", "end0").join(share, "sample_id")
+        side |= {f"{name}_{s}": valued.where(F.col("strand") == s) for s in ("sense", "antisense")}
+    return axis.overlay(side, key)
+
+
 def proper_pairs(aln: DataFrame) -> DataFrame:
     """Read names both of whose mates have an alignment, all on one contig."""
     g = aln.groupBy("sample_id", "qname").agg(F.bool_or(F.col("mate") == 1).alias("r1"), F.bool_or(F.col("mate") == 0).alias("r2"), F.min("contig").alias("lo"), F.max("contig").alias("hi"))

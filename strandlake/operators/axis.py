@@ -118,9 +118,9 @@ def least_sum(a: Column, a_slope: Column, b: Column, b_slope: Column, n: Column)
 
 
 def overlay(parts: dict[str, DataFrame], keys: tuple[str, ...], span: int = SPAN) -> DataFrame:
-    """Several step functions on their common breakpoints: keys, start0, end0 and a column for each of ``parts``, 0 where it has no run.
+    """Several step functions on their common breakpoints: keys, start0, end0 and a column for each of ``parts``, 0 where it has nothing.
 
-    Each part has runs (keys, start0, end0, value), one a place and key. Adjacent runs of equal values are one.
+    Each part has intervals (keys, start0, end0, value), whose values add up where they overlap. Adjacent runs of equal values are one.
     """
     changes = None
     for name in parts:

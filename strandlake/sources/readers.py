@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequences import parse_tags
+from strandlake.functions.sequences import mismatch_count, parse_tags
+from strandlake.sources.lines import carried_headers, consecutive_groups, placed_lines
 
 
 def _fasta_records(raw: DataFrame, *more: str) -> DataFrame:
@@ -131,20 +132,45 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+_SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+_PAF = ("qname", "qlen", "qstart", "qend", "strand", "target", "tlen", "tstart", "tend", "matches", "block_len", "mapq")
+_INTS = {"flag", "pos", "mapq", "pnext", "tlen", "qlen", "qstart", "qend", "tstart", "tend", "matches", "block_len"}
+
+
+def _fields(names: tuple[str, ...]) -> list[Column]:
+    return [(_int(F.col("f")[k]) if n in _INTS else F.col("f")[k]).alias(n) for k, n in enumerate(names)]
+
+
 def read_sam(spark: SparkSession, path: str, mapped_only: bool = True) -> DataFrame:
     """The eleven fields and the tags of alignment lines; lines of under eleven fields and unmapped reads are left out."""
     f = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(f.alias("f")).where(F.size("f") >= 11)
-    names = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
-    ints = {"flag", "pos", "mapq", "pnext", "tlen"}
-    rows = lines.select(*((_int(F.col("f")[k]) if n in ints else F.col("f")[k]).alias(n) for k, n in enumerate(names)), parse_tags(F.slice("f", F.lit(12), F.size("f"))).alias("tags"))
+    rows = lines.select(*_fields(_SAM), parse_tags(F.slice("f", F.lit(12), F.size("f"))).alias("tags"))
     return rows.where(F.col("flag").bitwiseAND(4) == 0) if mapped_only else rows
 
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
-    names = ("qname", "qlen", "qstart", "qend", "strand", "target", "tlen", "tstart", "tend", "matches", "block_len", "mapq")
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 12)
-    return lines.select(*((F.col("f")[k] if n in ("qname", "strand", "target") else _int(F.col("f")[k])).alias(n) for k, n in enumerate(names)))
+    return lines.select(*_fields(_PAF))
+
+
+def read_sam_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Alignment lines of a name-ordered SAM file with ``nm``, and of each read (consecutive lines of one name): group_size, group_valid and first_valid,
+
+    of which valid are the perfect places: mapped and without a mismatch. A read's perfect places share it as 1 / group_valid.
+    """
+    lines = placed_lines(spark, path).where(~F.col("value").startswith("@")).withColumn("f", F.split("value", "\t")).where(F.size("f") >= 11).drop("value")
+    nm = mismatch_count(parse_tags(F.slice("f", F.lit(12), F.size("f"))))
+    perfect = (_int(F.col("f")[1]).bitwiseAND(4) == 0) & (nm == 0)
+    found = consecutive_groups(lines, F.col("f")[0], perfect)
+    return found.select(*_fields(_SAM), nm.alias("nm"), "group_size", "group_valid", "first_valid")
+
+
+def read_paf_groups(spark: SparkSession, path: str, min_mapq: int = 0) -> DataFrame:
+    """Lines of a name-ordered PAF file with their read's group_size, group_valid (lines of ``min_mapq``) and first_valid."""
+    lines = placed_lines(spark, path).withColumn("f", F.split("value", "\t")).where(F.size("f") >= 12).drop("value")
+    found = consecutive_groups(lines, F.col("f")[0], F.coalesce(_int(F.col("f")[11]), F.lit(0)) >= min_mapq)
+    return found.select(*_fields(_PAF), "group_size", "group_valid", "first_valid")
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -157,14 +183,14 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return out.join(first, "cluster_no").select("cluster_no", "member", "length", (F.col("i") == F.col("r")).alias("is_representative"))
 
 
+_DUPLEX = r"^\s*([().&]+)\s+(\d+),(\d+)\s*:\s*(\d+),(\d+)\s+\(\s*(-?[0-9.]+)"
+
+
 def read_rnaplex(spark: SparkSession, path: str) -> DataFrame:
-    """structure, t_start, t_end, q_start, q_end, mfe of duplex lines, with the last names before each; a file is one task's."""
-    text = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "x"))
-    order = Window.partitionBy("file").orderBy("i")
-    named = text.withColumn("h", F.last(F.when(F.col("x").startswith(">"), F.regexp_extract("x", r">\s*(\S+)", 1)), ignorenulls=True).over(order))
-    p = r"^\s*([().&]+)\s+(\d+),(\d+)\s*:\s*(\d+),(\d+)\s+\(\s*(-?[0-9.]+)"
-    hit = named.where(F.col("x").rlike(p))
-    return hit.select(F.col("h").alias("transcript"), F.regexp_extract("x", p, 1).alias("structure"), *(F.regexp_extract("x", p, k).cast("int").alias(n) for k, n in ((2, "t_start"), (3, "t_end"), (4, "q_start"), (5, "q_end"))), F.regexp_extract("x", p, 6).cast("double").alias("mfe"))
+    """transcript (of the last header before a line), structure, t_start, t_end, q_start, q_end, mfe of duplex lines; files split over tasks."""
+    value, p = F.col("value"), _DUPLEX
+    hit = carried_headers(placed_lines(spark, path), F.when(value.startswith(">"), F.regexp_extract(value, r">\s*(\S+)", 1)), value.rlike(p))
+    return hit.select(F.col("header").alias("transcript"), F.regexp_extract("value", p, 1).alias("structure"), *(F.regexp_extract("value", p, k).cast("int").alias(n) for k, n in ((2, "t_start"), (3, "t_end"), (4, "q_start"), (5, "q_end"))), F.regexp_extract("value", p, 6).cast("double").alias("mfe"))
 
 
 def read_manifest(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -194,6 +220,26 @@ def write_fastq(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit("@"), F.concat_ws("\n", "name", "sequence", "plus", "quality"))).write.text(path)
 
 
+def union_of_keys(rows: DataFrame, fields: str, order: str) -> DataFrame:
+    """A column for each key of the map column ``fields`` of any row, in the order in which ``order`` and the maps first have them; missing ones are null.
+
+    The keys come from one aggregate; they are the columns of a table, so there are few.
+    """
+    each = rows.select(order, F.posexplode(F.map_keys(fields)).alias("_at", "_key"))
+    first = each.groupBy("_key").agg(F.min(F.struct(order, "_at")).alias("_first"))
+    names = [r["_key"] for r in first.orderBy("_first", "_key").collect()]
+    return rows.select(order, *(F.col(fields).getItem(n).alias(n) for n in names))
+
+
+def write_rows(rows: DataFrame, path: str, fields: str = "fields", order: str = "idx", sep: str = "\t") -> None:
+    """Rows of maps as a table with the union of their keys, in the order of ``order`` over the written parts; without rows an empty file."""
+    wide = union_of_keys(rows, fields, order).orderBy(order).drop(order)
+    if wide.columns:
+        wide.write.csv(path, sep=sep, header=True, emptyValue="", nullValue="")
+    else:
+        rows.sparkSession.createDataFrame([], "value string").coalesce(1).write.text(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
 

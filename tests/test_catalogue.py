@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from strandlake.plans import catalogue, results  # noqa: F401
+from strandlake.plans import catalogue, pipelines, results  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "documents", "benchmark", "conversations", "customer", "nation", "region"):
+    for t in ("lineitem", "orders", "events", "documents", "benchmark", "conversations", "customer", "nation", "region", "part"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
