@@ -238,7 +238,7 @@ def test_long_contig_is_walked_in_pieces(spark):
         if 40 <= at and at + n <= 90:
             want.add((reads[-1], "short", at - 40, "sense", len(changes)))
     rows = spark.createDataFrame([(r,) for r in reads], "sequence string")
-    assert M.reference_pieces(refs, 30, 700).count() == 9
+    assert M.reference_pieces(refs, 30, 700).count() == 10
     for chunk in (700, 1 << 18):
         found = {tuple(r) for r in M.ungapped_mapping(rows, refs, 18, 3, 30, chunk).collect()}
         assert want <= found and all(r[4] <= 3 for r in found)
