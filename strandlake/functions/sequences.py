@@ -211,9 +211,44 @@ def pvalue_method(name: Column) -> Column:
     return F.when(name.isin("cleaveland_category_rank", "cleaveland"), "cleaveland_category_rank").otherwise("transcript_peak_empirical")
 
 
-def safe_name(s: Column, longest: int = 140) -> Column:
-    out = F.substring(F.regexp_replace(s, r"[^A-Za-z0-9_.-]+", "_"), 1, longest)
-    return F.coalesce(F.nullif(F.regexp_replace(out, r"^_+|_+$", ""), F.lit("")), F.lit("item"))
+def safe_name(s: Column, longest: int = 140, other: str = "item", kept: str = "A-Za-z0-9_.-") -> Column:
+    """Runs of characters but the ``kept`` ones become one underscore; those at both ends go, then what is beyond ``longest`` (0: nothing); ``other`` stands for an empty one."""
+    out = F.regexp_replace(F.regexp_replace(s, f"[^{kept}]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(F.substring(out, 1, longest) if longest else out, F.lit("")), F.lit(other))
+
+
+def slug(s: Column, other: str = "group") -> Column:
+    return safe_name(F.trim(s), 0, other, "A-Za-z0-9")
+
+
+def sample_name(path: Column) -> Column:
+    """The name of a sample from the file of its first reads: without folder, suffix and the marks of read 1."""
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.(fq|fastq)(\.gz)?$", "")
+    for mark in (r"_R?1(_001)?$", r"_1_val_1$", r"_1$"):
+        name = F.regexp_replace(name, mark, "")
+    return safe_name(name, 0, "sample")
+
+
+def name_strand(name: Column, other: Column) -> Column:
+    """The strand in a name, else ``other``."""
+    return F.when(F.contains(name, F.lit("_antisense_")), "antisense").when(F.contains(name, F.lit("_sense_")), "sense").otherwise(other)
+
+
+def truthy(s: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(s)).isin("true", "1", "yes", "y"), F.lit(False))
+
+
+def word_size(identity: Column) -> Column:
+    """Letters of a clustering word by identity."""
+    return F.when(identity >= 0.95, 10).when(identity >= 0.90, 8).when(identity >= 0.88, 7).when(identity >= 0.85, 6).when(identity >= 0.80, 5).otherwise(4)
+
+
+def key_values(items: Column) -> Column:
+    """An array of ``key=value`` as a map, the last of equal keys; an item without ``=`` raises an error."""
+    good = F.transform(items, lambda x: F.when(F.contains(x, F.lit("=")), x).otherwise(F.raise_error(F.concat(F.lit("not KEY=VALUE: "), x))))
+    keys = F.array_distinct(F.transform(good, lambda x: F.substring_index(x, "=", 1)))
+    last = lambda k: F.element_at(F.filter(good, lambda x: F.substring_index(x, "=", 1) == k), -1)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.regexp_replace(last(k), "^[^=]*=", "")))
 
 
 def cpm(count: Column, library: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequences import complexity, cpm_from_name
+from strandlake.functions.sequences import complexity, cpm_from_name, name_strand
+from strandlake.operators import axis
 from strandlake.operators.matching import exact_annotations
 
 KINDS = ("dsrna", "genome", "control")
@@ -42,3 +43,20 @@ def clean_records(summary: DataFrame, remove_low_complexity: bool = True, remove
     if remove_control_mappers:
         kept = kept.where("not genome_maps and not control_maps")
     return kept.select("idx", F.col("srna_id").alias("id"), "sequence")
+
+
+def overview(summary: DataFrame, places: DataFrame) -> DataFrame:
+    """Runs contig, strand, start0, end0 of the CPM that records (``control_summary``) put on the contigs of kind dsrna.
+
+    A record's CPM, 1 if its name has none, is shared by its places on a contig (``cpm``), of which ``genome_cpm`` and ``control_cpm`` are those of
+    records that also map there; ``whole_cpm`` gives each place the whole of it, as an overview does that draws a record once for each of its places.
+    The strand is the one in the record's name, else that of its first place on the contig.
+    """
+    own = places.where("kind = 'dsrna'").select("id", "contig", (F.col("start_1based") - 1).alias("start0"), F.col("end_1based").alias("end0"), F.when(F.col("direction") == "+", "sense").otherwise("antisense").alias("side"))
+    per = own.groupBy("id", "contig").agg(F.count("*").alias("n"), F.min(F.struct("start0", "end0", "side")).alias("first"))
+    named = summary.select(F.col("srna_id").alias("id"), F.when(F.col("cpm_from_name") > 0, F.col("cpm_from_name")).otherwise(1.0).alias("v"), "genome_maps", "control_maps")
+    rows = own.join(per, ["id", "contig"]).join(named, "id")
+    share = F.round(F.col("v") / F.col("n"), 9)
+    rows = rows.select("contig", name_strand(F.col("id"), F.col("first.side")).alias("strand"), "start0", "end0", share.alias("share"), "v", "genome_maps", "control_maps")
+    of = lambda c, some=F.lit(True): rows.where(some).withColumn("value", F.col(c))
+    return axis.overlay({"cpm": of("share"), "genome_cpm": of("share", F.col("genome_maps")), "control_cpm": of("share", F.col("control_maps")), "whole_cpm": of("v")}, ("contig", "strand"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.ranking import numbered
+
 from strandlake.functions.sequences import binomial_at_least_one, clamp_pvalue, pvalue_method
 
 
@@ -56,10 +58,17 @@ def places_reaching(track: DataFrame, value: str) -> DataFrame:
     return track.join(reach, ["transcript", value])
 
 
-def dedupe_best(hits: DataFrame) -> DataFrame:
-    """One hit a (query, transcript, site10): the highest ratio, then the lowest penalty, then the first."""
-    order = Window.partitionBy("query", "transcript", "site10").orderBy(F.desc("mfe_ratio"), "allen", "hit_id")
-    return hits.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+def dedupe_best(hits: DataFrame, sites: tuple[str, ...] = ("site10",), by: str = "mfe_ratio") -> DataFrame:
+    """One hit a query, transcript and ``sites``: the highest ratio, then the lowest penalty (``by`` allen: the other way round), then the first by hit_id."""
+    order = [F.struct((-F.col("mfe_ratio")).alias("x"), "allen", "hit_id"), F.struct("allen", (-F.col("mfe_ratio")).alias("x"), "hit_id")][by == "allen"]
+    best = hits.groupBy("query", "transcript", *sites).agg(F.min_by(F.struct(*(c for c in hits.columns if c not in ("query", "transcript", *sites))), order).alias("_h"))
+    return best.select("query", "transcript", *sites, "_h.*").select(*hits.columns)
+
+
+def ranked_hits(hits: DataFrame, by: str = "mfe_ratio") -> DataFrame:
+    """Hits numbered by ratio and penalty (or penalty and ratio), ties by hit_id."""
+    order = [F.desc("mfe_ratio"), "allen"] if by != "allen" else ["allen", F.desc("mfe_ratio")]
+    return numbered(hits, *order, "hit_id")
 
 
 def retained(hits: DataFrame, least_ratio: float | None = None, most_allen: float | None = None, most_mismatches: int | None = None) -> DataFrame:

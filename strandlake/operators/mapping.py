@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import export_name, simple_sequence_reason
+from strandlake.operators import axis
 from strandlake.operators.matching import exact_annotations
 
 PLACE = ("contig", "start", "end", "strand", "sequence")
@@ -50,19 +51,43 @@ def group_means(kept: DataFrame, libraries: DataFrame, least_cpm: float = 0.0) -
     return out.withColumn("name", export_name(F.col("contig"), F.col("start"), F.char_length("sequence"), F.col("strand"), F.col("mismatches"), F.col("mean_cpm")))
 
 
-def contig_summary(kept: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Per group and contig: mean and standard error of each strand's CPM over all samples of the group, 0 where a sample has none."""
-    sizes = libraries.groupBy("grp").agg(F.count("*").alias("replicates"))
-    side = lambda s: F.sum(F.when(F.col("strand") == s, F.col("cpm")).otherwise(0.0))
-    per = kept.groupBy("grp", "contig", "sample_id").agg(side("sense").alias("sense"), side("antisense").alias("antisense"))
-    n = F.col("replicates")
-    sums = per.groupBy("grp", "contig").agg(*(x for s in ("sense", "antisense") for x in (F.sum(s).alias(s), F.sum(F.col(s) * F.col(s)).alias(f"{s}_sq")))).join(F.broadcast(sizes), "grp")
-    mean = lambda s: F.col(s) / n
-    sem = lambda s: F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(f"{s}_sq") - n * mean(s) * mean(s)) / (n - 1)) / n)).otherwise(0.0)
-    return sums.select("grp", "contig", "replicates", *(x for s in ("sense", "antisense") for x in (mean(s).alias(f"{s}_mean"), sem(s).alias(f"{s}_sem"))), (mean("sense") + mean("antisense")).alias("total_mean"))
+def exported(kept: DataFrame, length: int = 0, most_mismatches: int | None = None) -> DataFrame:
+    """Alignments of an export: of one read length if it is not 0, and with ``most_mismatches`` at most."""
+    if length:
+        kept = kept.where(F.col("length") == length)
+    return kept if most_mismatches is None else kept.where(F.col("mismatches") <= most_mismatches)
+
+
+def sample_counts(kept: DataFrame, libraries: DataFrame, least_cpm: float = 0.0) -> DataFrame:
+    """Each sample's reads at each place, their CPM and its share of the sample's, with the mean of the place's group.
+
+    Places whose group mean is under ``least_cpm`` are left out; the shares are of all that is kept.
+    """
+    key = ["grp", *PLACE, "mismatches"]
+    per = kept.groupBy("sample_id", *key).agg(F.sum("copies").alias("raw_count"), F.sum("cpm").alias("cpm"))
+    totals = kept.groupBy("sample_id").agg(F.sum("cpm").alias("_total"))  # a row a sample
+    means = group_means(kept, libraries, least_cpm).select(*key, "name", "mean_cpm", "replicates", "samples_present")
+    out = per.join(means, key).join(F.broadcast(totals), "sample_id")
+    return out.withColumn("percent_of_sample", F.when(F.col("_total") > 0, F.col("cpm") * 100.0 / F.col("_total")).otherwise(0.0)).drop("_total")
 
 
-def length_distribution(kept: DataFrame) -> DataFrame:
-    """CPM by sample, length and strand, over all contigs (scope all) and of each contig (scope contig)."""
-    sets = kept.groupingSets([["sample_id", "length", "strand"], ["sample_id", "length", "strand", "contig"]], "sample_id", "length", "strand", "contig").agg(F.sum("cpm").alias("cpm"), F.grouping("contig").alias("_all"))
-    return sets.withColumn("scope", F.when(F.col("_all") == 1, "all").otherwise("contig")).drop("_all")
+def contig_summary(kept: DataFrame) -> DataFrame:
+    """Per group and contig: mean and standard error of each strand's CPM over the samples present there, the places each strand covers, and the last place any read reaches."""
+    side = lambda s: F.sum(F.when(F.col("strand") == s, F.col("cpm")).otherwise(0.0))
+    per = kept.groupBy("grp", "contig", "sample_id").agg(side("sense").alias("sense"), side("antisense").alias("antisense"))
+    sem = lambda c: F.coalesce(F.stddev_samp(c) / F.sqrt(F.count(c)), F.lit(0.0))
+    means = per.groupBy("grp", "contig").agg(F.count("*").alias("replicates"), *(f.alias(n) for c in ("sense", "antisense") for f, n in ((F.avg(c), f"{c}_mean"), (sem(c), f"{c}_sem"))), F.avg(F.col("sense") + F.col("antisense")).alias("total_mean"))
+    lanes = axis.union_of(kept.select("grp", "contig", "strand", (F.col("start") - 1).alias("start0"), F.col("end").alias("end0")), ("grp", "contig", "strand"))
+    places = lambda s: F.coalesce(F.sum(F.when(F.col("strand") == s, F.col("end0") - F.col("start0"))), F.lit(0)).cast("long")
+    covered = lanes.groupBy("grp", "contig").agg(places("sense").alias("sense_covered"), places("antisense").alias("antisense_covered"))
+    reached = kept.groupBy("contig").agg(F.max("end").alias("inferred_length"))
+    return means.join(covered, ["grp", "contig"]).join(reached, "contig")
+
+
+def length_distribution(mapped: DataFrame, libraries: DataFrame, focus: int = 0) -> DataFrame:
+    """CPM by sample, length and strand, over all contigs before the focus filter (scope all), and of each contig after it (scope contig)."""
+    kept = retained(mapped, libraries)
+    key = ["sample_id", "length", "strand"]
+    every = kept.groupBy(*key).agg(F.sum("cpm").alias("cpm")).select(*key, F.lit(None).cast("string").alias("contig"), "cpm", F.lit("all").alias("scope"))
+    each = kept.where(F.col("length") == focus) if focus else kept
+    return every.unionByName(each.groupBy(*key, "contig").agg(F.sum("cpm").alias("cpm")).withColumn("scope", F.lit("contig")))

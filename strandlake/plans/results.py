@@ -335,16 +335,40 @@ def _(spark, d):
     return P.group_means(P.retained(mapped, libraries), libraries)
 
 
-@query("m08_contig_summary", oracle("SELECT grp, contig, min(k) AS replicates, round(sum(s) / min(k), 4) AS sense_mean, round(sqrt(greatest(0, (sum(s * s) - sum(s) * sum(s) / min(k)) / (min(k) - 1)) / min(k)), 3) AS sense_sem, round(sum(a) / min(k), 4) AS antisense_mean, round(sqrt(greatest(0, (sum(a * a) - sum(a) * sum(a) / min(k)) / (min(k) - 1)) / min(k)), 3) AS antisense_sem, round((sum(s) + sum(a)) / min(k), 4) AS total_mean FROM (SELECT grp, contig, sample_id, min(replicates) AS k, sum(CASE WHEN strand = 'sense' THEN cpm ELSE 0 END) AS s, sum(CASE WHEN strand = 'antisense' THEN cpm ELSE 0 END) AS a FROM kept_ JOIN sizes_ USING (grp) GROUP BY grp, contig, sample_id) GROUP BY grp, contig", **_MAPPED))
+_COVERED = "SELECT grp, contig, count(DISTINCT pos) FILTER (WHERE strand = 'sense') AS sc, count(DISTINCT pos) FILTER (WHERE strand = 'antisense') AS ac FROM (SELECT grp, contig, strand, unnest(range(start, end_ + 1)) AS pos FROM kept_) GROUP BY ALL"
+
+
+@query("m08_contig_summary", oracle("SELECT grp, contig, CAST(count(*) AS BIGINT) AS replicates, round(avg(s), 4) AS sense_mean, round(coalesce(stddev_samp(s) / sqrt(count(*)), 0), 3) AS sense_sem, round(avg(a), 4) AS antisense_mean, round(coalesce(stddev_samp(a) / sqrt(count(*)), 0), 3) AS antisense_sem, round(avg(s + a), 4) AS total_mean, CAST(min(sc) AS BIGINT) AS sense_covered, CAST(min(ac) AS BIGINT) AS antisense_covered, CAST(min(n) AS INT) AS inferred_length FROM (SELECT grp, contig, sample_id, sum(CASE WHEN strand = 'sense' THEN cpm ELSE 0 END) AS s, sum(CASE WHEN strand = 'antisense' THEN cpm ELSE 0 END) AS a FROM kept_ GROUP BY grp, contig, sample_id) JOIN covered_ USING (grp, contig) JOIN (SELECT contig, max(end_) AS n FROM kept_ GROUP BY ALL) USING (contig) GROUP BY grp, contig", **_MAPPED, covered_=_COVERED))
+def _(spark, d):
+    c = P.contig_summary(P.retained(*_mapped(spark, d)))
+    return c.select("grp", "contig", "replicates", *(F.round(x, 3 if x.endswith("sem") else 4).alias(x) for x in ("sense_mean", "sense_sem", "antisense_mean", "antisense_sem", "total_mean")), "sense_covered", "antisense_covered", "inferred_length")
+
+
+@query("m08_length_distribution", oracle("SELECT sample_id, length, strand, CAST(NULL AS VARCHAR) AS contig, 'all' AS scope, round(sum(cpm), 4) AS cpm FROM kept_ GROUP BY ALL UNION ALL SELECT sample_id, length, strand, contig, 'contig', round(sum(cpm), 4) FROM kept_ WHERE length = 21 GROUP BY ALL", **_MAPPED))
+def _(spark, d):
+    return P.length_distribution(*_mapped(spark, d), focus=21).withColumn("cpm", F.round("cpm", 4))
+
+
+@query("m08_unique_by_sample", oracle(f"SELECT sample_id, k.grp, k.contig, k.start, k.end_ AS \"end\", k.strand, k.sequence, mismatches, CAST(raw AS BIGINT) AS raw_count, round(c, 6) AS cpm, round(100.0 * c / total, 6) AS percent_of_sample, v AS mean_cpm, replicates, samples_present, concat(k.contig, '_', CAST(k.start AS VARCHAR), 'pos_', CAST(length(k.sequence) AS VARCHAR), 'len_', k.strand, '_', CAST(mismatches AS VARCHAR), 'm_', {_TOKEN}, 'CPM') AS name FROM (SELECT sample_id, grp, contig, start, end_, strand, sequence, sum(copies) AS raw, sum(cpm) AS c FROM some_ GROUP BY ALL) k JOIN (SELECT grp, contig, start, end_, strand, sequence, mismatches, count(DISTINCT sample_id) AS samples_present, min(replicates) AS replicates, round(sum(cpm) / min(replicates), 6) AS v FROM some_ JOIN sizes_ USING (grp) GROUP BY ALL) g USING (grp, contig, start, end_, strand, sequence) JOIN (SELECT sample_id, sum(cpm) AS total FROM some_ GROUP BY ALL) USING (sample_id) WHERE v >= 2", **_MAPPED, some_="SELECT * FROM kept_ WHERE length = 21"))
 def _(spark, d):
     mapped, libraries = _mapped(spark, d)
-    c = P.contig_summary(P.retained(mapped, libraries), libraries)
-    return c.select("grp", "contig", "replicates", *(F.round(x, 3 if x.endswith("sem") else 4).alias(x) for x in ("sense_mean", "sense_sem", "antisense_mean", "antisense_sem", "total_mean")))
+    out = P.sample_counts(P.exported(P.retained(mapped, libraries), 21, 0), libraries, 2.0)
+    return out.withColumn("cpm", r6(F.col("cpm"))).withColumn("percent_of_sample", r6(F.col("percent_of_sample")))
+
+
+_DRAWN = {
+    "own": "SELECT id, contig, start_1based - 1 AS start0, end_1based AS end0, CASE direction WHEN '+' THEN 'sense' ELSE 'antisense' END AS side FROM places WHERE kind = 'dsrna'",
+    "drawn": "SELECT own.contig, CASE WHEN contains(own.id, '_antisense_') THEN 'antisense' WHEN contains(own.id, '_sense_') THEN 'sense' ELSE f END AS strand, start0, end0, CAST(round(v / n, 9) AS DECIMAL(24, 9)) AS share, CAST(v AS DECIMAL(24, 9)) AS v, genome_maps, control_maps FROM own JOIN (SELECT id, contig, count(*) AS n, first(side ORDER BY start0, end0, side) AS f FROM own GROUP BY id, contig) USING (id, contig) JOIN (SELECT srna_id AS id, CASE WHEN cpm_from_name > 0 THEN cpm_from_name ELSE 1 END AS v, genome_maps, control_maps FROM summary) USING (id)",
+    "turns_": "SELECT contig, strand, pos, sum(t) AS t, sum(g) AS g, sum(c) AS c, sum(w) AS w FROM (SELECT contig, strand, unnest([start0, end0]) AS pos, unnest([share, -share]) AS t, unnest([CASE WHEN genome_maps THEN share ELSE 0 END, CASE WHEN genome_maps THEN -share ELSE 0 END]) AS g, unnest([CASE WHEN control_maps THEN share ELSE 0 END, CASE WHEN control_maps THEN -share ELSE 0 END]) AS c, unnest([v, -v]) AS w FROM drawn) GROUP BY ALL HAVING sum(t) <> 0 OR sum(g) <> 0 OR sum(c) <> 0 OR sum(w) <> 0",
+}
 
 
-@query("m08_length_distribution", oracle("SELECT sample_id, length, strand, contig, CASE WHEN contig IS NULL THEN 'all' ELSE 'contig' END AS scope, round(sum(cpm), 4) AS cpm FROM kept_ GROUP BY GROUPING SETS ((sample_id, length, strand), (sample_id, length, strand, contig))", **_MAPPED))
+@query("a35_control_overview", oracle("SELECT contig, strand, CAST(start0 AS INT) AS start0, CAST(end0 AS INT) AS end0, round(CAST(t AS DOUBLE), 6) AS cpm, round(CAST(g AS DOUBLE), 6) AS genome_cpm, round(CAST(c AS DOUBLE), 6) AS control_cpm, round(CAST(w AS DOUBLE), 6) AS whole_cpm FROM (SELECT contig, strand, pos AS start0, lead(pos) OVER o AS end0, sum(t) OVER o AS t, sum(g) OVER o AS g, sum(c) OVER o AS c, sum(w) OVER o AS w FROM turns_ WINDOW o AS (PARTITION BY contig, strand ORDER BY pos)) WHERE t <> 0 OR w <> 0", **_CTX, **_DRAWN))
 def _(spark, d):
-    return P.length_distribution(P.retained(*_mapped(spark, d))).withColumn("cpm", F.round("cpm", 4))
+    use_checkpoints(spark)
+    places = _places(spark, d).checkpoint()
+    runs = C.overview(C.control_summary(srnas(spark, d), places), places)
+    return runs.select("contig", "strand", F.col("start0").cast("int").alias("start0"), F.col("end0").cast("int").alias("end0"), *(r6(F.col(c)).alias(c) for c in ("cpm", "genome_cpm", "control_cpm", "whole_cpm")))
 
 
 @query("j16_contexts", oracle("SELECT contig, bin, context_start, context_end, substring(seq, context_start, context_end - context_start + 1) AS sequence FROM (SELECT contig, bin, seq, CAST(greatest(0, bin * 250 - 500) + 1 AS INT) AS context_start, CAST(least(length(seq), bin * 250 + 750) AS INT) AS context_end FROM (SELECT contig, CAST((start_1based - 1) // 250 AS INT) AS bin, row_number() OVER (ORDER BY count(*) DESC, contig, (start_1based - 1) // 250) AS r FROM places WHERE kind = 'dsrna' GROUP BY contig, (start_1based - 1) // 250) JOIN refs USING (contig) WHERE r <= 20)", **{k: v for k, v in _CTX.items() if k in ("srna", "refs", "strands", "seeds", "places")}))
@@ -352,3 +376,26 @@ def _(spark, d):
     bins = _places(spark, d).where("kind = 'dsrna'").groupBy("contig", F.expr("CAST((start_1based - 1) div 250 AS INT)").alias("bin")).agg(F.count("*").alias("n"))
     top = bins.orderBy(F.desc("n"), "contig", "bin").limit(20)  # the report's length
     return A.contexts(top, references(spark, d).select("contig", "seq"), 250, 500)
+
+
+# ---------------------------------------------------------------- hits and names
+
+
+@query("a30_dedupe_sites", oracle("SELECT * EXCLUDE (r), row_number() OVER (ORDER BY allen, mfe_ratio DESC, hit_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, transcript, site9, site10, site11 ORDER BY allen, mfe_ratio DESC, hit_id) AS r FROM hits) WHERE r = 1", "hits"))
+def _(spark, d):
+    return E.ranked_hits(E.dedupe_best(X.hits(spark, d), ("site9", "site10", "site11"), "allen"), "allen")
+
+
+_FILE = "concat('/data/', p_name, CASE p_partkey % 4 WHEN 0 THEN '_R1_001.fastq.gz' WHEN 1 THEN '_1_val_1.fq.gz' WHEN 2 THEN '_1.fq' ELSE '.txt' END)"
+_SAFE = "coalesce(nullif(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), '{o}')"
+_BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(file, '/', -1), '\\.(fq|fastq)(\\.gz)?$', ''), '_R?1(_001)?$', ''), '_1_val_1$', ''), '_1$', '')"
+
+
+@query("f20_names", oracle(f"SELECT p_partkey, substring({_SAFE.format(x='odd', o='item')}, 1, 9) AS safe, coalesce(nullif(regexp_replace(regexp_replace(trim(odd), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'group') AS slug, {_SAFE.format(x=_BARE, o='sample')} AS sample, CASE WHEN p_partkey % 3 = 0 THEN 'antisense' WHEN p_partkey % 3 = 1 THEN 'sense' ELSE '.' END AS strand, p_partkey % 5 < 2 AS truthy, CAST(CASE WHEN p_size >= 48 THEN 10 WHEN p_size >= 45 THEN 8 WHEN p_size >= 44 THEN 7 WHEN p_size >= 43 THEN 6 WHEN p_size >= 40 THEN 5 ELSE 4 END AS INT) AS word_size, concat('v=', CAST(p_size AS VARCHAR)) AS last_value FROM (SELECT *, {_FILE} AS file, concat('__', p_name, '/#', p_brand, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '--x__' END) AS odd FROM part)"))
+def _(spark, d):
+    rows = X._table(spark, d, "part").withColumn("file", F.expr(_FILE)).withColumn("odd", F.expr("concat('__', p_name, '/#', p_brand, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '--x__' END)"))
+    part = F.col("p_partkey")
+    named = F.concat(F.col("p_name"), F.when(part % 3 == 0, "_antisense_1").when(part % 3 == 1, "_sense_1").otherwise("_1"))
+    flag = F.when(part % 5 == 0, " Yes ").when(part % 5 == 1, "TRUE").when(part % 5 == 2, "no").otherwise(F.lit(None))
+    pairs = S.key_values(F.array(F.lit("k=1"), F.lit("j=2"), F.concat(F.lit("k=v="), F.col("p_size").cast("string"))))
+    return rows.select("p_partkey", S.safe_name(F.col("odd"), 9).alias("safe"), S.slug(F.col("odd")).alias("slug"), S.sample_name(F.col("file")).alias("sample"), S.name_strand(named, F.lit(".")).alias("strand"), S.truthy(flag).alias("truthy"), S.word_size(F.col("p_size") / 50.0).alias("word_size"), pairs["k"].alias("last_value"))
