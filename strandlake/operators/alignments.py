@@ -256,13 +256,18 @@ def contig_group_summary(aln: DataFrame, libraries: DataFrame) -> DataFrame:
     return means.join(covered, key)
 
 
-def best_stratum(aln: DataFrame, most: int = 50) -> DataFrame:
-    """Per read: the least mismatches, up to ``most`` places that have them (a limit that is the feature), and their contigs."""
-    best = aln.withColumn("_r", F.rank().over(Window.partitionBy("sample_id", "qname").orderBy("nm"))).where("_r = 1")
-    place = F.struct("contig", "start0", "end0", "strand", "nm")
-    per = best.groupBy("sample_id", "qname").agg(F.min("nm").alias("nm"), F.slice(F.array_sort(F.collect_list(place)), 1, most).alias("p"), F.array_join(F.array_sort(F.collect_set("contig")), ";").alias("contigs"))
-    text = F.transform("p", lambda x: F.concat(x["contig"], F.lit(":"), (x["start0"] + 1).cast("string"), F.lit("-"), x["end0"].cast("string"), F.lit(":"), x["strand"], F.lit(":"), x["nm"].cast("string")))
-    return per.select("sample_id", "qname", "nm", "contigs", F.array_join(text, ";").alias("places"))
+def best_stratum(aln: DataFrame, most: int = 50, keys: tuple[str, ...] = ("sample_id", "qname")) -> DataFrame:
+    """Per read: the least mismatches, up to ``most`` places that have them (a limit that is the feature), and their contigs.
+
+    Places are ranked before they are listed, so a task keeps ``most`` of a read at most.
+    """
+    order = Window.partitionBy(*keys).orderBy("nm", "contig", "start0", "end0", "strand")
+    first = aln.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    text = F.concat("contig", F.lit(":"), (F.col("start0") + 1).cast("string"), F.lit("-"), F.col("end0").cast("string"), F.lit(":"), "strand", F.lit(":"), F.col("nm").cast("string"))
+    listed = first.groupBy(*keys, "nm").agg(F.array_sort(F.collect_list(F.struct("_r", text.alias("t")))).alias("p"))
+    best = listed.groupBy(*keys).agg(F.min("nm").alias("nm"), F.min_by("p", "nm").alias("p"))
+    contigs = aln.groupBy(*keys, "nm").agg(F.collect_set("contig").alias("c"), F.count("*").alias("hits")).groupBy(*keys).agg(F.min_by(F.struct("c", "hits"), "nm").alias("x"))
+    return best.join(contigs, list(keys)).select(*keys, "nm", F.array_join(F.array_sort("x.c"), ";").alias("contigs"), F.array_join(F.transform("p", lambda x: x.t), ";").alias("places"), F.col("x.hits").alias("hits"))
 
 
 def ranked_bins(aln: DataFrame, libraries: DataFrame, size: int, length: int, around: int) -> DataFrame:
@@ -293,6 +298,16 @@ def replicate_numbers(samples: DataFrame, group: str, order: str) -> DataFrame:
     return samples.withColumn("replicate", F.row_number().over(Window.partitionBy(group).orderBy(order)))
 
 
+def on_contexts(aln: DataFrame, loci: DataFrame) -> DataFrame:
+    """Alignments cut to the contexts of a report (target_bin, contig, cs, ce) and placed from their start, with target_bin as contig.
+
+    The report bounds the contexts; an alignment in several comes once for each.
+    """
+    both = aln.join(F.broadcast(loci.select("target_bin", "contig", "cs", "ce")), "contig").where("start0 < ce and end0 > cs")
+    cut = both.withColumn("start0", F.greatest("start0", "cs") - F.col("cs")).withColumn("end0", F.least("end0", "ce") - F.col("cs"))
+    return cut.withColumn("contig", F.col("target_bin")).drop("target_bin", "cs", "ce")
+
+
 def contexts(top: DataFrame, refs: DataFrame, size: int, around: int) -> DataFrame:
     """The letters of a report's bins (contig, bin) with ``around`` letters on both sides; a contig that is not there raises an error."""
     found = refs.join(F.broadcast(top.select("contig").distinct()), "contig", "left_semi")

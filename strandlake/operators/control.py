@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import complexity, cpm_from_name, name_strand
 from strandlake.operators import axis
-from strandlake.operators.matching import exact_annotations
+from strandlake.operators.alignments import best_stratum
+from strandlake.operators.matching import exact_annotations, ungapped_mapping
 
 KINDS = ("dsrna", "genome", "control")
 
@@ -20,6 +21,16 @@ def reference_places(records: DataFrame, refs: DataFrame, least: int, longest: i
     return out.select(F.substring_index("contig", "|", 1).alias("kind"), "id", "sequence", F.expr("substring(contig, instr(contig, '|') + 1)").alias("contig"), "start_1based", "end_1based", "direction")
 
 
+def reference_cells(records: DataFrame, refs: DataFrame, least: int, longest: int, mismatches: int = 3, most: int = 50) -> DataFrame:
+    """kind, id: the fewest mismatches that a record (id, sequence) has anywhere in the references of a kind, how many places have so many, their contigs and up to ``most`` places."""
+    named = refs.select(F.concat_ws("|", "kind", "contig").alias("contig"), "seq")
+    found = ungapped_mapping(records.select("sequence").distinct(), named, least, mismatches, longest)
+    kind, contig = F.substring_index("contig", "|", 1), F.expr("substring(contig, instr(contig, '|') + 1)")
+    places = found.select("sequence", kind.alias("kind"), contig.alias("contig"), "start0", (F.col("start0") + F.char_length("sequence")).alias("end0"), "strand", "nm")
+    best = best_stratum(places, most, ("kind", "sequence"))
+    return records.select("id", "sequence").join(best, "sequence").select("kind", "id", F.col("nm").alias("best_mismatches"), "hits", "contigs", F.col("places").alias("locations"))
+
+
 def control_summary(records: DataFrame, places: DataFrame, length_filter: int = 0) -> DataFrame:
     """A row a record (idx, id, sequence): its length, name's CPM, places and contigs of each kind, and complexity.
 

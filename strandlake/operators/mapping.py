@@ -5,22 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequences import export_name, simple_sequence_reason
+from strandlake.functions.sequences import export_name, low_complexity_reason, simple_sequence_reason
 from strandlake.operators import axis
-from strandlake.operators.matching import exact_annotations
+from strandlake.operators.matching import best_mapping, exact_annotations, ungapped_mapping
 
 PLACE = ("contig", "start", "end", "strand", "sequence")
 
 
-def mapped_reads(reads: DataFrame, refs: DataFrame, least: int, longest: int) -> DataFrame:
-    """All exact places of reads (sample_id, grp, sequence, copies) on both strands, with the sequence's simple reason, null if it has none.
+def passing_reads(reads: DataFrame, **limits: float) -> DataFrame:
+    """Reads (sequence and others) that the complexity filter keeps. Equal sequences are judged once."""
+    judged = reads.select("sequence").distinct().where(low_complexity_reason(F.col("sequence"), **limits).isNull())
+    return reads.join(judged, "sequence", "left_semi").select(*reads.columns)
 
-    Equal sequences are looked up once; ``copies`` are reads of one sequence in one sample.
+
+def filter_stats(reads: DataFrame, **limits: float) -> DataFrame:
+    """metric, n: the reads there are, those that the complexity filter keeps, and those it takes for each reason; without reads an error."""
+    per = reads.groupBy("sequence").agg(F.count("*").alias("n")).select("n", low_complexity_reason(F.col("sequence"), **limits).alias("reason")).groupBy("reason").agg(F.sum("n").alias("n"))  # a row a reason
+    every = per.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("reason").isNull(), F.col("n"))).alias("kept"))
+    total = F.when(F.col("n").isNull(), F.raise_error(F.lit("no reads"))).otherwise(F.col("n"))
+    named = every.select(F.explode(F.array(F.struct(F.lit("original_reads").alias("metric"), total.alias("n")), F.struct(F.lit("reads_passing_complexity_filter").alias("metric"), F.coalesce("kept", F.lit(0)).alias("n")))).alias("x")).select("x.*")
+    return named.unionByName(per.where("reason is not null").select(F.concat(F.lit("filtered_"), "reason").alias("metric"), "n"))
+
+
+def mapped_reads(reads: DataFrame, refs: DataFrame, least: int, longest: int, mismatches: int = 0, report: str = "all") -> DataFrame:
+    """Places of reads (sample_id, grp, sequence, copies) on both strands, with the sequence's simple reason, null if it has none.
+
+    ``report``: all places with ``mismatches`` at most, the best of each sequence (those with the fewest), or one of the best, the first by contig, place and strand.
+    Equal sequences are looked up once; ``copies`` are reads of one sequence in one sample. Palindromes without a mismatch have one place, forward, where all exact ones are asked for.
     """
-    seqs = reads.select(F.col("sequence").alias("id"), "sequence").distinct()
-    places = exact_annotations(seqs, refs, least, longest).drop("id").withColumn("reason", simple_sequence_reason(F.col("sequence")))
-    strand = F.when(F.col("direction") == "+", "sense").otherwise("antisense")
-    return reads.join(places, "sequence").select("sample_id", "grp", "contig", F.col("start_1based").alias("start"), F.col("end_1based").alias("end"), F.char_length("sequence").alias("length"), strand.alias("strand"), F.lit(0).alias("mismatches"), "sequence", "copies", "reason")
+    seqs = reads.select("sequence").distinct()
+    if mismatches == 0 and report == "all":
+        exact = exact_annotations(seqs.withColumn("id", F.col("sequence")), refs, least, longest)
+        places = exact.select("sequence", "contig", (F.col("start_1based") - 1).alias("start0"), F.when(F.col("direction") == "+", "sense").otherwise("antisense").alias("strand"), F.lit(0).alias("nm"))
+    elif report == "all":
+        places = ungapped_mapping(seqs, refs, least, mismatches, longest)
+    else:
+        places = best_mapping(seqs, refs, least, mismatches, longest, report == "one")
+    size = F.char_length("sequence")
+    placed = places.withColumn("reason", simple_sequence_reason(F.col("sequence")))
+    return reads.join(placed, "sequence").select("sample_id", "grp", "contig", (F.col("start0") + 1).alias("start"), (F.col("start0") + size).alias("end"), size.alias("length"), "strand", F.col("nm").alias("mismatches"), "sequence", "copies", "reason")
 
 
 def sample_summary(mapped: DataFrame, libraries: DataFrame, focus: int = 0) -> DataFrame:

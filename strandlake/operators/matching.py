@@ -288,3 +288,20 @@ def collapse_summary(records: DataFrame, kept: DataFrame, gone: DataFrame) -> Da
     total = per.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(n) for k, n in (("input", "input_records_after_other_filters"), ("kept", "kept_records_after_collapse"), ("exact_duplicate", "removed_exact_duplicate_records"), ("shorter_exact_substring", "removed_shorter_contained_records"))))
     lengths = per.select(F.lit("length_breakdown").alias("metric"), F.col("length").cast("long").alias("value"), detail.alias("detail"))
     return total.unpivot([], total.columns, "metric", "value").withColumn("detail", F.lit("")).unionByName(lengths)
+
+
+def cluster_sizes(members: DataFrame) -> DataFrame:
+    """cluster_no, size, members (joined by ``;`` in the order of idx) and the representative of (cluster_no, idx, member, is_representative).
+
+    A cell holds a cluster's members, as the table does; ``cluster_counts`` does without.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("idx", "member")))
+    first = F.coalesce(F.min(F.when(F.col("is_representative"), F.struct("idx", "member"))), F.min(F.struct("idx", "member")))
+    per = members.groupBy("cluster_no").agg(F.count("*").alias("size"), F.array_join(F.transform(listed, lambda x: x.member), ";").alias("members"), first.alias("first"))
+    return per.select("cluster_no", "size", "members", F.col("first.member").alias("representative"))
+
+
+def cluster_counts(members: DataFrame) -> DataFrame:
+    """Each member with the size and the representative of its cluster, as rows."""
+    per = members.groupBy("cluster_no").agg(F.count("*").alias("size"), F.coalesce(F.min(F.when(F.col("is_representative"), F.struct("idx", "member"))), F.min(F.struct("idx", "member"))).alias("first"))
+    return members.join(per.select("cluster_no", "size", F.col("first.member").alias("representative")), "cluster_no")

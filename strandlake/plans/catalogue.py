@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import sequences as S
 from strandlake.operators import alignments as A
 from strandlake.operators import evidence as E
+from strandlake.operators import mapping as P
 from strandlake.operators import matching as M
 from strandlake.plans import fixtures as X
 from strandlake.plans.fixtures import CONTIG_LENGTH, oracle
@@ -104,19 +105,19 @@ def _(spark, d):
     return X.words(spark, d).select("conv_id", "turn", "p", S.low_complexity_reason(F.col("w")).alias("reason"))
 
 
-@query("a01_filter_stats", oracle(f"SELECT coalesce(CASE WHEN {_KINDS} <= 2 THEN 'simple' END, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY 1", "words"))
+_F14 = f"""SELECT {_WORD}, CASE WHEN length(w) < 18 THEN 'too_short' WHEN length(w) > 30 THEN 'too_long' WHEN {_ACGT} = 0 THEN 'no_acgt_bases' WHEN {_KINDS} <= 2 THEN 'one_or_two_base_alphabet'
+WHEN CAST({_TOP} AS DOUBLE) / {_ACGT} >= 0.80 THEN 'dominant_single_base' WHEN {_ENT} < 1.25 THEN 'low_shannon_entropy' WHEN run >= 8 OR CAST(run AS DOUBLE) / length(w) >= 0.60 THEN 'long_homopolymer_run'
+WHEN CAST(k2.top AS DOUBLE) / 20 >= 0.70 THEN 'dominant_dinucleotide' WHEN CAST(k3.top AS DOUBLE) / 19 >= 0.70 THEN 'dominant_trinucleotide' END AS reason {_JOINED}"""
+
+
+@query("a01_filter_stats", oracle("SELECT unnest(['original_reads', 'reads_passing_complexity_filter']) AS metric, unnest([count(*), count(*) FILTER (WHERE reason IS NULL)]) AS n FROM judged UNION ALL SELECT concat('filtered_', reason), count(*) FROM judged WHERE reason IS NOT NULL GROUP BY ALL", "words", runs=_RUNS, k2=_kmer_cte(2), k3=_kmer_cte(3), judged=_F14))
 def _(spark, d):
-    w = F.col("w")
-    kinds = sum(F.when(S.count_of(w, b) > 0, 1).otherwise(0) for b in "ACGT")
-    return X.words(spark, d).groupBy(F.when(kinds <= 2, "simple").otherwise("kept").alias("reason")).agg(F.count("*").alias("n"))
+    return P.filter_stats(X.words(spark, d).select(F.col("w").alias("sequence")))
 
 
-@query("f24_cigar_length", oracle("SELECT qname, start0, CAST(end0 - start0 AS INT) + 5 AS ref_length, nm AS md_mismatches FROM aln", "aln"))
+@query("p05_passing_reads", oracle("SELECT conv_id, turn, p, w FROM words JOIN judged USING (conv_id, turn, p) WHERE reason IS NULL", "words", runs=_RUNS, k2=_kmer_cte(2), k3=_kmer_cte(3), judged=_F14))
 def _(spark, d):
-    a = X.aln(spark, d)
-    cigar = F.concat((F.col("end0") - F.col("start0")).cast("string"), F.lit("M2D3S5N1I"))
-    md = F.concat(F.repeat(F.lit("3A"), F.col("nm")), F.lit("4^AC7"))
-    return a.select("qname", "start0", (S.cigar_reference_length(cigar, F.lit("")) - 2).alias("ref_length"), S.md_mismatches(md).alias("md_mismatches"))
+    return P.passing_reads(X.words(spark, d).withColumnRenamed("w", "sequence")).withColumnRenamed("sequence", "w")
 
 
 @query("f16_cpm_from_name", oracle("SELECT hit_id, round(CAST(hit_id % 7 + 1 AS DOUBLE) / 2, 6) AS wide, round(CASE WHEN hit_id % 2 = 0 THEN CAST(hit_id % 7 + 1 AS DOUBLE) / 2 ELSE 0 END, 6) AS narrow FROM hits", "hits"))
@@ -388,7 +389,7 @@ def _(spark, d):
 
 @query("a20_best_stratum", oracle("SELECT sample_id, qname, nm, string_agg(DISTINCT contig, ';' ORDER BY contig) AS contigs, string_agg(concat(contig, ':', CAST(start0 + 1 AS STRING), '-', CAST(end0 AS STRING), ':', strand, ':', CAST(nm AS STRING)), ';' ORDER BY contig, start0, end0, strand) AS places FROM (SELECT *, rank() OVER (PARTITION BY sample_id, qname ORDER BY nm) AS r FROM aln) WHERE r = 1 GROUP BY sample_id, qname, nm", "aln"))
 def _(spark, d):
-    return A.best_stratum(X.aln(spark, d))
+    return A.best_stratum(X.aln(spark, d)).drop("hits")
 
 
 @query("a34_contig_summary", oracle("SELECT grp, contig, CAST(sum(s + a) AS BIGINT) AS total, CAST(sum(least(s, a)) AS BIGINT) AS duplex, round(200.0 * sum(least(s, a)) / sum(s + a), 6) AS balance FROM dg GROUP BY ALL", "aln", dg=_DENSE.replace("sample_id", "grp")))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import alignments as A
 from strandlake.operators import axis
+from strandlake.operators import control as C
+from strandlake.operators import mapping as P
 from strandlake.operators import screen as W
 from strandlake.operators import srna_run as R
 from strandlake.plans import fixtures as X
-from strandlake.plans.catalogue import _KINDS, _TOP, query, r6
+from strandlake.operators import matching as M
+from strandlake.operators.ranking import numbered
+from strandlake.plans.catalogue import _BOTH, _DENSE, _FULL, _KM, _SCORES, _TOP, _WIN, query, r6
 from strandlake.plans.fixtures import CONTIG_LENGTH, oracle
-from strandlake.plans.results import _CTX, _PAIRS, _reads, references, srnas
+from strandlake.plans.results import _CLEAVED, _CTX, _MAPPED, _PAIRS, _cleaved_full, _reads, _sample_reads, references, srnas
 
 # ---------------------------------------------------------------- the small-RNA run
 
@@ -176,11 +180,11 @@ def _(spark, d):
 
 _TRACK = "SELECT contig, grp, pos, sum(ss) AS ss, sum(sa) AS sa, sum(ds) AS ds, sum(da) AS da FROM (SELECT contig, grp, unnest([start0, end0]) AS pos, unnest([ss, -ss]) AS ss, unnest([sa, -sa]) AS sa, unnest([ds, -ds]) AS ds, unnest([da, -da]) AS da FROM both_) GROUP BY ALL HAVING sum(ss) <> 0 OR sum(sa) <> 0 OR sum(ds) <> 0 OR sum(da) <> 0"
 _CPM = "CAST(round(1e6 / n_reads / k, 9) AS DECIMAL(24, 9))"
-_BOTH = f"SELECT contig, grp, start0, end0, CASE WHEN strand = 'sense' THEN {_CPM} ELSE 0 END AS ss, CASE WHEN strand = 'antisense' THEN {_CPM} ELSE 0 END AS sa, 0 AS ds, 0 AS da FROM (SELECT * FROM aln WHERE nm = 0) JOIN libk USING (sample_id, grp) UNION ALL SELECT contig, grp, start0, end0, 0, 0, CASE WHEN strand = 'sense' THEN {_CPM} ELSE 0 END, CASE WHEN strand = 'antisense' THEN {_CPM} ELSE 0 END FROM frag JOIN libk USING (sample_id)"
+_ASSAYS = f"SELECT contig, grp, start0, end0, CASE WHEN strand = 'sense' THEN {_CPM} ELSE 0 END AS ss, CASE WHEN strand = 'antisense' THEN {_CPM} ELSE 0 END AS sa, 0 AS ds, 0 AS da FROM (SELECT * FROM aln WHERE nm = 0) JOIN libk USING (sample_id, grp) UNION ALL SELECT contig, grp, start0, end0, 0, 0, CASE WHEN strand = 'sense' THEN {_CPM} ELSE 0 END, CASE WHEN strand = 'antisense' THEN {_CPM} ELSE 0 END FROM frag JOIN libk USING (sample_id)"
 _LIBK = "SELECT sample_id, lib.grp, n_reads, k FROM lib JOIN (SELECT grp, count(*) AS k FROM lib GROUP BY ALL) USING (grp)"
 
 
-@query("j18_overlay", oracle("SELECT contig, grp, CAST(start0 AS INT) AS start0, CAST(end0 AS INT) AS end0, round(CAST(ss AS DOUBLE), 6) AS srna_sense, round(CAST(sa AS DOUBLE), 6) AS srna_antisense, round(CAST(ds AS DOUBLE), 6) AS dsrna_sense, round(CAST(da AS DOUBLE), 6) AS dsrna_antisense FROM (SELECT contig, grp, pos AS start0, lead(pos) OVER w AS end0, sum(ss) OVER w AS ss, sum(sa) OVER w AS sa, sum(ds) OVER w AS ds, sum(da) OVER w AS da FROM track WINDOW w AS (PARTITION BY contig, grp ORDER BY pos)) WHERE ss <> 0 OR sa <> 0 OR ds <> 0 OR da <> 0", "lib", **_PAIRS, libk=_LIBK, both_=_BOTH, track=_TRACK))
+@query("j18_overlay", oracle("SELECT contig, grp, CAST(start0 AS INT) AS start0, CAST(end0 AS INT) AS end0, round(CAST(ss AS DOUBLE), 6) AS srna_sense, round(CAST(sa AS DOUBLE), 6) AS srna_antisense, round(CAST(ds AS DOUBLE), 6) AS dsrna_sense, round(CAST(da AS DOUBLE), 6) AS dsrna_antisense FROM (SELECT contig, grp, pos AS start0, lead(pos) OVER w AS end0, sum(ss) OVER w AS ss, sum(sa) OVER w AS sa, sum(ds) OVER w AS ds, sum(da) OVER w AS da FROM track WINDOW w AS (PARTITION BY contig, grp ORDER BY pos)) WHERE ss <> 0 OR sa <> 0 OR ds <> 0 OR da <> 0", "lib", **_PAIRS, libk=_LIBK, both_=_ASSAYS, track=_TRACK))
 def _(spark, d):
     a = X.aln(spark, d)
     libraries = A.library_sizes(a)
@@ -204,3 +208,116 @@ def _(spark, d):
     both = axis.overlapping(features, windows, 250)
     bases = (F.least("f_end", "end0") - F.greatest("f_start", "start0")).cast("long")
     return both.groupBy("contig", "start0", F.col("f_label").alias("label")).agg(F.count("*").alias("features"), F.sum(bases).alias("bases"))
+
+
+# ---------------------------------------------------------------- window scan over fragments, loci of the screen
+
+_FRAG_LIB = "SELECT sample_id, CAST(count(DISTINCT qname) AS BIGINT) AS n_reads FROM frag GROUP BY ALL"
+_FRAG_DENSE = _DENSE.replace("FROM aln", "FROM frag")
+
+
+@query("m01_fragment_windows", oracle("SELECT sample_id, contig, CAST(start0 AS INT) AS start0, s, a, duplex, two_sided, round(balance, 6) AS balance, round(dn, 6) AS dsrnaness, round(ms, 6) AS mean_sense, round(ma, 6) AS mean_antisense, round(score, 6) AS score FROM full_", "aln", **_PAIRS, lib=_FRAG_LIB, dense=_FRAG_DENSE, win=_WIN, sc=_SCORES, full_=_FULL))
+def _(spark, d):
+    """Windows of read-pair fragments, CPM by the pairs used."""
+    fragments = A.fragments(_reads(spark, d))
+    pairs = fragments.select("sample_id", "qname").distinct().groupBy("sample_id").agg(F.count("*").alias("n_reads"))
+    sums = A.prefix_windows(fragments, CONTIG_LENGTH, 200, 50).join(F.broadcast(pairs), "sample_id")
+    out = A.window_scores(sums, F.lit(1e6) / F.col("n_reads"))
+    return out.select("sample_id", "contig", F.col("start0").cast("int").alias("start0"), "s", "a", "duplex", "two_sided", *(r6(F.col(c)).alias(c) for c in ("balance", "dsrnaness", "mean_sense", "mean_antisense", "score")))
+
+
+_TRACKS = """SELECT sample_id, contig, strand, pos, round(n * 1e6 / n_reads / 25, 6) AS cpm FROM (SELECT sample_id, contig, strand, p AS pos, sum(n) AS n FROM (SELECT sample_id, contig, strand, unnest(range(greatest(0, pos - 12), least(2000, pos + 13))) AS p, n FROM (SELECT sample_id, contig, strand, pos, count(*) AS n FROM (SELECT sample_id, contig, strand, unnest(range(start0, end0)) AS pos FROM frag) GROUP BY ALL)) GROUP BY ALL) JOIN lib USING (sample_id)"""
+
+
+@query("m03_track_summary", oracle("SELECT sample_id, contig, strand, CAST(count(*) AS BIGINT) AS places, round(max(cpm), 6) AS peak_cpm, round(sum(cpm) / 2000, 4) AS mean_cpm FROM tracks GROUP BY ALL", "aln", **_PAIRS, lib=_FRAG_LIB, tracks=_TRACKS))
+def _(spark, d):
+    """Smoothed tracks of fragments a sample and strand, from evenly changing pieces: places above zero, peak and mean."""
+    fragments, key = A.fragments(_reads(spark, d)), ("sample_id", "contig", "strand")
+    pairs = fragments.select("sample_id", "qname").distinct().groupBy("sample_id").agg(F.count("*").alias("n_reads"))
+    pieces = A.moving_average(fragments, 25, key, CONTIG_LENGTH).join(F.broadcast(pairs), "sample_id")
+    n, v, slope = F.col("end0") - F.col("start0"), F.col("window_sum"), F.col("window_sum_slope")
+    # a piece that rises from or falls to zero has one place that is
+    above = n - F.when(v == 0, 1).otherwise(0) - F.when((v != 0) & (v + slope * (n - 1) == 0), 1).otherwise(0)
+    scale = F.lit(1e6) / F.col("n_reads") / 25
+    out = pieces.groupBy(*key).agg(F.sum(above).cast("long").alias("places"), F.round(F.max(F.greatest(v, v + slope * (n - 1)) * scale), 6).alias("peak_cpm"), F.round(F.sum(axis.even_sum(v, slope, n) * scale) / CONTIG_LENGTH, 4).alias("mean_cpm"))
+    return out
+
+
+_LOCI = {
+    "best": "SELECT target_bin, source_contig AS contig, rank, greatest(0, start_1based - 501) AS cs, least(2000 - CAST(substring(source_contig, 2) AS INT) * 10, start_1based - 1 + bin_length_nt + 500) AS ce FROM ranked_ WHERE rank <= 20",
+    "inside_": "SELECT target_bin, lib.sample_id, lib.grp, n_reads, strand, greatest(start0, cs) - cs AS s0, least(end0, ce) - cs AS e0, ce - cs AS len_ FROM aln JOIN best USING (contig) JOIN lib ON lib.sample_id = aln.sample_id WHERE start0 < ce AND end0 > cs",
+}
+_SUMS = """SELECT target_bin, grp, len_, pos, coalesce(sum(x * c) FILTER (WHERE strand = 'sense'), 0) AS s, coalesce(sum(x * c) FILTER (WHERE strand = 'antisense'), 0) AS a FROM (SELECT target_bin, grp, len_, strand, 1e6 / n_reads / k / 25 AS x, pos, greatest(0, least(e0, pos + 13) - greatest(s0, pos - 12)) AS c
+FROM (SELECT *, unnest(range(greatest(0, s0 - 12), least(len_, e0 + 12))) AS pos FROM inside_) JOIN (SELECT grp, count(*) AS k FROM lib GROUP BY ALL) USING (grp)) GROUP BY ALL"""
+
+
+@query("m05_loci", oracle("SELECT target_bin, CAST(rank AS INT) AS rank, grp, CAST(len_ AS INT) AS length, round(sum(s) / len_, 5) AS mean_sense, round(sum(a) / len_, 5) AS mean_antisense, round(sum(least(s, a)) / len_, 5) AS mean_duplex, round(200 * sum(least(s, a)) / sum(s + a), 5) AS balance FROM deep JOIN best USING (target_bin) GROUP BY target_bin, rank, grp, len_", "lib", **_SCREEN, **_LOCI, deep=_SUMS))
+def _(spark, d):
+    """The screen's best bins with 500 places on both sides as contigs of their own, and the smoothed depth of both groups on them."""
+    a = X.aln(spark, d)
+    length = CONTIG_LENGTH - 10 * F.substring("source_contig", 2, 9).cast("int")
+    best = W.ranked_candidates(_screened(spark, d)).where("rank <= 20").select("target_bin", F.col("rank").cast("int").alias("rank"), F.col("source_contig").alias("contig"), F.greatest(F.lit(0), F.col("start_1based") - 501).alias("cs"), F.least(length, F.col("start_1based") - 1 + F.col("bin_length_nt") + 500).alias("ce"))
+    loci = A.on_contexts(a, best)
+    lengths = best.select(F.col("target_bin").alias("contig"), (F.col("ce") - F.col("cs")).alias("length"))
+    out = A.smoothed_contigs(loci, A.library_sizes(a), lengths).join(F.broadcast(best.select(F.col("target_bin").alias("contig"), "rank")), "contig")
+    return out.select(F.col("contig").alias("target_bin"), "rank", "grp", "length", *(F.round(c, 5).alias(c) for c in ("mean_sense", "mean_antisense", "mean_duplex", "balance")))
+
+
+# ---------------------------------------------------------------- orders and counts
+
+
+@query("t08_retained_ranked", oracle("SELECT *, row_number() OVER (ORDER BY mfe_ratio DESC, allen, mismatches, hit_id) AS rank FROM hits WHERE mfe_ratio >= 0.85 AND allen <= 3", "hits"))
+def _(spark, d):
+    return numbered(X.hits(spark, d).where("mfe_ratio >= 0.85 and allen <= 3"), F.desc("mfe_ratio"), "allen", "mismatches", "hit_id")
+
+
+@query("t10_cleavage_ranked", oracle("SELECT hit_id, transcript, pos, query, row_number() OVER (ORDER BY transcript, pos, query, hit_id) AS row_ FROM full_", "hits", "dens", **_CLEAVED))
+def _(spark, d):
+    return numbered(_cleaved_full(spark, d).select("hit_id", "transcript", "pos", "query"), "transcript", "pos", "query", "hit_id", name="row_")
+
+
+@query("t12_annotations_ranked", oracle("SELECT contig, CAST(pos + 1 AS INT) AS start_1based, id, direction, row_number() OVER (ORDER BY contig, pos, id, direction) AS row_ FROM both_ JOIN km USING (kmer)", "bkm", "refseq", both_=_BOTH, km=_KM))
+def _(spark, d):
+    found = M.exact_annotations(X.bench_kmers(spark, d), X.refseq(spark, d), 21).select("contig", "start_1based", "id", "direction")
+    return numbered(found, "contig", "start_1based", "id", "direction", name="row_")
+
+
+@query("t13_transcripts_to_plot", oracle("SELECT transcript, round(best, 4) AS best_mean_cpm, CAST(n AS BIGINT) AS supported FROM (SELECT transcript, max(mean_cpm) AS best, count(*) FILTER (WHERE total > 1) AS n FROM full_ GROUP BY ALL ORDER BY best DESC, transcript LIMIT 80) WHERE n > 0", "hits", "dens", **_CLEAVED))
+def _(spark, d):
+    """The 80 best transcripts, of which those without support of more than one read go after the limit."""
+    per = _cleaved_full(spark, d).groupBy("transcript").agg(F.max("mean_cpm").alias("best"), F.count_if(F.col("total") > 1).alias("supported"))
+    return per.orderBy(F.desc("best"), "transcript").limit(80).where("supported > 0").select("transcript", F.round("best", 4).alias("best_mean_cpm"), "supported")
+
+
+@query("a33_cluster_sizes", oracle("SELECT CAST(s_nationkey AS INT) AS cluster_no, CAST(count(*) AS BIGINT) AS size, string_agg(s_name, ';' ORDER BY s_suppkey) AS members, coalesce(arg_min(s_name, s_suppkey) FILTER (WHERE s_suppkey % 7 = 0), arg_min(s_name, s_suppkey)) AS representative FROM supplier GROUP BY ALL"))
+def _(spark, d):
+    rows = X._table(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("cluster_no"), F.col("s_suppkey").alias("idx"), F.col("s_name").alias("member"), (F.col("s_suppkey") % 7 == 0).alias("is_representative"))
+    return M.cluster_sizes(rows)
+
+
+@query("a37_distinct_values", oracle("SELECT CAST(count(DISTINCT nullif(trim(contig), '')) AS BIGINT) AS contigs, CAST(count(DISTINCT nullif(trim(CASE WHEN nm = 3 THEN ' ' ELSE strand END), '')) AS BIGINT) AS strands, CAST(count(DISTINCT qname) AS BIGINT) AS names_ FROM aln", "aln"))
+def _(spark, d):
+    a = X.aln(spark, d)
+    filled = lambda c: F.count_distinct(F.nullif(F.trim(c), F.lit("")))
+    return a.agg(filled(F.col("contig")).alias("contigs"), filled(F.when(F.col("nm") == 3, " ").otherwise(F.col("strand"))).alias("strands"), F.count_distinct("qname").alias("names_"))
+
+
+@query("u05_mapped_names", oracle("SELECT DISTINCT sample_id, qname FROM aln WHERE mapq > 0 AND nm <= 1", "aln"))
+def _(spark, d):
+    return X.aln(spark, d).where("mapq > 0 and nm <= 1").select("sample_id", "qname").distinct()
+
+
+# ---------------------------------------------------------------- places with mismatches in the mapping and control tables
+
+_NEAR = {k: _RUN[k] for k in ("srna", "refs", "strands", "windows_", "places_")} | {"windows_": _RUN["windows_"].replace(" AND kind <> 'genome'", "")}
+
+
+@query("m08_one_best", oracle("SELECT sample_id, grp, contig, CAST(start0 + 1 AS INT) AS start, CAST(start0 + length(sequence) AS INT) AS \"end\", CAST(length(sequence) AS INT) AS length, strand, CAST(nm AS INT) AS mismatches, sequence, copies FROM reads_ JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY nm, contig, start0, strand) AS r FROM places_) WHERE r = 1) USING (sequence)", **_NEAR, reads_=_MAPPED["reads_"]))
+def _(spark, d):
+    reads, _ = _sample_reads(spark, d)
+    return P.mapped_reads(reads, references(spark, d).drop("kind"), 18, 24, 2, "one").drop("reason")
+
+
+@query("m10_cells", oracle("SELECT kind, id, CAST(nm AS INT) AS best_mismatches, CAST(count(*) AS BIGINT) AS hits, string_agg(DISTINCT contig, ';' ORDER BY contig) AS contigs, string_agg(concat(contig, ':', CAST(start0 + 1 AS VARCHAR), '-', CAST(start0 + length(sequence) AS VARCHAR), ':', strand, ':', CAST(nm AS VARCHAR)), ';' ORDER BY contig, start0, strand) FILTER (WHERE i <= 50) AS locations FROM (SELECT *, row_number() OVER (PARTITION BY kind, sequence ORDER BY contig, start0, strand) AS i FROM (SELECT *, min(nm) OVER (PARTITION BY kind, sequence) AS least FROM places_) WHERE nm = least) JOIN (SELECT id, sequence FROM srna) USING (sequence) GROUP BY kind, id, nm", **_NEAR))
+def _(spark, d):
+    return C.reference_cells(srnas(spark, d), references(spark, d), 18, 24, 2)

@@ -113,12 +113,25 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """contig, start, end (places from 0), label and kind of a table of features; rows without whole places are left out."""
+    """contig (``*`` where there is none), start, end (places from 0), label and kind (``span``) of a table of features; rows without a label are left out."""
     raw = spark.read.csv(path, header=True, sep=sep)
-    have = {c.strip().lower(): c for c in raw.columns}
-    text = lambda n, other: F.coalesce(F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")), F.lit(other)) if n in have else F.lit(other)
-    rows = raw.select(text("contig", None).alias("contig"), _int(text("start", None)).alias("start"), _int(text("end", None)).alias("end"), text("label", "").alias("label"), text("kind", "feature").alias("kind"))
-    return rows.where("contig is not null and start is not null and end > start")
+    have = {c.strip().lower().lstrip("\ufeff"): c for c in raw.columns}
+
+    def text(other: str | None, *names: str) -> Column:
+        found = [F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")) for n in names if n in have]
+        return F.coalesce(*found, F.lit(other))
+
+    rows = raw.select(text("*", "contig", "sequence").alias("contig"), _int(text("0", "start")).alias("start"), _int(text("0", "end")).alias("end"), text(None, "label", "name").alias("label"), text("span", "kind").alias("kind"))
+    return rows.where("label is not null and start is not null and end is not null")
+
+
+def features_of(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """Features of texts CONTIG:START:END:LABEL[:KIND]."""
+    parts = [t.split(":") for t in texts]
+    if any(len(p) < 4 for p in parts):
+        raise ValueError("a feature is CONTIG:START:END:LABEL[:KIND]")
+    rows = [(p[0], int(p[1]), int(p[2]), p[3], p[4] if len(p) > 4 else "span") for p in parts]
+    return spark.createDataFrame(rows, "contig string, start int, end int, label string, kind string")
 
 
 def count_fastq(spark: SparkSession, path: str) -> int:
@@ -128,6 +141,14 @@ def count_fastq(spark: SparkSession, path: str) -> int:
     return lines // 4
 
 
+def count_reads(spark: SparkSession, path: str) -> int:
+    """The records of a FASTA or FASTQ file; none is an error."""
+    n = read_sequences(spark, path).count()
+    if not n:
+        raise ValueError(f"no reads in {path}")
+    return n
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
@@ -194,20 +215,49 @@ def read_rnaplex(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Samples of a sheet whose columns may have other names; rows without both reads are left out."""
-    raw = spark.read.csv(path, header=True, sep=sep)
+    """Samples of a sheet whose columns may have other names; rows without both reads are left out. A missing column of reads is an error.
+
+    A sample without a replicate gets its number within its group, in the order of the file; without a group, its own id is the group.
+    """
+    raw = spark.read.csv(path, header=True, sep=sep).withColumn("_at", F.monotonically_increasing_id())
     have = {c.strip().lower(): c for c in raw.columns}
 
     def first(*names: str) -> Column:
         found = [F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")) for n in names if n in have]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
+    reads = [("trimmed_read1", "read1", "r1"), ("trimmed_read2", "read2", "r2")]
+    for names in reads:
+        if not any(n in have for n in names):
+            raise ValueError(f"the sheet has no column {names[1]}")
     rows = raw.select(
-        first("sample_id", "sample", "name").alias("sample_id"), first("group", "condition", "sample_group").alias("group"), first("replicate", "rep").alias("replicate"),
-        first("trimmed_read1", "read1", "r1").alias("read1"), first("trimmed_read2", "read2", "r2").alias("read2"),
-        F.regexp_replace(first("library_pairs", "trimmed_pairs", "read_pairs"), ",", "").try_cast("bigint").alias("library_pairs"),
+        "_at", first("sample_id", "sample", "name").alias("sample_id"), first("group", "condition", "sample_group").alias("group"), first("replicate", "rep").alias("replicate"),
+        *(first(*names).alias(names[1]) for names in reads), F.regexp_replace(first("library_pairs", "trimmed_pairs", "read_pairs"), ",", "").try_cast("bigint").alias("library_pairs"),
     )
-    return rows.where("read1 is not null and read2 is not null")
+    rows = rows.where("read1 is not null and read2 is not null").withColumn("group", F.coalesce("group", "sample_id"))
+    number = F.row_number().over(Window.partitionBy("group").orderBy("_at"))  # a row a sample
+    return rows.withColumn("replicate", F.coalesce("replicate", number.cast("string"))).drop("_at")
+
+
+def added_samples(samples: DataFrame, more: DataFrame) -> DataFrame:
+    """``samples`` with those of ``more`` (sample_id, read1, read2 and the same others) whose pair of files is new; ids that are taken get ``_2``, ``_3``, ..."""
+    new = more.join(samples.select("read1", "read2").distinct(), ["read1", "read2"], "left_anti").select(*samples.columns)
+    first = Window.partitionBy("read1", "read2").orderBy("sample_id")
+    new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    taken = samples.groupBy("sample_id").agg(F.count("*").alias("_taken"))
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("read1", "read2"))
+    numbered = new.withColumn("_place", place).join(taken, "sample_id", "left").withColumn("_at", F.col("_place") + F.coalesce("_taken", F.lit(0)))
+    named = numbered.withColumn("sample_id", F.when(F.col("_at") > 1, F.concat_ws("_", "sample_id", F.col("_at").cast("string"))).otherwise(F.col("sample_id")))
+    return samples.unionByName(named.select(*samples.columns))
+
+
+def chosen_samples(samples: DataFrame, ids: list[str]) -> DataFrame:
+    """The samples of a sheet that are asked for; an id that the sheet does not have is an error."""
+    found = samples.where(F.col("sample_id").isin(ids))
+    missing = set(ids) - {r["sample_id"] for r in found.select("sample_id").distinct().collect()}  # a row a sample
+    if missing:
+        raise ValueError(f"no samples {sorted(missing)}")
+    return found
 
 
 def write_fasta(df: DataFrame, path: str, width: int = 80) -> None:

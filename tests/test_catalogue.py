@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "documents", "benchmark", "conversations", "customer", "nation", "region", "part"):
+    for t in ("lineitem", "orders", "events", "documents", "benchmark", "conversations", "customer", "nation", "region", "part", "supplier"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

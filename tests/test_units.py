@@ -104,11 +104,31 @@ def test_more_readers(spark, tmp_path):
     assert {(r.name, r.description, r.sequence, r.length) for r in R.read_fasta_last(spark, str(tmp_path / "x.fa")).collect()} == {("a", "a two", "T", 1), ("b", "b", "GG", 2)}
     assert R.read_sequences(spark, str(tmp_path / "x.fa")).count() == 3
     (tmp_path / "f.csv").write_text("Contig,start,end,label\nc,1,5,x\nc,7,7,y\n*,0,3,\n")
-    assert sorted(map(tuple, R.read_features(spark, str(tmp_path / "f.csv")).collect())) == [("*", 0, 3, "", "feature"), ("c", 1, 5, "x", "feature")]
+    assert sorted(map(tuple, R.read_features(spark, str(tmp_path / "f.csv")).collect())) == [("c", 1, 5, "x", "span"), ("c", 7, 7, "y", "span")]
+    assert [tuple(r) for r in R.features_of(spark, ["c:1:5:x", "*:0:9:y:line"]).collect()] == [("c", 1, 5, "x", "span"), ("*", 0, 9, "y", "line")]
     (tmp_path / "p.paf").write_text("q\t10\t0\t9\t+\tt\t100\t5\t14\t9\t9\t60\nshort\n")
     assert [(r.target, r.tstart, r.mapq) for r in R.read_paf(spark, str(tmp_path / "p.paf")).collect()] == [("t", 5, 60)]
     (tmp_path / "m.csv").write_text("Sample,condition,R1,R2,library_pairs\ns,g,a,b,\"1,000\"\nt,g,a,,\n")
-    assert [tuple(r) for r in R.read_manifest(spark, str(tmp_path / "m.csv")).collect()] == [("s", "g", None, "a", "b", 1000)]
+    assert [tuple(r) for r in R.read_manifest(spark, str(tmp_path / "m.csv")).collect()] == [("s", "g", "1", "a", "b", 1000)]
+
+
+def test_sample_sheets(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "m.csv").write_text("sample,group,rep,r1,r2\na,g,,x1,x2\nb,g,,y1,y2\nc,,7,z1,z2\n")
+    sheet = R.read_manifest(spark, str(tmp_path / "m.csv"))
+    assert sorted((r.sample_id, r.group, r.replicate) for r in sheet.collect()) == [("a", "g", "1"), ("b", "g", "2"), ("c", "c", "7")]
+    more = spark.createDataFrame([("a", "h", "1", "x1", "x2", None), ("a", "h", "1", "w1", "w2", None), ("d", "h", "2", "v1", "v2", None)], sheet.schema)
+    assert sorted((r.sample_id, r.read1) for r in R.added_samples(sheet, more).collect()) == [("a", "x1"), ("a_2", "w1"), ("b", "y1"), ("c", "z1"), ("d", "v1")]
+    assert [r.sample_id for r in R.chosen_samples(sheet, ["b"]).collect()] == ["b"]
+    with pytest.raises(ValueError, match="no samples"):
+        R.chosen_samples(sheet, ["b", "q"])
+    (tmp_path / "n.csv").write_text("sample,r1\na,x1\n")
+    with pytest.raises(ValueError, match="read2"):
+        R.read_manifest(spark, str(tmp_path / "n.csv"))
+    (tmp_path / "e.fq").write_text("")
+    with pytest.raises(ValueError, match="no reads"):
+        R.count_reads(spark, str(tmp_path / "e.fq"))
 
 
 def test_names_blocks_and_tags(spark):
