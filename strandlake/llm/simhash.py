@@ -191,5 +191,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    ids = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = "gone_id"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

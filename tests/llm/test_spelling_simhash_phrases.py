@@ -16,7 +16,7 @@ import xxhash
 from strandlake.llm import collocations, grouping, simhash, spelling
 
 LOWER = {x: x + 32 for x in range(65, 91)}
-SCHEMA = "doc_id long, text string, lang string, n long, fp long, word string, component_id long, _gone long"
+SCHEMA = "doc_id long, text string, lang string, n long, fp long, word string, component_id long, gone_id long"
 
 
 def corpus():
