@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequences import complexity, cpm_from_name, name_strand
 from strandlake.operators import axis
 from strandlake.operators.alignments import best_stratum
-from strandlake.operators.matching import exact_annotations, ungapped_mapping
+from strandlake.operators.matching import exact_places, ungapped_mapping
 from strandlake.operators.ranking import use_checkpoints
 from strandlake.operators.skew import salted_join
 
@@ -18,7 +18,7 @@ KINDS = ("dsrna", "genome", "control")
 def sequence_places(records: DataFrame, refs: DataFrame, least: int, longest: int) -> DataFrame:
     """kind and places of each distinct sequence of ``records`` in the references (kind, contig, seq), stored."""
     named = refs.select(F.concat_ws("|", "kind", "contig").alias("contig"), "seq")
-    found = exact_annotations(records.select(F.col("sequence").alias("id"), "sequence").distinct(), named, least, longest)
+    found = exact_places(records, named, least, longest)
     use_checkpoints(records.sparkSession)
     return found.select(F.substring_index("contig", "|", 1).alias("kind"), "sequence", F.expr("substring(contig, instr(contig, '|') + 1)").alias("contig"), "start_1based", "end_1based", "direction").checkpoint(eager=True)
 
@@ -47,13 +47,19 @@ def control_summary(records: DataFrame, places: DataFrame, length_filter: int =
 
     Places (``sequence_places``) are rows of their own table, so no cell grows with a sequence's hits; records of one sequence share them.
     """
-    each = lambda k, c: F.when(F.col("kind") == k, c)
-    hits = places.groupBy("sequence").agg(*(x for k in KINDS for x in (F.count(each(k, F.lit(1))).alias(f"{k}_hits"), F.count_distinct(each(k, F.col("contig"))).alias(f"{k}_contigs"))))
-    size, figures = F.char_length("sequence"), complexity(F.col("sequence"))
-    out = records.join(hits, "sequence", "left").na.fill(0, [f"{k}_{c}" for k in KINDS for c in ("hits", "contigs")])
-    return out.select(
+    use_checkpoints(records.sparkSession)
+    # a row a contig first: distinct contigs of three kinds at once would take each place four times
+    per = places.groupBy("sequence", "kind", "contig").agg(F.count("*").alias("n"))
+    own = lambda k: F.col("kind") == k
+    hits = per.groupBy("sequence").agg(*(x for k in KINDS for x in (F.coalesce(F.sum(F.when(own(k), F.col("n"))), F.lit(0)).alias(f"{k}_hits"), F.count_if(own(k)).alias(f"{k}_contigs"))))
+    figures = complexity(F.col("sequence"))
+    names = [f"{k}_{c}" for k in KINDS for c in ("hits", "contigs")]
+    # stored: a filter by complexity would else be worked out again for each place, which the join's key brings it to
+    judged = records.select("sequence").distinct().join(hits, "sequence", "left").na.fill(0, names).select("sequence", *names, *(figures[n].alias(n) for n in ("low_complexity", "complexity_flags"))).checkpoint(eager=True)
+    size = F.char_length("sequence")
+    return records.join(judged, "sequence").select(
         "idx", F.col("id").alias("srna_id"), "sequence", size.alias("length"), (size == length_filter if length_filter else F.lit(True)).alias("passes_length_filter"), F.round(cpm_from_name(F.col("id")), 6).alias("cpm_from_name"),
-        *(x for k in KINDS for x in ((F.col(f"{k}_hits") > 0).alias(f"{k}_maps"), f"{k}_hits", f"{k}_contigs")), *(figures[n].alias(n) for n in ("low_complexity", "complexity_flags")),
+        *(x for k in KINDS for x in ((F.col(f"{k}_hits") > 0).alias(f"{k}_maps"), f"{k}_hits", f"{k}_contigs")), "low_complexity", "complexity_flags",
     )
 
 
