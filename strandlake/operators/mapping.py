@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import export_name, low_complexity_reason, simple_sequence_reason
 from strandlake.operators import axis
-from strandlake.operators.matching import best_mapping, exact_annotations, ungapped_mapping
+from strandlake.operators.matching import best_mapping, exact_places, ungapped_mapping
+from strandlake.operators.ranking import use_checkpoints
+from strandlake.operators.skew import salted_join
 
 PLACE = ("contig", "start", "end", "strand", "sequence")
 
@@ -32,17 +34,20 @@ def mapped_reads(reads: DataFrame, refs: DataFrame, least: int, longest: int, mi
     ``report``: all places with ``mismatches`` at most, the best of each sequence (those with the fewest), or one of the best, the first by contig, place and strand.
     Equal sequences are looked up once; ``copies`` are reads of one sequence in one sample. Palindromes without a mismatch have one place, forward, where all exact ones are asked for.
     """
-    seqs = reads.select("sequence").distinct()
+    use_checkpoints(reads.sparkSession)
+    # stored: a filter by the reason would else be worked out again for each place, which the join's key brings it to
+    judged = reads.select("sequence").distinct().withColumn("reason", simple_sequence_reason(F.col("sequence"))).checkpoint(eager=True)
+    seqs = judged.select("sequence")
     if mismatches == 0 and report == "all":
-        exact = exact_annotations(seqs.withColumn("id", F.col("sequence")), refs, least, longest)
-        places = exact.select("sequence", "contig", (F.col("start_1based") - 1).alias("start0"), F.when(F.col("direction") == "+", "sense").otherwise("antisense").alias("strand"), F.lit(0).alias("nm"))
+        exact = exact_places(seqs, refs, least, longest)
+        places = exact.select("sequence", "contig", (F.col("start_1based") - 1).alias("start0"), F.when(F.col("direction") == "+", "sense").otherwise("antisense").alias("strand"), F.lit(0).alias("nm")).checkpoint(eager=True)
     elif report == "all":
-        places = ungapped_mapping(seqs, refs, least, mismatches, longest)
+        places = ungapped_mapping(seqs, refs, least, mismatches, longest).checkpoint(eager=True)
     else:
         places = best_mapping(seqs, refs, least, mismatches, longest, report == "one")
     size = F.char_length("sequence")
-    placed = places.withColumn("reason", simple_sequence_reason(F.col("sequence")))
-    return reads.join(placed, "sequence").select("sample_id", "grp", "contig", (F.col("start0") + 1).alias("start"), (F.col("start0") + size).alias("end"), size.alias("length"), "strand", F.col("nm").alias("mismatches"), "sequence", "copies", "reason")
+    # a sequence of few letters has many places
+    return salted_join(places, reads.join(judged, "sequence"), ["sequence"]).select("sample_id", "grp", "contig", (F.col("start0") + 1).alias("start"), (F.col("start0") + size).alias("end"), size.alias("length"), "strand", F.col("nm").alias("mismatches"), "sequence", "copies", "reason")
 
 
 def sample_summary(mapped: DataFrame, libraries: DataFrame, focus: int = 0) -> DataFrame:
