@@ -51,10 +51,17 @@ def held_out(doc_id: str = "doc_id"):
 # ---------------------------------------------------------------- the attention layer
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+#: Logits between these bounds are raised as they are.
+_RAISED = 60.0
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``z`` raised in place, each row by a factor of its own where the values are large, and what was taken from the rows before."""
+    if z.size and -_RAISED < float(z.min()) and float(z.max()) < _RAISED:
+        return np.exp(z, out=z), np.zeros(1, np.float32)
+    top = z.max(-1)
+    z -= top[..., None]
+    return np.exp(z, out=z), top
 
 
 @dataclass
@@ -88,78 +95,132 @@ class Layer:
             out[n], at = flat[at : at + size].reshape(s).astype(np.float32), at + size
         return cls(out)
 
-    def forward(self, c: np.ndarray) -> dict[str, np.ndarray]:
-        """c: ids before each target, windows by places."""
+    def _joint(self) -> np.ndarray:
+        return np.hstack([self.p["q"] / np.float32(WIDTH**0.5), self.p["k"], self.p["v"]])
+
+    def forward(self, c: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
+        """c: ids before each target, windows by places; ``h`` is there for places from ``first`` on."""
         p = self.p
         x = np.take(p["e"], c, axis=0)
         x += p["pos"]
-        all_ = x.reshape(-1, WIDTH) @ np.hstack([p["q"] / np.float32(WIDTH**0.5), p["k"], p["v"]])
-        q, k, v = (np.ascontiguousarray(all_[:, i * WIDTH : (i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += _LATER
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= (a @ _ONES)[:, :, None]
-        h = np.matmul(a, v)
-        h += x
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h.reshape(-1, WIDTH)}
-
-    def _by_group(self, h: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each group that has targets, their places, and the log chances within it."""
-        order = np.argsort(targets // GROUP, kind="stable")
-        groups = targets[order] // GROUP
-        edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else []
-        for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
-            g = int(groups[s])
-            yield g, order[s:e], log_softmax(h[order[s:e]] @ self.p["w"][g] + self.p["c"][g])
+        all_ = (x.reshape(-1, WIDTH) @ self._joint()).reshape(*c.shape, 3 * WIDTH)
+        q, k, v = all_[:, first:, :WIDTH], all_[:, :, WIDTH : 2 * WIDTH], all_[:, :, 2 * WIDTH :]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        if a.size and -_RAISED < float(a.min()) and float(a.max()) < _RAISED:
+            np.exp(a, out=a)
+            a *= _EARLIER[first:]
+        else:
+            a += _LATER[first:]
+            a -= a.max(2, keepdims=True)
+            np.exp(a, out=a)
+        a *= (1 / (a @ _ONES))[:, :, None]
+        o = np.matmul(a, v)
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": o + x[:, first:]}
+
+    def _parts(self, c: np.ndarray, targets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]], np.ndarray, np.ndarray]:
+        """Windows with a target in the overlap and the others, which need no ``h`` there: (windows, real places, forward); and the ``h`` and ids of all targets."""
+        early = (targets[:, :OVERLAP] >= 0).any(1)
+        parts, hs, wanted = [], [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)]
+        for some, first in ((np.flatnonzero(early), 0), (np.flatnonzero(~early), OVERLAP)):
+            if not len(some):
+                continue
+            f, flat = self.forward(c[some], first), targets[some, first:].ravel()
+            real = np.flatnonzero(flat >= 0)
+            parts.append((some, real, f))
+            hs.append(f["h"].reshape(-1, WIDTH)[real])
+            wanted.append(flat[real])
+        return parts, np.concatenate(hs), np.concatenate(wanted)
+
+    def _within(self, h: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """The order of the targets by group, their ``h``, (group, start, end) of each group in it, and the logits within the groups."""
+        group = (want // GROUP).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+        spans = [(g, bounds[g], bounds[g + 1]) for g in range(GROUPS) if bounds[g] < bounds[g + 1]]
+        h, z = h[order], np.empty((len(want), GROUP), np.float32)
+        for g, s, e in spans:
+            np.matmul(h[s:e], self.p["w"][g], out=z[s:e])
+            z[s:e] += self.p["c"][g]
+        return order, h, spans, z
 
     def log_chance(self, c: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the chance of each target id (negative ones: none, 0)."""
-        flat = targets.ravel()
-        real = np.flatnonzero(flat >= 0)
-        h, t = self.forward(c)["h"][real], flat[real]
-        own = log_softmax(h @ self.p["u"] + self.p["b"])[np.arange(len(t)), t // GROUP]
-        for _, at, within in self._by_group(h, t):
-            own[at] += within[np.arange(len(at)), t[at] % GROUP]
-        out = np.zeros(len(flat))
-        out[real] = own
-        return out.reshape(targets.shape)
+        parts, h, want = self._parts(c, targets)
+        rows = np.arange(len(want))
+        z = h @ self.p["u"]
+        z += self.p["b"]
+        own = z[rows, want // GROUP]
+        y, top = exponentials(z)
+        own = own - top - np.log(y @ _ONES_GROUPS)
+        order, _, _, z = self._within(h, want)
+        inner = z[rows, want[order] % GROUP]
+        y, top = exponentials(z)
+        own[order] += inner - top - np.log(y @ _ONES_GROUP)
+        out, at = np.zeros(targets.shape), 0
+        for some, real, f in parts:
+            first = WINDOW - f["h"].shape[1]
+            part = np.zeros(f["h"].shape[:2])
+            part.reshape(-1)[real] = own[at : at + len(real)]
+            out[some, first:] = part
+            at += len(real)
+        return out
 
     def train_step(self, c: np.ndarray, targets: np.ndarray, state: dict[str, tuple[np.ndarray, np.ndarray]], t: int, rate: float) -> float:
-        f, p = self.forward(c), self.p
-        flat = targets.ravel()
-        real = np.flatnonzero(flat >= 0)
-        if not len(real):
+        p = self.p
+        parts, h, want = self._parts(c, targets)
+        if not len(want):
             return 0.0
-        h, want = f["h"][real], flat[real]
-        share, rows = np.float32(1 / len(real)), np.arange(len(real))
-        logs = log_softmax(h @ p["u"] + p["b"])
-        loss = -float(logs[rows, want // GROUP].sum())
-        y = np.exp(logs)
-        y[rows, want // GROUP] -= 1
-        y *= share
-        g = {"u": h.T @ y, "b": y.sum(0), "w": np.zeros_like(p["w"]), "c": np.zeros_like(p["c"])}
+        share, rows = np.float32(1 / len(want)), np.arange(len(want))
+
+        def lost(z: np.ndarray, at: np.ndarray, ones: np.ndarray) -> tuple[float, np.ndarray]:
+            """The loss of the logits, and its gradient in their place."""
+            own = z[rows, at]
+            y, top = exponentials(z)
+            total = y @ ones
+            y *= (share / total)[:, None]
+            y[rows, at] -= share
+            return float((np.log(total) + top - own).sum()), y
+
+        z = h @ p["u"]
+        z += p["b"]
+        loss, y = lost(z, want // GROUP, _ONES_GROUPS)
+        g = {"u": h.T @ y, "b": np.ones(len(y), np.float32) @ y, "w": np.zeros_like(p["w"]), "c": np.zeros_like(p["c"])}
         d_real = y @ p["u"].T
-        for group, at, within in self._by_group(h, want):
-            loss -= float(within[np.arange(len(at)), want[at] % GROUP].sum())
-            y = np.exp(within)
-            y[np.arange(len(at)), want[at] % GROUP] -= 1
-            y *= share
-            g["w"][group], g["c"][group] = h[at].T @ y, y.sum(0)
-            d_real[at] += y @ p["w"][group].T
-        dh = np.zeros_like(f["h"])
-        dh[real] = d_real
-        dh = dh.reshape(f["x"].shape)
-        dv = np.matmul(f["a"].transpose(0, 2, 1), dh)
-        da = np.matmul(dh, f["v"].transpose(0, 2, 1))
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, f["k"]) / np.float32(WIDTH**0.5), np.matmul(ds.transpose(0, 2, 1), f["q"] * np.float32(1))
-        x = f["x"].reshape(-1, WIDTH)
-        g |= {n: x.T @ d.reshape(-1, WIDTH) for n, d in (("q", dq), ("k", dk), ("v", dv))}
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g["pos"] = dx.sum(0)
-        ids, dx = c.ravel(), dx.reshape(-1, WIDTH)
-        g["e"] = np.stack([np.bincount(ids, dx[:, i], OWN_IDS + 1) for i in range(WIDTH)], 1).astype(np.float32)
+        order, by_group, spans, z = self._within(h, want)
+        more, y = lost(z, want[order] % GROUP, _ONES_GROUP)
+        loss += more
+        d_group, ones = np.empty_like(by_group), np.ones(len(y), np.float32)
+        for k, s, e in spans:
+            np.matmul(by_group[s:e].T, y[s:e], out=g["w"][k])
+            np.matmul(ones[s:e], y[s:e], out=g["c"][k])
+            np.matmul(y[s:e], p["w"][k].T, out=d_group[s:e])
+        d_real[order] += d_group
+        joint, at = self._joint(), 0
+        d_joint, g["pos"], g["e"] = np.zeros_like(joint), np.zeros_like(p["pos"]), np.zeros_like(p["e"])
+        for some, real, f in parts:
+            first = WINDOW - f["h"].shape[1]
+            dh = np.zeros((f["h"].size // WIDTH, WIDTH), np.float32)
+            dh[real] = d_real[at : at + len(real)]
+            at += len(real)
+            dh = dh.reshape(f["h"].shape)
+            d_all = np.zeros((len(some), WINDOW, 3 * WIDTH), np.float32)
+            np.matmul(f["a"].transpose(0, 2, 1), dh, out=d_all[:, :, 2 * WIDTH :])
+            ds = np.matmul(dh, f["v"].transpose(0, 2, 1))
+            # a row's sum of attention by its gradient is the product of the output and the output's gradient
+            ds -= (dh * f["o"]).sum(2, keepdims=True)
+            ds *= f["a"]
+            np.matmul(ds, f["k"], out=d_all[:, first:, :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), f["q"], out=d_all[:, :, WIDTH : 2 * WIDTH])
+            flat = d_all.reshape(-1, 3 * WIDTH)
+            d_joint += f["x"].reshape(-1, WIDTH).T @ flat
+            dx = (flat @ joint.T).reshape(f["x"].shape)
+            dx[:, first:] += dh
+            g["pos"] += dx.sum(0)
+            ids = c[some].ravel()
+            by_id = np.argsort(ids.astype(np.uint16), kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(ids[by_id]) != 0]))
+            g["e"][ids[by_id[edge]]] += np.add.reduceat(dx.reshape(-1, WIDTH)[by_id], edge, axis=0)
+        g |= {"q": d_joint[:, :WIDTH] / np.float32(WIDTH**0.5), "k": d_joint[:, WIDTH : 2 * WIDTH], "v": d_joint[:, 2 * WIDTH :]}
         for n, d in g.items():
             if n not in state:
                 state[n] = np.zeros_like(p[n]), np.zeros_like(p[n])
@@ -168,13 +229,17 @@ class Layer:
             m += np.float32(0.1) * d
             v *= np.float32(0.99)
             v += np.float32(0.01) * d * d
-            p[n] -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-        return loss / len(real)
+            size = np.sqrt(v)
+            size *= np.float32(1 / np.sqrt(1 - 0.99**t))
+            size += np.float32(1e-8)
+            p[n] -= np.float32(rate / (1 - 0.9**t)) * m / size
+        return loss / len(want)
 
 
 #: What keeps a place from the later ones.
 _LATER = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
-_ONES = np.ones(WINDOW, np.float32)
+_EARLIER = np.tri(WINDOW, dtype=np.float32)
+_ONES, _ONES_GROUPS, _ONES_GROUP = (np.ones(n, np.float32) for n in (WINDOW, GROUPS, GROUP))
 
 
 def id_windows(own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
