@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.tables import cut, may_be_in, stored
+from strandlake.llm.tables import cut, stored
 from strandlake.llm.textblocks import trimmed
 
 #: Members and bytes of a block; two blocks are compared in one step.
@@ -28,8 +28,6 @@ BLOCK, BLOCK_BYTES = 1_024, 8 << 20
 SMALL = 32
 #: Columns of the matrix by which a block's sets are intersected, at once.
 COLUMNS = 4_096
-#: Bits of the bitmap of shared buckets, 8 MB.
-BUCKET_BITS = 26
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Given the payloads of two equally long columns, which pairs are links.
 PairTest = Callable[[pa.Array, pa.Array], np.ndarray]
@@ -274,18 +272,36 @@ def document_components(table: DataFrame, classes: DataFrame, groups: DataFrame,
     return stored(labelled(grouped, least, "component").select(key, "component_id", F.col("times").alias("n")), f"{name}-labels")
 
 
+def shared_members(members: DataFrame) -> DataFrame:
+    """The distinct rows (bucket, id) of the buckets that several ids have. Every row is moved once; a task reads its rows by bucket and keeps one back."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = np.zeros((2, 0), np.int64), False  # the last row, and whether it has been given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, id_ = np.concatenate([last, [c.to_numpy() for c in batch.columns]], 1)
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            several = np.minimum.reduceat(id_, edge) != np.maximum.reduceat(id_, edge)
+            several[0] |= told
+            keep = np.repeat(several, np.diff(np.append(edge, len(bucket))))
+            if told:
+                keep[0] = False
+            # rows like the first one of their bucket wait with it
+            last, told = np.array([bucket[-1:], id_[-1:]]), bool(several[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(id_[keep])], names=["bucket", "id"])
+
+    rows = members.select(F.col("bucket").cast("long"), F.col("id").cast("long"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(shared), "bucket long, id long").distinct()
+
+
 def linked_groups(members: DataFrame, weights: DataFrame, payload_of: Callable[[DataFrame], DataFrame], pair_test: PairTest, block_test: BlockTest, name: str) -> DataFrame:
     """``id, component`` of the items that have a link.
 
     members: (bucket, id), repeated rows allowed; weights: (id, weight), 1 where missing; payload_of: (id, payload) of all
     ids that it is given (others do no harm).
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    may_be_shared = may_be_in(shared, BUCKET_BITS)
-    some = stored(members.where(may_be_shared("bucket")).distinct(), f"{name}-buckets")
-    # the bitmap lets single ones through once many buckets are shared
-    several = stored(some.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), f"{name}-shared")
-    multi = some.join(several, "bucket", "left_semi")
+    multi = stored(shared_members(members), f"{name}-buckets")
     payload = stored(payload_of(multi.select("id").distinct()), f"{name}-payload")
     groups = cut(connected_components(_star_links(multi, weights, payload, pair_test, name)))
 

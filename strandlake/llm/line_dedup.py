@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.grouping import Group, Joined, intersections, labelled, linked_groups, numbered, spanning
-from strandlake.llm.tables import bitmap_of, held, places, split_by_ids, stored
+from strandlake.llm.tables import BITMAP_BITS, bitmap_of, held, places, split_by_ids, stored
 from strandlake.llm.textblocks import Block, blocks, eights, mix, trimmed
 
 LEAST_WORDS = 5
@@ -100,11 +100,8 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    words_a, words_b = a.split(" "), b.split(" ")
     # replacing the words that differ place by place is one way to edit, so the distance is no more than that
-    if len(words_a) == len(words_b) and sum(max(len(x), len(y)) for x, y in zip(words_a, words_b, strict=True) if x != y) <= most:
-        return True
-    return edits(a, b) <= most
+    return _words_near(a, b, most) or edits(a, b) <= most
 
 
 @dataclass
@@ -172,10 +169,17 @@ def _bands(lines: Lines, some: np.ndarray, by: Banding) -> np.ndarray:
     step[lines.starts[some] + n] -= 1
     run = mix(run[np.cumsum(step[:-1], dtype=np.int8).view(bool)])
     # the number of a run among equal ones of its line; 40 bits tell them apart
-    ordered = np.sort(np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(40), n) | run >> np.uint64(24))
-    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    again = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
-    value = (mix((ordered << np.uint64(24)) + again.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    run >>= np.uint64(24)
+    run |= np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(40), n)
+    run.sort()
+    new = np.ones(len(run), bool)
+    np.not_equal(run[1:], run[:-1], out=new[1:])
+    again = np.flatnonzero(~new)
+    run <<= np.uint64(24)
+    if len(again):
+        new = np.flatnonzero(new)
+        run[again] += (again - new[np.searchsorted(new, again) - 1]).astype(np.uint64)
+    value = (mix(run) >> np.uint64(32)).astype(np.uint32)
     out, work = np.empty((by.bands, len(some)), np.uint64), np.empty_like(value)
     for band in range(by.bands):
         key = np.full(len(some), np.uint64(by.first + band))
@@ -220,14 +224,18 @@ def hashed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def class_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """(id, payload): the normal forms of the classes ``wanted`` (key, doc_id of a document that holds it), and some more by chance."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select("key", "doc_id"), TEXT_BITS))
+    wanted = stored(wanted.select("key", "doc_id"), "wanted-lines")
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap_of(wanted.select("key", "doc_id"), TEXT_BITS), bitmap_of(wanted.select("doc_id"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_lines, of_docs = shared.value
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(held(of_docs, places([ids], BITMAP_BITS))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
                 lines = normalised_lines(block, least_words)
-                some = np.flatnonzero(lines.first_in_row() & held(shared.value, places([lines.key.view(np.int64), ids[block.first + lines.row]], TEXT_BITS)))
+                some = np.flatnonzero(lines.first_in_row() & held(of_lines, places([lines.key.view(np.int64), ids[block.first + lines.row]], TEXT_BITS)))
                 raw = lines.text.tobytes()
                 texts = [raw[s:e] for s, e in zip(lines.starts[some].tolist(), lines.ends[some].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[some].view(np.int64)), pa.array(texts, pa.binary())], names=["id", "payload"])
@@ -362,6 +370,38 @@ def _far(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return out
 
 
+def surely_near(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs that one simple way to edit links: characters or words replaced place by place, or all between the common beginning and end."""
+    out = np.zeros(len(x), bool)
+    code = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
+    most = most_edits(size[x], size[y])
+    for k in np.flatnonzero(np.abs(size[x] - size[y]) <= most):
+        a, b = code[x[k]], code[y[k]]
+        short, long = min(len(a), len(b)), max(len(a), len(b))
+        ahead, behind = a[:short] != b[:short], a[len(a) - short :] != b[len(b) - short :]
+        if not short or not long:
+            continue
+        begin = int(ahead.argmax()) if ahead.any() else short
+        end = int(behind[::-1].argmax()) if behind.any() else short
+        differ = long - short + min(int(ahead.sum()), int(behind.sum()))
+        out[k] = min(differ, long - min(begin + end, short)) <= most[k] or _words_near(texts[x[k]], texts[y[k]], most[k])
+    return out
+
+
+def _words_near(a: str, b: str, most: int) -> bool:
+    """Whether replacing the words that differ place by place is an edit of ``most`` characters at most."""
+    words_a, words_b = a.split(" "), b.split(" ")
+    return len(words_a) == len(words_b) and sum(max(len(x), len(y)) for x, y in zip(words_a, words_b, strict=True) if x != y) <= most
+
+
+def _near(texts: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the pairs (texts[x], texts[y]) are linked."""
+    out = surely_near(texts, size, x, y)
+    rest = np.flatnonzero(~out)
+    out[rest] = edit_distances(texts, x[rest], y[rest]) <= most_edits(size[x[rest]], size[y[rest]])
+    return out
+
+
 def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
     out = may_be_similar(letter_counts(a), letter_counts(b))
     some = np.flatnonzero(out)
@@ -371,7 +411,7 @@ def _pair_links(a: pa.Array, b: pa.Array) -> np.ndarray:
     far = _far(texts, size, x, y)
     out[some[far]] = False
     some, x, y = some[~far], x[~far], y[~far]
-    out[some] = edit_distances(texts, x, y) <= most_edits(size[x], size[y])
+    out[some] = _near(texts, size, x, y)
     return out
 
 
@@ -399,7 +439,7 @@ def _block_links(group: Group) -> tuple[np.ndarray, np.ndarray]:
             some = label[x] != label[y]
             x, y = x[some], y[some]
             a, b = x[:MOST_EDITS], y[:MOST_EDITS]
-            near = edit_distances(texts, a, b) <= most_edits(size[a], size[b])
+            near = _near(texts, size, a, b)
             a, b = spanning(a[near], b[near], group.component, joined)
             xs.append(a)
             ys.append(b)

@@ -27,9 +27,12 @@ _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -102,6 +105,8 @@ def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     """The function of a task that gives memory back to the system at its end, since workers live on for other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not gc.get_freeze_count():
+            gc.freeze()  # the modules a worker has loaded; the collection of each task need not walk them
         yield from function(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
